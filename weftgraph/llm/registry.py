@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, winnowing
+from weftgraph.llm import bpe, line_frequency, winnowing
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_frequency.assess(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, PATTERN)
 
@@ -26,8 +30,8 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_byte_bpe, op9_winnowing)}
+    return {f.__name__: f for f in (op1_line_frequency, op5_byte_bpe, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_winnowing": winnowing.SQL}
+    return {"op1_line_frequency": line_frequency.SQL, "op9_winnowing": winnowing.SQL}
