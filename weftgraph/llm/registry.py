@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, line_frequency, winnowing
+from weftgraph.llm import bpe, line_frequency, substring_dedup, winnowing
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,11 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency.assess(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, PATTERN)
 
@@ -30,8 +35,8 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op5_byte_bpe, op9_winnowing)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_substring_dedup, op5_byte_bpe, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": line_frequency.SQL, "op9_winnowing": winnowing.SQL}
+    return {"op1_line_frequency": line_frequency.SQL, "op2_substring_dedup": substring_dedup.SQL, "op9_winnowing": winnowing.SQL}
