@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, line_frequency, substring_dedup, winnowing
+from weftgraph.llm import bpe, byte_cnn, line_frequency, substring_dedup, winnowing
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,13 +29,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, PATTERN)
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op2_substring_dedup, op5_byte_bpe, op9_winnowing)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_substring_dedup, op5_byte_bpe, op7_byte_cnn, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
