@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import _mix
+from weftgraph.llm.common import _mix, chunks, utf8
 
-#: Code points of text whose pre-tokens are held at once, and merged pre-tokens that are remembered.
-BATCH_CHARS, REMEMBERED = 1 << 21, 1 << 18
+#: Bytes of text (or one document) whose pre-tokens are held at once, and merged pre-tokens that are remembered.
+BATCH_BYTES, REMEMBERED = 1 << 21, 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,12 +149,20 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class _Numbers(dict):
+    """Numbers keys by first appearance."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; made once in each Python worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, table: PerfectHash):
         self.ranks, self.split, self.table = ranks, regex.compile(pattern).findall, table
-        self.remembered: dict[bytes, list[int]] = {}
+        self.remembered: dict[bytes, bytes] = {}
         top = max(ranks.values()) + 1
         parts = [b""] * top
         for k, v in ranks.items():
@@ -167,49 +175,39 @@ class Codec:
         data = np.frombuffer(b"".join(distinct), np.uint8)
         at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, distinct), np.int64, len(distinct)))])
         found = self.table.find(data, at)
-        size = np.ones(len(distinct), np.int64)
-        merged: list[list[int]] = []
         missed = np.flatnonzero(found < 0)
-        for i in missed.tolist():
-            if (ids := self.remembered.get(distinct[i])) is None:
-                ids = merge(distinct[i], self.ranks)
-                if len(self.remembered) >= REMEMBERED:
-                    self.remembered.clear()
-                self.remembered[distinct[i]] = ids
-            merged.append(ids)
-        size[missed] = [len(x) for x in merged]
+        merged = [self._merged(distinct[i]) for i in missed.tolist()]
+        size = np.ones(len(distinct), np.int64)
+        size[missed] = lengths = np.fromiter(map(len, merged), np.int64, len(merged)) // 4
         offsets = np.concatenate([[0], np.cumsum(size)])
-        flat = np.empty(offsets[-1], np.int64)
+        flat = np.empty(offsets[-1], np.int32)
         whole = np.flatnonzero(found >= 0)
         flat[offsets[whole]] = found[whole]
-        lengths = size[missed]
-        if len(missed):
-            start = np.cumsum(lengths) - lengths
-            flat[np.arange(lengths.sum()) + np.repeat(offsets[missed] - start, lengths)] = np.fromiter(chain.from_iterable(merged), np.int64, int(lengths.sum()))
+        start = np.cumsum(lengths) - lengths
+        flat[np.arange(lengths.sum()) + np.repeat(offsets[missed] - start, lengths)] = np.frombuffer(b"".join(merged), np.int32)
         return flat, offsets
 
+    def _merged(self, piece: bytes) -> bytes:
+        """Ids of a pre-token that isn't in the vocabulary, as int32."""
+        if (ids := self.remembered.get(piece)) is None:
+            ids = np.array(merge(piece, self.ranks), np.int32).tobytes()
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            if len(piece) <= 64:
+                self.remembered[piece] = ids
+        return ids
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the texts, one after the other, and len + 1 offsets."""
-        flats, counts, i = [], [], 0
-        while i < len(texts):
-            parts, chars = [], 0
-            while i < len(texts) and (not parts or chars < BATCH_CHARS):
-                text = texts[i] or ""
-                parts.append(self.split(text))
-                chars += len(text)
-                i += 1
-            number: dict[str, int] = {}
-            n = sum(map(len, parts))
-            index = np.fromiter((number.setdefault(x, len(number)) for x in chain.from_iterable(parts)), np.int64, n)
-            flat, at = self.pieces([x.encode() for x in number])
-            size = np.diff(at)[index]
-            to = np.cumsum(size) - size
-            flats.append(flat[np.arange(size.sum()) + np.repeat(at[index] - to, size)].astype(np.int32))
-            edge = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            ends = np.concatenate([[0], np.cumsum(size)])[edge]
-            counts.append(np.diff(ends))
-        size = np.concatenate([[0], *counts]) if counts else np.zeros(1)
-        return np.concatenate(flats) if flats else np.zeros(0, np.int32), np.cumsum(size).astype(np.int64)
+        """Ids of some texts, one after the other, and len + 1 offsets."""
+        parts = [self.split(t or "") for t in texts]
+        edge = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        number = _Numbers()
+        index = np.fromiter(map(number.__getitem__, chain.from_iterable(parts)), np.int64, edge[-1])
+        del parts
+        flat, at = self.pieces([x.encode() for x in number])
+        size = np.diff(at)[index]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return flat[np.arange(total[-1]) + np.repeat(at[index] - total[:-1], size)], total[edge]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the sequences of ids, one after the other, and len + 1 offsets."""
@@ -242,13 +240,25 @@ def shared_codec(spark: SparkSession, path: str, pattern: str):
     return get
 
 
+def _sizes(column: pa.ListArray) -> np.ndarray:
+    return np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], offsets: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of bounded bytes, so that what a worker holds doesn't depend on the batch."""
+    for b in batches:
+        if b.num_rows:
+            for i, j in chunks(offsets(b), BATCH_BYTES):
+                yield b.slice(i, j - i)
+
+
 def encode(docs: DataFrame, text_col: str, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """All columns of ``docs`` and the array of ids of each text."""
     codec = shared_codec(docs.sparkSession, path, pattern)
     text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, lambda b: utf8(b.column(text))[1]):
             flat, at = codec().encode(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))], [*b.schema.names, ids_col])
 
@@ -261,10 +271,9 @@ def decode(rows: DataFrame, ids_col: str, path: str, pattern: str, bytes_col: st
     ids = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, lambda b: 4 * np.concatenate([[0], np.cumsum(_sizes(b.column(ids)))])):
             column = b.column(ids)
-            sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            data, at = codec().decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
+            data, at = codec().decode(column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(_sizes(column))]))
             made = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(np.ascontiguousarray(at.astype(np.int64))), pa.py_buffer(np.ascontiguousarray(data))])
             yield pa.RecordBatch.from_arrays([*b.columns, made.cast(pa.binary())], [*b.schema.names, bytes_col])
 
