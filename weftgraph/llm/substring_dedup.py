@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import chunks, covered, keyed, per_document, utf8, windows, words
+from weftgraph.llm.common import Words, chunks, covered, keyed, per_document, utf8, windows, words
 
 WINDOW = 13
 #: Cells in each of the sketch's two rows.
 WIDTH = 1 << 28
-#: Cells in a block, whose offsets fit 16 bits, and blocks merged by one task at once.
+#: Cells in a block, in which gaps start anew, and blocks in a group, which is merged at once.
 BLOCK_BITS, GROUP_BITS = 16, 6
 #: Cells that a task gathers before it emits them as a partial sketch.
 FLUSH = 1 << 23
@@ -45,26 +45,47 @@ def _cells(h: np.ndarray, g: np.ndarray, width: int) -> tuple[np.ndarray, np.nda
     return h & mask, (g & mask) + np.uint64(width)
 
 
+def _gaps(cells: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted cells as bytes of the gaps between them, from 0 in each block; 255 goes on to the next byte.
+
+    Returns the bytes and len(blocks) + 1 offsets.
+    """
+    of = cells >> BLOCK_BITS
+    gap = np.diff(cells.astype(np.int64), prepend=0)
+    first = np.concatenate([[True], of[1:] != of[:-1]]) if len(cells) else np.zeros(0, bool)
+    gap[first] = cells[first] & ((1 << BLOCK_BITS) - 1)
+    ends = np.cumsum(gap // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gap % 255
+    at = np.concatenate([np.searchsorted(of, blocks), [len(cells)]])
+    return out, np.concatenate([[0], ends])[at]
+
+
 def _partial(gathered: list[np.ndarray]) -> pa.RecordBatch:
-    """Cells seen in a task, by block: 16-bit offsets of those seen, and of those seen twice or more."""
+    """Cells seen in a task, by block: those seen, and those seen twice or more."""
     cells = np.sort(np.concatenate(gathered).astype(np.uint32))
     new = np.concatenate([[True], cells[1:] != cells[:-1]]) if len(cells) else np.zeros(0, bool)
     again = np.concatenate([[False], (cells[1:] == cells[:-1]) & new[:-1]]) if len(cells) else new
     blocks = np.unique(cells >> BLOCK_BITS)
 
     def column(some: np.ndarray) -> pa.Array:
-        at = np.concatenate([np.searchsorted(some >> BLOCK_BITS, blocks), [len(some)]]) * 2
-        return pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer((some & 0xFFFF).astype("<u2"))])
+        data, at = _gaps(some, blocks)
+        return pa.Array.from_buffers(pa.binary(), len(blocks), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)])
 
     return pa.RecordBatch.from_arrays([pa.array((blocks >> GROUP_BITS).astype(np.int32)), pa.array(blocks.astype(np.int32)), column(cells[new]), column(cells[again])], ["grp", "block", "once", "twice"])
 
 
 def _offsets(blocks: np.ndarray, column: pa.Array) -> np.ndarray:
-    """Cells within their group, from binary rows of 16-bit offsets."""
+    """Cells within their group, from binary rows of gaps."""
     _, at, data = column.buffers()
-    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1]
-    low = np.frombuffer(data, "<u2")[at[0] // 2 : at[-1] // 2].astype(np.int64) if data is not None and at[-1] > at[0] else np.zeros(0, np.int64)
-    return low + np.repeat((blocks & ((1 << GROUP_BITS) - 1)).astype(np.int64) << BLOCK_BITS, np.diff(at) // 2)
+    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if data is None or at[-1] == at[0]:
+        return np.zeros(0, np.int64)
+    gaps = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    total = np.concatenate([[0], np.cumsum(gaps, dtype=np.int64)])
+    row = np.repeat(np.arange(len(blocks)), np.diff(at))
+    inside = total[1:] - total[at[:-1] - at[0]][row]
+    return (inside + ((blocks & ((1 << GROUP_BITS) - 1)).astype(np.int64) << BLOCK_BITS)[row])[gaps < 255]
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +105,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], ["grp", "bits"])
 
 
-def build_sketch(rows: DataFrame, k: int = WINDOW, width: int = WIDTH) -> np.ndarray:
-    """Bits of the merged sketch's cells that hold 2 or more; of fixed size."""
+def build_sketch(rows: DataFrame, k: int = WINDOW, width: int = WIDTH) -> dict[int, bytes]:
+    """The merged sketch's cells that hold 2 or more: compressed bits of each group of blocks; of bounded size."""
     text = rows.columns.index("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,89 +125,90 @@ def build_sketch(rows: DataFrame, k: int = WINDOW, width: int = WIDTH) -> np.nda
 
     partial = rows.mapInArrow(run, "grp int, block int, once binary, twice binary")
     merged = partial.groupBy("grp").applyInArrow(_merge, "grp int, bits binary")
-    size = (1 << (BLOCK_BITS + GROUP_BITS)) // 8
-    out = np.zeros(max(2 * width // 8, size), np.uint8)
-    for group, bits in merged.toLocalIterator():
-        out[group * size : (group + 1) * size] = np.frombuffer(zlib.decompress(bits), np.uint8)
-    return out
+    return {group: bytes(bits) for group, bits in merged.toLocalIterator()}
+
+
+_unpacked: dict[int, np.ndarray] = {}
 
 
-def candidates(rows: DataFrame, sketch: np.ndarray, k: int = WINDOW, width: int = WIDTH) -> DataFrame:
-    """Windows estimated repeated: _h, _g, _id; one row for each window and document row."""
+def _bits(sketch: dict[int, bytes], width: int) -> np.ndarray:
+    """The sketch's bits, unpacked once in each worker."""
+    if id(sketch) not in _unpacked:
+        size = (1 << (BLOCK_BITS + GROUP_BITS)) // 8
+        out = np.zeros(max(2 * width // 8, size), np.uint8)
+        for group, bits in sketch.items():
+            out[group * size : (group + 1) * size] = np.frombuffer(zlib.decompress(bits), np.uint8)
+        _unpacked.clear()
+        _unpacked[id(sketch)] = out
+    return _unpacked[id(sketch)]
+
+
+def candidates(rows: DataFrame, sketch: dict[int, bytes], k: int = WINDOW, width: int = WIDTH) -> DataFrame:
+    """Windows estimated repeated: _h, _g (96 bits of hash), _id, _th and _at (the first word's place)."""
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
-    text, ids = rows.columns.index("_text"), rows.columns.index("_id")
+    text, ids, hashes = (rows.columns.index(c) for c in ("_text", "_id", "_th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
+        bits = _bits(sent.value, width)
         for b in batches:
             data, at = utf8(b.column(text))
-            own = b.column(ids).to_numpy(zero_copy_only=False)
+            own, content = b.column(ids).to_numpy(), b.column(hashes).to_numpy()
             for i, j in chunks(at):
-                _, h, owner, g = windows(words(data, at[i : j + 1]), k, second=True)
-                full = np.ones(len(h), bool)
+                w = words(data, at[i : j + 1])
+                place, h, owner, g = windows(w, k, second=True)
+                full = np.arange(len(h))
                 for c in _cells(h, g, width):
-                    full[full] = (bits[(c[full] >> np.uint64(3)).astype(np.int64)] >> (c[full] & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                h, g, owner = h[full], (g[full] >> np.uint64(32)).astype(np.uint32), owner[full]
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int32)), pa.array(own[i:j].astype(np.int64)[owner])], ["_h", "_g", "_id"])
+                    c = c[full]
+                    full = full[(bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                if len(full):
+                    who = owner[full]
+                    made = [h[full].view(np.int64), (g[full] >> np.uint64(32)).astype(np.uint32).view(np.int32), own[i:j][who], content[i:j][who], (place[full] - w.first[who]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["_h", "_g", "_id", "_th", "_at"])
 
-    return rows.where("_id is not null").mapInArrow(run, "_h long, _g int, _id long")
+    return rows.where("_id is not null").mapInArrow(run, "_h long, _g int, _id long, _th long, _at int")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """Of each document the hashes of its windows that also start in a document of a smaller id: _hid, _hits (bounded by the document)."""
+    """Of each document's content (_hid, _hth) the places of its windows that also start in a document of a smaller id (_hits, bounded by the text)."""
     least = found.groupBy("_h", "_g").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").withColumnsRenamed({"_h": "_rh", "_g": "_rg"}).drop("_most")
     # the third key isn't one of the grouping's, so both sides are shuffled for the join and either can be split
     part = lambda c: F.pmod(c, F.lit(1 << 16))
     hits = found.join(least, (part(found["_h"]) == part(least["_rh"])) & (found["_h"] == least["_rh"]) & (found["_g"] == least["_rg"]) & (found["_id"] > least["_least"]))
-    return hits.groupBy(F.col("_id").alias("_hid")).agg(F.collect_set("_h").alias("_hits"))
+    return hits.groupBy(F.col("_id").alias("_hid"), F.col("_th").alias("_hth")).agg(F.collect_set("_at").alias("_hits"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, width: int = WIDTH) -> DataFrame:
     """Per row: the id, n_words, n_removed, and the kept words joined by one space."""
-    rows = keyed(docs, id_col, text_col).select("_id", "_text")
+    rows = keyed(docs, id_col, text_col)
     hits = repeated(candidates(rows, build_sketch(rows, k, width), k, width))
-    joined = rows.join(hits, rows["_id"] == hits["_hid"], "left").select("_id", "_text", "_hits")
+    joined = rows.join(hits, (rows["_id"] == hits["_hid"]) & (rows["_th"] == hits["_hth"]), "left").select("_id", "_text", "_hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(1))
-            lists = b.column(2)
-            parts = []
             for i, j in chunks(at):
                 w = words(data, at[i : j + 1])
-                place, h, owner = windows(w, k)
-                own = lists.slice(i, j - i)
+                own = b.column(2).slice(i, j - i)
                 sizes = np.nan_to_num(own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                values = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                gone = np.zeros(len(w.hash), bool)
-                if len(values):  # membership by document: pairs of document and hash, sorted
-                    doc = np.repeat(np.arange(j - i), sizes)
-                    order = np.lexsort((values, doc))
-                    edges = np.searchsorted(doc[order], np.arange(j - i + 1))
-                    starts = [place[(a := slice(*np.searchsorted(owner, [d, d + 1])))][np.isin(h[a], values[order][edges[d] : edges[d + 1]])] for d in np.flatnonzero(sizes)]
-                    gone = covered(len(w.hash), np.concatenate(starts), k)
-                parts.append((w.counts, per_document(w.first, gone), _kept(w, ~gone)))
-            merged = [np.concatenate([p[n] for p in parts]) if parts else np.zeros(0, np.int64) for n in (0, 1)]
-            texts = pa.concat_arrays([p[2] for p in parts]) if parts else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(merged[0], pa.int64()), pa.array(merged[1], pa.int64()), texts], ["_id", "n_words", "n_removed", "kept"])
+                places = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.first[:-1], sizes)
+                gone = covered(len(w.hash), places, k)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(w.counts, pa.int64()), pa.array(per_document(w.first, gone), pa.int64()), _kept(w, ~gone)], ["_id", "n_words", "n_removed", "kept"])
 
     return joined.mapInArrow(run, "_id long, n_words long, n_removed long, kept string").withColumnRenamed("_id", id_col)
 
 
-def _kept(w, keep: np.ndarray) -> pa.Array:
+def _kept(w: Words, keep: np.ndarray) -> pa.Array:
     """Texts of the kept words, joined by one space."""
     start, size = w.start[keep], (w.end - w.start)[keep]
     per = per_document(w.first, keep)
     last = np.cumsum(per)[per > 0] - 1
     size = size + 1  # with the space that follows
     size[last] -= 1
-    to = np.cumsum(size) - size
-    data = np.append(w.data, np.uint8(32))[np.arange(size.sum()) + np.repeat(start - to, size)]
+    total = np.concatenate([[0], np.cumsum(size)])
+    data = np.append(w.data, np.uint8(32))[np.arange(total[-1]) + np.repeat(start - total[:-1], size)]
     spaced = np.ones(len(size), bool)
     spaced[last] = False
-    data[(to + size - 1)[spaced]] = 32
-    total = np.concatenate([[0], np.cumsum(size)])
+    data[(total[1:] - 1)[spaced]] = 32
     at = total[np.concatenate([[0], np.cumsum(per)])]
     return pa.Array.from_buffers(pa.large_string(), len(per), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
 
