@@ -6,7 +6,6 @@ becomes a few numpy arrays; there is no Python loop over words.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.fixpoint import ensure_checkpoint_dir as ensure_checkpoint_dir
+
 #: Words of most contracts are runs of bytes other than ASCII white space; all of UTF-8's other
 #: bytes belong to words, so that bytes and code points give the same words.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -28,15 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftgraph-checkpoint-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns that an operator uses, under names of its own.
 

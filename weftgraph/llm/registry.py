@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, byte_cnn, line_frequency, pii_bootstrap, substring_dedup, winnowing
+from weftgraph.llm import bpe, byte_cnn, line_frequency, order_minhash, pii_bootstrap, substring_dedup, winnowing
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op3_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, PATTERN)
 
@@ -44,7 +48,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op2_substring_dedup, op3_pii_bootstrap, op5_byte_bpe, op7_byte_cnn, op9_winnowing)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_substring_dedup, op3_pii_bootstrap, op4_order_minhash, op5_byte_bpe, op7_byte_cnn, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
