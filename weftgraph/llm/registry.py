@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, byte_cnn, line_frequency, order_minhash, pii_bootstrap, substring_dedup, winnowing
+from weftgraph.llm import bpe, byte_cnn, html_crf, license_dice, line_frequency, order_minhash, pii_bootstrap, substring_dedup, token_scan, winnowing
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,18 +38,31 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, PATTERN)
 
 
+def op6_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_scan.document_counts(table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, PATTERN)
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_dice.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_line_frequency, op2_substring_dedup, op3_pii_bootstrap, op4_order_minhash, op5_byte_bpe, op7_byte_cnn, op9_winnowing)}
+    found = (op1_line_frequency, op2_substring_dedup, op3_pii_bootstrap, op4_order_minhash, op5_byte_bpe, op6_html_crf, op7_byte_cnn, op8_token_scan, op9_winnowing, op10_license_dice)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": line_frequency.SQL, "op2_substring_dedup": substring_dedup.SQL, "op9_winnowing": winnowing.SQL}
+    return {"op1_line_frequency": line_frequency.SQL, "op2_substring_dedup": substring_dedup.SQL, "op9_winnowing": winnowing.SQL, "op10_license_dice": license_dice.sql()}
