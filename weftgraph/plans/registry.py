@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from weftgraph.plans import calculus, construction, decisions, iteration, solvers  # noqa: F401  they register their queries
+from weftgraph.plans.base import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)

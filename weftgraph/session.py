@@ -20,8 +20,15 @@ def session(app: str = "weftgraph", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application, so that workers can import it."""
+#: Bytes of an Arrow batch sent to a Python worker, unless the session already asks for fewer.
+ARROW_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound what a Python worker is sent at once, and send it this package (once for each application)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
