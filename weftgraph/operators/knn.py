@@ -41,11 +41,9 @@ def nearest(ids_a: np.ndarray, a: np.ndarray, ids_b: np.ndarray, b: np.ndarray,
         a, b = (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-20) for x in (a, b))
     d = _distances(a, b, similarity)
     d[ids_a[:, None] == ids_b[None]] = np.inf
-    more = min(len(ids_b), k + 8)  # rounding may swap near ties; the direct distances decide
-    pick = np.argpartition(d, more - 1, axis=1)[:, :more] if more < len(ids_b) else np.broadcast_to(np.arange(len(ids_b)), d.shape)
-    src, dst = np.repeat(np.arange(len(a)), pick.shape[1]), pick.ravel()
-    kept = np.isfinite(d[src, dst])
-    src, dst = src[kept], dst[kept]
+    last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    # all ties of the last one, and what rounding may have put behind it; the direct distances decide
+    src, dst = np.nonzero((d <= (last + 1e-9 * np.abs(last) + 1e-9)[:, None]) & np.isfinite(d))
     gap = a[src] - b[dst]
     exact = {"dot": lambda: -(a[src] * b[dst]).sum(1), "manhattan": lambda: np.abs(gap).sum(1), "hamming": lambda: (gap != 0).sum(1).astype(float)}.get(similarity, lambda: np.sqrt((gap * gap).sum(1)))()
     order = np.lexsort((ids_b[dst], exact, src))
@@ -74,14 +72,14 @@ def knn_exact(points: DataFrame, k: int, similarity: str = "euclidean", n: int |
     blocks = max(1, -(-(n if n is not None else points.count()) // BLOCK))
     cut = points.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     query = cut.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "block")
-    base = cut.select("id", "x", F.col("block").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    base = cut.select(F.col("id").alias("bid"), F.col("x").alias("bx"), F.col("block").alias("bother"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bblock"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        return nearest(a["id"].to_numpy(), _matrix(a["x"]), b["id"].to_numpy(), _matrix(b["x"]), k, similarity)
+        return nearest(a["id"].to_numpy(), _matrix(a["x"]), b["bid"].to_numpy(), _matrix(b["bx"]), k, similarity)
 
-    found = query.groupBy("block", "other").cogroup(base.groupBy("block", "other")).applyInPandas(run, "src long, dst long, dist double")
+    found = query.groupBy("block", "other").cogroup(base.groupBy("bblock", "bother")).applyInPandas(run, "src long, dst long, dist double")
     return _ranked(found, k, similarity)
 
 
@@ -144,15 +142,14 @@ def knn_forest(points: DataFrame, k: int, similarity: str = "euclidean", n: int
     sizes = placed.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (4 * LEAF)).cast("int").alias("parts"))
     placed = placed.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     query = placed.select("id", "x", "tree", "leaf", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    base = placed.select("id", "x", "tree", "leaf", F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    base = placed.select(F.col("id").alias("bid"), F.col("x").alias("bx"), F.col("tree").alias("btree"), F.col("leaf").alias("bleaf"), F.col("part").alias("bother"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("bpart"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        return nearest(a["id"].to_numpy(), _matrix(a["x"]), b["id"].to_numpy(), _matrix(b["x"]), k, similarity)
+        return nearest(a["id"].to_numpy(), _matrix(a["x"]), b["bid"].to_numpy(), _matrix(b["bx"]), k, similarity)
 
-    keys = ["tree", "leaf", "part", "other"]
-    found = query.groupBy(keys).cogroup(base.groupBy(keys)).applyInPandas(run, "src long, dst long, dist double").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    found = query.groupBy("tree", "leaf", "part", "other").cogroup(base.groupBy("btree", "bleaf", "bpart", "bother")).applyInPandas(run, "src long, dst long, dist double").groupBy("src", "dst").agg(F.min("dist").alias("dist"))
     return _ranked(found, k, similarity)
 
 

@@ -48,6 +48,11 @@ def dijkstra(nodes: DataFrame, edges: DataFrame, boundary: DataFrame, f: DataFra
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("d", F.lit(float("inf"))).alias("d"), "cp")
 
 
+def dijkstra_many(edges: DataFrame, boundary: DataFrame, runs: list[str], f: DataFrame | float = 1.0, reciprocal: bool = False) -> DataFrame:
+    """Several searches in one loop: boundary (runs..., id, g) -> runs..., id, d, cp of the nodes reached."""
+    return _relax(cut(_with_slowness(edges, f, reciprocal)), boundary, F.col("d") + F.col("w") * F.col("f"), None, [*runs, "id"], None)
+
+
 def dijkstra_hl(nodes: DataFrame, edges: DataFrame, boundary: DataFrame, f: DataFrame | float = 1.0, max_dist: float | None = None, rounds: int | None = None) -> DataFrame:
     """As dijkstra, with the Hopf-Lax update (f w + sqrt((f w)^2 + 4 d^2)) / 2."""
     fw = F.col("w") * F.col("f")

@@ -467,15 +467,11 @@ class GraphNearestNeighbor(Model):
         return m.select("id", F.pow(F.col("m") / top, F.lit(float(self.alpha))).alias("f"))
 
     def _scores(self, train: DataFrame, k: int) -> DataFrame:
-        parts = []
-        lengths, f = self.distances if self.distances is not None else self.graph.edges, self._slowness()
-        for c in range(k):
-            d = paths.dijkstra(self.graph.nodes, lengths, train.where(F.col("label") == c).select("id", F.lit(0.0).alias("g")), f)
-            parts.append(d.select("id", F.lit(c).cast("int").alias("cls"), F.when(F.col("d") == float("inf"), F.lit(1e300)).otherwise(F.col("d")).alias("u")))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        lengths = self.distances if self.distances is not None else self.graph.edges
+        start = train.where("label >= 0").select(F.col("label").cast("int").alias("cls"), "id", F.lit(0.0).alias("g"))
+        d = paths.dijkstra_many(lengths, start, ["cls"], self._slowness())
+        every = self.graph.nodes.select("id", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("cls"))
+        return every.join(d, ["id", "cls"], "left").select("id", "cls", F.coalesce("d", F.lit(1e300)).alias("u"))
 
     def nearest(self, train: DataFrame) -> DataFrame:
         """id, label of the closest labelled node (null where none is reached): one multi-source search for all classes."""

@@ -163,11 +163,11 @@ def withinss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: An image made of the embeddings: a row for each vector, a column for each coordinate.
-@query("WITH px AS (SELECT vec_id AS r, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), t AS (SELECT (r // 7) * 13 + c // 5 AS patch, (r % 7) * 5 + c % 5 AS at, v FROM px), n AS (SELECT max(patch) AS m FROM t) SELECT patch::BIGINT AS patch, at::INTEGER AS at, round(coalesce(v, 0), 6) + 0.0 AS v FROM (SELECT unnest(range(0, ((SELECT max(vec_id) FROM embeddings) // 7 + 1) * 13)) AS patch) CROSS JOIN range(0, 35) a(at) LEFT JOIN t USING (patch, at)")
+@query("WITH px AS (SELECT vec_id AS r, generate_subscripts(embedding, 1) - 1 AS c, unnest(embedding)::DOUBLE AS v FROM embeddings), t AS (SELECT (r // 7) * 13 + c // 5 AS patch, (r % 7) * 5 + c % 5 AS pos, v FROM px), n AS (SELECT max(patch) AS m FROM t) SELECT patch::BIGINT AS patch, pos::INTEGER AS pos, round(coalesce(v, 0), 6) + 0.0 AS v FROM (SELECT unnest(range(0, ((SELECT max(vec_id) FROM embeddings) // 7 + 1) * 13)) AS patch) CROSS JOIN range(0, 35) a(pos) LEFT JOIN t USING (patch, pos)")
 def image_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = points(spark, sf_dir).select(F.col("id").alias("row"), F.posexplode("x").alias("col", "v")).select("row", "col", F.lit(0).alias("ch"), "v")
     rows = px.agg(F.max("row")).first()[0] + 1
-    return images.image_to_patches(px, 7, 5, (rows, 64, 1)).select("patch", F.posexplode("x").alias("at", "v")).select("patch", "at", r6("v").alias("v"))
+    return images.image_to_patches(px, 7, 5, (rows, 64, 1)).select("patch", F.posexplode("x").alias("pos", "v")).select("patch", "pos", r6("v").alias("v"))
 
 
 @query("WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS x, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings QUALIFY k < 12), c AS (SELECT k, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM o) SELECT ((k // 4) * 9 + i // 8)::INTEGER AS row, ((k % 4) * 9 + i % 8)::INTEGER AS col, 0 AS ch, round(v, 6) + 0.0 AS v FROM c")

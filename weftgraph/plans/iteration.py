@@ -97,9 +97,9 @@ def amle_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {E}, g AS (SELECT min(id) AS id, 0.0::DOUBLE AS g FROM p), it(k, id, u) AS (SELECT 0, id, g FROM g UNION ALL "
+    f"WITH RECURSIVE {E}, g AS (SELECT min(id) AS id, 0.0::DOUBLE AS g FROM p), x AS (SELECT src, dst, w FROM e UNION ALL SELECT id, id, NULL FROM g), it(k, id, u) AS (SELECT 0, id, g FROM g UNION ALL "
     "SELECT k + 1, id, u FROM (SELECT k, src AS id, CASE WHEN src = (SELECT id FROM g) THEN 0.0 ELSE min((1 + s) / sw) END AS u FROM ("
-    "SELECT it.k, e.src, sum(e.w * it.u) OVER o AS s, sum(e.w) OVER o AS sw FROM it JOIN e ON e.dst = it.id WINDOW o AS (PARTITION BY it.k, e.src ORDER BY it.u ROWS UNBOUNDED PRECEDING)) GROUP BY k, src) z "
+    "SELECT it.k, x.src, sum(x.w * it.u) OVER o AS s, sum(x.w) OVER o AS sw FROM it JOIN x ON x.dst = it.id WINDOW o AS (PARTITION BY it.k, x.src ORDER BY it.u ROWS UNBOUNDED PRECEDING)) GROUP BY k, src) z "
     "WHERE k < 4) SELECT id, round(u, 6) + 0.0 AS u FROM it WHERE k = 4"
 )
 def eikonal_p1_k(spark: SparkSession, sf_dir: str) -> DataFrame:
