@@ -9,11 +9,17 @@ both, ``m / (a + b - m)``, and pairs of at least ``SIMILARITY`` are linked.  Cla
 connected components of the links.
 
 Exact copies (the same words in the same order, by a 64-bit hash) are one text from the start.  In
-each bucket every text is first aligned with the bucket's least text; then texts outside the
-bucket's largest component with all those of other components, so no link between texts of a
-bucket is lost and copies are never expanded into all pairs.
-
-A pair at similarity 0.8 shares no key of 32 with a probability of 3e-6 (each has 0.8**5).
+each bucket every text is aligned with the bucket's least text, so copies are never expanded into
+all pairs.  Buckets that this leaves in several components (those of a passage that many unrelated
+texts share, or of a family of texts that are mostly less similar than the threshold) are gone
+through again by sorted neighbourhood: texts of a bucket in the order of further keys, so that those
+that share more keys come together, each aligned with the next ones of other components that share
+another key with it.  This is done in two orders.  Work is linear in the buckets' rows at every
+size; nothing is capped.
+
+A pair at similarity 0.8 shares no key of 32 with a probability of 3e-6 (each has 0.8**5).  A link is
+missed too if in all buckets it shares neither the least text nor a neighbour leads to the same
+class, which takes a large family of texts just below the threshold around it.
 
 Defined results: words are runs of anything but ASCII white space; a text of one to four words is
 one shingle; a null text or one without words is in a class of its own; repeated rows share a
@@ -39,6 +45,8 @@ SHINGLE, SKETCHES, PICKED = 5, 32, 5
 SIMILARITY = 0.8
 #: Shingles hashed at once by all functions.
 BLOCK = 1 << 14
+#: Steps to the further keys that order a bucket, and texts ahead that each is aligned with.
+ORDERS, AHEAD = ((1, 2, 3), (5, 11, 17)), 2
 _A = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -53,15 +61,20 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Keys of a text with these shingles, one for each hash function."""
+def labelled(s: np.ndarray) -> np.ndarray:
+    """Hashes of the shingles with their occurrence numbers."""
     order = np.argsort(s, kind="stable")
     ranked = s[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
     occurrence = np.empty(len(s), np.uint64)
     place = np.arange(len(s))
     occurrence[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-    x = _mix(s + occurrence * np.uint64(0xD1342543DE82EF95))
+    return _mix(s + occurrence * np.uint64(0xD1342543DE82EF95))
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Keys of a text with these shingles, one for each hash function."""
+    x = labelled(s)
     best = np.zeros((SKETCHES, 0), np.int64)
     for i in range(0, len(x), BLOCK):  # the least of each block, among the least so far
         own = np.concatenate([best, np.broadcast_to(np.arange(i, min(i + BLOCK, len(x))), (SKETCHES, min(BLOCK, len(x) - i)))], axis=1)
@@ -192,17 +205,45 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _word_hashes(texts).checkpoint()
     star = buckets.where("_node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
     found = similar(star, texts).checkpoint()
-    # what the first round left apart: texts outside a bucket's largest component, with those of other components
+    # texts of buckets that are still in several components
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
     placed = buckets.select("_key", "_node").join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
-    sizes = placed.groupBy("_key", "_comp").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.max_by("_comp", F.struct("_n", "_comp")).alias("_main"), F.count("*").alias("_comps")).where("_comps > 1").select("_key", "_main")
-    mixed = placed.join(sizes, "_key").checkpoint()
-    outside = mixed.where("_comp <> _main").select("_key", F.col("_node").alias("_out"), F.col("_comp").alias("_outc"))
-    rest = mixed.join(outside, "_key").where("_comp <> _outc").select(F.least("_node", "_out").alias("a"), F.greatest("_node", "_out").alias("b")).distinct()
-    more = similar(rest.join(star, ["a", "b"], "left_anti"), texts)
+    mixed = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi").select("_key")
+    apart = placed.join(mixed, "_key", "left_semi")
+    keys_of = nodes.join(apart.select("_node", "_comp").distinct(), "_node").select("_node", "_comp", "_keys").checkpoint()
+    near = _neighbours(keys_of, mixed, ORDERS[0]).unionByName(_neighbours(keys_of, mixed, ORDERS[1])).distinct()
+    more = similar(near.join(star, ["a", "b"], "left_anti"), texts)
     return made.select("_id", "_th", "_node"), found.unionByName(more).checkpoint()
 
 
+def _neighbours(texts: DataFrame, keys: DataFrame, order: tuple[int, ...]) -> DataFrame:
+    """Of texts (_node, _comp, _keys) the pairs (a, b) that come next to each other in a bucket in the order of further keys.
+
+    Rows are sorted as a whole, by ranges, so a bucket of any size is spread over as many tasks as
+    its rows need.  A pair shares one of the further keys and is of different components.
+    """
+    further = [f"_k{j}" for j in range(len(order))]
+    at = lambda i, step: F.get("_keys", (i + step) % SKETCHES)
+    each = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.struct(at(i, 0).alias("_key"), *[at(i, step).alias(k) for k, step in zip(further, order, strict=True)]))
+    rows = texts.select("_node", "_comp", F.inline(each)).join(keys, "_key", "left_semi").select("_key", *further, "_node", "_comp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: np.ndarray | None = None
+        for b in batches:
+            own = np.stack([c.to_numpy() for c in b.columns])
+            held = own if last is None else np.concatenate([last, own], axis=1)
+            pairs = []
+            for ahead in range(1, AHEAD + 1):
+                x, y = held[:, :-ahead], held[:, ahead:]
+                good = (x[0] == y[0]) & (x[-1] != y[-1]) & (x[1:-2] == y[1:-2]).any(0)
+                pairs.append((np.minimum(x[-2], y[-2])[good], np.maximum(x[-2], y[-2])[good]))
+            last = held[:, -AHEAD:]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*pairs, strict=True)], ["a", "b"])
+
+    names = ["_key", *further, "_node"]
+    return rows.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, class_id (the least id in its class), class_size (rows), n_links (texts linked with its own)."""
     rows = keyed(docs, id_col, text_col)
