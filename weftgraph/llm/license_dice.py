@@ -74,14 +74,17 @@ def template_passages() -> list[tuple[str, list[str]]]:
     return [(name, bigrams) for (name, _), bigrams in out.items()]
 
 
-def _passages(text: Column) -> Column:
-    """Normalised passages of a text: lines, paragraphs of several lines, and the whole if it has several paragraphs."""
-    norm = F.regexp_replace(F.lower(text), _OTHER, " ")
+def _with_passages(rows: DataFrame) -> DataFrame:
+    """With ``_passages``, normalised: lines, paragraphs of several lines, and the whole if it has several paragraphs.
+
+    Each step is a column of its own, so that it is computed once.
+    """
     flat = lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))
-    paragraphs = F.split(norm, "\n ?\n[ \n]*")
-    several = F.transform(F.filter(paragraphs, lambda p: F.contains(p, F.lit("\n"))), flat)
-    whole = F.when(F.size(paragraphs) > 1, F.array(flat(norm))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.transform(F.split(norm, "\n"), lambda x: F.trim(x)), several, whole)
+    rows = rows.withColumn("_norm", F.regexp_replace(F.lower("_text"), _OTHER, " "))
+    rows = rows.withColumn("_pars", F.split("_norm", "\n ?\n[ \n]*"))
+    several = F.transform(F.filter("_pars", lambda p: F.contains(p, F.lit("\n"))), flat)
+    whole = F.when(F.size("_pars") > 1, F.array(flat(F.col("_norm")))).otherwise(F.array().cast("array<string>"))
+    return rows.withColumn("_passages", F.concat(F.transform(F.split("_norm", "\n"), lambda x: F.trim(x)), several, whole))
 
 
 def _times(bigrams: Column, one: Column) -> Column:
@@ -96,12 +99,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tenths
     # sizes a with 2 min(a, b) / (a + b) >= t
     lo, hi = F.ceil(F.col("_b") * tenths / (20 - tenths)).cast("int"), F.floor(F.col("_b") * (20 - tenths) / tenths).cast("int")
     known = known.select("_name", "_template", "_b", F.explode(F.sequence(lo, hi)).alias("_a"))
-    sizes = F.array(*[F.lit(a) for a in sorted({a for _, b in template_passages() for a in range(-(-len(b) * tenths // (20 - tenths)), len(b) * (20 - tenths) // tenths + 1)})])
-    each = F.transform(_passages(F.col("_text")), lambda p: F.struct(p.alias("_p"), (F.char_length(p) - F.char_length(F.replace(p, F.lit(" "), F.lit("")))).alias("_a")))
-    passages = rows.select("_id", "_th", F.posexplode(F.filter(each, lambda x: F.array_contains(sizes, x["_a"]))).alias("_at", "_x")).select("_id", "_th", "_at", F.col("_x._p").alias("_p"), F.col("_x._a").alias("_a"))
-    words = F.split("_p", " ")
-    bigrams = F.transform(F.sequence(F.lit(0), F.col("_a") - 1), lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1)))
-    pairs = passages.withColumn("_own", bigrams).join(known, "_a").where(F.arrays_overlap("_own", "_template"))
+    sizes = [len(b) for _, b in template_passages()]
+    least, most = -(-min(sizes) * tenths // (20 - tenths)), max(sizes) * (20 - tenths) // tenths
+    each = F.transform("_passages", lambda p: F.struct(p.alias("_p"), (F.char_length(p) - F.char_length(F.replace(p, F.lit(" "), F.lit("")))).alias("_a")))
+    sized = _with_passages(rows).select("_id", "_th", F.posexplode(each).alias("_at", "_x")).select("_id", "_th", "_at", F.col("_x._p").alias("_p"), F.col("_x._a").alias("_a"))
+    passages = sized.where(F.col("_a").between(least, most)).withColumn("_words", F.split("_p", " ")).drop("_p")
+    bigrams = F.zip_with(F.slice("_words", 1, F.col("_a")), F.slice("_words", 2, F.col("_a")), lambda x, y: F.concat(x, F.lit(" "), y))
+    pairs = passages.withColumn("_own", bigrams).drop("_words").join(known, "_a").where(F.arrays_overlap("_own", "_template"))
     shared = F.aggregate(F.array_distinct(F.array_intersect("_own", "_template")), F.lit(0), lambda n, x: n + F.least(_times(F.col("_own"), x), _times(F.col("_template"), x)))
     pairs = pairs.withColumn("_m", shared).where(20 * F.col("_m") >= tenths * (F.col("_a") + F.col("_b")))
     found = pairs.groupBy("_id", "_th").agg(F.count_distinct("_at").alias("_n"), F.array_sort(F.collect_set("_name")).alias("_names"), F.max(2 * F.col("_m") / (F.col("_a") + F.col("_b"))).alias("_best")).withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
