@@ -9,7 +9,7 @@ most passages are gone before any bigram is made; then one shared bigram is aske
 are the multisets compared.
 
 Templates are the small fixed list below; their paragraphs of ten words and more count as templates
-too.  The list of allowed sizes is bounded by the templates, not by the input.
+too.  They are broadcast: some thousand rows (a template for each allowed size), whatever the input.
 
 Defined results: a null text has no passages; a passage of one word has no bigrams and matches
 nothing; repeated rows each get the same result; of several equally near templates all are named.
@@ -105,7 +105,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tenths
     sized = _with_passages(rows).select("_id", "_th", F.posexplode(each).alias("_at", "_x")).select("_id", "_th", "_at", F.col("_x._p").alias("_p"), F.col("_x._a").alias("_a"))
     passages = sized.where(F.col("_a").between(least, most)).withColumn("_words", F.split("_p", " ")).drop("_p")
     bigrams = F.zip_with(F.slice("_words", 1, F.col("_a")), F.slice("_words", 2, F.col("_a")), lambda x, y: F.concat(x, F.lit(" "), y))
-    pairs = passages.withColumn("_own", bigrams).drop("_words").join(known, "_a").where(F.arrays_overlap("_own", "_template"))
+    pairs = passages.withColumn("_own", bigrams).drop("_words").join(F.broadcast(known), "_a").where(F.arrays_overlap("_own", "_template"))
     shared = F.aggregate(F.array_distinct(F.array_intersect("_own", "_template")), F.lit(0), lambda n, x: n + F.least(_times(F.col("_own"), x), _times(F.col("_template"), x)))
     pairs = pairs.withColumn("_m", shared).where(20 * F.col("_m") >= tenths * (F.col("_a") + F.col("_b")))
     found = pairs.groupBy("_id", "_th").agg(F.count_distinct("_at").alias("_n"), F.array_sort(F.collect_set("_name")).alias("_names"), F.max(2 * F.col("_m") / (F.col("_a") + F.col("_b"))).alias("_best")).withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
