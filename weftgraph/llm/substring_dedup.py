@@ -11,8 +11,9 @@ The merged sketch is the one thing that is broadcast: ``2 * width`` bits, 64 MB
 width whatever the input's size.  With more windows than cells it prunes less, and the exact
 grouping does more of the work; results don't change.
 
-Skew: exact grouping pre-aggregates in each task; windows go back to documents by an equi-join
-whose two sides are both shuffled for it, so that adaptive execution can split a hot window.
+Skew: each task first groups what it has gathered.  Of a window it sends one claim, by the least id
+there; its other documents are known to repeat it and are dealt out by document.  So a window that
+every document has is one row per task where windows meet.
 
 Defined results: a null text has no words; a document with a null id neither removes nor loses
 words; rows with the same id don't remove each other's words; repeated rows each get the same
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Words, chunks, covered, keyed, per_document, utf8, windows, words
@@ -38,6 +39,8 @@ WIDTH = 1 << 28
 BLOCK_BITS, GROUP_BITS = 16, 6
 #: Cells that a task gathers before it emits them as a partial sketch.
 FLUSH = 1 << 23
+#: Windows that a task gathers before it groups them.
+GATHER = 1 << 20
 
 
 def _cells(h: np.ndarray, g: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,55 +146,74 @@ def _bits(sketch: dict[int, bytes], width: int) -> np.ndarray:
     return _unpacked[id(sketch)]
 
 
+def _claims(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Windows of a task, each once per document: the least id with it claims it (_k = 0); others are known to repeat it (_k > 0)."""
+    order = np.lexsort((ids, g, h))
+    h, g, ids = h[order], g[order], ids[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+    first = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+    k = np.where(new, 0, 1 + (ids & 0x3FFFFFFF)).astype(np.int32)[first]
+    return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int32)), pa.array(k), pa.array(ids[first])], ["_h", "_g", "_k", "_id"])
+
+
 def candidates(rows: DataFrame, sketch: dict[int, bytes], k: int = WINDOW, width: int = WIDTH) -> DataFrame:
-    """Windows estimated repeated: _h, _g (96 bits of hash), _id, _th and _at (the first word's place)."""
+    """Windows estimated repeated: _h and _g (96 bits of hash), _k, _id; claims and known repeats of each ``GATHER`` windows."""
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
-    text, ids, hashes = (rows.columns.index(c) for c in ("_text", "_id", "_th"))
+    text, ids = rows.columns.index("_text"), rows.columns.index("_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = _bits(sent.value, width)
+        bits, gathered, n = _bits(sent.value, width), [], 0
         for b in batches:
             data, at = utf8(b.column(text))
-            own, content = b.column(ids).to_numpy(), b.column(hashes).to_numpy()
+            own = b.column(ids).to_numpy()
             for i, j in chunks(at):
-                w = words(data, at[i : j + 1])
-                place, h, owner, g = windows(w, k, second=True)
+                _, h, owner, g = windows(words(data, at[i : j + 1]), k, second=True)
                 full = np.arange(len(h))
                 for c in _cells(h, g, width):
                     c = c[full]
                     full = full[(bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 > 0]
                 if len(full):
-                    who = owner[full]
-                    made = [h[full].view(np.int64), (g[full] >> np.uint64(32)).astype(np.uint32).view(np.int32), own[i:j][who], content[i:j][who], (place[full] - w.first[who]).astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["_h", "_g", "_id", "_th", "_at"])
+                    gathered.append((h[full], (g[full] >> np.uint64(32)).astype(np.uint32), own[i:j][owner[full]]))
+                    n += len(full)
+                if n >= GATHER:
+                    yield _claims(*map(np.concatenate, zip(*gathered, strict=True)))
+                    gathered, n = [], 0
+        if n:
+            yield _claims(*map(np.concatenate, zip(*gathered, strict=True)))
 
-    return rows.where("_id is not null").mapInArrow(run, "_h long, _g int, _id long, _th long, _at int")
+    return rows.where("_id is not null").mapInArrow(run, "_h long, _g int, _k int, _id long")
 
 
 def repeated(found: DataFrame) -> DataFrame:
-    """Of each document's content (_hid, _hth) the places of its windows that also start in a document of a smaller id (_hits, bounded by the text)."""
-    least = found.groupBy("_h", "_g").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").withColumnsRenamed({"_h": "_rh", "_g": "_rg"}).drop("_most")
-    # the third key isn't one of the grouping's, so both sides are shuffled for the join and either can be split
-    part = lambda c: F.pmod(c, F.lit(1 << 16))
-    hits = found.join(least, (part(found["_h"]) == part(least["_rh"])) & (found["_h"] == least["_rh"]) & (found["_g"] == least["_rg"]) & (found["_id"] > least["_least"]))
-    return hits.groupBy(F.col("_id").alias("_hid"), F.col("_th").alias("_hth")).agg(F.collect_set("_at").alias("_hits"))
+    """Of each id (_hid) the hashes of its windows that also start in a document of a smaller id (_hits, bounded by its texts).
+
+    A window has one claim from each ``GATHER`` windows at most, so a window's claims are few even
+    if every document has it; known repeats are dealt out by their own document.
+    """
+    least = F.min("_id").over(Window.partitionBy("_h", "_g", "_k"))
+    hits = found.withColumn("_least", least).where((F.col("_k") > 0) | (F.col("_id") > F.col("_least")))
+    return hits.groupBy(F.col("_id").alias("_hid")).agg(F.collect_set("_h").alias("_hits"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, width: int = WIDTH) -> DataFrame:
     """Per row: the id, n_words, n_removed, and the kept words joined by one space."""
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col).select("_id", "_text")
     hits = repeated(candidates(rows, build_sketch(rows, k, width), k, width))
-    joined = rows.join(hits, (rows["_id"] == hits["_hid"]) & (rows["_th"] == hits["_hth"]), "left").select("_id", "_text", "_hits")
+    joined = rows.join(hits, rows["_id"] == hits["_hid"], "left").select("_id", "_text", "_hits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(1))
             for i, j in chunks(at):
                 w = words(data, at[i : j + 1])
+                place, h, owner = windows(w, k)
+                edges = np.searchsorted(owner, np.arange(j - i + 1))
                 own = b.column(2).slice(i, j - i)
-                sizes = np.nan_to_num(own.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                places = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.first[:-1], sizes)
-                gone = covered(len(w.hash), places, k)
+                starts = [np.zeros(0, np.int64)]
+                for d in np.flatnonzero(own.is_valid()):
+                    mine = slice(edges[d], edges[d + 1])
+                    starts.append(place[mine][np.isin(h[mine], own[int(d)].values.to_numpy().view(np.uint64))])
+                gone = covered(len(w.hash), np.concatenate(starts), k)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(w.counts, pa.int64()), pa.array(per_document(w.first, gone), pa.int64()), _kept(w, ~gone)], ["_id", "n_words", "n_removed", "kept"])
 
     return joined.mapInArrow(run, "_id long, n_words long, n_removed long, kept string").withColumnRenamed("_id", id_col)
