@@ -199,11 +199,20 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     """Per row: the id, n_words, n_removed, and the kept words joined by one space."""
     rows = keyed(docs, id_col, text_col).select("_id", "_text")
     hits = repeated(candidates(rows, build_sketch(rows, k, width), k, width))
-    joined = rows.join(hits, rows["_id"] == hits["_hid"], "left").select("_id", "_text", "_hits")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(data[i:j], 1) for i, j in zip(at, at[1:], strict=False)], pa.binary())], ["_id", "_packed"])
+
+    # texts are shuffled compressed: they are most of what moves
+    packed = rows.mapInArrow(pack, "_id long, _packed binary")
+    joined = packed.join(hits, packed["_id"] == hits["_hid"], "left").select("_id", "_packed", "_hits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [zlib.decompress(x.as_buffer()) for x in b.column(1)]
+            data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             for i, j in chunks(at):
                 w = words(data, at[i : j + 1])
                 place, h, owner = windows(w, k)
