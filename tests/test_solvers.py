@@ -31,9 +31,9 @@ def test_conjgrad(spark, small, plan):
     a = np.diag(w.sum(1) + 1) - w
     entries = calculus.laplacian(nodes, edges).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
     b = nodes.select("id", F.sin("id").alias("a"), F.when(F.col("id") == 3, 1.0).otherwise(0.0).alias("b"))
-    got = linear.conjgrad(nodes, entries, b, ["a", "b"], 1e-8, plan=plan)
-    assert np.allclose(a @ column(got, name="a"), np.sin(np.arange(40)), atol=1e-6)
-    assert np.allclose(a @ column(got, name="b"), np.arange(40) == 3, atol=1e-6)
+    got = linear.conjgrad(nodes, entries, b, ["a", "b"], 1e-5, plan=plan)
+    assert np.allclose(a @ column(got, name="a"), np.sin(np.arange(40)), atol=1e-4)
+    assert np.allclose(a @ column(got, name="b"), np.arange(40) == 3, atol=1e-4)
 
 
 def test_constrained_solve_is_harmonic(spark, small):

@@ -22,9 +22,8 @@ def spmv(nodes: DataFrame, a: DataFrame, u: DataFrame, cols: list[str]) -> DataF
 def conjgrad(nodes: DataFrame, a: DataFrame, b: DataFrame, cols: list[str], tol: float = 1e-10, max_iter: int = 10_000, plan: str = "auto") -> DataFrame:
     """Solve A x = b for all columns at once; A (src, dst, w) symmetric positive on the columns' span.
 
-    Distributed: one join and one aggregate a round.  The next residual's norm comes from the same
-    aggregate (r.r - 2 alpha r.Ap + alpha^2 Ap.Ap), so a round is one pass; the true norm is taken
-    when that estimate says it has converged.
+    Distributed: a round is one join for A p, with an aggregate for its products, and one new state
+    with an aggregate for its residuals; all columns share them.
     """
     if plan == "local" or plan == "auto" and local.fits(nodes, a):
         g = local.gather(nodes, a)
@@ -36,18 +35,16 @@ def conjgrad(nodes: DataFrame, a: DataFrame, b: DataFrame, cols: list[str], tol:
     norms = lambda s: np.array(s.agg(*[F.sum(F.col(f"r_{c}") ** 2) for c in cols]).first(), float)
     rs = norms(state)
     for _ in range(max_iter):
-        if np.sqrt(max(0.0, rs.sum())) <= tol:
-            rs = norms(state)
-            if np.sqrt(rs.sum()) <= tol:
-                break
+        if np.sqrt(rs.sum()) <= tol:
+            break
         ap = spmv(nodes, a, state.select("id", *[F.col(f"p_{c}").alias(f"ap_{c}") for c in cols]), [f"ap_{c}" for c in cols])
-        both = cut(state.join(ap, "id"))
-        dots = np.array(both.agg(*[F.sum(F.col(f"{x}_{c}") * F.col(f"ap_{c}")) for c in cols for x in ("p", "r", "ap")]).first(), float).reshape(len(cols), 3)
-        alpha = np.where(dots[:, 0] != 0, rs / np.where(dots[:, 0] != 0, dots[:, 0], 1), 0)
-        new = np.maximum(0, rs - 2 * alpha * dots[:, 1] + alpha**2 * dots[:, 2])
+        both = state.join(ap, "id")
+        pap = np.array(both.agg(*[F.sum(F.col(f"p_{c}") * F.col(f"ap_{c}")) for c in cols]).first(), float)
+        alpha = np.where(pap != 0, rs / np.where(pap != 0, pap, 1), 0)
+        moved = cut(both.select("id", *[(F.col(f"x_{c}") + F.lit(float(al)) * F.col(f"p_{c}")).alias(f"x_{c}") for c, al in zip(cols, alpha, strict=True)], *[(F.col(f"r_{c}") - F.lit(float(al)) * F.col(f"ap_{c}")).alias(f"r_{c}") for c, al in zip(cols, alpha, strict=True)], *[f"p_{c}" for c in cols]))
+        new = norms(moved)
         beta = np.where(rs != 0, new / np.where(rs != 0, rs, 1), 0)
-        r = {c: F.col(f"r_{c}") - float(al) * F.col(f"ap_{c}") for c, al in zip(cols, alpha, strict=True)}
-        state = both.select("id", *[(F.col(f"x_{c}") + float(al) * F.col(f"p_{c}")).alias(f"x_{c}") for c, al in zip(cols, alpha, strict=True)], *[r[c].alias(f"r_{c}") for c in cols], *[(r[c] + float(be) * F.col(f"p_{c}")).alias(f"p_{c}") for c, be in zip(cols, beta, strict=True)])
+        state = moved.select("id", *[f"x_{c}" for c in cols], *[f"r_{c}" for c in cols], *[(F.col(f"r_{c}") + F.lit(float(be)) * F.col(f"p_{c}")).alias(f"p_{c}") for c, be in zip(cols, beta, strict=True)])
         rs = new
     return state.select("id", *[F.col(f"x_{c}").alias(c) for c in cols])
 
