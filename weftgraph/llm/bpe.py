@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import _mix, chunks, utf8
 
 #: Bytes of text (or one document) whose pre-tokens are held at once, and merged pre-tokens that are remembered.
-BATCH_BYTES, REMEMBERED = 1 << 21, 1 << 19
+BATCH_BYTES, REMEMBERED = 1 << 21, 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -252,17 +252,23 @@ def _slices(batches: Iterator[pa.RecordBatch], offsets: Callable[[pa.RecordBatch
                 yield b.slice(i, j - i)
 
 
-def encode(docs: DataFrame, text_col: str, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """All columns of ``docs`` and the array of ids of each text."""
+def encode(docs: DataFrame, text_col: str, path: str, pattern: str, ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and the array of ids of each text; with ``check_col``, whether the ids decode to the text's bytes."""
     codec = shared_codec(docs.sparkSession, path, pattern)
     text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, lambda b: utf8(b.column(text))[1]):
             flat, at = codec().encode(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))], [*b.schema.names, ids_col])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+            made = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))]
+            if check_col:
+                data, ends = codec().decode(flat, at)
+                own, begins = utf8(b.column(text))
+                made.append(pa.array([np.array_equal(data[ends[i] : ends[i + 1]], own[begins[i] : begins[i + 1]]) for i in range(b.num_rows)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
+
+    names = [ids_col] + [check_col] * bool(check_col)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(check_col, T.BooleanType())] if check_col else [])]))
 
 
 def decode(rows: DataFrame, ids_col: str, path: str, pattern: str, bytes_col: str = "decoded") -> DataFrame:
