@@ -33,6 +33,8 @@ from weftgraph.llm.common import utf8
 TRAIN_DOCS, TRAIN_CHUNKS, FOLDS, THRESHOLD = 3000, 4, 5, 0.3
 CHUNK, OVERLAP, WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 512, 64, 8, 2, 8, 32, 16
 EPOCHS, BATCH, RATE, SEED = 12, 64, 4e-3, 7
+#: Steps that learning takes at least, however few the labels.
+MIN_STEPS = 500
 PAD = 256
 
 
@@ -107,6 +109,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Network:
     if not len(y) or y.min() == y.max():
         net.out[:] = 0
         return net
+    epochs = max(epochs, -(-MIN_STEPS // -(-len(y) // BATCH)))
     first, second, step = [np.zeros_like(p) for p in net.parts()], [np.zeros_like(p) for p in net.parts()], 0
     total = epochs * -(-len(y) // BATCH)
     for _ in range(epochs):
