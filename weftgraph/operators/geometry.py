@@ -38,7 +38,7 @@ def boundary_statistic(points: DataFrame, k: int = 10, radius: float | None = No
     middle = F.zip_with("ni", "nj", lambda x, y: (x + y) / 2)
     way = F.when(vectors.dot(F.col("ni"), F.col("nj")) <= 0, F.col("ni")).otherwise(middle) if cutoff else middle
     off = vectors.dot(F.zip_with("xi", "xj", lambda x, y: x - y), way)
-    found = both.groupBy(F.col("src").alias("id")).agg(F.max(-off).alias("t"))
+    found = both.groupBy(F.col("src").alias("id")).agg(F.max(off).alias("t"))
     return nodes.join(found, "id", "left").select("id", F.greatest(F.coalesce("t", F.lit(0.0)), F.lit(0.0)).alias("t"))
 
 

@@ -188,7 +188,7 @@ def csv_numeric_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     "nu0 AS (SELECT e.src AS id, generate_subscripts(a.x, 1) AS k, unnest(a.x) AS xi, unnest(b.x) AS xj, 1 / deg.d AS w FROM e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst JOIN deg ON deg.id = e.dst), "
     "nu1 AS (SELECT id, list(v ORDER BY k) AS nu FROM (SELECT id, k, sum(w * (xj - xi)) AS v FROM nu0 GROUP BY id, k) GROUP BY id), "
     "nu AS (SELECT id, list_transform(nu, lambda v: v / sqrt(list_inner_product(nu, nu))) AS nu FROM nu1), "
-    "m AS (SELECT e.src AS id, max(-list_inner_product(list_transform(list_zip(a.x, b.x), lambda z: z[1] - z[2]), CASE WHEN list_inner_product(s.nu, t.nu) <= 0 THEN s.nu ELSE list_transform(list_zip(s.nu, t.nu), lambda z: (z[1] + z[2]) / 2) END)) AS t FROM e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst JOIN nu s ON s.id = e.src JOIN nu t ON t.id = e.dst GROUP BY e.src) "
+    "m AS (SELECT e.src AS id, max(list_inner_product(list_transform(list_zip(a.x, b.x), lambda z: z[1] - z[2]), CASE WHEN list_inner_product(s.nu, t.nu) <= 0 THEN s.nu ELSE list_transform(list_zip(s.nu, t.nu), lambda z: (z[1] + z[2]) / 2) END)) AS t FROM e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst JOIN nu s ON s.id = e.src JOIN nu t ON t.id = e.dst GROUP BY e.src) "
     "SELECT p.id, round(greatest(coalesce(t, 0), 0), 6) + 0.0 AS t FROM p LEFT JOIN m USING (id)"
 )
 def boundary_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:

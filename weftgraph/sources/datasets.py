@@ -59,7 +59,7 @@ def load_array(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One field of an .npz file on the driver, as rows (id, x array<double>)."""
     with np.load(path) as z:
         a = np.asarray(z[name], float)
-    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "x": list(a.reshape(len(a), -1))}))
+    return spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "x": a.reshape(len(a), -1).tolist()}))
 
 
 def load_image(spark: SparkSession, path: str) -> DataFrame:
