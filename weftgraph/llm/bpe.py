@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from weftgraph.llm.common import _mix, chunks, utf8
 
 #: Bytes of text (or one document) whose pre-tokens are held at once, and merged pre-tokens that are remembered.
-BATCH_BYTES, REMEMBERED = 1 << 21, 1 << 18
+BATCH_BYTES, REMEMBERED = 1 << 21, 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,28 +125,31 @@ class PerfectHash:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: the adjacent pair of least rank, leftmost first, is joined until none is in the vocabulary."""
-    n = len(piece)
-    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    live = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    """Ids of one pre-token: the adjacent pair of least rank, leftmost first, is joined until none is in the vocabulary.
+
+    ``end[i]`` is where the part that begins at byte i ends, and so where the next one begins (0 if
+    no part begins there); ``before[i]`` is where the part before it begins.
+    """
+    n, get = len(piece), ranks.get
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
         _, i, stop = heapq.heappop(heap)
-        j = after[i] if live[i] else n
-        if j >= n or end[j] != stop:  # a part of the pair has changed since
+        j = end[i]
+        if not j or j >= n or end[j] != stop:  # a part of the pair has changed since
             continue
-        live[j], end[i], after[i] = False, stop, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-        if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := get(piece[h:stop])) is not None:
             heapq.heappush(heap, (r, h, stop))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
-        i = after[i]
+        i = end[i]
     return out
 
 
@@ -190,7 +194,7 @@ class Codec:
     def _merged(self, piece: bytes) -> bytes:
         """Ids of a pre-token that isn't in the vocabulary, as int32."""
         if (ids := self.remembered.get(piece)) is None:
-            ids = np.array(merge(piece, self.ranks), np.int32).tobytes()
+            ids = array("i", merge(piece, self.ranks)).tobytes()
             if len(self.remembered) >= REMEMBERED:
                 self.remembered.clear()
             if len(piece) <= 64:
