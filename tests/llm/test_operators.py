@@ -192,6 +192,23 @@ def test_near_duplicates(spark, awkward, empty):
     assert order_minhash.keep_one(awkward).columns == awkward.columns
 
 
+def test_links_inside_a_family_below_the_threshold(spark):
+    r, origin = random.Random(0), prose(300, 7).split(" ")
+
+    def edit(w, k, tag):
+        places = set(r.sample(range(len(w)), k))
+        return [f"{tag}x{p}" if p in places else x for p, x in enumerate(w)]
+
+    texts = []
+    for i in range(300):  # pairs of about 0.8 among texts that are less like all others
+        texts.append(edit(origin, 4, f"u{i}"))
+        texts.append(edit(texts[-1], 6, f"v{i}"))
+    got = {x.doc_id: x.class_id for x in order_minhash.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    sh = [order_minhash.shingles(np.array([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in w], np.uint64)) for w in texts]
+    linked = [(i, i + 1) for i in range(0, len(texts), 2) if order_minhash.aligned(sh[i], sh[i + 1])]
+    assert len(linked) == 300 and [p for p in linked if got[p[0]] != got[p[1]]] == []
+
+
 def test_banded_alignment():
     r = random.Random(3)
     for _ in range(150):

@@ -10,16 +10,14 @@ connected components of the links.
 
 Exact copies (the same words in the same order, by a 64-bit hash) are one text from the start.  In
 each bucket every text is aligned with the bucket's least text, so copies are never expanded into
-all pairs.  Buckets that this leaves in several components (those of a passage that many unrelated
-texts share, or of a family of texts that are mostly less similar than the threshold) are gone
-through again by sorted neighbourhood: texts of a bucket in the order of further keys, so that those
-that share more keys come together, each aligned with the next ones of other components that share
-another key with it.  This is done in two orders.  Work is linear in the buckets' rows at every
-size; nothing is capped.
+all pairs.  In buckets that this leaves in several components (those of a passage that many unrelated
+texts share, or of a family of texts that are mostly less similar than the threshold) every pair of
+texts of different components is then compared: by their lengths, by the shingles that they have in
+common (one matrix product for a block of texts), and if both allow the threshold by alignment.  Large
+buckets are cut into parts that meet in tasks of their own.  Nothing is capped: all texts that share a
+key and are similar come into one class.  This part is quadratic in the texts of a mixed bucket.
 
-A pair at similarity 0.8 shares no key of 32 with a probability of 3e-6 (each has 0.8**5).  A link is
-missed too if in all buckets it shares neither the least text nor a neighbour leads to the same
-class, which takes a large family of texts just below the threshold around it.
+A pair at similarity 0.8 shares no key of 32 with a probability of 3e-6 (each has 0.8**5).
 
 Defined results: words are runs of anything but ASCII white space; a text of one to four words is
 one shingle; a null text or one without words is in a class of its own; repeated rows share a
@@ -45,8 +43,10 @@ SHINGLE, SKETCHES, PICKED = 5, 32, 5
 SIMILARITY = 0.8
 #: Shingles hashed at once by all functions.
 BLOCK = 1 << 14
-#: Steps to the further keys that order a bucket, and texts ahead that each is aligned with.
-ORDERS, AHEAD = ((1, 2, 3), (5, 11, 17)), 2
+#: Texts and bytes of word hashes in a part of a mixed bucket; a task holds two parts at once.
+PART, PART_BYTES = 256, 1 << 23
+#: Pairs that are aligned without counting common shingles first, and shingles counted at once.
+FEW, COLUMNS = 32, 4096
 _A = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -209,39 +209,94 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
     placed = buckets.select("_key", "_node").join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
     mixed = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi").select("_key")
-    apart = placed.join(mixed, "_key", "left_semi")
-    keys_of = nodes.join(apart.select("_node", "_comp").distinct(), "_node").select("_node", "_comp", "_keys").checkpoint()
-    near = _neighbours(keys_of, mixed, ORDERS[0]).unionByName(_neighbours(keys_of, mixed, ORDERS[1])).distinct()
-    more = similar(near.join(star, ["a", "b"], "left_anti"), texts)
-    return made.select("_id", "_th", "_node"), found.unionByName(more).checkpoint()
+    more = _across(placed.join(mixed, "_key", "left_semi"), texts)
+    return made.select("_id", "_th", "_node"), found.unionByName(more).distinct().checkpoint()
 
 
-def _neighbours(texts: DataFrame, keys: DataFrame, order: tuple[int, ...]) -> DataFrame:
-    """Of texts (_node, _comp, _keys) the pairs (a, b) that come next to each other in a bucket in the order of further keys.
+def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of buckets (_key, _node, _comp) linked pairs (a, b) of different components, enough to connect all that are similar.
 
-    Rows are sorted as a whole, by ranges, so a bucket of any size is spread over as many tasks as
-    its rows need.  A pair shares one of the further keys and is of different components.
+    Every two parts of a bucket meet in one group, which a task goes through as its rows arrive.
     """
-    further = [f"_k{j}" for j in range(len(order))]
-    at = lambda i, step: F.get("_keys", (i + step) % SKETCHES)
-    each = F.transform(F.sequence(F.lit(0), F.lit(SKETCHES - 1)), lambda i: F.struct(at(i, 0).alias("_key"), *[at(i, step).alias(k) for k, step in zip(further, order, strict=True)]))
-    rows = texts.select("_node", "_comp", F.inline(each)).join(keys, "_key", "left_semi").select("_key", *further, "_node", "_comp")
+    rows = buckets.join(texts, "_node")
+    parts = rows.groupBy("_key").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum(F.length("_words")) / PART_BYTES)).cast("int").alias("_parts"))
+    own = rows.join(parts, "_key").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int"))
+    sent = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    group = ["_key", "_i", "_j"]
+    sent = sent.select("_key", F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"), "_part", "_node", "_comp", "_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: np.ndarray | None = None
+        held: list[pa.RecordBatch] = []  # rows of the last group, which may go on
+
+        def done() -> pa.RecordBatch:
+            part, node, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (3, 4, 5))
+            found = linked_across(part, node, comp, [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for b in held for x in b.column(6)])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
         for b in batches:
-            own = np.stack([c.to_numpy() for c in b.columns])
-            held = own if last is None else np.concatenate([last, own], axis=1)
-            pairs = []
-            for ahead in range(1, AHEAD + 1):
-                x, y = held[:, :-ahead], held[:, ahead:]
-                good = (x[0] == y[0]) & (x[-1] != y[-1]) & (x[1:-2] == y[1:-2]).any(0)
-                pairs.append((np.minimum(x[-2], y[-2])[good], np.maximum(x[-2], y[-2])[good]))
-            last = held[:, -AHEAD:]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)) for p in zip(*pairs, strict=True)], ["a", "b"])
-
-    names = ["_key", *further, "_node"]
-    return rows.repartitionByRange(*names).sortWithinPartitions(*names).mapInArrow(run, "a long, b long").distinct()
+            if not b.num_rows:
+                continue
+            names = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)])
+            if held and any(held[-1].column(c)[0].as_py() != names[c, 0] for c in range(3)):
+                yield done()
+            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if k:
+                    yield done()
+                held.append(b.slice(i, j - i))
+        if held:
+            yield done()
+
+    return sent.repartition(*group).sortWithinPartitions(*group, "_node").mapInArrow(run, "a long, b long").distinct()
+
+
+def linked_across(part: np.ndarray, node: np.ndarray, comp: np.ndarray, hashes: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Linked pairs of the texts of one group, of different components and, if there are two parts, of different parts.
+
+    Once two components are linked here, their other pairs would add nothing and aren't aligned.
+    """
+    sizes = np.array([max(len(h) - SHINGLE + 1, 1) for h in hashes])
+    good = np.triu(comp[:, None] != comp[None], 1) & (9 * np.minimum(sizes[:, None], sizes[None]) >= 4 * (sizes[:, None] + sizes[None]))
+    if part.min() != part.max():
+        good &= part[:, None] != part[None]
+    if not good.any():
+        return []
+    some = np.flatnonzero(good.any(0) | good.any(1))
+    sh = {int(i): shingles(hashes[i]) for i in some}
+    if good.sum() > FEW:
+        good[np.ix_(some, some)] &= 9 * _common([labelled(sh[int(i)]) for i in some]) >= 4 * (sizes[some][:, None] + sizes[some][None])
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    out = []
+    for i, j in np.argwhere(good).tolist():
+        a, b = top(int(comp[i])), top(int(comp[j]))
+        if a != b and aligned(sh[i], sh[j]):
+            up[max(a, b)] = min(a, b)
+            out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return out
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets share."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = counts > 1
+    owner, column = owner[kept[column]], (np.cumsum(kept) - 1)[column[kept[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2**24 shingles
+    for start in range(0, int(kept.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [start, start + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[lo:hi], column[lo:hi] - start] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
