@@ -209,6 +209,16 @@ def test_links_inside_a_family_below_the_threshold(spark):
     assert len(linked) == 300 and [p for p in linked if got[p[0]] != got[p[1]]] == []
 
 
+def test_short_texts_are_candidates(spark):
+    r, pairs = random.Random(0), []
+    for i in range(600):
+        a = [f"w{i}x{j}" for j in range(8 + i % 8)]
+        b = [*a, *[f"more{i}x{j}" for j in range(max(1, (len(a) - 4) // 4))]]  # as many words more as the threshold allows
+        pairs.append((a, b if r.random() < 0.5 else b[-1:] + b[:-1]))
+    got = {x.doc_id: x.class_id for x in order_minhash.classes(spark.createDataFrame([(2 * i + k, " ".join(w)) for i, p in enumerate(pairs) for k, w in enumerate(p)], "doc_id long, text string")).collect()}
+    assert [tuple(map(len, p)) for i, p in enumerate(pairs) if len(p[0]) < 16 and got[2 * i + 1] != 2 * i] == []
+
+
 def test_banded_alignment():
     r = random.Random(3)
     for _ in range(150):

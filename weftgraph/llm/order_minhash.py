@@ -17,7 +17,11 @@ common (one matrix product for a block of texts), and if both allow the threshol
 buckets are cut into parts that meet in tasks of their own.  Nothing is capped: all texts that share a
 key and are similar come into one class.  This part is quadratic in the texts of a mixed bucket.
 
-A pair at similarity 0.8 shares no key of 32 with a probability of 3e-6 (each has 0.8**5).
+Texts of up to ``SHORT`` shingles n also have keys of all their shingles but up to n / 5, in every
+choice: no text of a pair at the threshold leaves out more, so two such texts always share a key.
+Those of up to ``ALONE`` shingles can only be similar to such texts and have no other keys.  A longer
+pair at similarity 0.8 shares no key of 32 with a probability of 3e-6 (each has 0.8**5); for few
+shingles it is greater, 6e-5 at most (12 and 15 shingles).
 
 Defined results: words are runs of anything but ASCII white space; a text of one to four words is
 one shingle; a null text or one without words is in a class of its own; repeated rows share a
@@ -29,6 +33,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +47,8 @@ from weftgraph.operators.fixpoint import component_labels
 SHINGLE, SKETCHES, PICKED = 5, 32, 5
 #: Similarity of at least 4 / 5, in integers: 9 m >= 4 (a + b).
 SIMILARITY = 0.8
+#: Shingles of a text that has keys with some left out, and of one that has only these.
+SHORT, ALONE = 14, 11
 #: Shingles hashed at once by all functions.
 BLOCK = 1 << 14
 #: Texts and bytes of word hashes in a part of a mixed bucket; a task holds two parts at once.
@@ -87,6 +95,25 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return key
 
 
+@cache
+def _choices(n: int) -> list[np.ndarray]:
+    """Places of n shingles with none, one, ... and n / 5 left out: a row for each choice."""
+    return [np.array(list(combinations(range(n), n - left)), np.int64) for left in range(n // 5 + 1)]
+
+
+def text_keys(s: np.ndarray) -> np.ndarray:
+    """All keys of a text with these shingles, each once."""
+    if len(s) > SHORT:
+        return sketch(s)
+    out = [sketch(s)] if len(s) > ALONE else []
+    for places in _choices(len(s)):
+        key = np.full(len(places), SKETCHES, np.uint64)
+        for own in s[places].T:
+            key = _mix(key * np.uint64(0xAF251AF3B0F025B5) + own)
+        out.append(key)
+    return np.unique(np.concatenate(out))
+
+
 def _nodes(w: Words) -> np.ndarray:
     """A hash of each document's words in order, and of how many there are."""
     up, down = _WORD.get(len(w.hash) + 1)
@@ -109,8 +136,9 @@ def sketches(rows: DataFrame) -> DataFrame:
                 node = _nodes(w)[some]
                 # copies in one chunk have one sketch
                 _, first, back = np.unique(node, return_index=True, return_inverse=True)
-                keys = np.stack([sketch(shingles(w.hash[w.first[d] : w.first[d + 1]])) for d in some[first]])[back]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCHES), pa.array(keys.ravel().view(np.int64)))
+                own = [text_keys(shingles(w.hash[w.first[d] : w.first[d + 1]])) for d in some[first]]
+                keys = [own[k] for k in back]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
                 pick = pa.array(i + some)
                 yield pa.RecordBatch.from_arrays([b.column("_id").take(pick), b.column("_th").take(pick), pa.array(node.view(np.int64)), lists], ["_id", "_th", "_node", "_keys"])
 
