@@ -144,6 +144,17 @@ def test_contexts_find_unseen_identifiers(spark, awkward, empty):
     assert pii_bootstrap.report(empty).count() == 0
 
 
+def test_seeds_within_tokens_and_at_the_start(spark):
+    aws, sk, digest = "AKIA" + "Q7" * 8, "sk-" + "a1B2" * 6, "0123456789abcdef" * 2 + "01234567"
+    texts = [(f"{aws} is the key", [aws]), (f"{sk}", [sk]), (f"use key={aws}", [aws]), (f'token="{digest}"', [digest]), (f'say {{"key":"{sk}","id":"{aws}"}}', [sk, aws]), (f"see https://x.org/p?key={aws}&v=2 there", [aws]), (f"not x{aws} or {aws}9", [])]
+    for x in pii_bootstrap.report(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect():
+        t, want = texts[x.doc_id]
+        spans = [s.split(":") for s in x.spans.split(",") if s]
+        assert [(k, t[int(s) : int(e)]) for k, s, e in spans] == [("secret", w) for w in want], t
+    out = {x.doc_id: x.text for x in pii_bootstrap.redact(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string"), length_col=None).collect()}
+    assert out[0] == "<SECRET> is the key" and out[2] == "use key=<SECRET>"
+
+
 def test_redaction(spark, awkward, empty):
     df = spark.createDataFrame([(1, "é mail me.x@y.org, or 10.0.0.1 now", 33, "k"), (2, "nothing", 7, "k"), (None, None, None, "k")], "doc_id long, text string, n_chars long, _all string")
     got = {x.doc_id: x for x in pii_bootstrap.redact(df).collect()}

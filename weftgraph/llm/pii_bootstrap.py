@@ -2,8 +2,9 @@
 
 Every text is scanned for the fixed formats (email, ip, card, phone) and for seed entities of known
 key formats (kind ``secret``).  Each of these, and every other token with a digit that could be an
-identifier, is a mention: a value in a lexical pattern, the two words before it and the marks
-around it.  Mentions make a bipartite graph of patterns and values.  Spark scores it in rounds: a
+identifier, is a mention: a value in a lexical pattern, the two words before it (^ where the text
+begins) and the marks around it.  A seed may stand within a token, between other characters than
+those of an identifier (letters, digits, _ and -).  Mentions make a bipartite graph of patterns and values.  Spark scores it in rounds: a
 pattern's confidence in a kind is the smoothed share of its values that are of that kind, and a
 value's score is the noisy-or of the confident patterns it occurs in, seeds staying at 1.  Mentions
 in patterns of high confidence are added as spans; those of fixed formats always stay.
@@ -44,7 +45,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"[^\s]+")
-_SEED = re.compile(r"(?=[^\s]*[0-9])(?=[^\s]*[A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})")
+# within a text, with no character of an identifier on either side; a key has a digit and a letter
+_SEED = re.compile(r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9_-])")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 _MARKS = "\"'`()[]{}<>,.;:!?*$%&#|=~"
 _DIGIT_OR_AT = np.zeros(256, bool)
 _DIGIT_OR_AT[[*range(0x30, 0x3A), 0x40]] = True
@@ -95,18 +98,17 @@ def mentions(text: str, base: list[Span]) -> list[tuple[int, int, str | None, st
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     starts = np.fromiter((a for a, _ in tokens), np.int64, len(tokens))
 
-    def pattern(start: int, end: int) -> str | None:
+    def pattern(start: int, end: int) -> str:
         k = int(np.searchsorted(starts, start, "right")) - 1
-        if k < 1:
-            return None
         word = lambda i: _NOT_DIGIT.sub(lambda m: m[0].lower(), text[tokens[i][0] : tokens[i][1]])[-MAX_WORD:] if i >= 0 else "^"
         before = text[max(tokens[k][0], start - MAX_WORD) : start]
         return f"{word(k - 2)} {word(k - 1)} {before}_{text[end : end + 1].strip()}"
 
-    taken = [(s, e) for s, e, _ in base]
-    for s, e, kind in base:
-        if p := pattern(s, e):
-            out.append((s, e, kind, p, text[s:e]))
+    seeds = [(m.start(), m.end(), SEEDED) for m in _SEED.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
+    seeds = [(s, e, kind) for s, e, kind in seeds if not any(s < y and x < e for x, y, _ in base)]
+    taken = [(s, e) for s, e, _ in [*base, *seeds]]
+    for s, e, kind in [*base, *seeds]:
+        out.append((s, e, kind, pattern(s, e), text[s:e]))
     for a, b in tokens:
         token = text[a:b]
         if b - a < MIN_VALUE or not any("0" <= c <= "9" for c in token):
@@ -114,9 +116,7 @@ def mentions(text: str, base: list[Span]) -> list[tuple[int, int, str | None, st
         s, e = a + len(token) - len(token.lstrip(_MARKS)), b - len(token) + len(token.rstrip(_MARKS))
         if e - s < MIN_VALUE or any(s < y and x < e for x, y in taken) or not any("0" <= c <= "9" for c in text[s:e]):
             continue
-        kind = SEEDED if _SEED.fullmatch(text[s:e]) else None
-        if p := pattern(s, e):
-            out.append((s, e, kind, p, text[s:e]))
+        out.append((s, e, None, pattern(s, e), text[s:e]))
     return out
 
 
