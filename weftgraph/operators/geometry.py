@@ -21,7 +21,7 @@ def boundary_statistic(points: DataFrame, k: int = 10, radius: float | None = No
     on.  Neighbours are k (the point itself included) or those within a radius.
     """
     if radius is None:
-        near = knn(points, k - 1)
+        near = knn(points, k - 1, method="exact")
         edges = near.select("src", "dst", F.lit(1.0).alias("w"))
     else:
         edges = epsilon_ball(points, radius, "uniform")

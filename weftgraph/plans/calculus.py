@@ -96,7 +96,7 @@ def nearest_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     from weftgraph.operators.knn import knn
 
     p = points(spark, sf_dir).select("id", "x")
-    return p.select("id"), fixpoint.cut(knn(p, 1).select("src", "dst", F.lit(1.0).alias("w")))
+    return p.select("id"), fixpoint.cut(knn(p, 1, method="exact").select("src", "dst", F.lit(1.0).alias("w")))
 
 
 @query(f"{CC} SELECT id, component FROM cc")

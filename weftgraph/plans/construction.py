@@ -24,7 +24,7 @@ DISTANCE_SQL = {
 def _knn(similarity: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     if similarity == "hamming":  # of the coordinates as small integers
         rounded = points(spark, sf_dir).select("id", F.transform("x", lambda v: F.round(v * 4)).alias("x"))
-        found = knn(rounded, K, "hamming")
+        found = knn(rounded, K, "hamming", method="exact")
     else:
         found = neighbours(spark, sf_dir, similarity)
     return found.select("src", "dst", "rank", r6("dist").alias("dist"))
