@@ -12,7 +12,8 @@ Templates are the small fixed list below; their paragraphs of ten words and more
 too.  They are broadcast: some thousand rows (a template for each allowed size), whatever the input.
 
 Defined results: a null text has no passages; a passage of one word has no bigrams and matches
-nothing; repeated rows each get the same result; of several equally near templates all are named.
+nothing; repeated rows each get the same result; every template at
+the threshold is named, not only the nearest, as the SQL states.
 Columns other than the id and the text are never read.
 """
 
