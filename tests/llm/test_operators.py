@@ -230,6 +230,10 @@ def test_short_texts_are_candidates(spark):
     assert [tuple(map(len, p)) for i, p in enumerate(pairs) if len(p[0]) < 16 and got[2 * i + 1] != 2 * i] == []
 
 
+def test_verified_links_are_named_so(empty):
+    assert order_minhash.classes(empty).columns == ["doc_id", "class_id", "class_size", "n_verified"]
+
+
 def test_banded_alignment():
     r = random.Random(3)
     for _ in range(150):

@@ -328,7 +328,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, class_id (the least id in its class), class_size (rows), n_links (texts linked with its own)."""
+    """Per row: the id, class_id (the least id in its class), class_size (rows), n_verified (the links with its text that were verified on the way; pairs in one class are not all compared)."""
     rows = keyed(docs, id_col, text_col)
     made, found = links(rows)
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_lnode", "component": "_comp"})
@@ -339,7 +339,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = placed.join(ids.withColumnRenamed("_comp", "_icomp"), F.col("_comp") == F.col("_icomp")).join(degree, F.col("_node") == F.col("_dnode"), "left")
     known = known.select("_id", "_class", "_size", F.coalesce("_links", F.lit(0)).cast("long").alias("_links"))
     bare = rows.where(~F.col("_text").rlike(r"[^\x20\x09-\x0D]")).select("_id", F.col("_id").alias("_class"), F.lit(1).cast("long").alias("_size"), F.lit(0).cast("long").alias("_links"))
-    return known.unionByName(bare).select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_size").alias("class_size"), F.col("_links").alias("n_links"))
+    return known.unionByName(bare).select(F.col("_id").alias(id_col), F.col("_class").alias("class_id"), F.col("_size").alias("class_size"), F.col("_links").alias("n_verified"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
