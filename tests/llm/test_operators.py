@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -184,12 +185,12 @@ def test_near_duplicates(spark, awkward, empty):
                 w[r.randrange(len(w))] = f"new{r.random()}"
             texts.append(" ".join(w))
     texts.append(texts[0])
-    sh = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for w in map(WORD.findall, texts)]
+    sh = [WORD.findall(t) for t in texts]
     parent = list(range(len(texts)))
     find = lambda x: x if parent[x] == x else find(parent[x])
     for i in range(len(texts)):
         for j in range(i):
-            if 9 * lcs(sh[i], sh[j]) >= 4 * (len(sh[i]) + len(sh[j])):
+            if 5 * lcs(sh[i], sh[j]) >= 2 * (len(sh[i]) + len(sh[j])):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -211,23 +212,102 @@ def test_links_inside_a_family_below_the_threshold(spark):
         return [f"{tag}x{p}" if p in places else x for p, x in enumerate(w)]
 
     texts = []
-    for i in range(300):  # pairs of about 0.8 among texts that are less like all others
-        texts.append(edit(origin, 4, f"u{i}"))
-        texts.append(edit(texts[-1], 6, f"v{i}"))
+    for i in range(300):  # pairs of about 0.92 among texts that are less like all others
+        texts.append(edit(origin, 90, f"u{i}"))
+        texts.append(edit(texts[-1], 24, f"v{i}"))
     got = {x.doc_id: x.class_id for x in order_minhash.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
-    sh = [order_minhash.shingles(np.array([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in w], np.uint64)) for w in texts]
-    linked = [(i, i + 1) for i in range(0, len(texts), 2) if order_minhash.aligned(sh[i], sh[i + 1])]
+    h = [np.array([int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in w], np.uint32) for w in texts]
+    linked = [(i, i + 1) for i in range(0, len(texts), 2) if order_minhash.aligned(h[i], h[i + 1])]
     assert len(linked) == 300 and [p for p in linked if got[p[0]] != got[p[1]]] == []
-
-
-def test_short_texts_are_candidates(spark):
+    assert len(set(got.values())) == 300
+
+
+def test_mixed_buckets_lose_no_link():
+    """One bucket of texts of many components, all pairs against plain alignment; in one part and in two."""
+    r, hashes = random.Random(5), []
+    for g in range(40):
+        own = [r.randrange(1 << 32) for _ in range(60)]
+        for _ in range(3):
+            hashes.append(np.array([r.randrange(1 << 32) if r.random() < 0.15 else x for x in own], np.uint32))
+    n = len(hashes)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if 5 * lcs(hashes[i], hashes[j]) >= 2 * (len(hashes[i]) + len(hashes[j])) and i // 3 == j // 3}
+    ids = np.arange(n)
+    for parts in ([ids * 0], [(ids % 2)], [(ids % 3 > 0) * 1]):
+        found = order_minhash.linked_across(parts[0], ids, ids, hashes)
+        assert set(found) <= want
+        roots = list(range(n))
+
+        def top(x):
+            while roots[x] != x:
+                x = roots[x]
+            return x
+
+        for a, b in found:
+            roots[max(top(a), top(b))] = min(top(a), top(b))
+        across = [(a, b) for a, b in want if parts[0][a] != parts[0][b] or parts[0].min() == parts[0].max()]
+        assert across and all(top(a) == top(b) for a, b in across)
+
+
+@pytest.mark.parametrize("most", [6, 14, 42])
+def test_short_texts_are_candidates(spark, most):
     r, pairs = random.Random(0), []
-    for i in range(600):
-        a = [f"w{i}x{j}" for j in range(8 + i % 8)]
-        b = [*a, *[f"more{i}x{j}" for j in range(max(1, (len(a) - 4) // 4))]]  # as many words more as the threshold allows
-        pairs.append((a, b if r.random() < 0.5 else b[-1:] + b[:-1]))
+    for i in range(400):
+        a = [f"w{i}x{j}" for j in range(r.randint(1, most))]
+        b = a[:]
+        for k in range(len(a) // 2):  # as many words more as the threshold allows
+            b.insert(r.randint(0, len(b)), f"more{i}x{k}")
+        c = [f"new{i}" if k % 5 == 4 else x for k, x in enumerate(a)]  # every fifth word is another
+        pairs += [(a, b), ([f"q{x}" for x in a], [f"q{x}" for x in c])]
     got = {x.doc_id: x.class_id for x in order_minhash.classes(spark.createDataFrame([(2 * i + k, " ".join(w)) for i, p in enumerate(pairs) for k, w in enumerate(p)], "doc_id long, text string")).collect()}
-    assert [tuple(map(len, p)) for i, p in enumerate(pairs) if len(p[0]) < 16 and got[2 * i + 1] != 2 * i] == []
+    similar = [i for i, (a, b) in enumerate(pairs) if 5 * lcs(a, b) >= 2 * (len(a) + len(b))]
+    lost = [tuple(map(len, pairs[i])) for i in similar if got[2 * i + 1] != 2 * i]
+    assert len(similar) > 600 and len(lost) <= (0 if most <= 6 else 0.01 * len(similar)), lost
+
+
+def bits_lcs(a, b):
+    """Longest common subsequence without any band."""
+    at = {}
+    for i, v in enumerate(a):
+        at[v] = at.get(v, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for v in b:
+        u = row & at.get(v, 0)
+        row = ((row + u) | (row - u)) & full
+    return len(a) - row.bit_count()
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_recall_of_similar_pairs(spark, size):
+    """All pairs of the table at a word similarity of 0.8 and more (that share a pair of words at all) by brute force."""
+    path = f"/root/testdata/sf{size}"
+    if not Path(path).is_dir():
+        pytest.skip("needs the tables")
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    texts: dict = {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        w = tuple(WORD.findall(r.text or ""))
+        if w:
+            texts.setdefault(w, r.doc_id)
+    holders: dict = {}
+    for w, i in texts.items():
+        for g in {w[k : k + 2] for k in range(max(1, len(w) - 1))}:
+            holders.setdefault(g, []).append(i)
+    by, common = {i: w for w, i in texts.items()}, Counter()
+    for g in holders.values():
+        if 1 < len(g) <= 60:
+            common.update((a, b) for k, b in enumerate(g) for a in g[:k])
+    pairs = []
+    for (a, b), n in common.items():
+        x, y = by[a], by[b]
+        if 5 * min(len(x), len(y)) >= 2 * (len(x) + len(y)) and 5 * n >= min(len(x), len(y)) and 5 * sum((Counter(x) & Counter(y)).values()) >= 2 * (len(x) + len(y)) and 5 * bits_lcs(x, y) >= 2 * (len(x) + len(y)):
+            pairs.append((a, b))
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print(size, len(pairs), found)
+    assert len(pairs) > (50 if size == "0.01" else 500) and found >= 0.97 * len(pairs)
+    linked = {c for p in pairs for c in (got[p[0]], got[p[1]])}  # texts that are like no other stay alone
+    alone = Counter(got[i] for i in by)
+    assert sum(n > 1 and c not in linked for c, n in alone.items()) <= 0.02 * max(1, len(linked))
 
 
 def test_verified_links_are_named_so(empty):

@@ -3,29 +3,32 @@
 A text's 5-word shingles are labelled by their occurrence (first, second, ...), so that repetition
 counts.  Each of ``SKETCHES`` hash functions picks the ``PICKED`` least of them and keeps those in
 text order; two texts share such a key with a probability that falls with edits and with moved
-parts.  Texts that share a key are candidates.  A candidate pair is aligned in a band around the
-diagonal as wide as the threshold allows; its similarity is aligned shingles over all shingles of
-both, ``m / (a + b - m)``, and pairs of at least ``SIMILARITY`` are linked.  Classes are the
-connected components of the links.
+parts.  Texts that share a key are candidates.  A candidate pair is aligned, word by word, in a band
+around the diagonal as wide as the threshold allows; its edit similarity is the share of aligned
+words among all words of both, ``2 m / (a + b)``, and pairs of at least ``SIMILARITY`` are linked.
+Classes are the connected components of the links.
 
 Exact copies (the same words in the same order, by a 64-bit hash) are one text from the start.  In
 each bucket every text is aligned with the bucket's least text, so copies are never expanded into
 all pairs.  In buckets that this leaves in several components (those of a passage that many unrelated
 texts share, or of a family of texts that are mostly less similar than the threshold) every pair of
-texts of different components is then compared: by their lengths, by the shingles that they have in
+texts of different components is then compared: by their lengths, by the words that they have in
 common (one matrix product for a block of texts), and if both allow the threshold by alignment.  Large
 buckets are cut into parts that meet in tasks of their own.  Nothing is capped: all texts that share a
 key and are similar come into one class.  This part is quadratic in the texts of a mixed bucket.
 
-Texts of up to ``SHORT`` shingles n also have keys of all their shingles but up to n / 5, in every
-choice: no text of a pair at the threshold leaves out more, so two such texts always share a key.
-Those of up to ``ALONE`` shingles can only be similar to such texts and have no other keys.  A longer
-pair at similarity 0.8 shares no key of 32 with a probability of 3e-6 (each has 0.8**5); for few
-shingles it is greater, 6e-5 at most (12 and 15 shingles).
-
-Defined results: words are runs of anything but ASCII white space; a text of one to four words is
-one shingle; a null text or one without words is in a class of its own; repeated rows share a
-class; class ids are the least id in the class (null ids only where all are null, and each row of
+One changed word spoils five shingles, so short texts have keys of k = 1: those of up to ``SHORT``
+words pick ``PICKED_WORDS`` least labelled words, wherever the edits are; those of up to ``TINY``
+words also have keys of all their words but up to a third, in every choice, which no pair at the
+threshold can miss.  Texts of at least two thirds of ``SHORT`` words have keys of shingles; lengths
+of a pair at the threshold are within that ratio, so both of any such pair have keys of one kind.
+A pair at similarity s by replaced words, evenly likely everywhere, has the shingle overlap
+``q = s**5 / (2 - s**5)`` and shares no key of ``SKETCHES`` with a probability of
+``(1 - q**2)**64``: 0.08 at 0.8, 0.005 at 0.85, 1e-5 at 0.9 (more where edits are strewn evenly over
+long texts); of short texts at 0.8 0.01 at most, mostly 1e-3.
+
+Defined results: words are runs of anything but ASCII white space; a null text or one without
+words is in a class of its own; repeated rows share a class; class ids are the least id in the class (null ids only where all are null, and each row of
 those is then a class of its own).  Columns other than the id and the text are never read.
 """
 
@@ -44,16 +47,16 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import _WORD, Words, _mix, chunks, ensure_checkpoint_dir, keyed, utf8, words
 from weftgraph.operators.fixpoint import component_labels
 
-SHINGLE, SKETCHES, PICKED = 5, 32, 5
-#: Similarity of at least 4 / 5, in integers: 9 m >= 4 (a + b).
+SHINGLE, SKETCHES, PICKED, PICKED_WORDS = 5, 64, 2, 5
+#: Similarity of at least 4 / 5, in integers: 5 m >= 2 (a + b).
 SIMILARITY = 0.8
-#: Shingles of a text that has keys with some left out, and of one that has only these.
-SHORT, ALONE = 14, 11
+#: Words of a text that has keys of words, and of one that has keys of its words with some left out.
+SHORT, TINY = 64, 9
 #: Shingles hashed at once by all functions.
-BLOCK = 1 << 14
+BLOCK = 1 << 13
 #: Texts and bytes of word hashes in a part of a mixed bucket; a task holds two parts at once.
 PART, PART_BYTES = 256, 1 << 23
-#: Pairs that are aligned without counting common shingles first, and shingles counted at once.
+#: Pairs that are aligned without counting common words first, and words counted at once.
 FEW, COLUMNS = 32, 4096
 _A = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -80,35 +83,46 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return _mix(s + occurrence * np.uint64(0xD1342543DE82EF95))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Keys of a text with these shingles, one for each hash function."""
+def _least(v: np.ndarray, picked: int) -> np.ndarray:
+    """Places of the least values of each row, in no order; ``v`` is spoilt."""
+    rows, out = np.arange(len(v)), []
+    for k in range(min(picked, v.shape[1])):
+        if k:
+            v[rows, out[-1]] = np.iinfo(np.uint64).max
+        out.append(v.argmin(1))
+    return np.stack(out, 1)
+
+
+def sketch(s: np.ndarray, picked: int, kind: int) -> np.ndarray:
+    """Keys of a text with these shingles (or words), one for each hash function."""
     x = labelled(s)
-    best = np.zeros((SKETCHES, 0), np.int64)
-    for i in range(0, len(x), BLOCK):  # the least of each block, among the least so far
-        own = np.concatenate([best, np.broadcast_to(np.arange(i, min(i + BLOCK, len(x))), (SKETCHES, min(BLOCK, len(x) - i)))], axis=1)
-        v = x[own] * _A[:, None]
-        best = np.take_along_axis(own, np.argpartition(v, PICKED - 1, axis=1)[:, :PICKED], 1) if own.shape[1] > PICKED else own
-    best = np.sort(best, axis=1)
-    key = np.arange(SKETCHES, dtype=np.uint64)
-    for j in range(best.shape[1]):
-        key = _mix(key * np.uint64(0xAF251AF3B0F025B5) + s[best[:, j]])
+    best = [i + _least(x[i : i + BLOCK] * _A[:, None], picked) for i in range(0, len(x), BLOCK)]
+    own = np.concatenate(best, axis=1)
+    if len(best) > 1:  # the least of each block, and of those the least
+        own = np.take_along_axis(own, _least(x[own] * _A[:, None], picked), 1)
+    own.sort(axis=1)
+    key = np.arange(SKETCHES, dtype=np.uint64) + np.uint64(kind * SKETCHES)
+    for j in range(own.shape[1]):
+        key = _mix(key * np.uint64(0xAF251AF3B0F025B5) + s[own[:, j]])
     return key
 
 
 @cache
 def _choices(n: int) -> list[np.ndarray]:
-    """Places of n shingles with none, one, ... and n / 5 left out: a row for each choice."""
-    return [np.array(list(combinations(range(n), n - left)), np.int64) for left in range(n // 5 + 1)]
-
-
-def text_keys(s: np.ndarray) -> np.ndarray:
-    """All keys of a text with these shingles, each once."""
-    if len(s) > SHORT:
-        return sketch(s)
-    out = [sketch(s)] if len(s) > ALONE else []
-    for places in _choices(len(s)):
-        key = np.full(len(places), SKETCHES, np.uint64)
-        for own in s[places].T:
+    """Places of n words with none, one, ... and n / 3 left out: a row for each choice."""
+    return [np.array(list(combinations(range(n), n - left)), np.int64) for left in range(n // 3 + 1)]
+
+
+def text_keys(h: np.ndarray) -> np.ndarray:
+    """All keys of a text with these word hashes, each once."""
+    out = []
+    if 3 * len(h) >= 2 * SHORT:
+        out.append(sketch(shingles(h), PICKED, 0))
+    if 6 <= len(h) <= SHORT:
+        out.append(sketch(h, PICKED_WORDS, 1))
+    for places in _choices(len(h)) if len(h) <= TINY else []:
+        key = np.full(len(places), 2 * SKETCHES, np.uint64)
+        for own in h[places].T:
             key = _mix(key * np.uint64(0xAF251AF3B0F025B5) + own)
         out.append(key)
     return np.unique(np.concatenate(out))
@@ -136,7 +150,7 @@ def sketches(rows: DataFrame) -> DataFrame:
                 node = _nodes(w)[some]
                 # copies in one chunk have one sketch
                 _, first, back = np.unique(node, return_index=True, return_inverse=True)
-                own = [text_keys(shingles(w.hash[w.first[d] : w.first[d + 1]])) for d in some[first]]
+                own = [text_keys(w.hash[w.first[d] : w.first[d + 1]]) for d in some[first]]
                 keys = [own[k] for k in back]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
                 pick = pa.array(i + some)
@@ -146,9 +160,9 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
-    """Most shingles of a and b that can be aligned in order within the band that SIMILARITY allows; 0 if too few."""
-    need = -(-4 * (len(a) + len(b)) // 9)
-    band = len(a) + len(b) - 2 * need
+    """Most words of a and b that can be aligned in order within the band that SIMILARITY allows; 0 if too few."""
+    need = -(-2 * (len(a) + len(b)) // 5)
+    band = max(len(a), len(b)) - need
     if need > min(len(a), len(b)):
         return 0
     values, counts = np.unique(np.concatenate([a, b]), return_counts=True)
@@ -197,7 +211,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lambda column, i: shingles(np.frombuffer(column[i].as_buffer(), np.uint32).astype(np.uint64))
+        own = lambda column, i: np.frombuffer(column[i].as_buffer(), np.uint32)
         for batch in batches:
             good = [i for i in range(batch.num_rows) if aligned(own(batch.column(2), i), own(batch.column(3), i))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], ["a", "b"])
@@ -258,7 +272,7 @@ def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
 
         def done() -> pa.RecordBatch:
             part, node, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (3, 4, 5))
-            found = linked_across(part, node, comp, [np.frombuffer(x.as_buffer(), np.uint32).astype(np.uint64) for b in held for x in b.column(6)])
+            found = linked_across(part, node, comp, [np.frombuffer(x.as_buffer(), np.uint32) for b in held for x in b.column(6)])
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
@@ -284,16 +298,15 @@ def linked_across(part: np.ndarray, node: np.ndarray, comp: np.ndarray, hashes:
 
     Once two components are linked here, their other pairs would add nothing and aren't aligned.
     """
-    sizes = np.array([max(len(h) - SHINGLE + 1, 1) for h in hashes])
-    good = np.triu(comp[:, None] != comp[None], 1) & (9 * np.minimum(sizes[:, None], sizes[None]) >= 4 * (sizes[:, None] + sizes[None]))
+    sizes = np.array([len(h) for h in hashes])
+    good = np.triu(comp[:, None] != comp[None], 1) & (5 * np.minimum(sizes[:, None], sizes[None]) >= 2 * (sizes[:, None] + sizes[None]))
     if part.min() != part.max():
         good &= part[:, None] != part[None]
     if not good.any():
         return []
     some = np.flatnonzero(good.any(0) | good.any(1))
-    sh = {int(i): shingles(hashes[i]) for i in some}
     if good.sum() > FEW:
-        good[np.ix_(some, some)] &= 9 * _common([labelled(sh[int(i)]) for i in some]) >= 4 * (sizes[some][:, None] + sizes[some][None])
+        good[np.ix_(some, some)] &= 5 * _common([labelled(hashes[i].astype(np.uint64)) for i in some]) >= 2 * (sizes[some][:, None] + sizes[some][None])
     up: dict[int, int] = {}
 
     def top(c: int) -> int:
@@ -304,7 +317,7 @@ def linked_across(part: np.ndarray, node: np.ndarray, comp: np.ndarray, hashes:
     out = []
     for i, j in np.argwhere(good).tolist():
         a, b = top(int(comp[i])), top(int(comp[j]))
-        if a != b and aligned(sh[i], sh[j]):
+        if a != b and aligned(hashes[i], hashes[j]):
             up[max(a, b)] = min(a, b)
             out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
     return out
@@ -318,7 +331,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[kept[column]], (np.cumsum(kept) - 1)[column[kept[column]]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2**24 shingles
+    out = np.zeros((len(sets), len(sets)), np.float32)  # exact below 2**24 words
     for start in range(0, int(kept.sum()), COLUMNS):
         lo, hi = np.searchsorted(column, [start, start + COLUMNS])
         has = np.zeros((len(sets), COLUMNS), np.float32)
@@ -333,7 +346,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     made, found = links(rows)
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_lnode", "component": "_comp"})
     placed = made.join(labels, made["_node"] == F.col("_lnode"), "left").withColumn("_comp", F.coalesce("_comp", "_node"))
-    ids = placed.groupBy("_comp").agg(F.min("_id").alias("_class"), F.count("*").alias("_size"))
+    # copies are counted by text first; a table of its own, so that adaptive execution can split a very large class in the join
+    texts = placed.groupBy("_comp", "_node").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
+    ids = texts.groupBy("_comp").agg(F.min("_id").alias("_class"), F.sum("_n").alias("_size")).checkpoint()
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("_dnode")).agg(F.count("*").alias("_links"))
     known = placed.join(ids.withColumnRenamed("_comp", "_icomp"), F.col("_comp") == F.col("_icomp")).join(degree, F.col("_node") == F.col("_dnode"), "left")
