@@ -24,7 +24,7 @@ from weftgraph.llm.common import keyed, same_row
 WINDOW, GRAM = 8, 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: At this many items a document is contaminated.
+#: With windows of this many items a document is reported as contaminated.
 MIN_ITEMS = 2
 
 
@@ -110,10 +110,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return out.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.size(items) >= min_items).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_items: int = MIN_ITEMS) -> DataFrame:
-    """The rows of documents, with all their columns, that aren't contaminated."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of documents, with all their columns, that hold no window of any item.
+
+    One occurring window is enough to drop a document: a passage of a single item leaks it as well.
+    (``contaminated`` of the report asks for ``MIN_ITEMS`` items.)
+    """
     _, found = find_windows(docs, benchmark, id_col, text_col, item_id, item_text)
-    bad = found.where(F.size("items") >= min_items).select("_id", "_th")
+    bad = found.select("_id", "_th")
     key = keyed(docs, id_col, text_col).columns  # names that the join adds and takes away again
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias(key[0]), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias(key[1]))
     return packed.join(bad, same_row(packed, bad), "left_anti").select("_row.*")
