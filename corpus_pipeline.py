@@ -28,7 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without windows of two or more benchmark items."""
+    """Documents without any window of a benchmark item."""
     return winnowing.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
