@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from tests_prose import AWKWARD, prose
 from weftgraph.llm import bpe, byte_cnn, common, html_crf, license_dice, line_frequency, order_minhash, pii_bootstrap, substring_dedup, token_scan, winnowing
@@ -419,14 +420,49 @@ def test_token_counts(spark, awkward, empty):
     assert token_scan.document_counts(empty, "doc_id", "text", VOCABULARY, PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("block", [2, 6, 1 << 10])
+@pytest.mark.parametrize("shuffled", [lambda d: d.repartition(9), lambda d: d.repartition(5, "source"), lambda d: d.orderBy("n_chars"), lambda d: d.coalesce(1)])
+def test_counts_of_a_shuffled_input(spark, shuffled):
+    path = "/root/testdata/sf0.01"
+    if not Path(path).is_dir():
+        pytest.skip("needs the tables")
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    want = {r.doc_id: len(own.encode_ordinary(r.text or "")) for r in docs.collect()}
+    got = token_scan.document_counts(shuffled(docs), "doc_id", "text", VOCABULARY, PATTERN).collect()
+    assert len(got) == len(want) and {r.doc_id: r.n_tokens for r in got} == want
+    assert not list(Path(common.ensure_checkpoint_dir(spark).removeprefix("file:")).glob("tokens-*"))
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("P,:", "one two"), (None, "x"), ("", None), ("é", "")], "name string, text string")
+    got = {r.name: r.n_tokens for r in token_scan.document_counts(docs, "name", "text", VOCABULARY, PATTERN).collect()}
+    assert set(got) == {"P,:", None, "", "é"} and got[""] == got["é"] == 0 and got["P,:"] > 0
+
+
+@pytest.mark.parametrize("block", [1, 6, 1 << 20])
 def test_boundaries_are_stitched(spark, tmp_path, block):
+    r = random.Random(block)
     sizes = [3, 0, 7, 1, 0, 12]
     flat = [x for n in sizes for x in [5] * n + [token_scan.END]] + [5, 5]
     (tmp_path / "a.bin").write_bytes(np.array(flat, ">u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = sorted((r.ordinal, r.n_tokens) for r in token_scan.count_tokens(spark, str(tmp_path), block_bytes=block).collect())
-    assert got == list(enumerate([*sizes, 2]))
+    # ids whose bytes are those of the separator at odd places, in ranges of a few bytes
+    many = [r.randint(0, 9) for _ in range(300)]
+    odd = [x for n in many for x in [r.choice([0x50C4, 0x5050, 0xC4C4, 0x00C4, 0x5000, 7]) for _ in range(n)] + [token_scan.END]]
+    (tmp_path / "c.bin").write_bytes(np.array(odd, ">u2").tobytes() + b"\xc4")  # half an id is none
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = token_scan.count_tokens(spark, str(tmp_path), block_bytes=block).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    by = lambda name: [(x.ordinal, x.n_tokens) for x in sorted(rows, key=lambda x: x.ordinal) if x.stream.endswith(name)]
+    assert by("a.bin") == list(enumerate([*sizes, 2])) and by("b.bin") == []
+    assert by("c.bin") == list(enumerate(many))
+    both = token_scan.count_tokens(spark, str(tmp_path), block_bytes=block, stream=F.lit("all")).collect()
+    assert [x.n_tokens for x in sorted(both, key=lambda x: x.ordinal)] == [*sizes, 2, *many] and {x.stream for x in both} == {"all"}
 
 
 # ---- op9

@@ -14,7 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.fixpoint import delete_folder as delete_folder
 from weftgraph.operators.fixpoint import ensure_checkpoint_dir as ensure_checkpoint_dir
+from weftgraph.operators.fixpoint import folder_exists as folder_exists
 
 #: Words of most contracts are runs of bytes other than ASCII white space; all of UTF-8's other
 #: bytes belong to words, so that bytes and code points give the same words.
