@@ -7,15 +7,20 @@ block to block; it is trained by penalised likelihood on labelled pages (forward
 a fraction of a second to a few seconds on the driver) and decoded by Viterbi's algorithm.
 
 Defined results: a null or empty page has an empty text; tags left open are closed where HTML closes
-them; ``br`` and white space of any kind, character references included, become one space; parsing
-is linear in the page.  Columns other than the id, the URL and the HTML are never read.
+them; ``br`` and white space of any kind, character references included, become one space; a quote that
+is never closed ends no tag, so that the page's later tags end at the next ``>``; repeated rows and
+null ids stay as they are.  Columns other than the id, the URL and the HTML are never read.
+
+Parsing is linear in the page, however deep or broken: open elements are found by their tag's last
+place on the stack, ancestors are shared by the leaves below them, and nothing is searched twice.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -38,16 +43,40 @@ LANDMARK = frozenset("article main nav header footer aside form section ul ol ta
 #: A start tag closes these if they are open and no landmark lies between.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?])""")
+_MARKUP = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+")
+_HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.IGNORECASE)
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE) for tag in SKIPPED}
+
+
+class Element:
+    """An open element: what its leaves take from it and its ancestors.
+
+    ``features`` names each block-level tag and each word of a class name, id or role around a leaf
+    once; elements that add none share the tuple of the element around them.
+    """
+
+    __slots__ = ("features", "inner", "land", "landmark", "tag")
+
+    def __init__(self, tag: str, names: tuple[str, ...], depth: int, outer: Element | None, known: Container[str] | None):
+        self.tag = tag
+        self.inner = tag if tag in BLOCK or outer is None else outer.inner
+        self.land, self.landmark = (tag, depth) if tag in LANDMARK else (outer.land, outer.landmark) if outer else ("none", -1)
+        own = outer.features if outer else ()
+        new = [f"in={tag}"] * (tag in BLOCK) + [f"name={w}" for w in names]
+        new = [f for f in dict.fromkeys(new) if (known is None or f in known) and f not in own]
+        self.features = (*own, *new) if new else own
+
+
+_ROOT = Element("none", (), -1, None, None)
 
 
 @dataclass
 class Leaf:
     text: str
-    tags: tuple[str, ...]  # ancestors, outermost first
-    names: tuple[str, ...]  # words of their class names, ids and roles
+    around: Element
     linked: int  # code points inside links
 
 
@@ -57,99 +86,122 @@ class _Open:
     linked: int = 0
 
 
-def leaves(page: str) -> list[Leaf]:
-    """Leaf blocks of a page, in order, with their text white space-normalised; blocks without text are left out."""
+def leaves(page: str, known: Container[str] | None = None) -> list[Leaf]:
+    """Leaf blocks of a page, in order, with their text white space-normalised; blocks without text are left out.
+
+    With ``known``, only those of the ancestors' features that are in it are kept, which bounds what
+    an element can add.
+    """
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    now, links, at, end = _Open(), 0, 0, len(page)
+    stack: list[Element] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where each tag is on the stack
+    now, at, end, last = _Open(), 0, len(page), page.rfind(">")
+    loose, headless = False, False
 
     def flush() -> None:
         nonlocal now
         if now.parts:
             text = " ".join("".join(now.parts).split())
             if text:
-                out.append(Leaf(text, tuple(t for t, _ in stack), tuple(w for _, names in stack for w in names), now.linked))
+                out.append(Leaf(text, stack[-1] if stack else _ROOT, now.linked))
             now = _Open()
 
     def add(raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             now.parts.append(text)
-            if links:
+            if places["a"]:
                 now.linked += len(text)
 
     def pop(depth: int) -> None:
-        nonlocal links
-        for tag, _ in stack[depth:]:
-            links -= tag == "a"
+        for e in reversed(stack[depth:]):
+            places[e.tag].pop()
         del stack[depth:]
 
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                pop(i)
-                return
-
     while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = page.find("<", at)
+        if start < 0 or start > last:  # no more tags
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            to = page.find("-->", at - 2) if m[0] == "<!--" else page.find(">", at)
-            at = end if to < 0 else to + (3 if m[0] == "<!--" else 1)
+        add(page[at:start])
+        m = _MARKUP.match(page, start)
+        if m is None:
+            add("<")
+            at = start + 1
+            continue
+        if m[3] is None:
+            to = page.find("-->", m.end() - 2) if m[1] else page.find(">", m.end())
+            at = end if to < 0 else to + (3 if m[1] else 1)
             continue
-        tag = m[2].lower()
-        if m[1]:
+        rest = None if loose else _REST.match(page, m.end())
+        if rest is None:
+            loose = True
+            to = page.find(">", m.end())
+            attrs, at = page[m.end() : to], to + 1
+        else:
+            attrs, at = rest[1], rest.end()
+        tag = m[3].lower()
+        if m[2]:
             if tag in BLOCK:
                 flush()
-            if tag == "a":
-                links = max(0, links - 1) if not any(t == "a" for t, _ in stack) else links
-            close(tag)
+            if places[tag]:
+                pop(places[tag][-1])
             continue
         if tag in SKIPPED:
-            if not m[3].endswith("/"):
-                if tag == "head":  # ends at its end tag or where the body begins
-                    over = re.compile(r"</head\s*>|(?=<body\b)", re.IGNORECASE).search(page, at)
-                else:
-                    over = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = over.end() if over else (end if tag != "head" else at)
+            if attrs.endswith("/"):
+                continue
+            if tag != "head":
+                over = _ENDS[tag].search(page, at, last + 1)
+                at = over.end() if over else end
+            elif not headless:  # ends at its end tag or where the body begins
+                over = _HEAD_END.search(page, at)
+                at, headless = (over.end(), False) if over else (at, True)
             continue
         if tag == "br":
             now.parts.append(" ")
         if tag in BLOCK:
             flush()
-            while stack and stack[-1][0] == "p" or (tag in BLOCK and any(t == "p" for t, _ in stack) and tag not in ("button", "label", "option")):
-                close("p")
+            while places["p"] and (stack[-1].tag == "p" or tag not in ("button", "label", "option")):
+                pop(places["p"][-1])
             if tag in CLOSES:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES[tag]:
-                        pop(i)
-                        break
-                    if stack[i][0] in LANDMARK:
-                        break
-        if tag in VOID or m[3].endswith("/"):
+                nearest = max((places[t][-1] for t in CLOSES[tag] if places[t]), default=-1)
+                if nearest > (stack[-1].landmark if stack else -1):
+                    pop(nearest)
+        if tag in VOID or attrs.endswith("/"):
             continue
-        names = tuple(w for a, b, c in _NAMES.findall(m[3]) for w in _WORD.findall((a or b or c).lower())) if "=" in m[3] else ()
-        stack.append((tag, names))
-        links += tag == "a"
+        names = tuple(w for a, b, c in _NAMES.findall(attrs) for w in _WORD.findall((a or b or c).lower())) if "=" in attrs else ()
+        places[tag].append(len(stack))
+        stack.append(Element(tag, names, len(stack), stack[-1] if stack else _ROOT, known))
     flush()
     return out
 
 
 def features(block: Leaf) -> list[str]:
-    inner = next((t for t in reversed(block.tags) if t in BLOCK), "none")
-    n, share = block.text.count(" ") + 1, block.linked / len(block.text)
-    out = ["bias", f"tag={inner}", f"land={next((t for t in reversed(block.tags) if t in LANDMARK), 'none')}", f"words={min(4, n.bit_length() // 2)}", f"link={int(share > 0.05) + int(share > 0.5) + int(share > 0.9)}", f"end={block.text[-1] in '.!?…'}"]
-    out += [f"in={t}" for t in dict.fromkeys(block.tags) if t in BLOCK]
-    out += [f"name={w}" for w in dict.fromkeys(block.names)]
+    n, share, around = block.text.count(" ") + 1, block.linked / len(block.text), block.around
+    out = ["bias", f"tag={around.inner}", f"land={around.land}", f"words={min(4, n.bit_length() // 2)}", f"link={int(share > 0.05) + int(share > 0.5) + int(share > 0.9)}", f"end={block.text[-1] in '.!?…'}"]
+    out += around.features
     if "©" in block.text:
         out.append("copyright")
     return out
 
 
+def marginals(score: np.ndarray, mask: np.ndarray, moves: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward over padded pages (pages, blocks, labels): log-partition, and probabilities of labels and of pairs of them."""
+    alpha, beta = np.zeros_like(score), np.zeros_like(score)
+    lse = lambda x, axis: np.log(np.exp(x - (top := x.max(axis, keepdims=True))).sum(axis)) + top.squeeze(axis)
+    alpha[:, 0] = first + score[:, 0]
+    for t in range(1, score.shape[1]):
+        new = lse(alpha[:, t - 1, :, None] + moves, 1) + score[:, t]
+        alpha[:, t] = np.where(mask[:, t, None] > 0, new, alpha[:, t - 1])
+    for t in range(score.shape[1] - 2, -1, -1):
+        new = lse(moves + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0)
+    z = lse(alpha[:, -1], 1)
+    unary = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
+    pair = np.exp(alpha[:, :-1, :, None] + moves + (score + beta)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
+    return z, unary, pair
+
+
 @dataclass
 class Field:
     """Weights of features (rows) for the two labels, of transitions, and of the first label."""
@@ -193,21 +245,10 @@ def train(pages: list[tuple[list[Leaf], list[int]]]) -> Field:
     m, v = [np.zeros_like(x) for x in theta], [np.zeros_like(x) for x in theta]
     gold = np.eye(2)[y] * mask[..., None]
     gold_moves = np.einsum("pti,ptj->ij", gold[:, :-1], gold[:, 1:])
-    lse = lambda x, axis: np.log(np.exp(x - (top := x.max(axis, keepdims=True))).sum(axis)) + top.squeeze(axis)
     for step in range(1, STEPS + 1):
         w, moves, first = theta
         score = np.stack([np.bincount(which, w[feature, k], P * T) for k in (0, 1)], 1).reshape(P, T, 2)
-        alpha, beta = np.zeros((P, T, 2)), np.zeros((P, T, 2))
-        alpha[:, 0] = first + score[:, 0]
-        for t in range(1, T):
-            new = lse(alpha[:, t - 1, :, None] + moves, 1) + score[:, t]
-            alpha[:, t] = np.where(mask[:, t, None] > 0, new, alpha[:, t - 1])
-        for t in range(T - 2, -1, -1):
-            new = lse(moves + (score[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0)
-        z = lse(alpha[:, -1], 1)
-        unary = np.exp(alpha + beta - z[:, None, None]) * mask[..., None]
-        pair = np.exp(alpha[:, :-1, :, None] + moves + (score + beta)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
+        _, unary, pair = marginals(score, mask, moves, first)
         off = (unary - gold).reshape(P * T, 2)
         grads = [np.stack([np.bincount(feature, off[which, k], K) for k in (0, 1)], 1) / P + PENALTY * w, (pair.sum((0, 1)) - gold_moves) / P, (unary[:, 0] - gold[:, 0]).sum(0) / P]
         for x, g, a, b in zip(theta, grads, m, v, strict=True):
@@ -234,7 +275,7 @@ def trained() -> Field:
 
 
 def main_text(page: str | None, model: Field) -> str:
-    blocks = leaves(page or "")
+    blocks = leaves(page or "", model.index)
     return "\n".join(b.text for b, y in zip(blocks, model.decode(blocks), strict=True) if y)
 
 
