@@ -5,15 +5,17 @@ vector; learned filters run over every chunk and are max-pooled there; a small d
 each chunk a logit, and the mean of a document's logits goes through a sigmoid, so a long document
 counts whole and isn't drawn to an extreme by its length.
 
-Learning uses at most ``TRAIN_DOCS`` labelled documents (those of least hash of the id, a
-documented bound) and at most ``TRAIN_CHUNKS`` chunks spread evenly over each; only rows whose
-crc32 of the id as text isn't divisible by ``FOLDS`` are learned from.  Scoring reads every byte of
-every text.  Labels, language, source and id are never inputs of a score.
+Learning uses at most ``TRAIN_DOCS`` labelled documents, those of least hash of the id, as far as
+their texts together have at most ``TRAIN_BYTES`` (documented bounds on the driver's memory), and
+the whole of each: all of its chunks, which together weigh as much as those of another document.
+Only rows whose crc32 of the id as text isn't divisible by ``FOLDS`` are learned from.  Scoring reads
+every byte of every text.  Labels, language, source and id are never inputs of a score.
 
 Defined results: a null or empty text is one chunk of padding and has a score; a null id counts as
 held out; null labels are ignored and contradictory ones count as the lesser; with no labels, or
 labels of one class only, every score is the share of class 1 (one half without labels), moved a
-little inwards.  Columns other than the id and the text are never read.
+little inwards; a column of the input named like the score gives way to it.  Columns other than the
+id and the text are never read.
 """
 
 from __future__ import annotations
@@ -24,17 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.common import utf8
 
-TRAIN_DOCS, TRAIN_CHUNKS, FOLDS, THRESHOLD = 3000, 4, 5, 0.3
+TRAIN_DOCS, TRAIN_BYTES, FOLDS, THRESHOLD = 3000, 1 << 25, 5, 0.3
 CHUNK, OVERLAP, WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 512, 64, 8, 2, 8, 32, 16
-EPOCHS, BATCH, RATE, SEED = 12, 64, 4e-3, 7
+EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 7
 #: Steps that learning takes at least, however few the labels.
-MIN_STEPS = 500
+MIN_STEPS = 600
 PAD = 256
 
 
@@ -83,14 +85,14 @@ class Network:
         h = np.maximum(z.reshape(len(x), p.shape[1], -1).max(1) + self.shift, 0)
         return np.tanh(h @ self.dense + self.dense_shift) @ self.out + self.out_shift
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> list[np.ndarray]:
         p, z = self.pooled(x)
         z = z.reshape(len(x), p.shape[1], -1)
         at = z.argmax(1)
         top = np.take_along_axis(z, at[:, None], 1)[:, 0] + self.shift
         h = np.maximum(top, 0)
         t = np.tanh(h @ self.dense + self.dense_shift)
-        g = (1 / (1 + np.exp(-(t @ self.out + self.out_shift))) - y) / len(x)
+        g = (1 / (1 + np.exp(-(t @ self.out + self.out_shift))) - y) * weight / len(x)
         gt = np.outer(g, self.out) * (1 - t * t)
         gh = (gt @ self.dense.T) * (top > 0)
         best = p[np.arange(len(x))[:, None], at]  # chunk, filter, patch
@@ -100,11 +102,11 @@ class Network:
         return [gb, np.einsum("bf,bfp->pf", gh, best), gh.sum(0), h.T @ gt, gt.sum(0), t.T @ g, g.sum(keepdims=True)]
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Network:
-    """Adam on chunks (rows of CHUNK byte numbers) and their labels."""
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> Network:
+    """Adam on chunks (rows of CHUNK byte numbers), their labels, and their weights (1 on average)."""
     rng = np.random.default_rng(SEED)
     net = Network.start(rng)
-    share = (y.sum() + 1) / (len(y) + 2)
+    share = ((y * weight).sum() + 1) / (len(y) + 2)
     net.out_shift[:] = np.log(share / (1 - share))
     if not len(y) or y.min() == y.max():
         net.out[:] = 0
@@ -117,7 +119,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Network:
         for i in range(0, len(y), BATCH):
             own, step = order[i : i + BATCH], step + 1
             rate = RATE * min(1, 2 * (1 - step / (total + 1)))
-            for p, g, m, v in zip(net.parts(), net.gradients(x[own], y[own]), first, second, strict=True):
+            for p, g, m, v in zip(net.parts(), net.gradients(x[own].astype(np.int64), y[own], weight[own]), first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -133,27 +135,31 @@ def cut(data: np.ndarray, start: int, end: int, places: np.ndarray) -> np.ndarra
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Network:
-    """A network learned from a bounded sample of labelled documents outside the held-out fold."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int) -> DataFrame:
+    """Texts to learn from (_id, _y, _text): bounded in number and together in bytes."""
     labelled = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_id is not null and _y is not null")
     labelled = labelled.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(labelled), "_id")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    rows = rows.join(F.broadcast(labelled), "_id")
+    # of each id the greatest text, and those that fit: a window over ``most`` rows of two numbers
+    sizes = rows.groupBy("_id").agg(F.max(F.struct(F.octet_length("_text").alias("n"), F.xxhash64("_text").alias("th"))).alias("_own"))
+    before = F.sum("_own.n").over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = sizes.withColumn("_sum", before).where(F.col("_sum") <= most_bytes).select(F.col("_id").alias("_fid"), F.col("_own.th").alias("_fth"))
+    return rows.join(F.broadcast(fits), (rows["_id"] == F.col("_fid")) & (F.xxhash64("_text") == F.col("_fth"))).dropDuplicates(["_id"]).select("_id", "_y", "_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, at = utf8(b.column("_text"))
-            made = []
-            for start, end in zip(at, at[1:], strict=False):
-                places = chunk_starts(end - start)
-                some = places[np.unique(np.linspace(0, len(places) - 1, TRAIN_CHUNKS).astype(int))]
-                made.append(cut(data, start, end, some).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("_y"), pa.array(made, pa.binary())], ["_id", "_y", "_chunks"])
 
-    sample = rows.select("_id", "_y", "_text").mapInArrow(run, "_id long, _y int, _chunks binary").collect()
-    sample.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id, r._chunks))
-    x = [np.frombuffer(r._chunks, "<i2").reshape(-1, CHUNK).astype(np.int64) for r in sample]
-    y = np.repeat([float(r._y > 0) for r in sample], [len(c) for c in x]).astype(np.float32)
-    return fit(np.concatenate(x) if x else np.zeros((0, CHUNK), np.int64), y)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Network:
+    """A network learned from a bounded sample of labelled documents outside the held-out fold."""
+    rows = sample(docs, labels, id_col, text_col, label_col, most, most_bytes).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id))
+    x = []
+    for r in rows:
+        data = np.frombuffer(r._text.encode("utf-8", "surrogatepass"), np.uint8)
+        x.append(cut(data, 0, len(data), chunk_starts(len(data))))
+    n = np.array([len(c) for c in x], np.int64)
+    y = np.repeat([float(r._y > 0) for r in rows], n).astype(np.float32)
+    weight = np.repeat(n.sum() / (max(1, len(n)) * n), n).astype(np.float32)
+    return fit(np.concatenate(x) if x else np.zeros((0, CHUNK), np.int16), y, weight)
 
 
 def score_bytes(net: Network, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -187,13 +193,13 @@ def score_bytes(net: Network, data: np.ndarray, at: np.ndarray) -> np.ndarray:
 def with_score(docs: DataFrame, net: Network, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` and the score of each text."""
     sent = docs.sparkSession.sparkContext.broadcast(net)  # some 10 KB, whatever the input
-    text = docs.columns.index(text_col)
+    text, keep = docs.columns.index(text_col), [i for i, c in enumerate(docs.columns) if c != score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_bytes(sent.value, *utf8(b.column(text))))], [*b.schema.names, score_col])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(score_bytes(sent.value, *utf8(b.column(text))))], [*[b.schema.names[i] for i in keep], score_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in keep], T.StructField(score_col, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
