@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,8 @@ KINDS = ("email", "ip", "card", "phone")
 SEEDED = "secret"
 #: Rounds of scoring; least confidence and distinct values of a pattern that propagates, and of one that is accepted.
 ROUNDS, PROPAGATES, ACCEPTED, SUPPORT, SMOOTHING = 3, 0.5, 0.8, 8, 2.0
-#: Least code points of a token with a digit that could be an identifier, and most of one word of a pattern.
-MIN_VALUE, MAX_WORD = 6, 32
+#: Least code points of a token with a digit that could be an identifier.
+MIN_VALUE = 6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -92,29 +94,55 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _overlaps(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Whether a range meets any of the spans, which are sorted by start: of those before its end the furthest end decides."""
+    starts, ends = [s for s, _, _ in spans], list(accumulate((e for _, e, _ in spans), max))
+    return lambda s, e: bool(k := bisect_left(starts, e)) and ends[k - 1] > s
+
+
 def mentions(text: str, base: list[Span]) -> list[tuple[int, int, str | None, str, str]]:
     """(start, end, kind if known, pattern, value) of fixed formats, seeds, and other tokens with a digit."""
     out = []
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     starts = np.fromiter((a for a, _ in tokens), np.int64, len(tokens))
 
+    words: dict[int, str] = {}  # whole words, however long, by a digest each, made once
+    heads: dict[int, tuple[int, hashlib._Hash]] = {}  # how far a token has been digested
+
+    def word(i: int) -> str:
+        if i not in words:
+            words[i] = "^" if i < 0 else _digest(text[tokens[i][0] : tokens[i][1]].lower())
+        return words[i]
+
+    def before(k: int, start: int) -> str:
+        done, own = heads.get(k, (tokens[k][0], hashlib.blake2b(digest_size=8)))
+        if start < done:
+            done, own = tokens[k][0], hashlib.blake2b(digest_size=8)
+        own.update(text[done:start].encode("utf-8", "surrogatepass"))
+        heads[k] = start, own
+        return own.hexdigest()
+
     def pattern(start: int, end: int) -> str:
         k = int(np.searchsorted(starts, start, "right")) - 1
-        word = lambda i: _NOT_DIGIT.sub(lambda m: m[0].lower(), text[tokens[i][0] : tokens[i][1]])[-MAX_WORD:] if i >= 0 else "^"
-        before = text[max(tokens[k][0], start - MAX_WORD) : start]
-        return f"{word(k - 2)} {word(k - 1)} {before}_{text[end : end + 1].strip()}"
+        return f"{word(k - 2)} {word(k - 1)} {before(k, start)}_{text[end : end + 1].strip()}"
 
     seeds = [(m.start(), m.end(), SEEDED) for m in _SEED.finditer(text) if _DIGIT.search(m[0]) and _LETTER.search(m[0])]
-    seeds = [(s, e, kind) for s, e, kind in seeds if not any(s < y and x < e for x, y, _ in base)]
-    taken = [(s, e) for s, e, _ in [*base, *seeds]]
-    for s, e, kind in [*base, *seeds]:
+    meets = _overlaps(base)
+    seeds = [(s, e, kind) for s, e, kind in seeds if not meets(s, e)]
+    known = sorted([*base, *seeds])
+    meets = _overlaps(known)
+    for s, e, kind in known:
         out.append((s, e, kind, pattern(s, e), text[s:e]))
     for a, b in tokens:
         token = text[a:b]
         if b - a < MIN_VALUE or not any("0" <= c <= "9" for c in token):
             continue
         s, e = a + len(token) - len(token.lstrip(_MARKS)), b - len(token) + len(token.rstrip(_MARKS))
-        if e - s < MIN_VALUE or any(s < y and x < e for x, y in taken) or not any("0" <= c <= "9" for c in text[s:e]):
+        if e - s < MIN_VALUE or meets(s, e) or not any("0" <= c <= "9" for c in text[s:e]):
             continue
         out.append((s, e, None, pattern(s, e), text[s:e]))
     return out
