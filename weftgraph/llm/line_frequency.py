@@ -1,9 +1,9 @@
 """Quality rules: figures of each text, and cross-document line frequency.
 
 Lines are normalised (lower case; everything but letters becomes one space), hashed, and the
-distinct documents that have a line are counted within each host.  A document is counted by its
-content, so that exact copies don't make their own lines frequent.  Lines above the limits are
-removed, and a document that keeps too few of its words is depleted.
+distinct documents that have a line are counted within each host.  A document is an id with its
+text: rows that repeat both count once, copies under other ids count each.  Lines above the limits
+are removed, and a document that keeps too few of its words is depleted.
 
 Limits: a line is frequent in a host if at least ``MIN_DOCS`` distinct documents and more than
 ``MAX_SHARE`` of the host's distinct documents have it; a document is depleted if frequent lines
@@ -96,8 +96,8 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     """Lines of documents (_id, _th, _host, _at, _line, _n: words), and frequent ones (_host, _line)."""
     each = F.transform(F.split("_text", "\n"), lambda x, i: F.struct(i.alias("_at"), _line_hash(x).alias("_line"), F.regexp_count(x, F.lit(WORD_SQL)).alias("_n")))
     lines = rows.select("_id", "_th", "_host", F.inline(F.filter(each, lambda x: x["_line"].isNotNull())))
-    hosts = rows.groupBy("_host").agg(F.count_distinct("_th").alias("_docs"))
-    counts = lines.groupBy("_host", "_line").agg(F.count_distinct("_th").alias("_seen")).where(F.col("_seen") >= min_docs)
+    hosts = rows.groupBy("_host").agg(F.count_distinct(F.struct("_id", "_th")).alias("_docs"))
+    counts = lines.groupBy("_host", "_line").agg(F.count_distinct(F.struct("_id", "_th")).alias("_seen")).where(F.col("_seen") >= min_docs)
     frequent = counts.join(hosts, counts["_host"].eqNullSafe(hosts["_host"])).where(F.col("_seen") > max_share * F.col("_docs")).select(counts["_host"], "_line")
     return lines, frequent
 
@@ -141,10 +141,10 @@ t AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
 win AS (SELECT rid, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM win) WHERE n > 1),
 repw AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY rid),
-ln AS (SELECT rid, source, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, trim(regexp_replace(lower(l), '[^\p{L}]+', ' ', 'g')) AS norm FROM (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS l FROM d)),
+ln AS (SELECT rid, doc_id, source, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n, trim(regexp_replace(lower(l), '[^\p{L}]+', ' ', 'g')) AS norm FROM (SELECT rid, doc_id, source, text, unnest(string_split(text, chr(10))) AS l FROM d)),
 dup AS (SELECT rid, sum(c - 1) AS n FROM (SELECT rid, l, count(*) AS c FROM ln WHERE n > 0 GROUP BY rid, l) GROUP BY rid),
-host AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
-seen AS (SELECT source, norm, count(DISTINCT text) AS c FROM ln WHERE norm <> '' GROUP BY source, norm),
+host AS (SELECT source, count(DISTINCT row(doc_id, text)) AS docs FROM d GROUP BY source),
+seen AS (SELECT source, norm, count(DISTINCT row(doc_id, text)) AS c FROM ln WHERE norm <> '' GROUP BY source, norm),
 freq AS (SELECT seen.source, norm FROM seen JOIN host ON seen.source IS NOT DISTINCT FROM host.source WHERE c >= 10 AND c > 0.05 * docs),
 gone AS (SELECT rid, sum(n) AS n FROM ln JOIN freq ON ln.norm = freq.norm AND ln.source IS NOT DISTINCT FROM freq.source GROUP BY rid),
 f AS (SELECT doc_id, len(w)::bigint AS n_words, len(array_to_string(w, ''))::bigint AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols, coalesce(dup.n, 0)::bigint AS n_dup_lines, coalesce(repw.n, 0)::bigint AS n_repeat_words, coalesce(gone.n, 0)::bigint AS n_line_words
