@@ -6,7 +6,8 @@ have; its bytes are then compared, so that a pre-token in the vocabulary resolve
 merging.  Second tier: a pre-token that isn't there is merged with a heap of adjacent pairs over a
 doubly linked list of its bytes, in n log n steps however long it is.
 
-Defined results: a null or empty text has no ids; other columns of the input stay as they are.
+Defined results: a null or empty text has no ids; other columns of the input stay as they are, but
+one that is named like a column made here gives way to it.
 """
 
 from __future__ import annotations
@@ -259,7 +260,8 @@ def _slices(batches: Iterator[pa.RecordBatch], offsets: Callable[[pa.RecordBatch
 def encode(docs: DataFrame, text_col: str, path: str, pattern: str, ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` and the array of ids of each text; with ``check_col``, whether the ids decode to the text's bytes."""
     codec = shared_codec(docs.sparkSession, path, pattern)
-    text = docs.columns.index(text_col)
+    names = [ids_col] + [check_col] * bool(check_col)
+    text, keep = docs.columns.index(text_col), [i for i, c in enumerate(docs.columns) if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, lambda b: utf8(b.column(text))[1]):
@@ -269,25 +271,24 @@ def encode(docs: DataFrame, text_col: str, path: str, pattern: str, ids_col: str
                 data, ends = codec().decode(flat, at)
                 own, begins = utf8(b.column(text))
                 made.append(pa.array([np.array_equal(data[ends[i] : ends[i + 1]], own[begins[i] : begins[i + 1]]) for i in range(b.num_rows)], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *made], [*[b.schema.names[i] for i in keep], *names])
 
-    names = [ids_col] + [check_col] * bool(check_col)
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(check_col, T.BooleanType())] if check_col else [])]))
+    return docs.mapInArrow(run, T.StructType([*[docs.schema.fields[i] for i in keep], T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(check_col, T.BooleanType())] if check_col else [])]))
 
 
 def decode(rows: DataFrame, ids_col: str, path: str, pattern: str, bytes_col: str = "decoded") -> DataFrame:
     """All columns of ``rows`` and the bytes of each array of ids; a null array has none."""
     codec = shared_codec(rows.sparkSession, path, pattern)
-    ids = rows.columns.index(ids_col)
+    ids, keep = rows.columns.index(ids_col), [i for i, c in enumerate(rows.columns) if c != bytes_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches, lambda b: 4 * np.concatenate([[0], np.cumsum(_sizes(b.column(ids)))])):
             column = b.column(ids)
             data, at = codec().decode(column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(_sizes(column))]))
             made = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(np.ascontiguousarray(at.astype(np.int64))), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([*b.columns, made.cast(pa.binary())], [*b.schema.names, bytes_col])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], made.cast(pa.binary())], [*[b.schema.names[i] for i in keep], bytes_col])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
+    return rows.mapInArrow(run, T.StructType([*[rows.schema.fields[i] for i in keep], T.StructField(bytes_col, T.BinaryType())]))
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
