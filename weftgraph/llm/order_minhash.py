@@ -8,14 +8,17 @@ around the diagonal as wide as the threshold allows; its edit similarity is the
 words among all words of both, ``2 m / (a + b)``, and pairs of at least ``SIMILARITY`` are linked.
 Classes are the connected components of the links.
 
-Exact copies (the same words in the same order, by a 64-bit hash) are one text from the start.  In
-each bucket every text is aligned with the bucket's least text, so copies are never expanded into
-all pairs.  In buckets that this leaves in several components (those of a passage that many unrelated
-texts share, or of a family of texts that are mostly less similar than the threshold) every pair of
-texts of different components is then compared: by their lengths, by the words that they have in
-common (one matrix product for a block of texts), and if both allow the threshold by alignment.  Large
-buckets are cut into parts that meet in tasks of their own.  Nothing is capped: all texts that share a
-key and are similar come into one class.  This part is quadratic in the texts of a mixed bucket.
+Exact copies (the same words in the same order, by a 64-bit hash) are one text from the start.  Three
+steps then find the links, each on what the one before leaves in several components.  In each bucket
+of the first ``STAR`` hash functions every text is aligned with the bucket's least text, so copies are
+never expanded into all pairs.  In every bucket that holds several components, one text of each is
+aligned with one of the least component.  In the buckets that are still mixed (those of a passage that
+many unrelated texts share, or of a family of texts that are mostly less similar than the threshold)
+every pair of texts of different components is compared: by their lengths, by the words that they
+have in common (one matrix product for a block of texts), and if both allow the threshold by
+alignment.  Such a bucket is cut, in the order of its components, into parts that meet in tasks of
+their own; parts of one and the same component don't meet.  Nothing is capped: all texts that share a
+key and are similar come into one class.  The last step is quadratic in the texts of a mixed bucket.
 
 One changed word spoils five shingles, so short texts have keys of k = 1: those of up to ``SHORT``
 words pick ``PICKED_WORDS`` least labelled words, wherever the edits are; those of up to ``TINY``
@@ -41,13 +44,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import _WORD, Words, _mix, chunks, ensure_checkpoint_dir, keyed, utf8, words
 from weftgraph.operators.fixpoint import component_labels
 
 SHINGLE, SKETCHES, PICKED, PICKED_WORDS = 5, 64, 2, 5
+#: Hash functions whose buckets are aligned with their least text first.
+STAR = 16
 #: Similarity of at least 4 / 5, in integers: 5 m >= 2 (a + b).
 SIMILARITY = 0.8
 #: Words of a text that has keys of words, and of one that has keys of its words with some left out.
@@ -114,7 +119,7 @@ def _choices(n: int) -> list[np.ndarray]:
 
 
 def text_keys(h: np.ndarray) -> np.ndarray:
-    """All keys of a text with these word hashes, each once."""
+    """All keys of a text with these word hashes; of each kind in the order of the hash functions."""
     out = []
     if 3 * len(h) >= 2 * SHORT:
         out.append(sketch(shingles(h), PICKED, 0))
@@ -125,7 +130,7 @@ def text_keys(h: np.ndarray) -> np.ndarray:
         for own in h[places].T:
             key = _mix(key * np.uint64(0xAF251AF3B0F025B5) + own)
         out.append(key)
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
 
 
 def _nodes(w: Words) -> np.ndarray:
@@ -238,34 +243,51 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ensure_checkpoint_dir(rows.sparkSession)
     made = sketches(rows).checkpoint()
     nodes = made.groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row"), F.first("_keys").alias("_keys"))
-    keys = nodes.select("_node", "_row", F.explode("_keys").alias("_key"))
-    shared = keys.groupBy("_key").agg(F.min("_node").alias("_lead"), F.max("_node").alias("_most")).where("_lead < _most").select("_key", "_lead")
-    buckets = keys.join(shared, "_key").checkpoint()  # texts that share a key with another
+    keys = nodes.select("_node", F.posexplode("_keys").alias("_pos", "_key"))
+    own = Window.partitionBy("_key")
+    # texts that share a key with another: rows of three numbers, dealt by key once
+    buckets = keys.select("_key", "_node", (F.col("_pos") % SKETCHES < STAR).alias("_first"), F.min("_node").over(own).alias("_lead"), F.max("_node").over(own).alias("_most"))
+    buckets = buckets.where("_lead < _most").drop("_most").checkpoint()
     # one row of documents for each text that is a candidate
-    wanted = buckets.groupBy("_node").agg(F.first("_row").alias("_row")).select("_node", F.col("_row._id").alias("_wid"), F.col("_row._th").alias("_wth"))
+    wanted = made.join(buckets.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row")).select("_node", F.col("_row._id").alias("_wid"), F.col("_row._th").alias("_wth"))
     texts = rows.join(wanted, rows["_id"].eqNullSafe(F.col("_wid")) & (rows["_th"] == F.col("_wth"))).dropDuplicates(["_node"])
     texts = _word_hashes(texts).checkpoint()
-    star = buckets.where("_node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
+    star = buckets.where("_first and _node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
     found = similar(star, texts).checkpoint()
-    # texts of buckets that are still in several components
-    labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
-    placed = buckets.select("_key", "_node").join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
-    mixed = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi").select("_key")
-    more = _across(placed.join(mixed, "_key", "left_semi"), texts)
+    # one text for each component of a bucket, with that of the least component
+    members = _placed(buckets.select("_key", "_node"), found)
+    ones = members.groupBy("_key", "_comp").agg(F.min("_node").alias("_one"))
+    least = ones.groupBy("_key").agg(F.min(F.struct("_comp", "_one")).alias("_least"), F.max("_comp").alias("_most")).where("_least._comp < _most")
+    star = ones.join(least, "_key").where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
+    found = found.unionByName(similar(star, texts)).distinct().checkpoint()
+    members = _placed(members.join(least, "_key", "left_semi").select("_key", "_node"), found)
+    mixed = members.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
+    more = _across(members.join(mixed, "_key", "left_semi"), texts)
     return made.select("_id", "_th", "_node"), found.unionByName(more).distinct().checkpoint()
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Of (_key, _node) the component (_comp) of each text by the links so far."""
+    labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
+    return members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp")).checkpoint()
+
+
 def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """Of buckets (_key, _node, _comp) linked pairs (a, b) of different components, enough to connect all that are similar.
 
-    Every two parts of a bucket meet in one group, which a task goes through as its rows arrive.
+    Two parts of a bucket meet in one group, which a task goes through as its rows arrive, unless
+    both hold texts of one component only.
     """
-    rows = buckets.join(texts, "_node")
-    parts = rows.groupBy("_key").agg(F.ceil(F.greatest(F.count("*") / PART, F.sum(F.length("_words")) / PART_BYTES)).cast("int").alias("_parts"))
-    own = rows.join(parts, "_key").withColumn("_part", F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int"))
-    sent = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    sized = buckets.join(texts.select("_node", F.length("_words").alias("_bytes")), "_node")
+    order = Window.partitionBy("_key").orderBy("_comp", "_node")
+    before = F.coalesce(F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # so many texts, and so many bytes, in a part: whichever is reached first begins another
+    own = sized.withColumn("_part", (F.floor((F.row_number().over(order) - 1) / PART) + F.floor(before / PART_BYTES)).cast("int")).drop("_bytes").checkpoint()
+    parts = own.groupBy("_key", "_part").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
+    i, j = parts.toDF("_key", "_i", "_ilo", "_ihi"), parts.toDF("_key", "_j", "_jlo", "_jhi")
+    meet = i.join(j, "_key").where("_i <= _j and (_ilo < _ihi or _jlo < _jhi or _ilo <> _jlo)").where("_i < _j or _ilo < _ihi").select("_key", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_part"))
     group = ["_key", "_i", "_j"]
-    sent = sent.select("_key", F.least("_part", "_other").alias("_i"), F.greatest("_part", "_other").alias("_j"), "_part", "_node", "_comp", "_words")
+    sent = own.join(meet, ["_key", "_part"]).join(texts, "_node").select(*group, "_part", "_node", "_comp", "_words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last group, which may go on
