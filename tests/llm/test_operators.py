@@ -686,6 +686,45 @@ def test_license_scan(spark, awkward, empty):
     assert len(license_dice.scan(awkward).collect()) == awkward.count() and license_dice.scan(empty).count() == 0
 
 
+def plain_licenses(text, made):
+    """Names and best coefficient of a text by comparing every passage with every template."""
+    norm = re.sub(r"[^\W_\n]+|\n|[^\n]", lambda m: m[0] if re.match(r"[^\W_]|\n", m[0]) else " ", text.lower())
+    passages = [x.split() for x in norm.split("\n")]
+    pars = re.split(r"\n *\n[ \n]*", re.sub(r" +", " ", norm))
+    passages += [p.split() for p in pars if "\n" in p] + ([norm.split()] if len(pars) > 1 else [])
+    names, best = set(), None
+    for w in passages:
+        own = Counter(zip(w, w[1:], strict=False))
+        scores = [(2 * sum((own & Counter(tuple(g.split(" ")) for g in b)).values()) / max(1, sum(own.values()) + len(b)), name) for name, b in made]
+        top = max(scores)[0]
+        if sum(own.values()) and top >= 0.8:
+            names |= {n for c, n in scores if c == top}
+            best = max(best or 0, top)
+    return ",".join(sorted(names)), best
+
+
+def test_relatives_and_ties_of_licences(spark, tmp_path):
+    r, made = random.Random(4), license_dice.template_passages()
+    texts = [t for _, t in license_dice.TEMPLATES]
+    for _, t in license_dice.TEMPLATES * 2:
+        w = t.split(" ")
+        for _ in range(r.randint(0, max(1, len(w) // 8))):
+            w[r.randrange(len(w))] = r.choice(["other", "words", "License", "the"])
+        texts.append(f"{prose(5, 1)}\n\n{' '.join(w)}\n{prose(4, 2)}")
+    got = {x.doc_id: (x.licenses, x.best) for x in license_dice.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(i, got[i]) for i, t in enumerate(texts) if got[i] != plain_licenses(t, made)] == []
+    for i, (name, t) in enumerate(license_dice.TEMPLATES):
+        if "\n" not in t:
+            assert got[i] == (name, 1.0)  # a notice is itself, not its relatives
+    # two templates that are equally near are both named; templates may come from a folder
+    for name in ("One", "Two"):
+        (tmp_path / f"{name}.txt").write_text(f"You may use {name} of these works for any purpose you like at all")
+    own = license_dice.read_templates(spark, str(tmp_path))
+    assert [n for n, _ in own] == ["One", "Two"]
+    tie = license_dice.scan(spark.createDataFrame([(1, "you may use three of these works for any purpose you like at all")], "doc_id long, text string"), templates=own).first()
+    assert tie.licenses == "One,Two" and tie.best == 22 / 26
+
+
 # ---- shared kernels
 
 
