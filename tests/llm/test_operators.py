@@ -309,6 +309,23 @@ def test_mixed_buckets_lose_no_link():
         assert across and all(top(a) == top(b) for a, b in across)
 
 
+def test_counts_lose_no_similar_pair():
+    r, hashes = random.Random(6), []
+    for g in range(30):
+        own = [r.randrange(1 << 32) for _ in range(r.randint(3, 400))]
+        for share in (0.0, 0.05, 0.15, 0.2, 0.3):
+            w = [r.randrange(1 << 32) if r.random() < share else x for x in own]
+            hashes.append(np.array(w[: max(1, int(len(w) * r.choice([1, 1, 0.8, 0.67])))], np.uint32))
+    n = np.array([len(h) for h in hashes])
+    counts = np.stack([np.minimum(np.bincount(h % order_minhash.CELLS, minlength=order_minhash.CELLS), 255) for h in hashes]).astype(np.uint8)
+    ids = np.arange(len(n))
+    got = order_minhash.may_be_similar(ids * 0, ids, n, counts)
+    want = {i for i in ids for j in range(i // 5 * 5, i // 5 * 5 + 5) if i != j and 5 * bits_lcs(hashes[i], hashes[j]) >= 2 * (n[i] + n[j])}
+    assert want <= set(np.flatnonzero(got).tolist()) and len(want) > 60
+    alone = order_minhash.may_be_similar(ids[::5] * 0, ids[::5], n[::5], counts[::5])
+    assert alone.sum() < 0.3 * len(alone)  # unrelated texts are mostly told apart
+
+
 @pytest.mark.parametrize("most", [6, 14, 42])
 def test_short_texts_are_candidates(spark, most):
     r, pairs = random.Random(0), []

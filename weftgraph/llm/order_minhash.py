@@ -12,13 +12,15 @@ Exact copies (the same words in the same order, by a 64-bit hash) are one text f
 steps then find the links, each on what the one before leaves in several components.  In each bucket
 of the first ``STAR`` hash functions every text is aligned with the bucket's least text, so copies are
 never expanded into all pairs.  In every bucket that holds several components, one text of each is
-aligned with one of the least component.  In the buckets that are still mixed (those of a passage that
-many unrelated texts share, or of a family of texts that are mostly less similar than the threshold)
-every pair of texts of different components is compared: by their lengths, by the words that they
-have in common (one matrix product for a block of texts), and if both allow the threshold by
-alignment.  Such a bucket is cut, in the order of its components, into parts that meet in tasks of
-their own; parts of one and the same component don't meet.  Nothing is capped: all texts that share a
-key and are similar come into one class.  The last step is quadratic in the texts of a mixed bucket.
+aligned with one of the least component, by a hash of text and bucket, so that a text meets many.  In
+the buckets that are still mixed (those of a passage that many unrelated texts share, or of a family
+of texts that are mostly less similar than the threshold) every pair of texts of different components
+is compared: by their lengths and by ``CELLS`` counts of hashed words (if these differ by more than a
+fifth of the words of both, so do the words), which leaves few; those by the words that they have in
+common (one matrix product for a block of texts), and if all allow the threshold by alignment.  Such a
+bucket is cut, in the order of its components, into parts that meet in tasks of their own; parts of
+one and the same component don't meet.  Nothing is capped: all texts that share a key and are similar
+come into one class.  The last step is quadratic in the texts of a mixed bucket.
 
 One changed word spoils five shingles, so short texts have keys of k = 1: those of up to ``SHORT``
 words pick ``PICKED_WORDS`` least labelled words, wherever the edits are; those of up to ``TINY``
@@ -60,7 +62,9 @@ SHORT, TINY = 64, 9
 #: Shingles hashed at once by all functions.
 BLOCK = 1 << 13
 #: Texts and bytes of word hashes in a part of a mixed bucket; a task holds two parts at once.
-PART, PART_BYTES = 256, 1 << 23
+PART, PART_BYTES = 1024, 1 << 23
+#: Counts of a text's hashed words, and texts whose counts are compared at once.
+CELLS, ROWS = 128, 128
 #: Pairs that are aligned without counting common words first, and words counted at once.
 FEW, COLUMNS = 32, 4096
 _A = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -211,8 +215,8 @@ def _banded(a: list[int], b: list[int], band: int) -> int:
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes those that are linked; texts: _node, _words (32-bit word hashes)."""
-    left = texts.withColumnsRenamed({"_node": "a", "_words": "wa"})
-    right = texts.withColumnsRenamed({"_node": "b", "_words": "wb"})
+    left = texts.select(F.col("_node").alias("a"), F.col("_words").alias("wa"))
+    right = texts.select(F.col("_node").alias("b"), F.col("_words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +229,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _word_hashes(rows: DataFrame) -> DataFrame:
-    """Of _node, _text: _node, _words."""
+    """Of _node, _text: _node, _words (32-bit hashes), _counts (of hashed words, 255 at most each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,9 +237,12 @@ def _word_hashes(rows: DataFrame) -> DataFrame:
             for i, j in chunks(at):
                 w = words(data, at[i : j + 1])
                 made = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(w.first.astype(np.int64) * 4), pa.py_buffer((w.hash >> np.uint64(32)).astype(np.uint32))])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), made.cast(pa.binary())], ["_node", "_words"])
+                owner = np.repeat(np.arange(j - i), w.counts)
+                counts = np.bincount(owner * CELLS + (w.hash >> np.uint64(32)).astype(np.int64) % CELLS, minlength=(j - i) * CELLS)
+                counts = np.minimum(counts, 255).astype(np.uint8).reshape(j - i, CELLS)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), made.cast(pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())], ["_node", "_words", "_counts"])
 
-    return rows.select("_node", "_text").mapInArrow(run, "_node long, _words binary")
+    return rows.select("_node", "_text").mapInArrow(run, "_node long, _words binary, _counts binary")
 
 
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -255,64 +262,94 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = buckets.where("_first and _node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
     found = similar(star, texts).checkpoint()
     # one text for each component of a bucket, with that of the least component
-    members = _placed(buckets.select("_key", "_node"), found)
-    ones = members.groupBy("_key", "_comp").agg(F.min("_node").alias("_one"))
-    least = ones.groupBy("_key").agg(F.min(F.struct("_comp", "_one")).alias("_least"), F.max("_comp").alias("_most")).where("_least._comp < _most")
-    star = ones.join(least, "_key").where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
+    members = _mixed(buckets.select("_key", "_node"), found)
+    ones = members.groupBy("_key", "_comp").agg(F.min_by("_node", F.xxhash64("_node", "_key")).alias("_one"))
+    star = ones.withColumn("_least", F.min(F.struct("_comp", "_one")).over(own)).where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
     found = found.unionByName(similar(star, texts)).distinct().checkpoint()
-    members = _placed(members.join(least, "_key", "left_semi").select("_key", "_node"), found)
-    mixed = members.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
-    more = _across(members.join(mixed, "_key", "left_semi"), texts)
+    more = _across(_mixed(members.select("_key", "_node"), found), texts)
     return made.select("_id", "_th", "_node"), found.unionByName(more).distinct().checkpoint()
 
 
-def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Of (_key, _node) the component (_comp) of each text by the links so far."""
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Of (_key, _node) the rows of buckets in several components by the links so far, with the component (_comp) of each text."""
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
-    return members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp")).checkpoint()
+    placed = members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
+    own = Window.partitionBy("_key")
+    return placed.withColumns({"_lo": F.min("_comp").over(own), "_hi": F.max("_comp").over(own)}).where("_lo < _hi").select("_key", "_node", "_comp").checkpoint()
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Rows sorted by their first columns, one list of slices for each group of equal ones; a group may go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        names = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(keys)])
+        if held and any(held[-1].column(c)[0].as_py() != names[c, 0] for c in range(keys)):
+            yield held
+            held = []
+        cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if k:
+                yield held
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield held
 
 
 def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """Of buckets (_key, _node, _comp) linked pairs (a, b) of different components, enough to connect all that are similar.
 
     Two parts of a bucket meet in one group, which a task goes through as its rows arrive, unless
-    both hold texts of one component only.
+    both hold texts of one component only.  Texts meet by their counts first; the words of those that
+    a text of the group may be similar to are sent after them.
     """
-    sized = buckets.join(texts.select("_node", F.length("_words").alias("_bytes")), "_node")
+    sized = buckets.join(texts.select("_node", F.length("_words").alias("_bytes"), "_counts"), "_node")
     order = Window.partitionBy("_key").orderBy("_comp", "_node")
     before = F.coalesce(F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # so many texts, and so many bytes, in a part: whichever is reached first begins another
-    own = sized.withColumn("_part", (F.floor((F.row_number().over(order) - 1) / PART) + F.floor(before / PART_BYTES)).cast("int")).drop("_bytes").checkpoint()
+    own = sized.withColumn("_part", (F.floor((F.row_number().over(order) - 1) / PART) + F.floor(before / PART_BYTES)).cast("int")).checkpoint()
     parts = own.groupBy("_key", "_part").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
     i, j = parts.toDF("_key", "_i", "_ilo", "_ihi"), parts.toDF("_key", "_j", "_jlo", "_jhi")
     meet = i.join(j, "_key").where("_i <= _j and (_ilo < _ihi or _jlo < _jhi or _ilo <> _jlo)").where("_i < _j or _ilo < _ihi").select("_key", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_part"))
     group = ["_key", "_i", "_j"]
-    sent = own.join(meet, ["_key", "_part"]).join(texts, "_node").select(*group, "_part", "_node", "_comp", "_words")
+    sent = own.join(meet, ["_key", "_part"]).select(*group, "_part", "_node", "_comp", (F.col("_bytes") / 4).cast("int").alias("_n"), "_counts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last group, which may go on
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_group(batches, 3):
+            part, comp, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (3, 5, 6))
+            counts = np.frombuffer(b"".join(x.as_py() for b in held for x in b.column(7)), np.uint8).reshape(-1, CELLS)
+            some = pa.array(np.flatnonzero(may_be_similar(part, comp, n, counts)))
+            yield pa.Table.from_batches(held).select(range(6)).take(some).combine_chunks().to_batches()[0] if len(some) else held[0].select(range(6)).slice(0, 0)
 
-        def done() -> pa.RecordBatch:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_group(batches, 3):
             part, node, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (3, 4, 5))
             found = linked_across(part, node, comp, [np.frombuffer(x.as_buffer(), np.uint32) for b in held for x in b.column(6)])
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            names = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)])
-            if held and any(held[-1].column(c)[0].as_py() != names[c, 0] for c in range(3)):
-                yield done()
-            cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-            for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if k:
-                    yield done()
-                held.append(b.slice(i, j - i))
-        if held:
-            yield done()
-
-    return sent.repartition(*group).sortWithinPartitions(*group, "_node").mapInArrow(run, "a long, b long").distinct()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    dealt = lambda rows: rows.repartition(*group).sortWithinPartitions(*group, "_node")
+    few = dealt(sent).mapInArrow(likely, "_key long, _i int, _j int, _part int, _node long, _comp long").checkpoint()
+    return dealt(few.join(texts.select("_node", "_words"), "_node").select(*few.columns, "_words")).mapInArrow(linked, "a long, b long").distinct()
+
+
+def may_be_similar(part: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Which texts of one group have another (of another component and, if there are two parts, part) that lengths and counts allow to be similar."""
+    out, two = np.zeros(len(n), bool), part.min() != part.max()
+    wide = counts.astype(np.int16)
+    for i in range(0, len(n), ROWS):
+        rows = slice(i, i + ROWS)
+        both = n[rows, None] + n[None, i:]
+        good = (comp[rows, None] != comp[None, i:]) & (5 * np.minimum(n[rows, None], n[None, i:]) >= 2 * both)
+        if two:
+            good &= part[rows, None] != part[None, i:]
+        a, b = np.nonzero(good)
+        for s in range(0, len(a), 1 << 16):
+            x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+            near = 5 * np.abs(wide[i + x] - wide[i + y]).sum(1, dtype=np.int64) <= both[x, y]
+            out[i + x[near]] = out[i + y[near]] = True
+    return out
 
 
 def linked_across(part: np.ndarray, node: np.ndarray, comp: np.ndarray, hashes: list[np.ndarray]) -> list[tuple[int, int]]:
