@@ -31,6 +31,11 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files and broadcasts of steps that are done, which Spark keeps until the driver's next full collection."""
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows without lineage, from files that every executor can read."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -68,6 +73,18 @@ def component_labels(edges: DataFrame, src: str = "src", dst: str = "dst", max_r
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("jumped"))
         new = cut(lower.join(jump, "label").select("u", "old", F.least("label", "jumped").alias("label")))
         if new.where("label <> old").isEmpty():
+            release(edges.sparkSession)
             return new.select(F.col("u").alias("id"), F.col("label").alias("component"))
         labels = new.select("u", "label")
     raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
+
+
+def largest_component(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges of the component with most nodes (of several, that of the least id), and of all nodes whether they are in it (id, inside)."""
+    found = component_labels(edges)
+    labels = cut(nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+    top = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
+    least = top.component if top else None
+    mask = labels.select("id", (F.col("component") == F.lit(least)).alias("inside"))
+    keep = mask.where("inside").select("id")
+    return nodes.join(keep, "id", "left_semi"), edges.join(keep.select(F.col("id").alias("src")), "src", "left_semi"), mask

@@ -15,7 +15,7 @@ _shipped: set[str] = set()
 def session(app: str = "weftgraph", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC, and Arrow; settings given win."""
     b = SparkSession.builder.appName(app)
-    for k, v in {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false", **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for k, v in {"spark.sql.adaptive.enabled": "true", "spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.pyspark.enabled": "true", "spark.ui.showConsoleProgress": "false", "spark.python.sql.dataFrameDebugging.enabled": "false", **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
     return b.getOrCreate()
 
@@ -26,6 +26,7 @@ ARROW_BYTES = 8 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Bound what a Python worker is sent at once, and send it this package (once for each application)."""
+    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")  # a call site for every column made is slow
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).removesuffix("b")) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
