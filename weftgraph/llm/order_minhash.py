@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import _WORD, Words, _mix, chunks, ensure_checkpoint_dir, keyed, utf8, words
-from weftgraph.operators.fixpoint import component_labels
+from weftgraph.operators.fixpoint import component_labels, release
 
 SHINGLE, SKETCHES, PICKED, PICKED_WORDS = 5, 64, 2, 5
 #: Hash functions whose buckets are aligned with their least text first.
@@ -259,6 +259,7 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = made.join(buckets.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row")).select("_node", F.col("_row._id").alias("_wid"), F.col("_row._th").alias("_wth"))
     texts = rows.join(wanted, rows["_id"].eqNullSafe(F.col("_wid")) & (rows["_th"] == F.col("_wth"))).dropDuplicates(["_node"])
     texts = _word_hashes(texts).checkpoint()
+    release(rows.sparkSession)
     star = buckets.where("_first and _node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
     found = similar(star, texts).checkpoint()
     # one text for each component of a bucket, with that of the least component
@@ -267,6 +268,7 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = ones.withColumn("_least", F.min(F.struct("_comp", "_one")).over(own)).where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
     found = found.unionByName(similar(star, texts)).distinct().checkpoint()
     more = _across(_mixed(members.select("_key", "_node"), found), texts)
+    release(rows.sparkSession)
     return made.select("_id", "_th", "_node"), found.unionByName(more).distinct().checkpoint()
 
 
