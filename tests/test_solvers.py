@@ -123,14 +123,70 @@ def test_eigenpairs(spark, small):
     v = np.stack([column(vecs, name=f"v{j}") for j in range(4)], 1)
     assert np.abs(lap @ v - v * vals).max() < 1e-8
     assert np.allclose(linear.eigen_decomp(nodes, edges, 4, method="lowrank", sweeps=300)[0], want, atol=1e-4)
-    shifted = calculus.laplacian(nodes, edges, "normalized").select("src", "dst", (-F.col("w")).alias("w")).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(2.0).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-    top, _ = linear.subspace_distributed(nodes, shifted, 2, 25)
-    assert abs(2 - top[0]) < 1e-2
     f = column(linear.fiedler_vector(nodes, edges, tol=1e-14))
     vals, vecs = np.linalg.eigh(np.diag(d) - w)
     assert abs(abs(f @ vecs[:, 1]) - 1) < 1e-3 and f[0] <= 0
 
 
+@pytest.mark.parametrize(("kind", "gamma"), [("randomwalk", 0.0), ("combinatorial", 0.5)])
+def test_distributed_eigenpairs(spark, small, kind, gamma):
+    nodes, edges, w = small
+    d = w.sum(1)
+    lap = np.diag(d) - w + gamma / d.sum() * np.outer(d, d) if kind == "combinatorial" else np.eye(40) - w / (np.sqrt(d[:, None] * d[None]) if kind == "normalized" else d[:, None])
+    want = np.sort(np.linalg.eigvals(lap).real)[:2]
+    vals, vecs = linear.eigen_decomp(nodes, edges, 2, kind, gamma=gamma, tol=1e-4, plan="distributed")
+    assert np.allclose(vals, want, atol=1e-5)
+    v = np.stack([column(vecs, name=f"v{j}") for j in range(2)], 1)
+    assert np.abs(lap @ v - v * vals).max() < 1e-2
+
+
+def test_distributed_reweighting(spark, small):
+    nodes, edges, w = small
+    d = w.sum(1)
+    train = spark.createDataFrame([(0, 0), (7, 1), (9, 1)], "id long, label int")
+    key = lambda r: (r.src, r.dst)
+    f = np.zeros(40)
+    f[[0, 7, 9]] = 1
+    f -= np.sum(np.sqrt(d) * f) / np.sqrt(d).sum()
+    lap = np.eye(40) - w / np.sqrt(d[:, None] * d[None])
+    x, y = (np.array([r.w for r in sorted(linear.reweight_poisson(nodes, edges, train, True, tol=t, plan=p).collect(), key=key)]) for p, t in (("local", 1e-10), ("distributed", 1e-2)))
+    assert np.allclose(x, y, rtol=0.05, atol=1e-2)
+    # the solution that is orthogonal to the roots of the degrees, as the iteration from zero gives it
+    u = np.linalg.lstsq(lap, f, rcond=None)[0]
+    u = u - u.min() + 1e-5
+    assert np.allclose(x, [u[r.src] * w[r.src, r.dst] * u[r.dst] for r in sorted(edges.collect(), key=key)], rtol=1e-3, atol=1e-7)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_extension_as_joins(spark, small, weighted):
+    nodes, edges, _ = small
+    wide = spark.createDataFrame([(0, 0.0, 1.0), (1, 1.0, 0.0), (5, 0.5, 0.5)], "id long, u0 double, u1 double")
+    got = nonlinear.amle_joins(nodes, edges, wide, ["u0", "u1"], weighted, rounds=3)
+    g = local.gather(nodes, edges)
+    for c, value in (("u0", [0.0, 1.0, 0.5]), ("u1", [1.0, 0.0, 0.5])):
+        assert np.allclose(column(got, name=c), nonlinear.amle_local(g, np.array([0, 1, 5]), np.array(value), weighted, -1.0, 3), atol=1e-7)
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0])
+def test_eikonal_equation_as_joins(spark, small, p):
+    nodes, edges, w = small
+    wide = spark.createDataFrame([(0, 0.0, None), (1, None, 0.0)], "id long, u0 double, u1 double")
+    got = nonlinear.peikonal_joins(nodes, edges, wide, ["u0", "u1"], p, tol=1e-9)
+    for at, c in ((0, "u0"), (1, "u1")):
+        want = column(nonlinear.peikonal(nodes, edges, spark.createDataFrame([(at, 0.0)], "id long, g double"), p))
+        assert np.allclose(column(got, name=c), want, atol=1e-6)
+
+
+def test_largest_component(spark):
+    from weftgraph.operators import fixpoint
+
+    nodes = spark.range(8).select("id")
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0), (3, 4, 1.0), (4, 3, 1.0), (4, 5, 2.0), (5, 4, 2.0)], "src long, dst long, w double")
+    own, inner, mask = fixpoint.largest_component(nodes, edges)
+    assert sorted(r.id for r in own.collect()) == [3, 4, 5] and inner.count() == 4
+    assert {r.id for r in mask.where("inside").collect()} == {3, 4, 5} and mask.count() == 8
+
+
 def test_hungarian_and_kmeans():
     from itertools import permutations
 

@@ -16,20 +16,20 @@ MEASURES = ("norm", "entropy", "least_confidence", "smallest_margin", "largest_m
 def uncertainty(scores: DataFrame, measure: str = "smallest_margin") -> DataFrame:
     """id, a: uncertainty of a node's class scores (id, cls, u); greater is less certain.
 
-    norm: length of softmax(u) less the hot vector of the argmax; entropy: max p - sum p log(p + 1e-5)
-    of the scores; least_confidence 1 - max; smallest_margin 1 - (first - second); largest_margin
+    norm: length of p = softmax(u) less the hot vector of the argmax; entropy: max p - sum
+    p log(p + 1e-5); of the scores themselves: least_confidence 1 - max; smallest_margin 1 - (first - second); largest_margin
     1 - (first - last); unc_2norm 1 - length.
     """
     u = scores.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("cls", "u"))).alias("r")).select("id", F.transform("r", lambda x: x["u"]).alias("u"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     down = F.sort_array("u", asc=False)
+    e = F.transform("u", lambda x: F.exp(x - F.array_max("u")))
+    p = F.transform(e, lambda x: x / total(e))
     if measure == "norm":
-        e = F.transform("u", lambda x: F.exp(x - F.array_max("u")))
-        p = F.transform(e, lambda x: x / total(e))
         first = F.array_position("u", F.array_max("u"))
         a = F.sqrt(total(F.transform(p, lambda x, i: (x - F.when(i + 1 == first, 1.0).otherwise(0.0)) ** 2)))
     elif measure == "entropy":
-        a = F.array_max("u") - total(F.transform("u", lambda x: x * F.log(x + 1e-5)))
+        a = F.array_max(p) - total(F.transform(p, lambda x: x * F.log(x + 1e-5)))
     elif measure == "least_confidence":
         a = 1 - F.array_max("u")
     elif measure == "smallest_margin":
@@ -48,24 +48,40 @@ def _kernel(c: DataFrame) -> DataFrame:
     return c.groupBy(F.col("j").alias("id")).agg(F.sum(F.col("c") * F.col("c")).alias("sq"), F.sum("c").alias("s"), F.sum(F.when(F.col("i") == F.col("j"), F.col("c")).otherwise(0.0)).alias("d"))
 
 
+def _variance(parts: DataFrame, gamma2: float) -> DataFrame:
+    return parts.select("id", (F.col("sq") / (gamma2 + F.col("d"))).alias("a"))
+
+
+def _sigma(parts: DataFrame, gamma2: float) -> DataFrame:
+    return parts.select("id", (F.col("s") * F.col("s") / (gamma2 + F.col("d"))).alias("a"))
+
+
+def _change(parts: DataFrame, scores: DataFrame, measure: str, gamma2: float) -> DataFrame:
+    return uncertainty(scores, measure).join(parts, "id").select("id", (F.col("a") * F.sqrt("sq") / (gamma2 + F.col("d"))).alias("a"))
+
+
+def _change_variance(parts: DataFrame, scores: DataFrame, measure: str, gamma2: float) -> DataFrame:
+    return uncertainty(scores, measure).join(parts, "id").select("id", (F.col("a") * F.col("sq") / (gamma2 + F.col("d"))).alias("a"))
+
+
 def variance(c: DataFrame, gamma2: float = 0.01) -> DataFrame:
     """VOpt: squared length of a column over gamma2 + its diagonal."""
-    return _kernel(c).select("id", (F.col("sq") / (gamma2 + F.col("d"))).alias("a"))
+    return _variance(_kernel(c), gamma2)
 
 
 def sigma(c: DataFrame, gamma2: float = 0.01) -> DataFrame:
     """Sigma-optimality: squared column sum over gamma2 + the diagonal."""
-    return _kernel(c).select("id", (F.col("s") * F.col("s") / (gamma2 + F.col("d"))).alias("a"))
+    return _sigma(_kernel(c), gamma2)
 
 
 def model_change(c: DataFrame, scores: DataFrame, measure: str = "smallest_margin", gamma2: float = 0.01) -> DataFrame:
     """Uncertainty times a column's length over gamma2 + the diagonal."""
-    return uncertainty(scores, measure).join(_kernel(c), "id").select("id", (F.col("a") * F.sqrt("sq") / (gamma2 + F.col("d"))).alias("a"))
+    return _change(_kernel(c), scores, measure, gamma2)
 
 
 def model_change_variance(c: DataFrame, scores: DataFrame, measure: str = "smallest_margin", gamma2: float = 0.01) -> DataFrame:
     """Uncertainty times a column's squared length over gamma2 + the diagonal."""
-    return uncertainty(scores, measure).join(_kernel(c), "id").select("id", (F.col("a") * F.col("sq") / (gamma2 + F.col("d"))).alias("a"))
+    return _change_variance(_kernel(c), scores, measure, gamma2)
 
 
 def downdate(c: DataFrame, k: int, gamma2: float = 0.01) -> DataFrame:
@@ -85,11 +101,24 @@ class TruncatedKernel:
         rows = [F.array(*[F.lit(float(x)) for x in r]) for r in m]
         return F.array(*[F.aggregate(F.zip_with("v", r, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for r in rows])
 
-    def variance(self) -> DataFrame:
-        """As ``variance``: for an orthonormal basis a column's length is that of C v."""
+    def _parts(self) -> DataFrame:
+        """Of each node with its column C v: sq (squared length), s (sum), d (v . C v); for an orthonormal basis sq is that of the full column."""
         cv = self.basis.select("id", "v", self._apply(self.c).alias("cv"))
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        return cv.select("id", (dot("cv", "cv") / (self.gamma2 + dot("v", "cv"))).alias("a"))
+        return cv.select("id", dot("cv", "cv").alias("sq"), F.aggregate("cv", F.lit(0.0), lambda s, x: s + x).alias("s"), dot("v", "cv").alias("d"))
+
+    def variance(self) -> DataFrame:
+        return _variance(self._parts(), self.gamma2)
+
+    def sigma(self) -> DataFrame:
+        """The squared sum of C v over gamma2 + v . C v, in the coordinates of the basis."""
+        return _sigma(self._parts(), self.gamma2)
+
+    def model_change(self, scores: DataFrame, measure: str = "smallest_margin") -> DataFrame:
+        return _change(self._parts(), scores, measure, self.gamma2)
+
+    def model_change_variance(self, scores: DataFrame, measure: str = "smallest_margin") -> DataFrame:
+        return _change_variance(self._parts(), scores, measure, self.gamma2)
 
     def update(self, k: int) -> None:
         v = np.array(self.basis.where(F.col("id") == k).first().v, float)

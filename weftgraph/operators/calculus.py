@@ -62,8 +62,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def random_weights(edges: DataFrame, kind: str = "uniform", seed: int = 0) -> DataFrame:
-    """Random values on the pattern of the edges: a function of both ids and the seed, the same on any partitioning."""
-    u = lambda s: (F.pmod(F.xxhash64("src", "dst", F.lit(seed), F.lit(s)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """Random values on the pattern of the edges: a function of both ids and the seed, the same on any partitioning.
+
+    Numbers are the first 52 bits of the MD5 of "src:dst:seed:which", which any database has.
+    """
+    u = lambda s: (F.conv(F.substring(F.md5(F.concat_ws(":", "src", "dst", F.lit(seed), F.lit(s)).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     w = u(1) if kind == "uniform" else F.sqrt(-2 * F.log(u(1))) * F.cos(2 * F.pi() * u(2))
     return edges.select("src", "dst", w.alias("w"))
 

@@ -8,17 +8,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import linear, local
+from weftgraph.operators.fixpoint import cut
 
 
 def _labels(spark, g: local.Local, y: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame({"id": g.ids, "cluster": y.astype(np.int32)}))
 
 
-def spectral(nodes: DataFrame, edges: DataFrame, k: int, method: str = "NgJordanWeiss", extra_dim: int = 0, seed: int = 0) -> DataFrame:
-    """id, cluster: k-means on eigenvectors: combinatorial, ShiMalik (randomwalk), or NgJordanWeiss (rows of the normalized ones, normalised)."""
+def spectral(nodes: DataFrame, edges: DataFrame, k: int, method: str = "NgJordanWeiss", extra_dim: int = 0, seed: int = 0, plan: str = "auto") -> DataFrame:
+    """id, cluster: k-means on eigenvectors: combinatorial, ShiMalik (randomwalk), or NgJordanWeiss (rows of the normalized ones, normalised).
+
+    Beyond ``local.MAX_NODES`` eigenvectors are joins and k-means is Spark's.
+    """
     kinds = {"combinatorial": "combinatorial", "ShiMalik": "randomwalk", "NgJordanWeiss": "normalized"}
     if method not in kinds:
         raise ValueError(f"method is one of {', '.join(kinds)}")
+    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        _, v = linear.eigen_decomp(nodes, edges, k + extra_dim, kinds[method], plan="distributed")
+        x = F.array(*v.columns[1:])
+        length = F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, a: s + a * a)), F.lit(1e-300))
+        rows = v.select("id", array_to_vector(F.transform(x, lambda a: a / length) if method == "NgJordanWeiss" else x).alias("features"))
+        rows = cut(rows.select("id", "features"))
+        found = min((KMeans(k=k, seed=seed + i, maxIter=100).fit(rows) for i in range(3)), key=lambda m: m.summary.trainingCost)
+        return found.transform(rows).select("id", F.col("prediction").cast("int").alias("cluster"))
     g = local.gather(nodes, edges)
     _, v = linear.eigen_local(g, k + extra_dim, kinds[method])
     if method == "NgJordanWeiss":
@@ -39,10 +54,10 @@ def _expm(a: np.ndarray) -> np.ndarray:
 
 
 def fokker_planck(nodes: DataFrame, edges: DataFrame, k: int, t: float = 1.0, beta: float = 0.5, rho: np.ndarray | None = None, seed: int = 0) -> DataFrame:
-    """id, cluster: k-means on the rows of expm(Q t), Q mixing mean shift (beta) and the Coifman-Lafon diffusion (1 - beta)."""
+    """id, cluster: k-means on the rows of expm(Q t), Q mixing mean shift to higher density rho (beta; the same everywhere unless given) and the Coifman-Lafon diffusion (1 - beta)."""
     g = local.gather(nodes, edges)
     w, d = g.dense(), np.where(g.degree > 0, g.degree, 1)
-    rho = rho if rho is not None else d / d.max()
+    rho = np.asarray(rho, float) if rho is not None else np.ones(g.n)
     up = np.maximum(w * (1 / rho[:, None] - 1 / rho[None, :]), 0)  # towards higher density
     shift = up - np.diag(up.sum(1))
     wa = w / d[:, None] / d[None, :]
@@ -50,74 +65,86 @@ def fokker_planck(nodes: DataFrame, edges: DataFrame, k: int, t: float = 1.0, be
     return _labels(nodes.sparkSession, g, local.kmeans(_expm((beta * shift + (1 - beta) * diffusion) * t), k, seed))
 
 
-def incres(nodes: DataFrame, edges: DataFrame, k: int, speed: float = 5.0, max_rounds: int = 200, seed: int = 0) -> DataFrame:
-    """id, cluster: plant seeds in each class, grow them by the walk until every node is reached, harvest by argmax, plant more."""
+def incres(nodes: DataFrame, edges: DataFrame, k: int, speed: float = 5.0, rounds: int = 200, seed: int = 0) -> DataFrame:
+    """id, cluster: plant seeds in each class, grow them by the walk until each class reaches every node, harvest by argmax, plant more; so many rounds.
+
+    Growth also ends where it reaches no further node (a graph in several components).
+    """
     g = local.gather(nodes, edges)
     rng, n = np.random.default_rng(seed), g.n
     more = max(int(speed * 1e-4 * n / k), 1)
     walk = g.with_weights(g.w / np.where(g.degree > 0, g.degree, 1)[g.col])
-    y = rng.integers(0, k, n)
-    m = 1
-    for _ in range(max_rounds):
+    y, m = rng.integers(0, k, n), 1
+    for _ in range(rounds):
         f = np.zeros((n, k))
         for c in range(k):
             own = np.flatnonzero(y == c)
             if len(own):  # an empty class plants nothing
-                np.add.at(f[:, c], own[rng.integers(0, len(own), m)], 1.0)
-        for _ in range(n):
-            if (f.max(1) > 0).all():
+                f[own[rng.integers(0, len(own), m)], c] = 1.0
+        reached = 0
+        for step in range(2 * n):
+            some = int((f > 0).sum())
+            if some == n * k or step > n and some <= reached:
                 break
-            new = walk.times(f)
-            if ((new > 0) == (f > 0)).all() and (f.max(1) == 0).any():
-                f = new
-                break  # what isn't reached by now never is
-            f = new
-        new_y = np.where(f.max(1) > 0, f.argmax(1), y)
+            reached = max(reached, some)
+            f = walk.times(f)
+        y = np.where(f.max(1) > 0, f.argmax(1), y)
         m += more
-        if (new_y == y).all() or m > n / k:
-            y = new_y
-            break
-        y = new_y
     return _labels(nodes.sparkSession, g, y)
 
 
-def withinss(values: DataFrame, col: str = "x") -> DataFrame:
-    """Best split of numbers in two by squares within: w (within over total) and threshold (the greatest value of the left part).
+def _splits(values: DataFrame, by: list[str], total: DataFrame) -> DataFrame:
+    """Of numbers (``by``, x) the gain of each split: by, x, n1, gain; distinct values in order, by range partitions and their sums.
 
-    Distinct values are counted first, so equal numbers never straddle a split; prefix sums run over
-    the distinct values in order.
+    Prefix sums run within each partition; what lies in the partitions before it is added from a
+    table of a row for each partition, so that no task sees all values.
     """
-    counts = values.groupBy(F.col(col).cast("double").alias("x")).agg(F.count("*").alias("n"))
-    total = values.agg(F.count("*").alias("N"), F.sum(F.col(col).cast("double")).alias("S"), F.sum(F.col(col).cast("double") ** 2).alias("Q"))
-    order = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select("x", F.sum("n").over(order).alias("n1"), F.sum(F.col("x") * F.col("n")).over(order).alias("s1")).crossJoin(F.broadcast(total)).where("n1 < N")
+    counts = values.groupBy(*by, "x").agg(F.count("*").alias("n"))
+    parts = counts.repartitionByRange(*by, "x").sortWithinPartitions(*by, "x").withColumn("part", F.spark_partition_id())
+    parts = cut(parts)
+    inside = Window.partitionBy("part", *by).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    sums = parts.groupBy("part", *by).agg(F.sum("n").alias("n"), F.sum(F.col("x") * F.col("n")).alias("s"))
+    ahead = Window.partitionBy(*(by or [F.lit(1)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("part", *by, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(ahead), F.lit(0.0)).alias("s0"))
+    run = parts.select("part", *by, "x", F.sum("n").over(inside).alias("n1"), F.sum(F.col("x") * F.col("n")).over(inside).alias("s1"))
+    run = run.join(F.broadcast(before), ["part", *by]).withColumns({"n1": F.col("n1") + F.col("n0"), "s1": F.col("s1") + F.col("s0")})
+    run = (run.join(F.broadcast(total), by) if by else run.join(F.broadcast(total), F.lit(True))).where("n1 < N")
     gain = F.col("s1") * F.col("s1") / F.col("n1") + (F.col("S") - F.col("s1")) * (F.col("S") - F.col("s1")) / (F.col("N") - F.col("n1"))
-    spread = F.col("Q") - F.col("S") * F.col("S") / F.col("N")
-    return run.select(((F.col("Q") - gain) / spread).alias("w"), F.col("x").alias("threshold"), gain.alias("gain")).orderBy(F.desc("gain"), "threshold").limit(1).select("w", "threshold")
+    return run.select(*by, "x", gain.alias("gain"), "N", "S", "Q")
 
 
-def _split(x: np.ndarray) -> tuple[float, float]:
-    """withinss in numpy."""
-    s = np.sort(x)
-    n, total = len(s), s.sum()
-    n1 = np.arange(1, n)
-    s1 = np.cumsum(s)[:-1]
-    gain = np.where(s[1:] > s[:-1], s1**2 / n1 + (total - s1) ** 2 / (n - n1), -np.inf)
-    i = int(gain.argmax())
-    return ((s * s).sum() - gain[i]) / max((s * s).sum() - total * total / n, 1e-300), s[i]
+def _best_splits(values: DataFrame, by: list[str]) -> DataFrame:
+    """Of numbers (``by``, x) the best split of each: by, w (squares within over all), threshold; ties to the least threshold."""
+    total = cut(values.groupBy(*by).agg(F.count("*").alias("N"), F.sum("x").alias("S"), F.sum(F.col("x") * F.col("x")).alias("Q")))
+    best = _splits(values, by, total).groupBy(*by).agg(F.max(F.struct("gain", (-F.col("x")).alias("x"))).alias("b"), F.first("N").alias("N"), F.first("S").alias("S"), F.first("Q").alias("Q")).where("b is not null")
+    return best.select(*by, ((F.col("Q") - F.col("b.gain")) / (F.col("Q") - F.col("S") * F.col("S") / F.col("N"))).alias("w"), (-F.col("b.x") + 0.0).alias("threshold"))
+
+
+def withinss(values: DataFrame, col: str = "x") -> DataFrame:
+    """Best split of numbers in two by squares within: w (within over total) and threshold (the greatest value of the left part).
+
+    Distinct values are counted first, so equal numbers never straddle a split; no rows without two
+    different values.
+    """
+    return _best_splits(values.select(F.col(col).cast("double").alias("x")).where("x is not null"), [])
 
 
-def rp1d(points: DataFrame, tries: int = 100, seed: int = 0, sample: int = 100_000) -> DataFrame:
-    """id, cluster: the best of some random projections (uniform on [0, 1]^d), split in two by squares within.
+def rp1d(points: DataFrame, tries: int = 100, seed: int = 0, at_once: int = 10) -> DataFrame:
+    """id, cluster: the best of some random projections (uniform on [0, 1]^d), split in two by squares within, over all points.
 
-    Projections are compared on a bounded sample of points; the chosen threshold decides all points.
+    ``at_once`` projections share a pass; each is a sort of its numbers by range.
     """
-    drawn = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).toPandas()
-    x = np.array(drawn["x"].tolist(), float)
-    ways = np.random.default_rng(seed).uniform(size=(tries, x.shape[1]))
-    best = min(((*_split(x @ v), v) for v in ways), key=lambda r: r[0])
-    height = F.aggregate(F.zip_with("x", F.array(*[F.lit(float(a)) for a in best[2]]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return points.select("id", F.when(height > float(best[1]), 1).otherwise(0).cast("int").alias("cluster"))
+    dims = points.select(F.size("x")).first()
+    ways = np.random.default_rng(seed).uniform(size=(tries, dims[0] if dims else 0))
+    height = lambda v: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(a)) for a in v]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    found = []
+    for i in range(0, tries, at_once):
+        some = points.select(F.posexplode(F.array(*[height(v) for v in ways[i : i + at_once]])).alias("way", "x"))
+        found += [(r.w, i + r.way, r.threshold) for r in _best_splits(some, ["way"]).collect() if r.w is not None]
+    if not found:  # all points are one
+        return points.select("id", F.lit(0).alias("cluster"))
+    _, way, threshold = min(found)
+    return points.select("id", F.when(height(ways[way]) > float(threshold), 1).otherwise(0).cast("int").alias("cluster"))
 
 
 def confusion(labels: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -1,22 +1,27 @@
-"""Nearest neighbours of all points: exact in blocks, or by a forest of random projections.
+"""Nearest neighbours of all points: exact in slices, or by a forest of random projections.
 
 Points are (id, x array<double>).  Both plans return (src, dst, dist, rank) with ranks from 1 and
-without the point itself, ties broken by id.
+without the point itself, ties broken by id.  The exact search is what is done unless the forest is
+asked for by name, at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points in a block of the exact search; a task holds two blocks and one matrix of their distances.
+from weftgraph.operators.fixpoint import cut
+
+#: Points in a block of the exact search; a task holds one matrix of the distances between two blocks.
 BLOCK = 2048
-#: Points from which the exact search, quadratic in all, gives way to the forest.
-EXACT_LIMIT = 200_000
+#: Bytes of the points that are sent to every task at once.
+SLICE_BYTES = 64 << 20
 #: Trees, points in a leaf, and points that the trees' splits are drawn from (a bounded sample).
 TREES, LEAF, SAMPLE = 10, 512, 20_000
 SIMILARITIES = ("euclidean", "angular", "manhattan", "hamming", "dot")
@@ -63,24 +68,57 @@ def _ranked(found: DataFrame, k: int, similarity: str) -> DataFrame:
     return out.withColumn("dist", -F.col("dist")) if similarity == "dot" else out
 
 
-def knn_exact(points: DataFrame, k: int, similarity: str = "euclidean", n: int | None = None) -> DataFrame:
-    """Exact neighbours: every block of points meets every other in a task of its own.
+def _arrays(ids: pa.ChunkedArray | pa.Array, x: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    n = len(x)
+    return ids.to_numpy(), x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
-    Each pair of blocks returns only the k best of each point, so what is shuffled grows with
-    blocks times points, not with pairs of points.
-    """
-    blocks = max(1, -(-(n if n is not None else points.count()) // BLOCK))
-    cut = points.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    query = cut.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "block")
-    base = cut.select(F.col("id").alias("bid"), F.col("x").alias("bx"), F.col("block").alias("bother"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bblock"))
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "dist": pd.Series(dtype="float64")})
-        return nearest(a["id"].to_numpy(), _matrix(a["x"]), b["bid"].to_numpy(), _matrix(b["bx"]), k, similarity)
+def _best(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    """The k nearest of each point among what several blocks gave."""
+    all_ = found[0] if len(found) == 1 else pd.concat(found).sort_values(["src", "dist", "dst"], kind="stable")
+    rank = all_.groupby("src", sort=False).cumcount() + 1
+    return all_.assign(rank=rank.astype("int32"))[rank <= k]
 
-    found = query.groupBy("block", "other").cogroup(base.groupBy("bblock", "bother")).applyInPandas(run, "src long, dst long, dist double")
-    return _ranked(found, k, similarity)
+
+def knn_exact(points: DataFrame, k: int, similarity: str = "euclidean", n: int | None = None) -> DataFrame:
+    """Exact neighbours: slices of the points of at most ``SLICE_BYTES`` go to every task, one after the other, and meet all points there.
+
+    A point's vector is dealt out once; what is shuffled after that are the k best of each point in
+    each slice, as numbers.  The work is quadratic in the points.
+    """
+    spark = points.sparkSession
+    points = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
+    n = n if n is not None else points.count()
+    dims = points.agg(F.max(F.size("x"))).first()[0] or 1
+    slices, blocks = max(1, -(-n * dims * 8 // SLICE_BYTES)), -(-n // BLOCK)
+    points = cut(points) if slices > 1 else points
+    query = points.repartition(blocks, "id") if blocks > 1 else points
+
+    def meet(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids_b, b = sent.value
+            for batch in batches:
+                for i in range(0, batch.num_rows, BLOCK):
+                    ids_a, a = _arrays(batch.column(0).slice(i, BLOCK), batch.column(1).slice(i, BLOCK))
+                    found = [nearest(ids_a, a, ids_b[j : j + BLOCK], b[j : j + BLOCK], k, similarity) for j in range(0, len(ids_b), BLOCK)]
+                    if found:
+                        yield pa.RecordBatch.from_pandas(_best(found, k)[["src", "dst", "dist", "rank"]], preserve_index=False)
+
+        return query.mapInArrow(run, "src long, dst long, dist double, rank int")
+
+    parts = []
+    for s in range(slices):
+        own = (points if slices == 1 else points.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s)).toArrow()
+        ids, x = _arrays(own.column("id"), own.column("x"))
+        order = np.argsort(ids, kind="stable")
+        sent = spark.sparkContext.broadcast((ids[order], x[order]))
+        parts.append(meet(sent) if slices == 1 else cut(meet(sent)))
+        if slices > 1:
+            sent.unpersist()
+    if slices == 1:
+        return parts[0].withColumn("dist", -F.col("dist")) if similarity == "dot" else parts[0]
+    return _ranked(reduce(DataFrame.unionByName, parts).drop("rank"), k, similarity)
 
 
 def _forest(sample: np.ndarray, leaf: int, seed: int) -> list[list[tuple[np.ndarray, float]]]:
@@ -153,13 +191,10 @@ def knn_forest(points: DataFrame, k: int, similarity: str = "euclidean", n: int
     return _ranked(found, k, similarity)
 
 
-def knn(points: DataFrame, k: int, similarity: str = "euclidean", method: str = "auto") -> DataFrame:
-    """Neighbours by the exact search up to ``EXACT_LIMIT`` points, by the forest beyond; or as named."""
+def knn(points: DataFrame, k: int, similarity: str = "euclidean", method: str = "exact") -> DataFrame:
+    """Neighbours by the exact search, or by the forest (approximate) if that is named."""
     if similarity not in SIMILARITIES:
         raise ValueError(f"unknown similarity {similarity!r}; known: {', '.join(SIMILARITIES)}")
-    n = points.count()
-    if method == "auto":
-        method = "exact" if n <= EXACT_LIMIT else "forest"
     if method not in ("exact", "forest"):
-        raise ValueError("method is auto, exact or forest")
-    return (knn_exact if method == "exact" else knn_forest)(points, k, similarity, n)
+        raise ValueError("method is exact or forest")
+    return (knn_exact if method == "exact" else knn_forest)(points, k, similarity)

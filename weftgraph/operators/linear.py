@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators import local
@@ -15,8 +15,8 @@ from weftgraph.operators.fixpoint import cut
 
 def spmv(nodes: DataFrame, a: DataFrame, u: DataFrame, cols: list[str]) -> DataFrame:
     """id and the columns of A u: one join and one grouped sum for all columns, partly summed in each task."""
-    sums = a.join(u.select(F.col("id").alias("dst"), *cols), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in cols])
-    return nodes.select("id").join(sums, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in cols])
+    sums = a.join(u.select(F.col("id").alias("dst"), *cols), "dst").groupBy(F.col("src").alias("id")).agg(*[F.expr(f"sum(w * {c}) AS {c}") for c in cols])
+    return nodes.select("id").join(sums, "id", "left").selectExpr("id", *[f"coalesce({c}, 0D) AS {c}" for c in cols])
 
 
 def conjgrad(nodes: DataFrame, a: DataFrame, b: DataFrame, cols: list[str], tol: float = 1e-10, max_iter: int = 10_000, plan: str = "auto") -> DataFrame:
@@ -99,8 +99,13 @@ def page_rank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, teleport:
     return u
 
 
+def number(x: float) -> str:
+    """A double in SQL, in brackets."""
+    return f"({float(x)!r}D)"
+
+
 def _gram(u: DataFrame, cols: list[str]) -> np.ndarray:
-    got = u.agg(*[F.sum(F.col(a) * F.col(b)) for i, a in enumerate(cols) for b in cols[i:]]).first()
+    got = u.selectExpr(*[f"sum({a} * {b})" for i, a in enumerate(cols) for b in cols[i:]]).first()
     out, at = np.zeros((len(cols), len(cols))), 0
     for i in range(len(cols)):
         for j in range(i, len(cols)):
@@ -109,46 +114,124 @@ def _gram(u: DataFrame, cols: list[str]) -> np.ndarray:
     return out
 
 
-def _mixed(u: DataFrame, cols: list[str], m: np.ndarray) -> DataFrame:
-    mix: list[Column] = [reduce(lambda x, y: x + y, [float(m[i, j]) * F.col(c) for i, c in enumerate(cols)]).alias(cols[j]) for j in range(m.shape[1])]
-    return u.select("id", *mix)
+def _mixture(cols: list[str], m: np.ndarray, names: list[str]) -> list[str]:
+    return [" + ".join(f"{number(m[i, j])} * {c}" for i, c in enumerate(cols)) + f" AS {names[j]}" for j in range(m.shape[1])]
+
+
+def _mixed(u: DataFrame, cols: list[str], m: np.ndarray, names: list[str]) -> DataFrame:
+    return u.selectExpr("id", *_mixture(cols, m, names))
+
+
+Operator = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def _started(nodes: DataFrame, cols: list[str], seed: int) -> DataFrame:
+    """Columns of numbers in [-1/2, 1/2) that are functions of the id and the seed."""
+    return nodes.selectExpr("id", *[f"pmod(xxhash64(id, {seed}, {j}), {1 << 52}) / {float(1 << 52)!r}D - 0.5D AS {c}" for j, c in enumerate(cols)])
+
+
+def _orthonormal(u: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """The span of the columns, orthonormalised by the eigenvectors of their Gram matrix; dependent columns go."""
+    for _ in range(2):  # the second time mends what rounding leaves
+        vals, vecs = np.linalg.eigh(_gram(u, cols))
+        good = vals > 1e-13 * max(vals.max(), 1e-300)
+        new = [f"v{j}" for j in range(int(good.sum()))]
+        u = cut(_mixed(u, cols, vecs[:, good] / np.sqrt(vals[good]), new))
+        cols = new
+    return u, cols
+
+
+def laplacian_operator(nodes: DataFrame, edges: DataFrame, kind: str = "normalized", gamma: float = 0.0) -> tuple[Operator, float]:
+    """u -> L u (+ gamma d (d . u) / sum of d) on columns, as joins, and a bound of its spectrum; randomwalk stands for normalized."""
+    kind = "combinatorial" if kind == "combinatorial" else "normalized"
+    a = cut(laplacian(nodes, edges, kind))
+    d = cut(degrees(nodes, edges))
+    most, total, squares = d.agg(F.max("d"), F.sum("d"), F.sum(F.col("d") * F.col("d"))).first()
+    top = 2 * most if kind == "combinatorial" else 2.0
+
+    def apply(u: DataFrame, cols: list[str]) -> DataFrame:
+        out = spmv(nodes, a, u, cols)
+        if gamma:
+            dots = u.join(d, "id").selectExpr(*[f"sum(d * {c})" for c in cols]).first()
+            out = out.join(d, "id").selectExpr("id", *[f"{c} + {number(gamma / total * x)} * d AS {c}" for c, x in zip(cols, dots, strict=True)])
+        return out
+
+    return apply, top + (gamma * squares / total if gamma else 0.0)
+
 
+def _ritz(u: DataFrame, cols: list[str], apply: Operator, k: int) -> tuple[np.ndarray, DataFrame, list[str], float]:
+    """Rayleigh-Ritz on orthonormal columns: values ascending, vectors, and the greatest residual of the first k."""
+    u, cols = _orthonormal(u, cols)
+    images = [f"a_{c}" for c in cols]
+    both = cut(u.join(apply(u, cols).toDF("id", *images), "id"))
+    got = both.selectExpr(*[f"sum({x} * {y})" for x in cols for y in images]).first()
+    m = np.array(got, float).reshape(len(cols), len(cols))
+    vals, vecs = np.linalg.eigh((m + m.T) / 2)
+    mixed = cut(both.selectExpr("id", *_mixture(cols, vecs, cols), *_mixture(images, vecs, images)))
+    off = mixed.selectExpr(*[f"sqrt(sum(power(a_{c} - {number(v)} * {c}, 2)))" for c, v in zip(cols[:k], vals[:k], strict=False)]).first()
+    return vals, mixed.select("id", *cols), cols, max(off)
 
-def subspace_distributed(nodes: DataFrame, a: DataFrame, k: int, sweeps: int, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
-    """Largest k eigenpairs of a symmetric matrix: wide columns, orthonormalised by the Cholesky factor of their Gram matrix."""
+
+def smallest_distributed(nodes: DataFrame, apply: Operator, top: float, k: int, tol: float = 1e-6, max_sweeps: int = 60, degree: int = 12, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """Smallest k eigenpairs of a symmetric operator with spectrum in [0, top], as joins, to a residual of tol * top.
+
+    Subspace iteration on 2 k columns, each sweep a Chebyshev polynomial that damps what lies above
+    the block's greatest value; an error if the residuals don't get there.
+    """
+    cols = [f"v{j}" for j in range(2 * k)]
+    vals, u, cols, off = _ritz(cut(_started(nodes, cols, seed)), cols, apply, k)
+    for _ in range(max_sweeps):
+        if off <= tol * top or len(cols) < k:
+            break
+        half, middle = (top - vals[-1]) / 2, (top + vals[-1]) / 2
+        if half <= 1e-12 * top:  # the block holds the whole spectrum
+            break
+        s = first = half / (min(vals[0], 0.0) - middle)
+        old, new = cols, [f"y_{c}" for c in cols]
+        image = apply(u, cols).toDF("id", *new)
+        state = u.join(image, "id").selectExpr("id", *old, *[f"({y} - {number(middle)} * {c}) * {number(s / half)} AS {y}" for c, y in zip(old, new, strict=True)])
+        for i in range(1, degree):
+            if i % 3 == 0:
+                state = cut(state)
+            nxt = 1 / (2 / first - s)
+            image = apply(state.select("id", *new), new).toDF("id", *[f"z_{c}" for c in cols])
+            state = state.join(image, "id").selectExpr("id", *[f"{y} AS {c}" for c, y in zip(old, new, strict=True)], *[f"(z_{c} - {number(middle)} * {y}) * {number(2 * nxt / half)} - {number(s * nxt)} * {c} AS {y}" for c, y in zip(old, new, strict=True)])
+            s = nxt
+        vals, u, cols, off = _ritz(cut(state.selectExpr("id", *[f"{y} AS {c}" for c, y in zip(old, new, strict=True)])), cols, apply, k)
+    else:
+        raise RuntimeError(f"eigenvectors didn't settle: residual {off}")
+    return vals[:k], u.select("id", *cols[:k])
+
+
+def lowrank_distributed(nodes: DataFrame, apply: Operator, top: float, k: int, sweeps: int, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+    """So many sweeps of randomised subspace iteration with top - A, as joins."""
     cols = [f"v{j}" for j in range(2 * k)]
-    u = nodes.select("id", *[F.randn(seed + j).alias(c) for j, c in enumerate(cols)])
-    u = cut(u)
+    u = cut(_started(nodes, cols, seed))
     for _ in range(sweeps):
-        u = cut(_mixed(u, cols, np.linalg.inv(np.linalg.cholesky(_gram(u, cols))).T))
-        u = cut(spmv(nodes, a, u, cols))
-    u = cut(_mixed(u, cols, np.linalg.inv(np.linalg.cholesky(_gram(u, cols))).T))
-    au = spmv(nodes, a, u, cols).toDF("id", *[f"a{c}" for c in cols])
-    got = u.join(au, "id").agg(*[F.sum(F.col(x) * F.col(f"a{y}")) for x in cols for y in cols]).first()
-    t = np.array(got, float).reshape(len(cols), len(cols))
-    vals, vecs = np.linalg.eigh((t + t.T) / 2)
-    return vals[::-1][:k], _mixed(u, cols, vecs[:, ::-1][:, :k]).select("id", *cols[:k])
+        u, cols = _orthonormal(u, cols)
+        image = apply(u, cols).toDF("id", *[f"a_{c}" for c in cols])
+        u = cut(u.join(image, "id").selectExpr("id", *[f"{number(top)} * {c} - a_{c} AS {c}" for c in cols]))
+    vals, u, cols, _ = _ritz(u, cols, apply, k)
+    return vals[:k], u.select("id", *cols[:k])
 
 
-def eigen_decomp(nodes: DataFrame, edges: DataFrame, k: int = 10, kind: str = "normalized", method: str = "exact", gamma: float = 0.0, sweeps: int = 50, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+def eigen_decomp(nodes: DataFrame, edges: DataFrame, k: int = 10, kind: str = "normalized", method: str = "exact", gamma: float = 0.0, sweeps: int = 50, seed: int = 0, tol: float = 1e-6, plan: str = "auto") -> tuple[np.ndarray, DataFrame]:
     """Smallest k eigenvalues (ascending) and vectors (id, v0, v1, ...) of a Laplacian.
 
     kind: combinatorial, normalized, or randomwalk (its vectors are D^-1/2 of the normalized ones).
-    exact: dense up to ``local.MAX_DENSE`` nodes, else subspace iteration to a tolerance; lowrank:
-    a fixed number of sweeps of randomised subspace iteration.  gamma > 0 adds the modularity term
-    (gamma / sum of d) d d^T to the operator.  Beyond ``local.MAX_NODES`` the sweeps are joins.
+    exact: iteration to a residual of tol, or dense where a dense matrix is made; an error if it
+    isn't reached.  lowrank: a fixed number of sweeps of randomised subspace iteration.  gamma > 0
+    adds the modularity term (gamma / sum of d) d d^T to the operator.  Beyond ``local.MAX_NODES``
+    both are joins.
     """
     spark = nodes.sparkSession
-    if not local.fits(nodes, edges):
-        if gamma:
-            raise ValueError("the modularity term is solved for graphs of checked size only")
-        d = degrees(nodes, edges)
-        top = 2 * d.agg(F.max("d")).first()[0] if kind == "combinatorial" else 2.0
-        shifted = laplacian(nodes, edges, "combinatorial" if kind == "combinatorial" else "normalized").select("src", "dst", (-F.col("w")).alias("w")).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(float(top)).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
-        vals, u = subspace_distributed(nodes, cut(shifted), k, sweeps, seed)
+    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+        apply, top = laplacian_operator(nodes, edges, kind, gamma)
+        vals, u = smallest_distributed(nodes, apply, top, k, tol, seed=seed) if method == "exact" else lowrank_distributed(nodes, apply, top, k, sweeps, seed)
         if kind == "randomwalk":
-            u = u.join(d, "id").select("id", *[(F.col(f"v{j}") / F.sqrt("d")).alias(f"v{j}") for j in range(k)])
-        return top - vals, u
+            root = F.sqrt(F.when(F.col("d") > 0, F.col("d")).otherwise(1.0))
+            u = u.join(degrees(nodes, edges), "id").select("id", *[(F.col(c) / root).alias(c) for c in u.columns[1:]])
+        return vals, u
     g = local.gather(nodes, edges)
     vals, vecs = eigen_local(g, k, kind, method, gamma, sweeps, seed)
     return vals, local.frame(spark, g, vecs, "v")
@@ -165,15 +248,26 @@ def eigen_local(g: local.Local, k: int, kind: str = "normalized", method: str =
         vals, vecs = vals[:k], vecs[:, :k]
     else:
         top = 2 * d.max() * (1 + gamma) if kind == "combinatorial" or gamma else 2.0
-        vals, vecs = local.subspace(lambda u: top * u - a(u), g.n, k, sweeps if method == "lowrank" else 5000, seed, tol=0.0 if method == "lowrank" else 1e-12)
+        vals, vecs = local.subspace(lambda u: top * u - a(u), g.n, k, sweeps if method == "lowrank" else 20_000, seed, tol=0.0 if method == "lowrank" else 1e-12)
         vals = top - vals
+        off = np.sqrt(((a(vecs) - vecs * vals) ** 2).sum(0)).max()
+        if method != "lowrank" and off > 1e-4 * top:
+            raise RuntimeError(f"eigenvectors didn't settle: residual {off}")
     if kind == "randomwalk":
         vecs = vecs / np.sqrt(np.where(d > 0, d, 1))[:, None]
     return vals, vecs
 
 
-def fiedler_vector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-8, max_iter: int = 100_000) -> DataFrame:
-    """id, u: power iteration on 2 max(d) I - L with the mean taken out; its value at the least id isn't positive."""
+def fiedler_vector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-8, max_iter: int = 100_000, plan: str = "auto") -> DataFrame:
+    """id, u: power iteration on 2 max(d) I - L with the mean taken out; its value at the least id isn't positive.
+
+    Beyond ``local.MAX_NODES`` it is the second eigenvector of L, by joins.
+    """
+    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+        _, v = eigen_decomp(nodes, edges, 2, "combinatorial", plan="distributed")
+        v = cut(v.select("id", F.col("v1").alias("u")))
+        sign = -1.0 if v.agg(F.min_by("u", "id")).first()[0] > 0 else 1.0
+        return v.select("id", (sign * F.col("u")).alias("u"))
     g = local.gather(nodes, edges)
     lap, top = g.laplacian(), 2 * g.degree.max()
     v = np.random.default_rng(0).normal(size=g.n)
@@ -189,8 +283,16 @@ def fiedler_vector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-8, max_it
     return local.frame(nodes.sparkSession, g, -v if v[0] > 0 else v)
 
 
-def diffusion_map(nodes: DataFrame, edges: DataFrame, k: int = 2, steps: int = 1, alpha: float = 1.0, full: bool = False) -> DataFrame:
+def diffusion_map(nodes: DataFrame, edges: DataFrame, k: int = 2, steps: int = 1, alpha: float = 1.0, full: bool = False, plan: str = "auto") -> DataFrame:
     """Eigenvectors of the Coifman-Lafon walk, each times (1 - value) ** steps; without the trivial one unless full."""
+    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+        d = degrees(nodes, edges).where("d > 0")
+        h = edges
+        for end in ("src", "dst"):
+            h = h.join(d.select(F.col("id").alias(end), F.col("d").alias(f"d_{end}")), end)
+        h = cut(h.select("src", "dst", (F.col("w") * F.pow(F.col("d_src") * F.col("d_dst"), F.lit(-float(alpha)))).alias("w")))
+        vals, v = eigen_decomp(nodes, h, k, "randomwalk", plan="distributed")
+        return v.select("id", *[(F.col(f"v{j}") * float((1 - vals[j]) ** steps)).alias(f"v{j if full else j - 1}") for j in range(0 if full else 1, k)])
     g = local.gather(nodes, edges)
     d = np.where(g.degree > 0, g.degree, 1)
     h = g.with_weights(g.w * d[g.row] ** -alpha * d[g.col] ** -alpha)
@@ -210,15 +312,29 @@ def dirichlet_eigenvectors(nodes: DataFrame, a: DataFrame, boundary: DataFrame,
     return vals[:k], local.frame(nodes.sparkSession, g, out, "v")
 
 
-def reweight_poisson(nodes: DataFrame, edges: DataFrame, train: DataFrame, normalized: bool = False, tol: float = 1e-5) -> DataFrame:
-    """diag(w) W diag(w) with L w = delta of the labelled nodes less its mean, shifted to a least value of 1e-5."""
+def reweight_poisson(nodes: DataFrame, edges: DataFrame, train: DataFrame, normalized: bool = False, tol: float = 1e-5, plan: str = "auto") -> DataFrame:
+    """diag(w) W diag(w) with L w = delta of the labelled nodes less its mean, shifted to a least value of 1e-5.
+
+    Normalized: L is the normalized Laplacian, and the mean is weighted by the roots of the degrees,
+    so that the right-hand side is orthogonal to the kernel of L.
+    """
+    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+        d = degrees(nodes, edges)
+        f = cut(nodes.select("id").join(train.select("id", F.lit(1.0).alias("u")).distinct(), "id", "left").join(d, "id").select("id", F.sqrt("d").alias("r"), F.coalesce("u", F.lit(0.0)).alias("u")))
+        mean = f.agg(F.sum(F.col("r") * F.col("u")) / F.sum("r") if normalized else F.avg("u")).first()[0]
+        w = cut(conjgrad(nodes, cut(laplacian(nodes, edges, "normalized" if normalized else "combinatorial")), f.select("id", (F.col("u") - float(mean)).alias("u")), ["u"], tol, max_iter=10_000, plan="distributed"))
+        w = w.select("id", (F.col("u") - float(w.agg(F.min("u")).first()[0]) + 1e-5).alias("u"))
+        out = edges
+        for end in ("src", "dst"):
+            out = out.join(w.select(F.col("id").alias(end), F.col("u").alias(f"u_{end}")), end)
+        return out.select("src", "dst", (F.col("u_src") * F.col("w") * F.col("u_dst")).alias("w"))
     g = local.gather(nodes, edges)
     at = g.index(train.select("id").distinct().toPandas()["id"].to_numpy())
     delta = np.zeros(g.n)
     delta[at] = 1.0
     if normalized:
         root = np.sqrt(g.degree)
-        delta -= root * (root @ delta) / (root @ root)
+        delta -= (root @ delta) / root.sum()
         w = local.conjgrad(g.laplacian("normalized"), delta, tol=tol)
     else:
         w = local.conjgrad(g.laplacian(), delta - delta.mean(), tol=tol)

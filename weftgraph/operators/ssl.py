@@ -3,7 +3,9 @@
 A model's ``fit`` returns class scores in long form (id, cls, u); ``predict`` decides in DataFrame
 functions.  Training labels are (id, label) with labels 0, 1, ...; negative labels mean none.  All
 classes are solved at once.  ``plan`` is local (numpy, for graphs of checked size), distributed
-(joins), or auto, by size; models without a distributed plan say so by an error on larger graphs.
+(joins), or auto, by size: both solve the same equations.  Three models have no distributed plan and
+say so by an error on larger graphs: dynamic label propagation (its kernel is a dense matrix),
+volume-constrained MBO (an auction, bid by bid), and Laplace of order 2 and more.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import linear, local, nonlinear, paths
@@ -35,6 +37,23 @@ class Graph:
             self.cache["local"] = local.gather(self.nodes, self.edges)
         return self.cache["local"]
 
+    def fits(self) -> bool:
+        if "fits" not in self.cache:
+            self.cache["fits"] = local.fits(self.nodes, self.edges)
+        return self.cache["fits"]
+
+    def degrees(self) -> DataFrame:
+        if "degrees" not in self.cache:
+            self.cache["degrees"] = cut(degrees(self.nodes, self.edges))
+        return self.cache["degrees"]
+
+    def eigen_joins(self, k: int, kind: str = "normalized", gamma: float = 0.0) -> tuple[np.ndarray, DataFrame]:
+        """Eigenpairs by joins: values, and vectors as (id, v0, v1, ...)."""
+        key = ("eigen_joins", k, kind, gamma)
+        if key not in self.cache:
+            self.cache[key] = linear.eigen_decomp(self.nodes, self.edges, k, kind, gamma=gamma, plan="distributed")
+        return self.cache[key]
+
     def eigen(self, k: int, kind: str = "normalized", gamma: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         key = ("eigen", k, kind, gamma)
         if key not in self.cache:
@@ -110,6 +129,9 @@ class Model:
         self.graph, self.plan, self.priors, self.weights = graph, plan, priors, None
 
     def _scores(self, train: DataFrame, k: int) -> DataFrame:
+        if not self._is_local():
+            cols = [f"u{c}" for c in range(k)]
+            return wide_to_long(self._joins(train, cols), cols)
         g = self.graph.local()
         at, y = self._train(train)
         return long_scores(g, self._local(g, at, y, k), self.graph.nodes.sparkSession)
@@ -117,12 +139,21 @@ class Model:
     def _local(self, g: local.Local, at: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
         raise NotImplementedError
 
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        """Scores as a column for each class, by joins."""
+        raise ValueError(f"{self.name()} is solved for graphs of checked size only: at most {local.MAX_NODES} nodes and {local.MAX_EDGES} edges")
+
     def _train(self, train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         p = train.where("label >= 0").select("id", "label").toPandas().sort_values("id")
         return self.graph.local().index(p["id"].to_numpy()), p["label"].to_numpy(int)
 
     def _is_local(self) -> bool:
-        return self.plan == "local" or self.plan == "auto" and local.fits(self.graph.nodes, self.graph.edges)
+        return self.plan == "local" or self.plan == "auto" and self.graph.fits()
+
+    def prepare(self) -> None:
+        """Make what several fits share."""
+        if self._is_local():
+            self.graph.local()
 
     def fit(self, train: DataFrame) -> DataFrame:
         k = int(train.agg(F.max("label")).first()[0]) + 1
@@ -138,11 +169,49 @@ class Model:
     def fit_predict(self, train: DataFrame) -> DataFrame:
         return self.predict(self.fit(train))
 
+    def set_graph(self, graph: Graph) -> None:
+        self.graph = graph
+
     def name(self) -> str:
         return type(self).__name__.lower()
 
 
-def _wide_to_long(wide: DataFrame, cols: list[str]) -> DataFrame:
+def _hot(train: DataFrame, cols: list[str]) -> DataFrame:
+    """id and a column for each class, 1 at a labelled node's own."""
+    return train.where("label >= 0").select("id", *[F.when(F.col("label") == c, 1.0).otherwise(0.0).alias(name) for c, name in enumerate(cols)])
+
+
+def _centred(train: DataFrame, cols: list[str]) -> DataFrame:
+    """The same less each column's mean."""
+    hot = _hot(train, cols)
+    means = hot.agg(*[F.avg(c) for c in cols]).first()
+    return hot.select("id", *[(F.col(c) - float(m)).alias(c) for c, m in zip(cols, means, strict=True)])
+
+
+def _filled(nodes: DataFrame, values: DataFrame, cols: list[str], names: list[str]) -> DataFrame:
+    """A row for each node: the columns under other names, zero where a node has none."""
+    return nodes.select("id").join(values.select("id", *cols), "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(cols, names, strict=True)])
+
+
+def _argmax_hot(cols: list[str], weights: Sequence[float] | None = None) -> list[Column]:
+    """One-hot columns of the first greatest value."""
+    u = [F.col(c) * float(w) for c, w in zip(cols, weights if weights is not None else [1.0] * len(cols), strict=True)]
+    best = F.array_position(F.array(*u), F.greatest(*u)) - 1 if len(u) > 1 else F.lit(0)
+    return [F.when(best == c, 1.0).otherwise(0.0).alias(name) for c, name in enumerate(cols)]
+
+
+def _from_basis(v: DataFrame, basis: list[str], m: np.ndarray, cols: list[str], more: Sequence[str] = ()) -> DataFrame:
+    """The columns V m, and further columns of v."""
+    return v.selectExpr("id", *more, *[" + ".join(f"{linear.number(a)} * {b}" for a, b in zip(m[:, j], basis, strict=True)) + f" AS {c}" for j, c in enumerate(cols)])
+
+
+def _onto_basis(both: DataFrame, basis: list[str], values: list[str]) -> np.ndarray:
+    """V^T of some columns (summed in each task first): basis by columns, whatever the number of nodes."""
+    got = both.selectExpr(*[f"sum({b} * ({v}))" for b in basis for v in values]).first()
+    return np.array(got, float).reshape(len(basis), len(values))
+
+
+def wide_to_long(wide: DataFrame, cols: list[str]) -> DataFrame:
     return wide.select("id", F.posexplode(F.array(*cols)).alias("cls", "u")).select("id", F.col("cls").cast("int"), "u")
 
 
@@ -202,7 +271,7 @@ class Laplace(Model):
         if self.mean_shift:
             means = wide.agg(*[F.avg(c) for c in cols]).first()
             wide = wide.select("id", *[(F.col(c) - float(m)).alias(c) for c, m in zip(cols, means, strict=True)])
-        return _wide_to_long(wide, cols)
+        return wide_to_long(wide, cols)
 
 
 class Poisson(Model):
@@ -240,16 +309,42 @@ class Poisson(Model):
             walk = g.times_t(walk / d[:, 0])
         return u
 
-    def _scores(self, train: DataFrame, k: int) -> DataFrame:
-        if self._is_local() or self.solver != "conjgrad":
-            return super()._scores(train, k)
-        nodes, cols = self.graph.nodes, [f"u{c}" for c in range(k)]
-        d = degrees(nodes, self.graph.edges)
-        hot = train.where("label >= 0").select("id", *[F.when(F.col("label") == c, 1.0).otherwise(0.0).alias(cols[c]) for c in range(k)])
-        means = hot.agg(*[F.avg(c) for c in cols]).first()
-        b = hot.join(d, "id").select("id", *[((F.col(c) - float(m)) / F.sqrt("d")).alias(c) for c, m in zip(cols, means, strict=True)])
-        v = linear.conjgrad(nodes, cut(laplacian(nodes, self.graph.edges, "normalized")), b, cols, self.tol, plan="distributed")
-        return _wide_to_long(v.join(d, "id").select("id", *[(F.col(c) / F.sqrt("d")).alias(c) for c in cols]), cols)
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        nodes, edges = self.graph.nodes, self.graph.edges
+        d = self.graph.degrees().select("id", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d"))
+        source = _centred(train, cols)
+        scaled = source.join(d, "id").select("id", *[(F.col(c) / F.sqrt("d")).alias(c) for c in cols])
+        if self.solver == "conjgrad":
+            v = linear.conjgrad(nodes, cut(laplacian(nodes, edges, "normalized")), scaled, cols, self.tol, plan="distributed")
+        elif self.solver == "spectral":
+            vals, x = self.graph.eigen_joins(self.eigenpairs)
+            basis = [c for c, value in zip(x.columns[1:], vals, strict=True) if value > 1e-8]
+            kept = vals[vals > 1e-8]
+            m = _onto_basis(x.join(scaled, "id"), basis, cols) / kept[:, None] ** self.p
+            v = _from_basis(x, basis, m, cols)
+        elif self.solver == "gradient_descent":
+            return self._descent(source, d, cols)
+        else:
+            raise ValueError("solver is conjgrad, gradient_descent or spectral")
+        return v.join(d, "id").select("id", *[(F.col(c) / F.sqrt("d")).alias(c) for c in cols])
+
+    def _descent(self, source: DataFrame, d: DataFrame, cols: list[str]) -> DataFrame:
+        """u <- (s + W^T u) / d until a walk from the labels has mixed, all in one product a round."""
+        nodes, turned = self.graph.nodes, self.graph.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+        n, labelled = nodes.count(), source.count()
+        total = self.graph.degrees().agg(F.sum("d")).first()[0]
+        base = _filled(nodes, source.withColumn("p", F.lit(1.0 / labelled)), [*cols, "p"], [*[f"s_{c}" for c in cols], "walk"]).join(d, "id")
+        base = cut(base.join(self.graph.degrees().select("id", (F.col("d") / total).alias("rest")), "id"))
+        state = base.select("id", "walk", *[F.lit(0.0).alias(c) for c in cols])
+        for i in range(self.max_iter):
+            if i >= self.min_iter and i % 5 == 0 and state.join(base.select("id", "rest"), "id").agg(F.max(F.abs(F.col("walk") - F.col("rest")))).first()[0] <= 1 / n:
+                break
+            spread = state.join(d, "id").select("id", (F.col("walk") / F.col("d")).alias("walk"), *cols)
+            new = base.drop("walk").join(linear.spmv(nodes, turned, spread, ["walk", *cols]), "id")
+            state = new.select("id", "walk", *[((F.col(f"s_{c}") + F.col(c)) / F.col("d")).alias(c) for c in cols])
+            if (i + 1) % 5 == 0:
+                state = cut(state)
+        return state.select("id", *cols)
 
 
 def poisson_descent(nodes: DataFrame, edges: DataFrame, train: DataFrame, k: int, rounds: int, every: int = 5) -> DataFrame:
@@ -265,7 +360,7 @@ def poisson_descent(nodes: DataFrame, edges: DataFrame, train: DataFrame, k: int
         u = base.join(linear.spmv(nodes, turned, u, cols), "id").select("id", *[F.when(F.col("d") > 0, (F.col(f"s_{c}") + F.col(c)) / F.col("d")).otherwise(0.0).alias(c) for c in cols])
         if (i + 1) % every == 0:
             u = cut(u)
-    return _wide_to_long(u, cols)
+    return wide_to_long(u, cols)
 
 
 def _project(u: np.ndarray, priors: np.ndarray, step: float = 0.1, tol: float = 1e-3, max_iter: int = 10_000) -> np.ndarray:
@@ -283,6 +378,22 @@ def _project(u: np.ndarray, priors: np.ndarray, step: float = 0.1, tol: float =
     return (u * w).argmax(1)
 
 
+def _project_joins(wide: DataFrame, cols: list[str], priors: np.ndarray, step: float = 0.1, tol: float = 1e-3, max_iter: int = 10_000) -> DataFrame:
+    """The same on a column for each class: one-hot decisions; each move of the weights is one pass for the class sizes."""
+    wide = cut(wide)
+    lo, hi = wide.agg(F.least(*[F.min(c) for c in cols], F.lit(float("inf"))), F.greatest(*[F.max(c) for c in cols], F.lit(float("-inf")))).first()
+    scaled = wide.select("id", *[((F.col(c) - float(lo)) / max(float(hi - lo), 1e-300)).alias(c) for c in cols])
+    w = np.ones(len(cols))
+    for _ in range(max_iter):
+        sizes = scaled.select(*_argmax_hot(cols, w)).agg(*[F.avg(c) for c in cols]).first()
+        gap = np.array(sizes, float) - priors
+        if np.abs(gap).max() <= tol:
+            break
+        w = w - step * gap
+        w = w / w[0]
+    return scaled.select("id", *_argmax_hot(cols, w))
+
+
 def _priors(model: Model, y: np.ndarray, k: int) -> np.ndarray:
     p = np.asarray(model.priors, float) if model.priors is not None else np.bincount(y, minlength=k).astype(float)
     return p / p.sum()
@@ -304,6 +415,22 @@ class PoissonMBO(Poisson):
             u = np.eye(k)[_project(u, priors)]
         return u
 
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        nodes, d = self.graph.nodes, self.graph.degrees()
+        counts = {r.label: r.n for r in train.where("label >= 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
+        priors = np.asarray(self.priors if self.priors is not None else [counts.get(c, 0) for c in range(len(cols))], float)
+        priors, dt = priors / priors.sum(), 1 / d.agg(F.max("d")).first()[0]
+        base = cut(_filled(nodes, _centred(train, cols), cols, [f"s_{c}" for c in cols]).join(d, "id"))
+        u = cut(_project_joins(super()._joins(train, cols), cols, priors))
+        for _ in range(self.rounds):
+            for i in range(self.steps):
+                image = linear.spmv(nodes, self.graph.edges, u, cols).toDF("id", *[f"w_{c}" for c in cols])
+                u = u.join(image, "id").join(base, "id").select("id", *[(F.col(c) - dt * (F.col("d") * F.col(c) - F.col(f"w_{c}")) + self.mu * dt * F.col(f"s_{c}")).alias(c) for c in cols])
+                if (i + 1) % 4 == 0:
+                    u = cut(u)
+            u = cut(_project_joins(u, cols, priors))
+        return u
+
 
 class VolumeMBO(Model):
     """Threshold dynamics whose class sizes keep within bounds by an auction; priors are required."""
@@ -344,20 +471,39 @@ class MulticlassMBO(Model):
             u = np.eye(k)[u.argmax(1)]
         return u
 
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        vals, x = self.graph.eigen_joins(self.eigenpairs)
+        h, basis = self.dt / self.steps, x.columns[1:]
+        known = [f"k_{c}" for c in cols]
+        pick = F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(len(cols)))
+        state = x.join(_hot(train, cols).toDF("id", *known), "id", "left")
+        state = cut(state.select("id", *basis, *known, *[F.coalesce(k, F.when(pick == c, 1.0).otherwise(0.0)).alias(name) for c, (k, name) in enumerate(zip(known, cols, strict=True))]))
+        for _ in range(self.rounds):
+            for _ in range(self.steps):
+                pulled = [f"{c} - {h * self.mu!r}D * coalesce({c} - {k}, 0D)" for c, k in zip(cols, known, strict=True)]
+                m = _onto_basis(state, basis, pulled) / (1 + h * vals)[:, None]
+                state = cut(_from_basis(state, basis, m, cols, [*basis, *known]))
+            state = cut(state.select("id", *basis, *known, *_argmax_hot(cols)))
+        return state.select("id", *cols)
+
 
 class ModularityMBO(Model):
-    """Diffusion in the eigenbasis of the Laplacian with a modularity term, thresholded until it settles."""
+    """Diffusion in the eigenbasis of the Laplacian with a modularity term, thresholded until it settles; it starts at the labels and zero elsewhere."""
 
-    def __init__(self, graph: Graph, gamma: float = 0.5, epsilon: float = 1.0, fidelity: float = 10.0, steps: int = 5, rounds: int = 100, seed: int = 0, **more):
+    def __init__(self, graph: Graph, gamma: float = 0.5, epsilon: float = 1.0, fidelity: float = 10.0, steps: int = 5, rounds: int = 100, **more):
         super().__init__(graph, **more)
-        self.gamma, self.epsilon, self.fidelity, self.steps, self.rounds, self.seed = gamma, epsilon, fidelity, steps, rounds, seed
+        self.gamma, self.epsilon, self.fidelity, self.steps, self.rounds = gamma, epsilon, fidelity, steps, rounds
+
+    def _time(self, labelled: int, least: float, most_degree: float) -> float:
+        """The geometric mean of a step that is surely too short and one that is too long; the norm of the start is that of the labels."""
+        longest = max(np.log(np.sqrt(labelled) / self.epsilon), 1e-6) / max(least, 1e-12)
+        return float(np.sqrt(0.15 / ((self.gamma + 1) * most_degree) * longest))
 
     def _local(self, g: local.Local, at: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
         vals, v = self.graph.eigen(min(5 * k, g.n), "combinatorial", self.gamma)
-        u = np.eye(k)[np.random.default_rng(self.seed).integers(0, k, g.n)]
+        u = np.zeros((g.n, k))
         u[at] = np.eye(k)[y]
-        first = max(vals[0], 1e-12)
-        dt = np.sqrt(0.15 / ((self.gamma + 1) * g.degree.max()) * max(np.log(np.linalg.norm(u) / self.epsilon), 1e-6) / first)
+        dt = self._time(len(at), vals[0], g.degree.max())
         heat = np.exp(-vals * dt)[:, None]
         h = dt / self.steps
         for _ in range(self.rounds):
@@ -370,6 +516,27 @@ class ModularityMBO(Model):
             u = new
         return u
 
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        vals, x = self.graph.eigen_joins(5 * len(cols), "combinatorial", self.gamma)
+        basis, known, old = x.columns[1:], [f"k_{c}" for c in cols], [f"o_{c}" for c in cols]
+        hot = cut(_hot(train, cols))
+        dt = self._time(hot.count(), vals[0], self.graph.degrees().agg(F.max("d")).first()[0])
+        state = x.join(hot.toDF("id", *known), "id", "left")
+        state = cut(state.select("id", *basis, *known, *[F.coalesce(k, F.lit(0.0)).alias(c) for k, c in zip(known, cols, strict=True)]))
+        # so many pulls towards a label: what is left of the distance
+        left = (1 - dt / self.steps * self.fidelity) ** self.steps
+        for _ in range(self.rounds):
+            m = np.exp(-vals * dt)[:, None] * _onto_basis(state, basis, cols)
+            before = state.select("*", *[F.col(c).alias(o) for c, o in zip(cols, old, strict=True)])
+            new = _from_basis(before, basis, m, cols, [*basis, *known, *old])
+            new = new.select("id", *basis, *known, *old, *[F.coalesce(F.col(k) + left * (F.col(c) - F.col(k)), F.col(c)).alias(c) for k, c in zip(known, cols, strict=True)])
+            new = cut(new.select("id", *basis, *known, *old, *_argmax_hot(cols)))
+            same = new.where(" or ".join(f"{c} <> {o}" for c, o in zip(cols, old, strict=True))).isEmpty()
+            state = new.drop(*old)
+            if same:
+                break
+        return state.select("id", *cols)
+
 
 class DynamicLabelPropagation(Model):
     """A dense walk kernel that evolves with the labels; for graphs that a dense matrix is made for."""
@@ -391,28 +558,30 @@ class DynamicLabelPropagation(Model):
 
 
 class CenteredKernel(Model):
-    """Fixed point of u = H u / a off the labels, H being W centred in rows and columns and a its top eigenvalue times 1.05."""
+    """Fixed point of u = H u / a off the labels, H being W (without loops) centred in rows and columns and a its top eigenvalue times alpha."""
 
-    def __init__(self, graph: Graph, tol: float = 1e-10, max_iter: int = 10_000, **more):
+    def __init__(self, graph: Graph, tol: float = 1e-10, powers: int = 100, alpha: float = 1.05, max_iter: int = 10_000, **more):
         super().__init__(graph, **more)
-        self.tol, self.max_iter = tol, max_iter
+        self.tol, self.powers, self.alpha, self.max_iter = tol, powers, alpha, max_iter
 
     def _local(self, g: local.Local, at: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+        g = g.with_weights(np.where(g.row == g.col, 0.0, g.w))
+
         def h(u: np.ndarray) -> np.ndarray:
             v = g.times(u - u.mean(0))
             return v - v.mean(0)
 
-        v = np.random.default_rng(0).normal(size=g.n)
-        for _ in range(200):
-            v = h(v)
-            v /= np.linalg.norm(v)
-        a = 1.05 * abs(v @ h(v))
+        v, top = np.random.default_rng(0).uniform(size=g.n), 1.0
+        for _ in range(self.powers):
+            w = h(v)
+            top = abs(v @ w / (v @ v))
+            v = w / np.linalg.norm(w)
         u = np.zeros((g.n, k))
         hot = np.eye(k)[y]
-        u[at] = hot - hot.mean(0) if k == 2 else 2 * hot - 1
+        u[at] = hot - hot.mean(0)
         fixed = u[at].copy()
         for _ in range(self.max_iter):
-            new = h(u) / a
+            new = h(u) / (self.alpha * top)
             new[at] = fixed
             done = np.abs(new - u).max() <= self.tol
             u = new
@@ -420,34 +589,79 @@ class CenteredKernel(Model):
                 break
         return u
 
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        nodes, edges = self.graph.nodes, self.graph.edges.where("src <> dst")
+
+        def h(u: DataFrame, names: list[str]) -> DataFrame:
+            means = u.agg(*[F.avg(c) for c in names]).first()
+            v = cut(linear.spmv(nodes, edges, u.select("id", *[(F.col(c) - float(m)).alias(c) for c, m in zip(names, means, strict=True)]), names))
+            means = v.agg(*[F.avg(c) for c in names]).first()
+            return v.select("id", *[(F.col(c) - float(m)).alias(c) for c, m in zip(names, means, strict=True)])
+
+        v, top = cut(nodes.select("id", (F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / float(1 << 52)).alias("v"))), 1.0
+        for _ in range(self.powers):
+            w = h(v, ["v"])
+            vw, vv, ww = v.join(w.withColumnRenamed("v", "w"), "id").agg(F.sum(F.col("v") * F.col("w")), F.sum(F.col("v") * F.col("v")), F.sum(F.col("w") * F.col("w"))).first()
+            top = abs(vw / vv)
+            v = w.select("id", (F.col("v") / float(np.sqrt(ww))).alias("v"))
+        fixed = [f"k_{c}" for c in cols]
+        base = cut(nodes.select("id").join(_centred(train, cols).toDF("id", *fixed), "id", "left"))
+        u = base.select("id", *[F.coalesce(k, F.lit(0.0)).alias(c) for k, c in zip(fixed, cols, strict=True)])
+        for _ in range(self.max_iter):
+            image = h(u, cols)
+            new = cut(base.join(image, "id").select("id", *[F.coalesce(k, F.col(c) / float(self.alpha * top)).alias(c) for k, c in zip(fixed, cols, strict=True)]))
+            done = nonlinear.moved(new, u, cols) <= self.tol
+            u = new
+            if done:
+                break
+        return u
+
 
 class SparseLabelPropagation(Model):
-    """Primal-dual minimisation of the weighted l1 norm of gradients with labels fixed."""
+    """Primal-dual minimisation of the weighted l1 norm of gradients with labels fixed; the graph is symmetric, so an edge's dual is that of its reverse, negated."""
 
     def __init__(self, graph: Graph, rounds: int = 100, **more):
         super().__init__(graph, **more)
         self.rounds = rounds
 
     def _local(self, g: local.Local, at: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
-        # of each edge the place of its reverse, for divergences on the pattern
-        order = {(r, c): i for i, (r, c) in enumerate(zip(g.row.tolist(), g.col.tolist(), strict=True))}
-        back = np.array([order.get((c, r), -1) for r, c in zip(g.row.tolist(), g.col.tolist(), strict=True)])
-        lam = np.expm1(-np.log1p(2 * g.w - (1 - 1e-10))) + 1
-        inv = 1 / np.where(g.degree > 0, g.degree, 1)
-        out = np.zeros((g.n, k))
-        for c in range(k):
-            u, dual = np.zeros(g.n), np.zeros(len(g.w))
-            fixed = np.where(y == c, 1.0, 0.0)
-            u[at] = fixed
-            for _ in range(self.rounds):
-                div = np.bincount(g.row, g.w * (dual - np.where(back >= 0, dual[back], 0)), g.n) / 2
-                new = u - inv * 2 * div
-                new[at] = fixed
-                ahead = 2 * new - u
-                dual = np.clip(dual - lam * g.w * (ahead[g.col] - ahead[g.row]), -1, 1)
-                u = new
-            out[:, c] = u
-        return out
+        step = (1 / (2 * np.where(g.w > 0, g.w, 1)))[:, None]
+        tau = (1 / np.where(g.degree > 0, g.degree, 1))[:, None]
+        w = g.w[:, None]
+        u, dual, fixed = np.zeros((g.n, k)), np.zeros((len(g.w), k)), np.eye(k)[y]
+        for _ in range(self.rounds):
+            div = np.stack([np.bincount(g.row, g.w * dual[:, c], g.n) for c in range(k)], 1)
+            new = u - 2 * tau * div
+            new[at] = fixed
+            ahead = 2 * new - u
+            dual = np.clip(dual - step * w * (ahead[g.col] - ahead[g.row]), -1, 1)
+            u = new
+        return u
+
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        return sparse_propagation(self.graph.nodes, self.graph.edges, train, cols, self.rounds)
+
+
+def sparse_propagation(nodes: DataFrame, edges: DataFrame, train: DataFrame, cols: list[str], rounds: int, every: int = 2) -> DataFrame:
+    """So many rounds of sparse label propagation as joins: id and the columns."""
+    fixed, duals = [f"k_{c}" for c in cols], [f"d_{c}" for c in cols]
+    base = nodes.select("id").join(degrees(nodes, edges), "id").join(_hot(train, cols).toDF("id", *fixed), "id", "left")
+    base = cut(base.select("id", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0).alias("tau"), *fixed))
+    state = base.select("id", *[F.lit(0.0).alias(c) for c in cols])
+    dual = edges.where("w > 0").select("src", "dst", "w", *[F.lit(0.0).alias(d) for d in duals])
+    for i in range(rounds):
+        div = dual.groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.col(d)).alias(d) for d in duals])
+        moved = base.join(state, "id").join(div, "id", "left")
+        new = moved.select("id", *[F.coalesce(k, F.col(c) - 2 * F.col("tau") * F.coalesce(d, F.lit(0.0))).alias(c) for k, c, d in zip(fixed, cols, duals, strict=True)], *[F.col(c).alias(f"o_{c}") for c in cols])
+        new = cut(new)
+        ahead = new.select("id", *[(2 * F.col(c) - F.col(f"o_{c}")).alias(c) for c in cols])
+        ends = dual.join(ahead.toDF("src", *[f"i_{c}" for c in cols]), "src").join(ahead.toDF("dst", *[f"j_{c}" for c in cols]), "dst")
+        # the step is 1 / (2 w), so the weight cancels
+        dual = ends.select("src", "dst", "w", *[F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(d) - (F.col(f"j_{c}") - F.col(f"i_{c}")) / 2)).alias(d) for d, c in zip(duals, cols, strict=True)])
+        state = new.select("id", *cols)
+        if (i + 1) % every == 0 and i + 1 < rounds:
+            dual = cut(dual)
+    return state
 
 
 class GraphNearestNeighbor(Model):
@@ -481,18 +695,13 @@ class GraphNearestNeighbor(Model):
 
 
 class _OneVsRest(Model):
-    def _one(self, boundary: DataFrame) -> DataFrame:
-        raise NotImplementedError
+    """A boundary-value problem for each class: solved one after the other in numpy, or all in the same joins."""
 
-    def _values(self, train: DataFrame, c: int) -> DataFrame:
-        return train.where("label >= 0").select("id", F.when(F.col("label") == c, 1.0).otherwise(0.0).alias("g"))
+    def _one(self, g: local.Local, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
 
-    def _scores(self, train: DataFrame, k: int) -> DataFrame:
-        parts = [self._one(self._values(train, c)).select("id", F.lit(c).cast("int").alias("cls"), "u") for c in range(k)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def _local(self, g: local.Local, at: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+        return np.stack([self._one(g, at, (y == c).astype(float)) for c in range(k)], 1)
 
 
 class AMLE(_OneVsRest):
@@ -500,8 +709,11 @@ class AMLE(_OneVsRest):
         super().__init__(graph, **more)
         self.weighted, self.tol = weighted, tol
 
-    def _one(self, boundary: DataFrame) -> DataFrame:
-        return nonlinear.amle(self.graph.nodes, self.graph.edges, boundary, self.weighted, tol=self.tol)
+    def _one(self, g: local.Local, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return nonlinear.amle_local(g, at, value, self.weighted, self.tol)
+
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        return nonlinear.amle_joins(self.graph.nodes, self.graph.edges, _hot(train, cols), cols, self.weighted, tol=self.tol)
 
 
 class PLaplace(_OneVsRest):
@@ -509,30 +721,48 @@ class PLaplace(_OneVsRest):
         super().__init__(graph, **more)
         self.p, self.fast, self.tol = p, fast, tol
 
-    def _one(self, boundary: DataFrame) -> DataFrame:
-        return nonlinear.plaplace(self.graph.nodes, self.graph.edges, boundary, self.p, self.fast, tol=self.tol)
+    def _one(self, g: local.Local, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        return nonlinear.plaplace_local(g, at, value, self.p, self.fast, self.tol)
+
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        return nonlinear.plaplace_joins(self.graph.nodes, self.graph.edges, _hot(train, cols), cols, self.p, self.fast, tol=self.tol)
 
 
 class PEikonal(_OneVsRest):
-    """Distance to each class by the p-eikonal equation; slowness from degrees: (d / max d) ** -alpha."""
+    """Distance to each class by the p-eikonal equation.
+
+    Slowness: with a distance matrix (src, dst, w) the distance to a node's furthest neighbour over
+    the greatest such, to the power alpha; in a ball graph (d / max d) ** -alpha; else 1.
+    """
 
     similarity = False
 
-    def __init__(self, graph: Graph, p: float = 1.0, alpha: float = 0.0, **more):
+    def __init__(self, graph: Graph, p: float = 1.0, alpha: float = 1.0, distances: DataFrame | None = None, ball_graph: bool = False, **more):
         super().__init__(graph, **more)
-        self.p, self.alpha = p, alpha
+        self.p, self.alpha, self.distances, self.ball_graph = p, alpha, distances, ball_graph
+
+    def _slowness(self) -> DataFrame | None:
+        if self.distances is not None:
+            m, power = cut(self.distances.groupBy(F.col("src").alias("id")).agg(F.max("w").alias("m"))), self.alpha
+        elif self.ball_graph:
+            m, power = self.graph.degrees().select("id", F.greatest("d", F.lit(1e-300)).alias("m")), -self.alpha
+        else:
+            return None
+        top = float(m.agg(F.max("m")).first()[0])
+        own = self.graph.nodes.select("id").join(m, "id", "left")
+        return own.select("id", F.pow(F.coalesce("m", F.lit(top)) / top, F.lit(float(power))).alias("f"))
 
-    def _values(self, train: DataFrame, c: int) -> DataFrame:
-        return train.where(F.col("label") == c).select("id", F.lit(0.0).alias("g"))
+    def _local(self, g: local.Local, at: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+        f = self._slowness()
+        rhs = np.ones(g.n) if f is None else f.toPandas().set_index("id").reindex(g.ids)["f"].to_numpy(float)
+        u = np.stack([nonlinear.peikonal_local(g, at[y == c], np.zeros((y == c).sum()), self.p, rhs) for c in range(k)], 1)
+        return np.where(np.isfinite(u), u, 1e300)
 
-    def _one(self, boundary: DataFrame) -> DataFrame:
-        f: DataFrame | float = 1.0
-        if self.alpha:
-            d = cut(degrees(self.graph.nodes, self.graph.edges))
-            top = d.agg(F.max("d")).first()[0]
-            f = d.select("id", F.pow(F.greatest(F.col("d"), F.lit(1e-300)) / top, F.lit(-float(self.alpha))).alias("f"))
-        u = nonlinear.peikonal(self.graph.nodes, self.graph.edges, boundary, self.p, f)
-        return u.select("id", F.when(F.col("u") == float("inf"), F.lit(1e300)).otherwise(F.col("u")).alias("u"))
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        own = train.where("label >= 0").select("id", *[F.when(F.col("label") == c, 0.0).alias(name) for c, name in enumerate(cols)])
+        f = self._slowness()
+        u = nonlinear.peikonal_joins(self.graph.nodes, self.graph.edges, own, cols, self.p, 1.0 if f is None else f)
+        return u.select("id", *[F.when(F.col(c) == float("inf"), 1e300).otherwise(F.col(c)).alias(c) for c in cols])
 
 
 class RandomWalk(Model):
@@ -547,7 +777,7 @@ class RandomWalk(Model):
         eye = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1 - self.alpha).alias("w"))
         a = laplacian(nodes, self.graph.edges, "normalized").select("src", "dst", (self.alpha * F.col("w")).alias("w")).unionByName(eye).groupBy("src", "dst").agg(F.sum("w").alias("w"))
         b = train.where("label >= 0").select("id", *[F.when(F.col("label") == c, 1.0).otherwise(0.0).alias(cols[c]) for c in range(k)])
-        return _wide_to_long(linear.conjgrad(nodes, cut(a), b, cols, self.tol, plan="local" if self._is_local() else "distributed"), cols)
+        return wide_to_long(linear.conjgrad(nodes, cut(a), b, cols, self.tol, plan="local" if self._is_local() else "distributed"), cols)
 
 
 MODELS = {"laplace": Laplace, "poisson": Poisson, "poisson_mbo": PoissonMBO, "volume_mbo": VolumeMBO, "multiclass_mbo": MulticlassMBO, "modularity_mbo": ModularityMBO, "dynamic_label_propagation": DynamicLabelPropagation, "centered_kernel": CenteredKernel, "sparse_label_propagation": SparseLabelPropagation, "graph_nearest_neighbor": GraphNearestNeighbor, "amle": AMLE, "plaplace": PLaplace, "peikonal": PEikonal, "randomwalk": RandomWalk}

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators.fixpoint import cut, delete_folder, folder_exists
+
 
 def training_sets(labels: DataFrame, rates: Sequence[int | float] | Sequence[Sequence[int | float]], trials: int = 1, mask: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """trial, id: for each rate and trial a stratified sample without replacement.
 
     A rate is a number of labels per class, or below 1 a share of the class, or one such number for
-    each class.  A node's place in a class is by a hash of its id, the trial and the seed, the same
-    on any partitioning.
+    each class.  A node's place in a class is by the MD5 of "id:trial:seed", the same on any
+    partitioning and in any database.
     """
     pool = labels.where("label >= 0").select("id", F.col("label").cast("int").alias("label"))
     if mask is not None:
@@ -22,7 +26,7 @@ def training_sets(labels: DataFrame, rates: Sequence[int | float] | Sequence[Seq
     runs = [(r * trials + t, r) for r in range(len(rates)) for t in range(trials)]
     keyed = pool.select("id", "label", F.explode(F.array(*[F.struct(F.lit(t).cast("int").alias("trial"), F.lit(r).alias("rate")) for t, r in runs])).alias("x")).select("id", "label", "x.trial", "x.rate")
     by = Window.partitionBy("trial", "label")
-    ranked = keyed.withColumn("k", F.row_number().over(by.orderBy(F.xxhash64("id", "trial", F.lit(seed)), "id"))).withColumn("size", F.count("*").over(by))
+    ranked = keyed.withColumn("k", F.row_number().over(by.orderBy(F.md5(F.concat_ws(":", "id", "trial", F.lit(seed)).cast("binary")), "id"))).withColumn("size", F.count("*").over(by))
 
     def number(rate):
         one = lambda x: F.lit(int(x)) if x >= 1 else F.floor(F.col("size") * float(x))
@@ -42,13 +46,33 @@ def accuracy(labels: DataFrame, predicted: DataFrame, train: DataFrame | None =
     return rows.agg((100.0 * F.avg(F.when(F.col("got") == F.col("label"), 1.0).otherwise(0.0))).alias("accuracy"))
 
 
-def run_trials(model, labels: DataFrame, sets: DataFrame, tag: str = "") -> DataFrame:
-    """model, tag, num_train, accuracy for each training set; one run a trial (a list of a few hundred at most)."""
-    spark, rows = labels.sparkSession, []
-    for (trial,) in sets.select("trial").distinct().orderBy("trial").collect():
-        train = labels.join(sets.where(F.col("trial") == trial).select("id"), "id", "left_semi").select("id", "label")
-        rows.append((model.name(), tag, train.count(), float(accuracy(labels, model.fit_predict(train), train).first()[0])))
-    return spark.createDataFrame(rows, "model string, tag string, num_train int, accuracy double")
+def run_trials(model, labels: DataFrame, sets: DataFrame, tag: str = "", path: str | None = None, overwrite: bool = False, parallel: int = 4) -> DataFrame:
+    """trial, model, tag, num_train, accuracy for each training set: so many trials at a time, each a run of its own.
+
+    With a path each trial's row is appended there when it is done, and trials of this model and tag
+    that are there already are left out (or done again and replaced, if asked).
+    """
+    spark, name = labels.sparkSession, model.name()
+    there = f"{path}/{name}{'-' + tag if tag else ''}" if path else None
+    if there and overwrite:
+        delete_folder(spark, there)
+    done = {r.trial for r in load_trials(spark, there).select("trial").collect()} if there and folder_exists(spark, there) else set()
+    todo = sorted(r.trial for r in sets.select("trial").distinct().collect() if r.trial not in done)
+    schema = "trial int, model string, tag string, num_train int, accuracy double"
+
+    def one(trial: int) -> tuple:
+        own = copy.copy(model)  # a fit leaves class weights in its model
+        train = cut(labels.join(sets.where(F.col("trial") == trial).select("id"), "id", "left_semi").select("id", "label"))
+        row = (trial, name, tag, train.count(), float(accuracy(labels, own.fit_predict(train), train).first()[0]))
+        if there:
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(there)
+        return row
+
+    if todo and hasattr(model, "prepare"):
+        model.prepare()  # what all trials share is made once
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        rows = list(pool.map(one, todo))
+    return load_trials(spark, there) if there and (done or rows) else spark.createDataFrame(rows, schema)
 
 
 def save_trials(results: DataFrame, path: str, overwrite: bool = False) -> None:

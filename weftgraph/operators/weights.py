@@ -48,7 +48,7 @@ def knn_weights(neighbours: DataFrame, kernel: str | Callable[[Column], Column]
     return proper(edges)
 
 
-def knn_graph(points: DataFrame, k: int, kernel: str | Callable[[Column], Column] = "gaussian", similarity: str = "euclidean", symmetric: bool = True, method: str = "auto") -> DataFrame:
+def knn_graph(points: DataFrame, k: int, kernel: str | Callable[[Column], Column] = "gaussian", similarity: str = "euclidean", symmetric: bool = True, method: str = "exact") -> DataFrame:
     return knn_weights(knn(points, k, similarity, method), kernel, symmetric)
 
 

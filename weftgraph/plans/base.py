@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.fixpoint import cut
+from weftgraph.operators.fixpoint import cut, delete_folder, ensure_checkpoint_dir
 from weftgraph.operators.knn import knn
 from weftgraph.operators.weights import knn_weights
 
@@ -64,6 +66,16 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("id", F.col("x")[0].alias("u"))
 
 
+@contextmanager
+def kept(spark: SparkSession, name: str) -> Iterator[str]:
+    """A path in the shared folder, deleted afterwards."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete_folder(spark, path)
+
+
 def r6(c: Column | str, digits: int = 6) -> Column:
     """Rounded, without negative zero."""
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0

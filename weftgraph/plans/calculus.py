@@ -108,9 +108,7 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{CC}, s AS (SELECT component, count(*) AS n FROM cc GROUP BY component ORDER BY n DESC, component LIMIT 1) SELECT id FROM cc JOIN s USING (component)")
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = fixpoint.cut(components(spark, sf_dir))
-    top = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    return labels.join(F.broadcast(top), "component").select("id")
+    return fixpoint.largest_component(*nearest_graph(spark, sf_dir))[0].select("id")
 
 
 @query(f"{CC} SELECT count(DISTINCT component) = 1 AS connected FROM cc")
@@ -118,6 +116,10 @@ def isconnected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark, sf_dir).agg((F.count_distinct("component") == 1).alias("connected"))
 
 
-@query()
+def _random(k: int) -> str:
+    return f"((('0x' || substr(md5(src || ':' || dst || ':3:{k}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+@query(f"WITH {E} SELECT src, dst, round(sqrt(-2 * ln({_random(1)})) * cos(2 * pi() * {_random(2)}), 6) + 0.0 AS w FROM e")
 def random_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calculus.random_weights(graph(spark, sf_dir)[1], "normal", 3)
+    return calculus.random_weights(graph(spark, sf_dir)[1], "normal", 3).select("src", "dst", r6("w").alias("w"))

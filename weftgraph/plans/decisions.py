@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import active, calculus, cluster, geometry, images, ssl, trials
 from weftgraph.operators.fixpoint import cut
-from weftgraph.plans.base import D, E, NN, P, T, graph, points, query, r6, table, training
+from weftgraph.plans.base import D, E, NN, P, T, graph, kept, points, query, r6, table, training
 from weftgraph.sources import datasets
 
 
@@ -84,22 +84,59 @@ def accuracy_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.accuracy_curves(_results(spark, sf_dir)).select("model", "num_train", r6("mean").alias("mean"), r6("std").alias("std"), "trials")
 
 
-@query()
+#: Rates 1 and 2 are numbers of labels for each class, 0.1 a share of it; each in three trials.
+SETS = "tr AS (SELECT t AS trial, [1, 2, 0.1][t // 3 + 1] AS rate FROM range(9) r(t)), rk AS (SELECT trial, id, rate, row_number() OVER (PARTITION BY trial, label ORDER BY md5(id || ':' || trial || ':0'), id) AS k, count(*) OVER (PARTITION BY trial, label) AS size FROM p, tr WHERE label >= 0), ts AS (SELECT trial::INTEGER AS trial, id FROM rk WHERE k <= CASE WHEN rate >= 1 THEN rate ELSE floor(size * rate) END)"
+
+
+@query(f"WITH {P}, {SETS} SELECT trial, id FROM ts")
 def train_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.training_sets(points(spark, sf_dir), [1, 2, 0.1], trials=3)
 
 
-@query()
+@query(f"WITH {P}, {SETS} SELECT trial, id FROM ts")
+def train_sets_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training sets drawn, written, and read again."""
+    with kept(spark, "sets") as path:
+        return cut(datasets.saved_training_sets(points(spark, sf_dir), [1, 2, 0.1], path, trials=3))
+
+
+@query(f"WITH {NN} SELECT src, dst, round(dist, 6) + 0.0 AS dist, rank FROM nn WHERE rank <= 5")
+def knn_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours searched, written, and some ranks of them read again."""
+    with kept(spark, "neighbours") as path:
+        datasets.saved_knn(points(spark, sf_dir).select("id", "x"), 10, path)
+        return cut(datasets.load_knn(spark, path, 5)).select("src", "dst", r6("dist").alias("dist"), "rank")
+
+
+@query(f"WITH {E} SELECT src, dst, round(w, 6) + 0.0 AS w FROM e")
+def graph_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written and read again."""
+    with kept(spark, "graph") as path:
+        datasets.save_graph(*graph(spark, sf_dir), path, name="neighbours")
+        return cut(datasets.load_graph(spark, path)[1]).select("src", "dst", r6("w").alias("w"))
+
+
+#: Moves of the class weights, each by the gap of all class sizes; the first weight stays 1.
+MOVES = (
+    "pri AS (SELECT label::INTEGER AS cls, count(*) / sum(count(*)) OVER ()::DOUBLE AS prior FROM p GROUP BY label), sz AS (SELECT count(DISTINCT id) AS n, min(u) AS lo, max(u) AS hi FROM sc), "
+    "it(k, cls, w, gap) AS (SELECT 0, cls, 1.0::DOUBLE, 1.0::DOUBLE FROM pri UNION ALL "
+    "SELECT k + 1, cls, CASE WHEN g <= 1e-3 THEN w ELSE new / first_value(new) OVER (ORDER BY cls) END, g FROM (SELECT k, cls, w, w - 0.1 * off AS new, max(abs(off)) OVER () AS g FROM ("
+    "SELECT k, z.cls, any_value(z.w) AS w, sum(CASE WHEN r = 1 THEN 1 ELSE 0 END) / any_value(n)::DOUBLE - any_value(prior) AS off FROM ("
+    "SELECT it.k, it.cls, it.w, sz.n, pri.prior, row_number() OVER (PARTITION BY sc.id ORDER BY (sc.u - lo) / (hi - lo) * it.w DESC, it.cls) AS r FROM it JOIN sc ON sc.cls = it.cls JOIN pri ON pri.cls = it.cls, sz WHERE it.k < 300 AND it.gap > 1e-3) z GROUP BY k, z.cls)))"
+)
+
+
+@query(f"WITH RECURSIVE {SCORES}, {MOVES}, fin AS (SELECT cls, w FROM it WHERE k = (SELECT max(k) FROM it)) SELECT id, arg_max(cls, {{'s': (u - lo) / (hi - lo) * w, 'c': -cls}})::INTEGER AS label FROM sc JOIN fin USING (cls), sz GROUP BY id")
 def volume_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions whose class sizes follow the priors."""
     s, priors = scores(spark, sf_dir), [r.prior for r in ssl.class_priors(points(spark, sf_dir)).orderBy("cls").collect()]
-    return ssl.predict(s, ssl.volume_projection(s, priors, max_iter=500))
+    return ssl.predict(s, ssl.volume_projection(s, priors, max_iter=300))
 
 
 U_SQL = f"WITH {SCORES}, a AS (SELECT id, list(u ORDER BY cls) AS u FROM sc GROUP BY id), s AS (SELECT id, u, list_reverse_sort(u) AS v FROM a)"
 MEASURE_SQL = {
     "norm": "sqrt(list_sum(list_transform(range(1, len(u) + 1), lambda i: pow(exp(u[i] - v[1]) / list_sum(list_transform(u, lambda x: exp(x - v[1]))) - CASE WHEN i = list_position(u, v[1]) THEN 1 ELSE 0 END, 2))))",
-    "entropy": "v[1] - list_sum(list_transform(u, lambda x: x * ln(x + 1e-5)))",
+    "entropy": "(1 - list_sum(list_transform(u, lambda y: exp(y - v[1]) * ln(exp(y - v[1]) / list_sum(list_transform(u, lambda x: exp(x - v[1]))) + 1e-5)))) / list_sum(list_transform(u, lambda x: exp(x - v[1])))",
     "least_confidence": "1 - v[1]",
     "smallest_margin": "1 - (v[1] - v[2])",
     "largest_margin": "1 - (v[1] - v[-1])",

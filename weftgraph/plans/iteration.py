@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import linear, nonlinear, paths, ssl
+from weftgraph.operators.calculus import laplacian
 from weftgraph.plans.base import D, E, T, graph, query, r6, training
 
 ROUNDS = 6
@@ -126,3 +127,78 @@ def randomwalk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """((1 - a) I + a L) u = y by conjugate gradients; in SQL its Neumann series, run until it has converged."""
     model = ssl.RandomWalk(ssl.Graph(*graph(spark, sf_dir)), tol=1e-9)
     return model.fit(training(spark, sf_dir)).select("id", "cls", r6("u", 3).alias("u"))
+
+
+@query(f"WITH RECURSIVE {LOOPED}, {T}, it(k, id, d) AS (SELECT 0, {START}, 0.0::DOUBLE UNION ALL {SHORT.format(step='d + 1 / w', rounds=40)}) SELECT {START} AS src, id AS dst, round(d, 6) + 0.0 AS d FROM it WHERE k = 40 AND id = (SELECT max(id) FROM p)")
+def distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of the first and the last node, to convergence."""
+    nodes, edges = graph(spark, sf_dir)
+    first, last = nodes.agg(F.min("id"), F.max("id")).first()
+    d = paths.distance(nodes, edges, first, last)
+    return spark.createDataFrame([(first, last, float(d))], "src long, dst long, d double").select("src", "dst", r6("d").alias("d"))
+
+
+#: Classes, their boundary values, and sweeps of all classes' problems until they have converged.
+def _all_classes(value: str, rounds: int, edges: str = "e", digits: int = 3, start: str = "0.0") -> str:
+    return (
+        f"c AS (SELECT DISTINCT label AS cls FROM t), b AS (SELECT p.id, cls, CASE WHEN t.id IS NULL THEN NULL WHEN t.label = cls THEN 1.0 ELSE 0.0 END::DOUBLE AS g FROM p JOIN c ON true LEFT JOIN t ON t.id = p.id), "
+        f"it(k, id, cls, u) AS (SELECT 0, id, cls, coalesce(g, {start})::DOUBLE FROM b UNION ALL SELECT k + 1, src, cls, coalesce(any_value(g), {value}) FROM (SELECT it.k, x.src, x.w, it.cls, it.u AS uj, b.g FROM it JOIN {edges} x ON x.dst = it.id JOIN b ON b.id = x.src AND b.cls = it.cls) WHERE k < {rounds} GROUP BY k, src, cls) "
+        f"SELECT id, cls::INTEGER AS cls, round(u, {digits}) + 0.0 AS u FROM it WHERE k = {rounds}"
+    )
+
+
+def _solved(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Class scores of a model solved to a tolerance far below what is compared."""
+    return ssl.MODELS[name](ssl.Graph(*graph(spark, sf_dir)), **options).fit(training(spark, sf_dir)).select("id", "cls", r6("u", 3).alias("u"))
+
+
+@query(f"WITH RECURSIVE {E}, {T}, {_all_classes('sum(w * uj) / sum(w)', 400)}")
+def laplace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Harmonic extension by conjugate gradients; in SQL by sweeps."""
+    return _solved("laplace", spark, sf_dir, tol=1e-9)
+
+
+WNLL = "a AS (SELECT p.id, CASE WHEN t.id IS NULL THEN 1.0 ELSE (SELECT count(*) FROM p) / (SELECT count(*) FROM t)::DOUBLE END AS a FROM p LEFT JOIN t ON t.id = p.id), ew AS (SELECT src, dst, (i.a + j.a) * w AS w FROM e JOIN a i ON i.id = src JOIN a j ON j.id = dst)"
+
+
+@query(f"WITH RECURSIVE {E}, {T}, {WNLL}, {_all_classes('sum(w * uj) / sum(w)', 400, 'ew')}")
+def laplace_wnll_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solved("laplace", spark, sf_dir, reweighting="wnll", tol=1e-9)
+
+
+@query(f"WITH RECURSIVE {E}, {T}, {_all_classes('(min(uj) + max(uj)) / 2', 400)}".replace("round(u, 3)", "round(u + 1e-6, 3)"))
+def amle_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores are often fractions of few binary digits: a little is added so that they don't lie at the edge of rounding."""
+    nodes, edges = graph(spark, sf_dir)
+    return ssl.AMLE(ssl.Graph(nodes, edges), tol=1e-10).fit(training(spark, sf_dir)).select("id", "cls", r6(F.col("u") + 1e-6, 3).alias("u"))
+
+
+@query(f"WITH RECURSIVE {E}, {T}, {_all_classes('sum(w * uj) / sum(w) / 9 + 4 * (min(uj) + max(uj)) / 9', 400)}")
+def plaplace_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solved("plaplace", spark, sf_dir, p=10.0, tol=1e-10)
+
+
+@query(f"WITH RECURSIVE {E}, {T}, b AS (SELECT p.id, t.label::DOUBLE AS g FROM p LEFT JOIN t ON t.id = p.id), it(k, id, u) AS (SELECT 0, id, coalesce(g, 0) FROM b UNION ALL SELECT k + 1, src, coalesce(any_value(g), sum(w * uj) / sum(w)) FROM (SELECT it.k, e.src, e.w, it.u AS uj, b.g FROM it JOIN e ON e.dst = it.id JOIN b ON b.id = e.src) WHERE k < 400 GROUP BY k, src) SELECT id, round(u, 3) + 0.0 AS u FROM it WHERE k = 400")
+def constrained_gmres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of the neighbours off the labelled nodes, the labels there, by GMRES; in SQL by sweeps."""
+    nodes, edges = graph(spark, sf_dir)
+    eye = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
+    bdy = training(spark, sf_dir).select("id", F.col("label").cast("double").alias("g"))
+    return linear.constrained_solve_gmres(nodes, laplacian(nodes, edges, "randomwalk"), None, eye, bdy, 1e-9).select("id", r6("u", 3).alias("u"))
+
+
+def _propagation(rounds: int) -> str:
+    """Rounds of the primal-dual scheme, each two tables: values (with those before), and duals of the edges."""
+    out = [f"{D}, {T}, c AS (SELECT DISTINCT label AS cls FROM t), b AS (SELECT p.id, cls, 1 / d.d AS tau, CASE WHEN t.id IS NULL THEN NULL WHEN t.label = cls THEN 1.0 ELSE 0.0 END::DOUBLE AS g FROM p JOIN c ON true JOIN d ON d.id = p.id LEFT JOIN t ON t.id = p.id), u0 AS (SELECT id, cls, 0.0::DOUBLE AS u FROM b), y0 AS (SELECT src, dst, w, cls, 0.0::DOUBLE AS y FROM e, c)"]
+    for k in range(1, rounds + 1):
+        out.append(f"u{k} AS (SELECT b.id, b.cls, coalesce(g, u0.u - 2 * tau * s) AS u, 2 * coalesce(g, u0.u - 2 * tau * s) - u0.u AS ahead FROM b JOIN u{k - 1} u0 ON u0.id = b.id AND u0.cls = b.cls JOIN (SELECT src, cls, sum(w * y) AS s FROM y{k - 1} GROUP BY src, cls) z ON z.src = b.id AND z.cls = b.cls)")
+        out.append(f"y{k} AS (SELECT y.src, y.dst, y.w, y.cls, greatest(-1, least(1, y.y - (j.ahead - i.ahead) / 2)) AS y FROM y{k - 1} y JOIN u{k} i ON i.id = y.src AND i.cls = y.cls JOIN u{k} j ON j.id = y.dst AND j.cls = y.cls)")
+    return f"WITH {', '.join(out)} SELECT id, cls::INTEGER AS cls, round(u, 6) + 0.0 AS u FROM u{rounds}"
+
+
+@query(_propagation(ROUNDS))
+def sparse_propagation_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of sparse label propagation as joins."""
+    cols = [f"u{c}" for c in range(10)]
+    wide = ssl.sparse_propagation(*graph(spark, sf_dir), training(spark, sf_dir), cols, ROUNDS)
+    return ssl.wide_to_long(wide, cols).select("id", "cls", r6("u").alias("u"))

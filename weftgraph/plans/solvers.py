@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import cluster, embed, geometry, linear, nonlinear, ssl
-from weftgraph.plans.base import graph, plane, points, query, r6, training
+from weftgraph.plans import iteration  # noqa: F401  its SQL is used here
+from weftgraph.plans.base import SQL, graph, plane, points, query, r6, training
 
 
 def _model(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -21,7 +22,7 @@ def _model(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 for _name in ssl.MODELS:
-    query(name=f"ssl_{_name}")(partial(_model, _name))
+    query(SQL["graph_nn_predict"] if _name == "graph_nearest_neighbor" else None, f"ssl_{_name}")(partial(_model, _name))
 for _how in ("poisson", "wnll", "properly"):
     query(name=f"ssl_laplace_{_how}")(partial(_model, "laplace", reweighting=_how))
 query(name="ssl_poisson_spectral")(partial(_model, "poisson", solver="spectral"))
@@ -59,16 +60,6 @@ def dirichlet_eigenvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.dirichlet_eigenvectors(nodes, laplacian(nodes, edges), training(spark, sf_dir).select("id"), 3)[1]
 
 
-@query()
-def constrained_gmres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.operators.calculus import laplacian
-
-    nodes, edges = graph(spark, sf_dir)
-    eye = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("w"))
-    bdy = training(spark, sf_dir).select("id", F.col("label").cast("double").alias("g"))
-    return linear.constrained_solve_gmres(nodes, laplacian(nodes, edges, "randomwalk"), None, eye, bdy, 1e-8)
-
-
 @query()
 def peikonal_p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
@@ -108,6 +99,11 @@ def pca_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.pca_features(points(spark, sf_dir).select("id", "x"), 5)
 
 
+@query()
+def draw_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.draw_coordinates(*graph(spark, sf_dir))
+
+
 @query()
 def mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.mesh(plane(spark, sf_dir))

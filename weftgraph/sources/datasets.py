@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.fixpoint import folder_exists
+
 
 def load_points(spark: SparkSession, path: str, labels_only: bool = False) -> DataFrame:
     """id, label and, unless only labels are asked for, x (array<double>); the scan reads no more columns than that."""
@@ -40,10 +42,29 @@ def load_knn(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     return df if k is None else df.where(F.col("rank") <= k)
 
 
+def saved_knn(points: DataFrame, k: int, path: str, similarity: str = "euclidean", method: str = "exact", overwrite: bool = False) -> DataFrame:
+    """The neighbour table at a path: computed and written there unless one with that many ranks is there."""
+    from weftgraph.operators.knn import knn
+
+    spark = points.sparkSession
+    if overwrite or not folder_exists(spark, path) or (load_knn(spark, path).agg(F.max("rank")).first()[0] or 0) < k:
+        knn(points, k, similarity, method).write.mode("overwrite").parquet(path)
+    return load_knn(spark, path, k)
+
+
 def load_training_sets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("trial", "id")
 
 
+def saved_training_sets(labels: DataFrame, rates, path: str, trials: int = 1, mask: DataFrame | None = None, seed: int = 0, overwrite: bool = False) -> DataFrame:
+    """The training sets at a path: drawn and written there unless some are there."""
+    from weftgraph.operators.trials import training_sets
+
+    if overwrite or not folder_exists(labels.sparkSession, path):
+        training_sets(labels, rates, trials, mask, seed).write.mode("overwrite").parquet(path)
+    return load_training_sets(labels.sparkSession, path)
+
+
 def read_numeric_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """Columns c0, c1, ... (double) of the rows whose first cell has no letters."""
     names = [f"c{i}" for i in range(columns)]
@@ -117,6 +138,9 @@ def rand_annulus(spark: SparkSession, n: int, dims: int = 2, inner: float = 0.5,
     return _accepted(spark, n, dims, lambda x: (_square(x) <= 1) & (_square(x) >= inner * inner), share, seed)
 
 
-def bean(spark: SparkSession, n: int, pinch: float = 0.2, seed: int = 0) -> DataFrame:
-    """id, x: uniform in the square between two lobes, narrow in the middle: |y| <= pinch + (1 - pinch) x^2."""
-    return _accepted(spark, n, 2, lambda x: F.abs(x[1]) <= pinch + (1 - pinch) * x[0] * x[0], pinch + (1 - pinch) / 3, seed)
+def bean(spark: SparkSession, n: int, h: float = 0.2, seed: int = 0) -> DataFrame:
+    """id, x: uniform in a bean: |y| <= 0.4 sqrt(1 - x^2) (1 + h - cos 3x) for x in [-1, 1] and y in [-0.6, 0.6]; h is the bridge's height."""
+    x = np.linspace(-1, 1, 20_001)
+    share = float(np.minimum(0.4 * np.sqrt(1 - x * x) * (1 + h - np.cos(3 * x)), 0.6).clip(0).mean())
+    inside = lambda x: (F.abs(x[1]) <= 0.6) & (F.abs(x[1]) <= 0.4 * F.sqrt(1 - x[0] * x[0]) * (1 + h - F.cos(3 * x[0])))
+    return _accepted(spark, n, 2, inside, share, seed)
