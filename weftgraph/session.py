@@ -26,7 +26,6 @@ ARROW_BYTES = 8 << 20
 
 def prepare(spark: SparkSession) -> None:
     """Bound what a Python worker is sent at once, and send it this package (once for each application)."""
-    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")  # a call site for every column made is slow
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key).removesuffix("b")) > ARROW_BYTES:
         spark.conf.set(key, str(ARROW_BYTES))
