@@ -49,14 +49,14 @@ def accuracy(labels: DataFrame, predicted: DataFrame, train: DataFrame | None =
 def run_trials(model, labels: DataFrame, sets: DataFrame, tag: str = "", path: str | None = None, overwrite: bool = False, parallel: int = 4) -> DataFrame:
     """trial, model, tag, num_train, accuracy for each training set: so many trials at a time, each a run of its own.
 
-    With a path each trial's row is appended there when it is done, and trials of this model and tag
+    With a path each trial's row is added there when it is done, and trials of this model and tag
     that are there already are left out (or done again and replaced, if asked).
     """
     spark, name = labels.sparkSession, model.name()
     there = f"{path}/{name}{'-' + tag if tag else ''}" if path else None
     if there and overwrite:
         delete_folder(spark, there)
-    done = {r.trial for r in load_trials(spark, there).select("trial").collect()} if there and folder_exists(spark, there) else set()
+    done = {r.trial for r in load_trials(spark, f"{there}/*").select("trial").collect()} if there and folder_exists(spark, there) else set()
     todo = sorted(r.trial for r in sets.select("trial").distinct().collect() if r.trial not in done)
     schema = "trial int, model string, tag string, num_train int, accuracy double"
 
@@ -65,14 +65,14 @@ def run_trials(model, labels: DataFrame, sets: DataFrame, tag: str = "", path: s
         train = cut(labels.join(sets.where(F.col("trial") == trial).select("id"), "id", "left_semi").select("id", "label"))
         row = (trial, name, tag, train.count(), float(accuracy(labels, own.fit_predict(train), train).first()[0]))
         if there:
-            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(there)
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{there}/run-{trial}")  # of its own, as trials end at the same time
         return row
 
     if todo and hasattr(model, "prepare"):
         model.prepare()  # what all trials share is made once
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         rows = list(pool.map(one, todo))
-    return load_trials(spark, there) if there and (done or rows) else spark.createDataFrame(rows, schema)
+    return load_trials(spark, f"{there}/*") if there and (done or rows) else spark.createDataFrame(rows, schema)
 
 
 def save_trials(results: DataFrame, path: str, overwrite: bool = False) -> None:
