@@ -246,7 +246,20 @@ def _word_hashes(rows: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with words (_id, _th, _node), and links between different texts (a, b)."""
+    """Rows with words (_id, _th, _node), and links between different texts (a, b).
+
+    All steps are joins by shuffle, so that no side is collected on the driver.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    old = conf.get(key, None)
+    conf.set(key, "-1")
+    try:
+        return _links(rows)
+    finally:
+        conf.unset(key) if old is None else conf.set(key, old)
+
+
+def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ensure_checkpoint_dir(rows.sparkSession)
     made = sketches(rows).checkpoint()
     nodes = made.groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row"), F.first("_keys").alias("_keys"))
