@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tests_prose import AWKWARD, prose
+from tests_prose import AWKWARD, drifting, prose, size_bits
 from weftgraph.llm import bpe, byte_cnn, common, html_crf, license_dice, line_frequency, order_minhash, pii_bootstrap, substring_dedup, token_scan, winnowing
 
 VOCABULARY, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -265,6 +265,14 @@ def test_near_duplicates(spark, awkward, empty):
     assert order_minhash.keep_one(awkward).columns == awkward.columns
 
 
+def test_size_estimates_stay_short(spark):
+    """The driver plans each step by an estimate of sizes; carried through the rounds, its digits would fill the driver."""
+    made, found = order_minhash.links(common.keyed(spark.createDataFrame(drifting(), "doc_id long, text string"), "doc_id", "text"))
+    rows = order_minhash.classes(spark.createDataFrame(drifting(), "doc_id long, text string"))
+    assert max(size_bits(x) for x in (made, found, rows)) < 2000
+    assert {(r.doc_id, r.class_id, r.class_size) for r in rows.collect()} == {(i, 0, 60) for i in range(60)}
+
+
 def test_links_inside_a_family_below_the_threshold(spark):
     r, origin = random.Random(0), prose(300, 7).split(" ")
 

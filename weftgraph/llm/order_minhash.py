@@ -49,8 +49,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import _WORD, Words, _mix, chunks, ensure_checkpoint_dir, keyed, utf8, words
-from weftgraph.operators.fixpoint import component_labels, release
+from weftgraph.llm.common import _WORD, Words, _mix, chunks, keyed, utf8, words
+from weftgraph.operators.fixpoint import component_labels, cut, release
 
 SHINGLE, SKETCHES, PICKED, PICKED_WORDS = 5, 64, 2, 5
 #: Hash functions whose buckets are aligned with their least text first.
@@ -260,29 +260,28 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ensure_checkpoint_dir(rows.sparkSession)
-    made = sketches(rows).checkpoint()
+    made = cut(sketches(rows))
     nodes = made.groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row"), F.first("_keys").alias("_keys"))
     keys = nodes.select("_node", F.posexplode("_keys").alias("_pos", "_key"))
     own = Window.partitionBy("_key")
     # texts that share a key with another: rows of three numbers, dealt by key once
     buckets = keys.select("_key", "_node", (F.col("_pos") % SKETCHES < STAR).alias("_first"), F.min("_node").over(own).alias("_lead"), F.max("_node").over(own).alias("_most"))
-    buckets = buckets.where("_lead < _most").drop("_most").checkpoint()
+    buckets = cut(buckets.where("_lead < _most").drop("_most"))
     # one row of documents for each text that is a candidate
     wanted = made.join(buckets.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row")).select("_node", F.col("_row._id").alias("_wid"), F.col("_row._th").alias("_wth"))
     texts = rows.join(wanted, rows["_id"].eqNullSafe(F.col("_wid")) & (rows["_th"] == F.col("_wth"))).dropDuplicates(["_node"])
-    texts = _word_hashes(texts).checkpoint()
+    texts = cut(_word_hashes(texts))
     release(rows.sparkSession)
     star = buckets.where("_first and _node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
-    found = similar(star, texts).checkpoint()
+    found = cut(similar(star, texts))
     # one text for each component of a bucket, with that of the least component
     members = _mixed(buckets.select("_key", "_node"), found)
     ones = members.groupBy("_key", "_comp").agg(F.min_by("_node", F.xxhash64("_node", "_key")).alias("_one"))
     star = ones.withColumn("_least", F.min(F.struct("_comp", "_one")).over(own)).where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
-    found = found.unionByName(similar(star, texts)).distinct().checkpoint()
+    found = cut(found.unionByName(similar(star, texts)).distinct())
     more = _across(_mixed(members.select("_key", "_node"), found), texts)
     release(rows.sparkSession)
-    return made.select("_id", "_th", "_node"), found.unionByName(more).distinct().checkpoint()
+    return made.select("_id", "_th", "_node"), cut(found.unionByName(more).distinct())
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
@@ -290,7 +289,7 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
     placed = members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
     own = Window.partitionBy("_key")
-    return placed.withColumns({"_lo": F.min("_comp").over(own), "_hi": F.max("_comp").over(own)}).where("_lo < _hi").select("_key", "_node", "_comp").checkpoint()
+    return cut(placed.withColumns({"_lo": F.min("_comp").over(own), "_hi": F.max("_comp").over(own)}).where("_lo < _hi").select("_key", "_node", "_comp"))
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -324,7 +323,7 @@ def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     order = Window.partitionBy("_key").orderBy("_comp", "_node")
     before = F.coalesce(F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # so many texts, and so many bytes, in a part: whichever is reached first begins another
-    own = sized.withColumn("_part", (F.floor((F.row_number().over(order) - 1) / PART) + F.floor(before / PART_BYTES)).cast("int")).checkpoint()
+    own = cut(sized.withColumn("_part", (F.floor((F.row_number().over(order) - 1) / PART) + F.floor(before / PART_BYTES)).cast("int")))
     parts = own.groupBy("_key", "_part").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
     i, j = parts.toDF("_key", "_i", "_ilo", "_ihi"), parts.toDF("_key", "_j", "_jlo", "_jhi")
     meet = i.join(j, "_key").where("_i <= _j and (_ilo < _ihi or _jlo < _jhi or _ilo <> _jlo)").where("_i < _j or _ilo < _ihi").select("_key", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_part"))
@@ -345,7 +344,7 @@ def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     dealt = lambda rows: rows.repartition(*group).sortWithinPartitions(*group, "_node")
-    few = dealt(sent).mapInArrow(likely, "_key long, _i int, _j int, _part int, _node long, _comp long").checkpoint()
+    few = cut(dealt(sent).mapInArrow(likely, "_key long, _i int, _j int, _part int, _node long, _comp long"))
     return dealt(few.join(texts.select("_node", "_words"), "_node").select(*few.columns, "_words")).mapInArrow(linked, "a long, b long").distinct()
 
 
@@ -422,7 +421,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = made.join(labels, made["_node"] == F.col("_lnode"), "left").withColumn("_comp", F.coalesce("_comp", "_node"))
     # copies are counted by text first; a table of its own, so that adaptive execution can split a very large class in the join
     texts = placed.groupBy("_comp", "_node").agg(F.min("_id").alias("_id"), F.count("*").alias("_n"))
-    ids = texts.groupBy("_comp").agg(F.min("_id").alias("_class"), F.sum("_n").alias("_size")).checkpoint()
+    ids = cut(texts.groupBy("_comp").agg(F.min("_id").alias("_class"), F.sum("_n").alias("_size")))
     both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("_dnode")).agg(F.count("*").alias("_links"))
     known = placed.join(ids.withColumnRenamed("_comp", "_icomp"), F.col("_comp") == F.col("_icomp")).join(degree, F.col("_node") == F.col("_dnode"), "left")
