@@ -5,7 +5,7 @@ import os
 import public_tokenizers
 import pytest
 import tiktoken
-from tests_prose import prose
+from tests_prose import drifting, prose, size_bits
 
 import corpus_pipeline
 from weftgraph.llm import bpe, winnowing
@@ -53,6 +53,12 @@ def test_stages_on_awkward_and_empty_rows(spark, awkward, empty, tmp_path):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(map(str, [0, 1, 2, 3, 4, 4, 6, 7, 8, 9, 10, None]))
 
 
+def test_near_duplicates_size_estimate_stays_short(spark):
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in drifting()], "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert size_bits(left) < 2000
+    assert [r.doc_id for r in left.collect()] == [0]
+
+
 def test_decontamination_keeps_no_document_with_a_hit(spark):
     path = "/root/testdata/sf0.01"
     if not os.path.isdir(path):
