@@ -16,7 +16,7 @@ DISTANCE_SQL = {
     "euclidean": "list_distance(a.x, b.x)",
     "angular": "list_distance(list_transform(a.x, lambda v: v / sqrt(list_inner_product(a.x, a.x))), list_transform(b.x, lambda v: v / sqrt(list_inner_product(b.x, b.x))))",
     "manhattan": "list_sum(list_transform(list_zip(a.x, b.x), lambda v: abs(v[1] - v[2])))",
-    "hamming": "list_sum(list_transform(list_zip(a.x, b.x), lambda v: CASE WHEN round(v[1] * 4) <> round(v[2] * 4) THEN 1.0 ELSE 0.0 END))",
+    "hamming": "list_sum(list_transform(list_zip(a.x, b.x), lambda v: CASE WHEN round(v[1] * 4) <> round(v[2] * 4) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END))",
     "dot": "list_inner_product(a.x, b.x)",
 }
 
@@ -35,7 +35,7 @@ for _name, _sql in DISTANCE_SQL.items():
     query(f"WITH {P}, pr AS (SELECT a.id AS src, b.id AS dst, {_sql} AS dist FROM p a JOIN p b ON a.id <> b.id) SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dist {_order}, dst)::INTEGER AS rank, round(dist, 6) + 0.0 AS dist FROM pr QUALIFY rank <= {K}", f"knn_{_name}")(partial(_knn, _name))
 
 WEIGHT_SQL = {
-    "uniform": ("1.0", "max"),
+    "uniform": ("1.0::DOUBLE", "max"),
     "gaussian": ("exp(-4 * dist * dist / (own * own))", "mean"),
     "symgaussian": ("exp(-4 * dist * dist / (own * other))", "max"),
     "distance": ("dist", "max"),
@@ -66,7 +66,7 @@ def knn_directed_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 EPS = 0.05
 PLANE = "q AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding::DOUBLE[] AS f FROM embeddings)"
 PAIRS = f"WITH {PLANE}, b AS (SELECT a.id AS src, c.id AS dst, sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)) AS dist, list_distance(a.f, c.f) AS fdist FROM q a JOIN q c ON a.id <> c.id)"
-BALL_SQL = {"uniform": "1.0", "gaussian": f"exp(-4 * dist * dist / ({EPS} * {EPS}))", "distance": "dist", "singular": "CASE WHEN dist = 0 THEN 1.0 ELSE 1 / dist END"}
+BALL_SQL = {"uniform": "1.0::DOUBLE", "gaussian": f"exp(-4 * dist * dist / ({EPS} * {EPS}))", "distance": "dist", "singular": "CASE WHEN dist = 0 THEN 1.0 ELSE 1 / dist END"}
 
 
 def _ball(kernel: str, spark: SparkSession, sf_dir: str) -> DataFrame:
