@@ -5,9 +5,9 @@ vector; learned filters run over every chunk and are max-pooled there; a small d
 each chunk a logit, and the mean of a document's logits goes through a sigmoid, so a long document
 counts whole and isn't drawn to an extreme by its length.
 
-Learning uses at most ``TRAIN_DOCS`` labelled documents, those of least hash of the id, as far as
-their texts together have at most ``TRAIN_BYTES`` (documented bounds on the driver's memory), and
-the whole of each: all of its chunks, which together weigh as much as those of another document.
+Learning uses at most ``TRAIN_DOCS`` labelled documents, those of least hash of the id (a documented
+bound on rows; the driver holds their chunks, 2.3 bytes for each byte of their texts), and the whole of
+each, however long: all of its chunks, which together weigh as much as those of another document.
 Only rows whose crc32 of the id as text isn't divisible by ``FOLDS`` are learned from.  Scoring reads
 every byte of every text.  Labels, language, source and id are never inputs of a score.
 
@@ -26,13 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.common import utf8
 
-TRAIN_DOCS, TRAIN_BYTES, FOLDS, THRESHOLD = 3000, 1 << 25, 5, 0.3
+TRAIN_DOCS, FOLDS, THRESHOLD = 3000, 5, 0.3
 CHUNK, OVERLAP, WIDTH, STRIDE, VECTOR, FILTERS, HIDDEN = 512, 64, 8, 2, 8, 32, 16
 EPOCHS, BATCH, RATE, SEED = 6, 64, 4e-3, 7
 #: Steps that learning takes at least, however few the labels.
@@ -135,29 +135,26 @@ def cut(data: np.ndarray, start: int, end: int, places: np.ndarray) -> np.ndarra
     return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int) -> DataFrame:
-    """Texts to learn from (_id, _y, _text): bounded in number and together in bytes."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> DataFrame:
+    """Texts to learn from (_id, _y, _text): bounded in number, whole, of each id the one of greatest length (then hash)."""
     labelled = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_id is not null and _y is not null")
     labelled = labelled.where(~held_out(F.col("_id"))).groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(most)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
     rows = rows.join(F.broadcast(labelled), "_id")
-    # of each id the greatest text, and those that fit: a window over ``most`` rows of two numbers
-    sizes = rows.groupBy("_id").agg(F.max(F.struct(F.octet_length("_text").alias("n"), F.xxhash64("_text").alias("th"))).alias("_own"))
-    before = F.sum("_own.n").over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
-    fits = sizes.withColumn("_sum", before).where(F.col("_sum") <= most_bytes).select(F.col("_id").alias("_fid"), F.col("_own.th").alias("_fth"))
-    return rows.join(F.broadcast(fits), (rows["_id"] == F.col("_fid")) & (F.xxhash64("_text") == F.col("_fth"))).dropDuplicates(["_id"]).select("_id", "_y", "_text")
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Network:
-    """A network learned from a bounded sample of labelled documents outside the held-out fold."""
-    rows = sample(docs, labels, id_col, text_col, label_col, most, most_bytes).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r._id).encode()), r._id))
-    x = []
-    for r in rows:
+    return rows.groupBy("_id").agg(F.first("_y").alias("_y"), F.max_by("_text", F.struct(F.octet_length("_text"), F.xxhash64("_text"))).alias("_text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Network:
+    """A network learned from a bounded number of labelled documents outside the held-out fold, all of each."""
+    x, own = [], []
+    for r in sample(docs, labels, id_col, text_col, label_col, most).toLocalIterator():
         data = np.frombuffer(r._text.encode("utf-8", "surrogatepass"), np.uint8)
         x.append(cut(data, 0, len(data), chunk_starts(len(data))))
+        own.append((zlib.crc32(str(r._id).encode()), r._id, r._y))
+    order = sorted(range(len(own)), key=own.__getitem__)
+    x, own = [x[i] for i in order], [own[i] for i in order]
     n = np.array([len(c) for c in x], np.int64)
-    y = np.repeat([float(r._y > 0) for r in rows], n).astype(np.float32)
+    y = np.repeat([float(q > 0) for *_, q in own], n).astype(np.float32)
     weight = np.repeat(n.sum() / (max(1, len(n)) * n), n).astype(np.float32)
     return fit(np.concatenate(x) if x else np.zeros((0, CHUNK), np.int16), y, weight)
 

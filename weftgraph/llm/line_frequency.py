@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import WORD_SQL, chunks, covered, keyed, per_document, utf8, windows, words
+from weftgraph.llm.common import WORD_SQL, Words, chunks, covered, keyed, new_key, per_document, same_words, utf8, windows, words
 
 MIN_DOCS, MAX_SHARE, MIN_WORDS, MIN_LEFT = 10, 0.05, 20, 0.3
 REPEAT_WINDOW, BASE_MIN_WORDS, BASE_MAX_REPEAT = 8, 20, 30
@@ -39,23 +39,35 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def _figures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+def repeated_windows(w: Words, k: int = REPEAT_WINDOW) -> np.ndarray:
+    """First words of the windows of k words found twice or more in one document.
+
+    Windows of one hash count as equal only when their words are compared and found the same.
+    """
+    at, h, owner = windows(w, k)
+    order = np.lexsort((h, owner))
+    alike = np.flatnonzero((h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1]))
+    left, right = at[order[alike]], at[order[alike + 1]]
+    # windows one after the other share words: each pair of words is compared once
+    pairs = np.unique(np.concatenate([np.stack([left + j, right + j]) for j in range(k)], axis=1), axis=1) if len(left) else np.zeros((2, 0), np.int64)
+    if same_words(w, pairs[0], pairs[1]).all():
+        return np.unique(np.concatenate([left, right]))
+    found: dict[tuple, list[int]] = {}  # two different windows of one hash: by the words themselves
+    text = [w.data[i:j].tobytes() for i, j in zip(w.start, w.end, strict=True)]
+    for i, d in zip(at.tolist(), owner.tolist(), strict=True):
+        found.setdefault((d, *text[i : i + k]), []).append(i)
+    return np.array(sorted(i for own in found.values() if len(own) > 1 for i in own), np.int64)
+
+
+def _figures(data: np.ndarray, offsets: np.ndarray, key: int = 0) -> dict[str, np.ndarray]:
     """Base figures of a chunk of documents."""
-    w = words(data, offsets)
+    w = words(data, offsets, key=key)
     n_docs, rel = len(offsets) - 1, offsets - offsets[0]
     raw = w.data
     starts_char = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     chars = starts_char[w.end] - starts_char[w.start]
     symbols = np.concatenate([[0], np.cumsum(_SYMBOL[raw])])
-    at, h, owner = windows(w, REPEAT_WINDOW)
-    # windows found twice or more in one document: sort by document and hash
-    order = np.lexsort((h, owner))
-    same = np.zeros(len(order), bool)
-    if len(order) > 1:
-        equal = (h[order][1:] == h[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-        same[1:] |= equal
-        same[:-1] |= equal
-    repeat = covered(len(w.hash), at[order[same]], REPEAT_WINDOW)
+    repeat = covered(len(w.hash), repeated_windows(w), REPEAT_WINDOW)
     dups = np.zeros(n_docs, np.int64)
     body = raw.tobytes()
     for i in range(n_docs):
@@ -69,12 +81,12 @@ def _figures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 def base_figures(rows: DataFrame, text_col: str = "_text") -> DataFrame:
     """All columns but the text, and the base figures of each text (long)."""
     text, keep = rows.columns.index(text_col), [i for i, c in enumerate(rows.columns) if c != text_col]
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    names, key = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), new_key()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(text))
-            parts = [_figures(data, at[i : j + 1]) for i, j in chunks(at)]
+            parts = [_figures(data, at[i : j + 1], key) for i, j in chunks(at)]
             made = [pa.array(np.concatenate([p[n] for p in parts]) if parts else [], pa.int64()) for n in names]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], *made], [*[b.schema.names[i] for i in keep], *names])
 

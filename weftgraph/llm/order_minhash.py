@@ -8,7 +8,8 @@ around the diagonal as wide as the threshold allows; its edit similarity is the
 words among all words of both, ``2 m / (a + b)``, and pairs of at least ``SIMILARITY`` are linked.
 Classes are the connected components of the links.
 
-Exact copies (the same words in the same order, by a 64-bit hash) are one text from the start.  Three
+Exact copies (the same words in the same order, by a 128-bit BLAKE2 digest of all of them) are one text
+from the start, which has a number of its own.  Texts are aligned by their words, not by hashes.  Three
 steps then find the links, each on what the one before leaves in several components.  In each bucket
 of the first ``STAR`` hash functions every text is aligned with the bucket's least text, so copies are
 never expanded into all pairs.  In every bucket that holds several components, one text of each is
@@ -20,7 +21,9 @@ fifth of the words of both, so do the words), which leaves few; those by the wor
 common (one matrix product for a block of texts), and if all allow the threshold by alignment.  Such a
 bucket is cut, in the order of its components, into parts that meet in tasks of their own; parts of
 one and the same component don't meet.  Nothing is capped: all texts that share a key and are similar
-come into one class.  The last step is quadratic in the texts of a mixed bucket.
+come into one class.  The last step is quadratic in the texts of a mixed bucket.  No step brings a
+whole bucket to one task: least and greatest members are aggregates, and parts are numbered by range
+partitions.
 
 One changed word spoils five shingles, so short texts have keys of k = 1: those of up to ``SHORT``
 words pick ``PICKED_WORDS`` least labelled words, wherever the edits are; those of up to ``TINY``
@@ -39,6 +42,8 @@ those is then a class of its own).  Columns other than the id and the text are n
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
@@ -46,10 +51,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import _WORD, Words, _mix, chunks, keyed, utf8, words
+from weftgraph.llm.common import _mix, by_group, chunks, keyed, pack_texts, packed, parts, shuffle_joins, utf8, words
 from weftgraph.operators.fixpoint import component_labels, cut, release
 
 SHINGLE, SKETCHES, PICKED, PICKED_WORDS = 5, 64, 2, 5
@@ -61,8 +66,8 @@ SIMILARITY = 0.8
 SHORT, TINY = 64, 9
 #: Shingles hashed at once by all functions.
 BLOCK = 1 << 13
-#: Texts and bytes of word hashes in a part of a mixed bucket; a task holds two parts at once.
-PART, PART_BYTES = 1024, 1 << 23
+#: Texts and words in a part of a mixed bucket; a task holds two parts at once.
+PART, PART_WORDS = 1024, 1 << 21
 #: Counts of a text's hashed words, and texts whose counts are compared at once.
 CELLS, ROWS = 128, 128
 #: Pairs that are aligned without counting common words first, and words counted at once.
@@ -137,35 +142,41 @@ def text_keys(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _nodes(w: Words) -> np.ndarray:
-    """A hash of each document's words in order, and of how many there are."""
-    up, down = _WORD.get(len(w.hash) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash * up[: len(w.hash)], dtype=np.uint64)])
-    return _mix((total[w.first[1:]] - total[w.first[:-1]]) * down[np.minimum(w.first[:-1], len(w.hash))] + w.counts.astype(np.uint64))
+def named(rows: DataFrame) -> DataFrame:
+    """Of _id, _th, _text with words: _id, _th, _digest (of the text's words in order)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, at = utf8(b.column(2))
+            own = [data[i:j].tobytes().split() for i, j in zip(at, at[1:], strict=False)]
+            made = pa.array([hashlib.blake2b(b" ".join(w), digest_size=16).digest() if w else None for w in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), made], ["_id", "_th", "_digest"])
+
+    return rows.select("_id", "_th", "_text").mapInArrow(run, "_id long, _th long, _digest binary").where("_digest is not null")
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """Of _id, _th, _text with words: _id, _th, _node (the text's words), _keys."""
-    text = rows.columns.index("_text")
+
+def sketches(texts: DataFrame) -> DataFrame:
+    """Of _node, _packed: both, _n (words), _counts (of hashed words, 255 at most each), _keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = utf8(b.column(text))
+            data, at = pack_texts(b.column(1))
             for i, j in chunks(at):
                 w = words(data, at[i : j + 1])
-                some = np.flatnonzero(w.counts)
-                if not len(some):
-                    continue
-                node = _nodes(w)[some]
-                # copies in one chunk have one sketch
-                _, first, back = np.unique(node, return_index=True, return_inverse=True)
-                own = [text_keys(w.hash[w.first[d] : w.first[d + 1]]) for d in some[first]]
-                keys = [own[k] for k in back]
+                keys = [text_keys(w.hash[w.first[d] : w.first[d + 1]]) for d in range(j - i)]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys).view(np.int64)))
-                pick = pa.array(i + some)
-                yield pa.RecordBatch.from_arrays([b.column("_id").take(pick), b.column("_th").take(pick), pa.array(node.view(np.int64)), lists], ["_id", "_th", "_node", "_keys"])
+                owner = np.repeat(np.arange(j - i), w.counts)
+                counts = np.bincount(owner * CELLS + (w.hash >> np.uint64(32)).astype(np.int64) % CELLS, minlength=(j - i) * CELLS)
+                counts = np.minimum(counts, 255).astype(np.uint8).reshape(j - i, CELLS)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(w.counts, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary()), lists], ["_node", "_packed", "_n", "_counts", "_keys"])
+
+    return texts.select("_node", "_packed").mapInArrow(run, "_node long, _packed binary, _n int, _counts binary, _keys array<long>")
+
 
-    return rows.mapInArrow(run, "_id long, _th long, _node long, _keys array<long>")
+def numbered(texts: list[bytes]) -> list[np.ndarray]:
+    """The words of packed texts as numbers, equal only for equal words."""
+    seen: dict[bytes, int] = {}
+    return [np.array([seen.setdefault(w, len(seen)) for w in zlib.decompress(t).split()], np.uint32) for t in texts]
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> int:
@@ -214,102 +225,62 @@ def _banded(a: list[int], b: list[int], band: int) -> int:
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of nodes those that are linked; texts: _node, _words (32-bit word hashes)."""
-    left = texts.select(F.col("_node").alias("a"), F.col("_words").alias("wa"))
-    right = texts.select(F.col("_node").alias("b"), F.col("_words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
+    """Of pairs (a, b) of nodes those that are linked; texts: _node, _packed."""
+    left = texts.select(F.col("_node").alias("a"), F.col("_packed").alias("pa"))
+    right = texts.select(F.col("_node").alias("b"), F.col("_packed").alias("pb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lambda column, i: np.frombuffer(column[i].as_buffer(), np.uint32)
         for batch in batches:
-            good = [i for i in range(batch.num_rows) if aligned(own(batch.column(2), i), own(batch.column(3), i))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), batch.column(1).take(pa.array(good, pa.int64()))], ["a", "b"])
+            good = pa.array([i for i in range(batch.num_rows) if aligned(*numbered([batch.column(c)[i].as_buffer() for c in (2, 3)]))], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good)], ["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _word_hashes(rows: DataFrame) -> DataFrame:
-    """Of _node, _text: _node, _words (32-bit hashes), _counts (of hashed words, 255 at most each)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, at = utf8(b.column(1))
-            for i, j in chunks(at):
-                w = words(data, at[i : j + 1])
-                made = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(w.first.astype(np.int64) * 4), pa.py_buffer((w.hash >> np.uint64(32)).astype(np.uint32))])
-                owner = np.repeat(np.arange(j - i), w.counts)
-                counts = np.bincount(owner * CELLS + (w.hash >> np.uint64(32)).astype(np.int64) % CELLS, minlength=(j - i) * CELLS)
-                counts = np.minimum(counts, 255).astype(np.uint8).reshape(j - i, CELLS)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), made.cast(pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary())], ["_node", "_words", "_counts"])
-
-    return rows.select("_node", "_text").mapInArrow(run, "_node long, _words binary, _counts binary")
-
-
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with words (_id, _th, _node), and links between different texts (a, b).
 
     All steps are joins by shuffle, so that no side is collected on the driver.
     """
-    conf, key = rows.sparkSession.conf, "spark.sql.adaptive.autoBroadcastJoinThreshold"
-    old = conf.get(key, None)
-    conf.set(key, "-1")
-    try:
+    with shuffle_joins(rows.sparkSession):
         return _links(rows)
-    finally:
-        conf.unset(key) if old is None else conf.set(key, old)
 
 
 def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    made = cut(sketches(rows))
-    nodes = made.groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row"), F.first("_keys").alias("_keys"))
-    keys = nodes.select("_node", F.posexplode("_keys").alias("_pos", "_key"))
-    own = Window.partitionBy("_key")
-    # texts that share a key with another: rows of three numbers, dealt by key once
-    buckets = keys.select("_key", "_node", (F.col("_pos") % SKETCHES < STAR).alias("_first"), F.min("_node").over(own).alias("_lead"), F.max("_node").over(own).alias("_most"))
-    buckets = cut(buckets.where("_lead < _most").drop("_most"))
-    # one row of documents for each text that is a candidate
-    wanted = made.join(buckets.select("_node").distinct(), "_node", "left_semi").groupBy("_node").agg(F.min(F.struct("_id", "_th")).alias("_row")).select("_node", F.col("_row._id").alias("_wid"), F.col("_row._th").alias("_wth"))
-    texts = rows.join(wanted, rows["_id"].eqNullSafe(F.col("_wid")) & (rows["_th"] == F.col("_wth"))).dropDuplicates(["_node"])
-    texts = cut(_word_hashes(texts))
+    found = cut(named(rows))
+    # a text's number means the text and nothing else, however many texts there are
+    nodes = cut(found.groupBy("_digest").agg(F.min(F.struct("_id", "_th")).alias("_row")).withColumn("_node", F.monotonically_increasing_id()))
+    made = cut(found.join(nodes.select("_digest", "_node"), "_digest").select("_id", "_th", "_node"))
+    texts = packed(rows, nodes)
+    whole = cut(sketches(texts))
+    release(rows.sparkSession)
+    keys = whole.select("_node", F.posexplode("_keys").alias("_pos", "_key")).select("_key", "_node", (F.col("_pos") % SKETCHES < STAR).alias("_first"))
+    # texts that share a key with another: rows of three numbers
+    shared = keys.groupBy("_key").agg(F.min("_node").alias("_lead"), F.max("_node").alias("_most")).where("_lead < _most").drop("_most")
+    buckets = cut(keys.join(shared, "_key"))
+    texts = cut(whole.join(buckets.select("_node").distinct(), "_node", "left_semi").drop("_keys"))
+    del whole, keys, shared
     release(rows.sparkSession)
     star = buckets.where("_first and _node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
     found = cut(similar(star, texts))
     # one text for each component of a bucket, with that of the least component
     members = _mixed(buckets.select("_key", "_node"), found)
     ones = members.groupBy("_key", "_comp").agg(F.min_by("_node", F.xxhash64("_node", "_key")).alias("_one"))
-    star = ones.withColumn("_least", F.min(F.struct("_comp", "_one")).over(own)).where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
+    least = ones.groupBy("_key").agg(F.min(F.struct("_comp", "_one")).alias("_least"))
+    star = ones.join(least, "_key").where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
     found = cut(found.unionByName(similar(star, texts)).distinct())
     more = _across(_mixed(members.select("_key", "_node"), found), texts)
     release(rows.sparkSession)
-    return made.select("_id", "_th", "_node"), cut(found.unionByName(more).distinct())
+    return made, cut(found.unionByName(more).distinct())
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Of (_key, _node) the rows of buckets in several components by the links so far, with the component (_comp) of each text."""
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
-    placed = members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp"))
-    own = Window.partitionBy("_key")
-    return cut(placed.withColumns({"_lo": F.min("_comp").over(own), "_hi": F.max("_comp").over(own)}).where("_lo < _hi").select("_key", "_node", "_comp"))
-
-
-def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
-    """Rows sorted by their first columns, one list of slices for each group of equal ones; a group may go on in the next batch."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        names = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(keys)])
-        if held and any(held[-1].column(c)[0].as_py() != names[c, 0] for c in range(keys)):
-            yield held
-            held = []
-        cuts = [0, *(np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
-        for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            if k:
-                yield held
-                held = []
-            held.append(b.slice(i, j - i))
-    if held:
-        yield held
+    placed = cut(members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp")))
+    several = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
+    return cut(placed.join(several, "_key", "left_semi"))
 
 
 def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -319,33 +290,29 @@ def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     both hold texts of one component only.  Texts meet by their counts first; the words of those that
     a text of the group may be similar to are sent after them.
     """
-    sized = buckets.join(texts.select("_node", F.length("_words").alias("_bytes"), "_counts"), "_node")
-    order = Window.partitionBy("_key").orderBy("_comp", "_node")
-    before = F.coalesce(F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # so many texts, and so many bytes, in a part: whichever is reached first begins another
-    own = cut(sized.withColumn("_part", (F.floor((F.row_number().over(order) - 1) / PART) + F.floor(before / PART_BYTES)).cast("int")))
-    parts = own.groupBy("_key", "_part").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
-    i, j = parts.toDF("_key", "_i", "_ilo", "_ihi"), parts.toDF("_key", "_j", "_jlo", "_jhi")
+    own = cut(parts(buckets.join(texts.select("_node", "_n"), "_node"), PART, PART_WORDS))
+    about = own.groupBy("_key", "_part").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
+    i, j = about.toDF("_key", "_i", "_ilo", "_ihi"), about.toDF("_key", "_j", "_jlo", "_jhi")
     meet = i.join(j, "_key").where("_i <= _j and (_ilo < _ihi or _jlo < _jhi or _ilo <> _jlo)").where("_i < _j or _ilo < _ihi").select("_key", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_part"))
     group = ["_key", "_i", "_j"]
-    sent = own.join(meet, ["_key", "_part"]).select(*group, "_part", "_node", "_comp", (F.col("_bytes") / 4).cast("int").alias("_n"), "_counts")
+    sent = own.join(meet, ["_key", "_part"]).join(texts.select("_node", "_n", "_counts"), "_node").select(*group, "_part", "_node", "_comp", "_n", "_counts")
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_group(batches, 3):
+        for held in by_group(batches, 3):
             part, comp, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (3, 5, 6))
             counts = np.frombuffer(b"".join(x.as_py() for b in held for x in b.column(7)), np.uint8).reshape(-1, CELLS)
             some = pa.array(np.flatnonzero(may_be_similar(part, comp, n, counts)))
             yield pa.Table.from_batches(held).select(range(6)).take(some).combine_chunks().to_batches()[0] if len(some) else held[0].select(range(6)).slice(0, 0)
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _by_group(batches, 3):
+        for held in by_group(batches, 3):
             part, node, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (3, 4, 5))
-            found = linked_across(part, node, comp, [np.frombuffer(x.as_buffer(), np.uint32) for b in held for x in b.column(6)])
+            found = linked_across(part, node, comp, numbered([x.as_buffer() for b in held for x in b.column(6)]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     dealt = lambda rows: rows.repartition(*group).sortWithinPartitions(*group, "_node")
     few = cut(dealt(sent).mapInArrow(likely, "_key long, _i int, _j int, _part int, _node long, _comp long"))
-    return dealt(few.join(texts.select("_node", "_words"), "_node").select(*few.columns, "_words")).mapInArrow(linked, "a long, b long").distinct()
+    return dealt(few.join(texts.select("_node", "_packed"), "_node").select(*few.columns, "_packed")).mapInArrow(linked, "a long, b long").distinct()
 
 
 def may_be_similar(part: np.ndarray, comp: np.ndarray, n: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -3,9 +3,13 @@
 First pass: each partition hashes its 13-word windows and emits a sparse partial count-min sketch
 (two rows of cells that count 0, 1, 2 or more); partials are merged cell by cell.  A cell never
 holds less than the count of a window that falls on it, so a window whose two cells don't both
-hold 2 occurs once.  Second pass: only windows estimated repeated are grouped exactly, by 96 bits
-of hash, to the least id of a document with them.  Third pass: words covered by a window that also
-starts in a document of a smaller id are removed.  No window that repeats is lost.
+hold 2 occurs once.  Second pass: only windows estimated repeated are grouped, by 96 bits of two hashes
+of their words, to the least id of a document with them.  Third pass: words covered by a window that
+also starts in a document of a smaller id are removed.  No window that repeats is lost.
+
+The two hashes share nothing: each word is hashed twice, under a secret that each run draws anew, and
+runs of words are mixed at each step.  So no text can be made beforehand whose windows collide, and of
+n windows two different ones are taken for one with a probability of n**2 / 2**97 (6e-4 at 1e13 windows).
 
 The merged sketch is the one thing that is broadcast: ``2 * width`` bits, 64 MB at the default
 width whatever the input's size.  With more windows than cells it prunes less, and the exact
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Words, chunks, covered, keyed, per_document, utf8, windows, words
+from weftgraph.llm.common import Words, chunks, covered, keyed, new_key, per_document, utf8, windows, words
 
 WINDOW = 13
 #: Cells in each of the sketch's two rows.
@@ -108,7 +112,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], ["grp", "bits"])
 
 
-def build_sketch(rows: DataFrame, k: int = WINDOW, width: int = WIDTH) -> dict[int, bytes]:
+def build_sketch(rows: DataFrame, k: int = WINDOW, width: int = WIDTH, key: int = 0) -> dict[int, bytes]:
     """The merged sketch's cells that hold 2 or more: compressed bits of each group of blocks; of bounded size."""
     text = rows.columns.index("_text")
 
@@ -117,7 +121,7 @@ def build_sketch(rows: DataFrame, k: int = WINDOW, width: int = WIDTH) -> dict[i
         for b in batches:
             data, at = utf8(b.column(text))
             for i, j in chunks(at):
-                _, h, _, g = windows(words(data, at[i : j + 1]), k, second=True)
+                _, h, _, g = windows(words(data, at[i : j + 1], key=key), k, second=True)
                 gathered += [c.astype(np.uint32) for c in _cells(h, g, width)]
                 n += 2 * len(h)
                 if n >= FLUSH:
@@ -156,7 +160,7 @@ def _claims(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(g[first].view(np.int32)), pa.array(k), pa.array(ids[first])], ["_h", "_g", "_k", "_id"])
 
 
-def candidates(rows: DataFrame, sketch: dict[int, bytes], k: int = WINDOW, width: int = WIDTH) -> DataFrame:
+def candidates(rows: DataFrame, sketch: dict[int, bytes], k: int = WINDOW, width: int = WIDTH, key: int = 0) -> DataFrame:
     """Windows estimated repeated: _h and _g (96 bits of hash), _k, _id; claims and known repeats of each ``GATHER`` windows."""
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
     text, ids = rows.columns.index("_text"), rows.columns.index("_id")
@@ -167,7 +171,7 @@ def candidates(rows: DataFrame, sketch: dict[int, bytes], k: int = WINDOW, width
             data, at = utf8(b.column(text))
             own = b.column(ids).to_numpy()
             for i, j in chunks(at):
-                _, h, owner, g = windows(words(data, at[i : j + 1]), k, second=True)
+                _, h, owner, g = windows(words(data, at[i : j + 1], key=key), k, second=True)
                 full = np.arange(len(h))
                 for c in _cells(h, g, width):
                     c = c[full]
@@ -197,8 +201,8 @@ def repeated(found: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WINDOW, width: int = WIDTH) -> DataFrame:
     """Per row: the id, n_words, n_removed, and the kept words joined by one space."""
-    rows = keyed(docs, id_col, text_col).select("_id", "_text")
-    hits = repeated(candidates(rows, build_sketch(rows, k, width), k, width))
+    rows, key = keyed(docs, id_col, text_col).select("_id", "_text"), new_key()
+    hits = repeated(candidates(rows, build_sketch(rows, k, width, key), k, width, key))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,7 +218,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             texts = [zlib.decompress(x.as_buffer()) for x in b.column(1)]
             data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             for i, j in chunks(at):
-                w = words(data, at[i : j + 1])
+                w = words(data, at[i : j + 1], key=key)
                 place, h, owner = windows(w, k)
                 edges = np.searchsorted(owner, np.arange(j - i + 1))
                 own = b.column(2).slice(i, j - i)
