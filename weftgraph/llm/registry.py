@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bpe, byte_cnn, html_crf, license_dice, line_frequency, order_minhash, pii_bootstrap, substring_dedup, token_scan, winnowing
+from weftgraph.llm import bpe, byte_cnn, html_crf, license_dice, line_frequency, order_minhash, periodic_runs, pii_bootstrap, substring_dedup, token_groups, token_scan, whitening, winnowing
 from weftgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,10 +59,23 @@ def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_dice.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
+def op13_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_groups.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_line_frequency, op2_substring_dedup, op3_pii_bootstrap, op4_order_minhash, op5_byte_bpe, op6_html_crf, op7_byte_cnn, op8_token_scan, op9_winnowing, op10_license_dice)
+    found = (op1_line_frequency, op2_substring_dedup, op3_pii_bootstrap, op4_order_minhash, op5_byte_bpe, op6_html_crf, op7_byte_cnn, op8_token_scan, op9_winnowing, op10_license_dice, op11_whitening, op12_periodic_runs, op13_token_groups)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_frequency": line_frequency.SQL, "op2_substring_dedup": substring_dedup.SQL, "op9_winnowing": winnowing.SQL, "op10_license_dice": license_dice.sql()}
+    return {"op1_line_frequency": line_frequency.SQL, "op2_substring_dedup": substring_dedup.SQL, "op9_winnowing": winnowing.SQL, "op10_license_dice": license_dice.sql(), "op13_token_groups": token_groups.SQL}
