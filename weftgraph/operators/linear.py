@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators import local
+from weftgraph.operators import blocks, local
 from weftgraph.operators.calculus import degrees, laplacian
 from weftgraph.operators.fixpoint import cut
 
@@ -219,15 +219,20 @@ def eigen_decomp(nodes: DataFrame, edges: DataFrame, k: int = 10, kind: str = "n
     """Smallest k eigenvalues (ascending) and vectors (id, v0, v1, ...) of a Laplacian.
 
     kind: combinatorial, normalized, or randomwalk (its vectors are D^-1/2 of the normalized ones).
-    exact: iteration to a residual of tol, or dense where a dense matrix is made; an error if it
-    isn't reached.  lowrank: a fixed number of sweeps of randomised subspace iteration.  gamma > 0
-    adds the modularity term (gamma / sum of d) d d^T to the operator.  Beyond ``local.MAX_NODES``
-    both are joins.
+    exact: Chebyshev-filtered subspace iteration on packed blocks, to a residual of tol times the
+    spectrum's bound; an error if it isn't reached.  lowrank: a fixed number of sweeps of randomised
+    subspace iteration on the same blocks.  gamma > 0 adds the modularity term (gamma / sum of d) d d^T
+    to the operator, whose products are joins.  plan "local" solves a graph of checked size in numpy.
     """
     spark = nodes.sparkSession
-    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
-        apply, top = laplacian_operator(nodes, edges, kind, gamma)
-        vals, u = smallest_distributed(nodes, apply, top, k, tol, seed=seed) if method == "exact" else lowrank_distributed(nodes, apply, top, k, sweeps, seed)
+    if plan != "local":
+        if gamma:
+            apply, top = laplacian_operator(nodes, edges, kind, gamma)
+            vals, u = smallest_distributed(nodes, apply, top, k, tol, seed=seed) if method == "exact" else lowrank_distributed(nodes, apply, top, k, sweeps, seed)
+        else:
+            a = cut(laplacian(nodes, edges, "combinatorial" if kind == "combinatorial" else "normalized"))
+            top = blocks.bounds(a)[1] if kind == "combinatorial" else 2.0
+            vals, u = blocks.smallest(nodes, a, k, tol, 0.0, top, seed=seed)[:2] if method == "exact" else blocks.lowrank(nodes, a, top, k, sweeps, seed=seed)
         if kind == "randomwalk":
             root = F.sqrt(F.when(F.col("d") > 0, F.col("d")).otherwise(1.0))
             u = u.join(degrees(nodes, edges), "id").select("id", *[(F.col(c) / root).alias(c) for c in u.columns[1:]])
@@ -259,12 +264,12 @@ def eigen_local(g: local.Local, k: int, kind: str = "normalized", method: str =
 
 
 def fiedler_vector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-8, max_iter: int = 100_000, plan: str = "auto") -> DataFrame:
-    """id, u: power iteration on 2 max(d) I - L with the mean taken out; its value at the least id isn't positive.
+    """id, u: the second eigenvector of L; its value at the least id isn't positive.
 
-    Beyond ``local.MAX_NODES`` it is the second eigenvector of L, by joins.
+    plan "local": power iteration on 2 max(d) I - L with the mean taken out, in numpy.
     """
-    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
-        _, v = eigen_decomp(nodes, edges, 2, "combinatorial", plan="distributed")
+    if plan != "local":
+        _, v = eigen_decomp(nodes, edges, 2, "combinatorial", tol=tol)
         v = cut(v.select("id", F.col("v1").alias("u")))
         sign = -1.0 if v.agg(F.min_by("u", "id")).first()[0] > 0 else 1.0
         return v.select("id", (sign * F.col("u")).alias("u"))
@@ -285,13 +290,13 @@ def fiedler_vector(nodes: DataFrame, edges: DataFrame, tol: float = 1e-8, max_it
 
 def diffusion_map(nodes: DataFrame, edges: DataFrame, k: int = 2, steps: int = 1, alpha: float = 1.0, full: bool = False, plan: str = "auto") -> DataFrame:
     """Eigenvectors of the Coifman-Lafon walk, each times (1 - value) ** steps; without the trivial one unless full."""
-    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+    if plan != "local":
         d = degrees(nodes, edges).where("d > 0")
         h = edges
         for end in ("src", "dst"):
             h = h.join(d.select(F.col("id").alias(end), F.col("d").alias(f"d_{end}")), end)
         h = cut(h.select("src", "dst", (F.col("w") * F.pow(F.col("d_src") * F.col("d_dst"), F.lit(-float(alpha)))).alias("w")))
-        vals, v = eigen_decomp(nodes, h, k, "randomwalk", plan="distributed")
+        vals, v = eigen_decomp(nodes, h, k, "randomwalk")
         return v.select("id", *[(F.col(f"v{j}") * float((1 - vals[j]) ** steps)).alias(f"v{j if full else j - 1}") for j in range(0 if full else 1, k)])
     g = local.gather(nodes, edges)
     d = np.where(g.degree > 0, g.degree, 1)
@@ -301,15 +306,14 @@ def diffusion_map(nodes: DataFrame, edges: DataFrame, k: int = 2, steps: int = 1
     return local.frame(nodes.sparkSession, g, out if full else out[:, 1:], "v")
 
 
-def dirichlet_eigenvectors(nodes: DataFrame, a: DataFrame, boundary: DataFrame, k: int) -> tuple[np.ndarray, DataFrame]:
-    """Smallest eigenpairs of a symmetric matrix with zero values on a set (dense, of checked size)."""
-    g = local.gather(nodes, a)
-    free = np.ones(g.n, bool)
-    free[g.index(boundary.select("id").toPandas()["id"].to_numpy())] = False
-    vals, vecs = np.linalg.eigh(g.dense()[np.ix_(free, free)])
-    out = np.zeros((g.n, k))
-    out[free] = vecs[:, :k]
-    return vals[:k], local.frame(nodes.sparkSession, g, out, "v")
+def dirichlet_eigenvectors(nodes: DataFrame, a: DataFrame, boundary: DataFrame, k: int, tol: float = 1e-8, entries: int = blocks.ENTRIES) -> tuple[np.ndarray, DataFrame]:
+    """Smallest eigenpairs of a symmetric matrix with zero values on a set: those of its free rows and columns, in blocks."""
+    held = boundary.select("id").distinct()
+    free = cut(nodes.select("id").join(held, "id", "left_anti"))
+    inner = cut(a.join(free.select(F.col("id").alias("src")), "src", "left_semi").join(free.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    vals, u, _ = blocks.smallest(free, inner, k, tol, entries=entries)
+    zero = nodes.select("id").join(held, "id", "left_semi").select("id", *[F.lit(0.0).alias(c) for c in u.columns[1:]])
+    return vals, u.unionByName(zero)
 
 
 def reweight_poisson(nodes: DataFrame, edges: DataFrame, train: DataFrame, normalized: bool = False, tol: float = 1e-5, plan: str = "auto") -> DataFrame:
