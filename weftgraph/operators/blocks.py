@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators.fixpoint import cut, release
+from weftgraph.operators import local
+from weftgraph.operators.fixpoint import cut, forget, release
 
 #: Entries of the matrix (and rows, which count as one each) in a block.
 ENTRIES = 1 << 19
@@ -91,6 +92,17 @@ def _write(block: Block, own: np.ndarray, width: int) -> pa.Table:
     return pa.table({"p": pa.array(p, pa.int64()), "q": pa.array(q, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
+def _write_own(p: int, x: np.ndarray) -> pa.Table:
+    return pa.table({"p": pa.array([p], pa.int64()), "q": pa.array([p], pa.int64()), "data": pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())})
+
+
+def _ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for p, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids = np.frombuffer(data, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), p))], ["id", "p"])
+
+
 def _stepper(steps: list[Step], send: int, width: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block.of(left.to_pylist()[0])
@@ -122,8 +134,7 @@ class Blocks:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for p, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    x = np.ascontiguousarray(make(np.frombuffer(ids, np.int64)), np.float64)
-                    yield from pa.table({"p": pa.array([p], pa.int64()), "q": pa.array([p], pa.int64()), "data": pa.array([x.tobytes()], pa.binary())}).to_batches()
+                    yield from _write_own(p, np.asarray(make(np.frombuffer(ids, np.int64)), np.float64)).to_batches()
 
         return self.table.select("p", "ids").mapInArrow(run, STATE)
 
@@ -138,6 +149,24 @@ class Blocks:
             state = self.table.groupBy("p").cogroup(state.groupBy("p")).applyInArrow(_stepper(some, 0 if single or k + 1 == len(steps) else width, width), STATE)
         return state
 
+    def place(self, values: DataFrame, cols: list[str]) -> DataFrame:
+        """Own parts of columns given by node (id and the columns); zero where a node has none."""
+        width = len(cols)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:  # ids that aren't of the matrix
+                return _write_own(-1, np.zeros((0, width))).slice(0, 0)
+            ids, x = np.frombuffer(left.column("ids")[0].as_py(), np.int64), None
+            x = np.zeros((len(ids), width))
+            at = np.searchsorted(ids, right.column("id").to_numpy())
+            for j, c in enumerate(cols):
+                x[at, j] = right.column(c).fill_null(0.0).to_numpy()
+            return _write_own(left.column("p")[0].as_py(), x)
+
+        where = self.table.select("p", "ids").mapInArrow(_ids_of, "id long, p long")
+        known = values.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in cols]).join(where, "id")
+        return self.table.select("p", "ids").groupBy("p").cogroup(known.groupBy("p")).applyInArrow(run, STATE)
+
     def gram(self, state: DataFrame, width: int) -> np.ndarray:
         """Products of all pairs of columns of own parts: width squared sums, partly summed in each task."""
 
@@ -284,7 +313,8 @@ def smallest(nodes: DataFrame, a: DataFrame, k: int, tol: float = 1e-6, low: flo
             steps.append(go)
             s = nxt
         last: Step = lambda b, own, halo, c=c: np.concatenate([own[:, c:], b.times(own[:, c:], halo)], 1)
-        state = cut(m.steps(state, [*steps, last], c))
+        old, state = state, cut(m.steps(state, [*steps, last], c))
+        forget(old)
         width = c
         vals, mix, off = _ritz(m.gram(state, 2 * width), k)
         release(m.spark)
@@ -322,3 +352,113 @@ def residuals(nodes: DataFrame, a: DataFrame, vals: np.ndarray, u: DataFrame) ->
     cols = u.columns[1:]
     images = a.join(u.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(f"a_{c}") for c in cols])
     return u.join(images, "id", "left").select("id", *[(F.coalesce(f"a_{c}", F.lit(0.0)) - F.lit(float(v)) * F.col(c)).alias(f"r{j}") for j, (c, v) in enumerate(zip(cols, vals, strict=True))])
+
+
+def conjgrad(nodes: DataFrame, a: DataFrame, b: DataFrame, cols: list[str], tol: float = 1e-10, max_iter: int = 10_000, power: int = 1, held: DataFrame | None = None, entries: int = ENTRIES) -> DataFrame:
+    """id and the columns of the x that solves A**power x = b where x and the equations are left out on ``held`` (id); A symmetric, positive on the columns' span.
+
+    Conjugate gradients for all columns, to a root of the sum of squared residuals of tol.  In a round
+    vectors move once for each product, and the products of columns that set the next step are one
+    aggregate.  A matrix of one block is solved where it lies.
+    """
+    m, c = Blocks(nodes, a, entries), len(cols)
+    values = b.select("id", *[F.col(x).alias(f"b{j}") for j, x in enumerate(cols)])
+    if held is not None:
+        values = values.join(held.select("id").distinct(), "id", "left_anti").unionByName(held.select("id", F.lit(1.0).alias("held")).distinct(), allowMissingColumns=True)
+    else:
+        values = values.withColumn("held", F.lit(0.0))
+    start = cut(m.place(values, ["held", *[f"b{j}" for j in range(c)]]))
+    names = [f"x{j}" for j in range(c)]
+    take = lambda at, width: np.eye(width)[:, at : at + c]
+
+    def product(block: Block, free: np.ndarray, p: np.ndarray) -> np.ndarray:
+        for _ in range(power):
+            p = block.times(p, np.zeros((0, c)))
+        return p * free
+
+    if m.count <= 1:
+
+        def solve(block: Block, own: np.ndarray, halo: np.ndarray) -> np.ndarray:
+            free = 1 - own[:, :1]
+            return local.conjgrad(lambda u: product(block, free, u), own[:, 1:] * free, tol=tol, max_iter=max_iter)
+
+        return cut(m.frame(m.steps(start, [solve], 0), np.eye(c), names)).toDF("id", *cols)
+    # columns of a state: held, x, r, p, and A p
+    first: Step = lambda block, own, halo: np.concatenate([own[:, :1], 0 * own[:, 1:], own[:, 1:] * (1 - own[:, :1]), own[:, 1:] * (1 - own[:, :1])], 1)
+    # between products the last columns are sent: p, and then what comes of it
+    begin: Step = lambda block, own, halo: np.concatenate([own, block.times(own[:, -c:], halo)], 1)
+    again: Step = lambda block, own, halo: np.concatenate([own[:, :-c], block.times(own[:, -c:], halo)], 1)
+    close: Step = lambda block, own, halo: np.concatenate([own[:, :-c], own[:, -c:] * (1 - own[:, :1])], 1)
+    width, move, state = 1 + 4 * c, first, start
+    for _ in range(max_iter):
+        # the products, and with the last of them the rows that are left out
+        chain = [move, begin, *[again] * (power - 1)]
+        last = chain.pop()
+        chain.append(lambda block, own, halo, last=last: close(block, last(block, own, halo), halo))
+        old, state = state, cut(m.steps(state, chain, c))
+        forget(old)
+        g = m.gram(state, width)
+        at = lambda i, j: np.array([g[1 + i * c + k, 1 + j * c + k] for k in range(c)])
+        rs, pap, rap, aa = at(1, 1), at(2, 3), at(1, 3), at(3, 3)
+        alpha = np.where(pap != 0, rs / np.where(pap != 0, pap, 1), 0)
+        new = np.maximum(rs - 2 * alpha * rap + alpha**2 * aa, 0)
+        beta = np.where(rs != 0, new / np.where(rs != 0, rs, 1), 0)
+        if np.sqrt(rs.sum()) <= tol:
+            break
+
+        def move(block: Block, own: np.ndarray, halo: np.ndarray, alpha=alpha, beta=beta) -> np.ndarray:
+            x, r, p, ap = (own[:, 1 + k * c : 1 + (k + 1) * c] for k in range(4))
+            r = r - alpha * ap
+            return np.concatenate([own[:, :1], x + alpha * p, r, r + beta * p], 1)
+
+    return cut(m.frame(state, take(1, width), names)).toDF("id", *cols)
+
+
+def gmres(nodes: DataFrame, a: DataFrame, b: DataFrame, tol: float = 1e-10, restart: int = 40, max_restarts: int = 40, entries: int = ENTRIES) -> tuple[DataFrame, list[float]]:
+    """id, u of A u = b (b: id, u), A of any kind; and the residual at each restart.
+
+    The Arnoldi basis is the columns of the vectors' parts; all projections of a step are one aggregate,
+    made twice so that the basis stays orthogonal, and the small least-squares problem is the driver's.
+    A matrix of one block is solved where it lies.
+    """
+    m = Blocks(nodes, a, entries)
+    start = cut(m.place(b.select("id", "u"), ["u"]))
+    if m.count <= 1:
+        one = lambda block, own, halo: local.gmres(lambda u: block.times(u[:, None], np.zeros((0, 1)))[:, 0], own[:, 0], tol)[:, None]
+        return cut(m.frame(m.steps(start, [one], 0), np.eye(1), ["u"])), []
+    # columns: b, x, and the basis; a vector that is sent is the last column
+    stay: Step = lambda block, own, halo: own
+    state, off = cut(m.steps(start, [lambda block, own, halo: np.concatenate([own, 0 * own, own], 1)], 0)), []
+    for _ in range(max_restarts):
+        beta = float(np.sqrt(m.gram(state, 3)[2, 2]))
+        off.append(beta)
+        if beta <= tol:
+            break
+        scale: Step = lambda block, own, halo, beta=beta: np.concatenate([own[:, :2], own[:, 2:] / beta], 1)
+        state, h, width = cut(m.steps(state, [scale], 0)), np.zeros((restart + 1, restart)), 3
+        for k in range(restart):
+            image: Step = lambda block, own, halo: np.concatenate([own, block.times(own[:, -1:], halo)], 1)
+            old, state = state, cut(m.steps(state, [stay, image], 1))
+            forget(old)
+            for _ in range(2):
+                g = m.gram(state, width + 1)[2:width, width]
+                h[: k + 1, k] += g
+                less: Step = lambda block, own, halo, g=g: np.concatenate([own[:, :-1], own[:, -1:] - own[:, 2:-1] @ g[:, None]], 1)
+                old, state = state, cut(m.steps(state, [less], 0))
+                forget(old)
+            width += 1
+            h[k + 1, k] = np.sqrt(m.gram(state, width)[-1, -1])
+            e = np.zeros(k + 2)
+            e[0] = beta
+            y, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], e, rcond=None)
+            if h[k + 1, k] < 1e-14 or np.linalg.norm(e - h[: k + 2, : k + 1] @ y) <= tol:
+                break
+            unit: Step = lambda block, own, halo, by=h[k + 1, k]: np.concatenate([own[:, :-1], own[:, -1:] / by], 1)
+            state = cut(m.steps(state, [unit], 0))
+        # x moves, and b - A x begins the next basis
+        to: Step = lambda block, own, halo, y=y: np.concatenate([own[:, :1], own[:, 1:2] + own[:, 2 : 2 + len(y)] @ y[:, None]], 1)
+        left: Step = lambda block, own, halo: np.concatenate([own, own[:, :1] - block.times(own[:, 1:], halo)], 1)
+        state = cut(m.steps(state, [to, left], 1))
+    else:
+        raise RuntimeError(f"GMRES didn't settle: residual {off[-1]}")
+    return cut(m.frame(state, np.array([[0.0], [1.0], [0.0]]), ["u"])), off

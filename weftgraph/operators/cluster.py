@@ -18,16 +18,16 @@ def _labels(spark, g: local.Local, y: np.ndarray) -> DataFrame:
 def spectral(nodes: DataFrame, edges: DataFrame, k: int, method: str = "NgJordanWeiss", extra_dim: int = 0, seed: int = 0, plan: str = "auto") -> DataFrame:
     """id, cluster: k-means on eigenvectors: combinatorial, ShiMalik (randomwalk), or NgJordanWeiss (rows of the normalized ones, normalised).
 
-    Beyond ``local.MAX_NODES`` eigenvectors are joins and k-means is Spark's.
+    Eigenvectors come from packed blocks and k-means is Spark's, unless plan is local (numpy).
     """
     kinds = {"combinatorial": "combinatorial", "ShiMalik": "randomwalk", "NgJordanWeiss": "normalized"}
     if method not in kinds:
         raise ValueError(f"method is one of {', '.join(kinds)}")
-    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+    if plan != "local":
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        _, v = linear.eigen_decomp(nodes, edges, k + extra_dim, kinds[method], plan="distributed")
+        _, v = linear.eigen_decomp(nodes, edges, k + extra_dim, kinds[method])
         x = F.array(*v.columns[1:])
         length = F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, a: s + a * a)), F.lit(1e-300))
         rows = v.select("id", array_to_vector(F.transform(x, lambda a: a / length) if method == "NgJordanWeiss" else x).alias("features"))

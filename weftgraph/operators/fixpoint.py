@@ -50,6 +50,15 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that ``cut`` made, when nothing needs them any more; others are left alone."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() == "LogicalRDD":
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            delete_folder(df.sparkSession, file.get())
+
+
 def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, changed: Callable[[DataFrame, DataFrame], bool] | None = None, every: int = 1) -> DataFrame:
     """Apply ``step`` for so many rounds, or until ``changed(old, new)`` is false.
 

@@ -22,10 +22,13 @@ def spmv(nodes: DataFrame, a: DataFrame, u: DataFrame, cols: list[str]) -> DataF
 def conjgrad(nodes: DataFrame, a: DataFrame, b: DataFrame, cols: list[str], tol: float = 1e-10, max_iter: int = 10_000, plan: str = "auto") -> DataFrame:
     """Solve A x = b for all columns at once; A (src, dst, w) symmetric positive on the columns' span.
 
-    Distributed: a round is one join for A p, with an aggregate for its products, and one new state
-    with an aggregate for its residuals; all columns share them.
+    On packed blocks unless a plan is named.  distributed: a round is one join for A p, with an
+    aggregate for its products, and one new state with an aggregate for its residuals; all columns
+    share them.  local: numpy, for a graph of checked size.
     """
-    if plan == "local" or plan == "auto" and local.fits(nodes, a):
+    if plan == "auto":
+        return blocks.conjgrad(nodes, a, b, cols, tol, max_iter)
+    if plan == "local":
         g = local.gather(nodes, a)
         rows = b.select("id", *cols).toPandas().set_index("id").reindex(g.ids).fillna(0.0)[cols].to_numpy()
         x = local.conjgrad(g.times, rows, tol=tol, max_iter=max_iter)
@@ -65,17 +68,14 @@ def constrained_solve(nodes: DataFrame, a: DataFrame, f: DataFrame | None, bound
     return x.unionByName(boundary.select("id", *cols))
 
 
-def constrained_solve_gmres(nodes: DataFrame, a: DataFrame, f: DataFrame | None, r: DataFrame, boundary: DataFrame, tol: float = 1e-10) -> DataFrame:
-    """A x = f off the boundary and R x = g on it (boundary: id, g): the rows of R replace those of A; GMRES on a graph of checked size."""
-    rows = a.join(boundary.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst", "w").unionByName(r.join(boundary.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "w"))
-    g = local.gather(nodes, rows)
-    b = np.zeros(g.n)
+def constrained_solve_gmres(nodes: DataFrame, a: DataFrame, f: DataFrame | None, r: DataFrame, boundary: DataFrame, tol: float = 1e-10, entries: int = blocks.ENTRIES) -> DataFrame:
+    """A x = f off the boundary and R x = g on it (boundary: id, g): the rows of R replace those of A; GMRES on packed blocks."""
+    on = boundary.select(F.col("id").alias("src")).distinct()
+    rows = cut(a.join(on, "src", "left_anti").select("src", "dst", "w").unionByName(r.join(on, "src", "left_semi").select("src", "dst", "w")))
+    b = boundary.select("id", F.col("g").cast("double").alias("u"))
     if f is not None:
-        p = f.toPandas()
-        b[g.index(p["id"].to_numpy())] = p["u"].to_numpy()
-    p = boundary.toPandas()
-    b[g.index(p["id"].to_numpy())] = p["g"].to_numpy()
-    return local.frame(nodes.sparkSession, g, local.gmres(g.times, b, tol))
+        b = f.select("id", F.col("u").cast("double").alias("u")).join(on.withColumnRenamed("src", "id"), "id", "left_anti").unionByName(b)
+    return blocks.gmres(nodes, rows, b, tol, entries=entries)[0]
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, teleport: DataFrame | None = None, tol: float = 1e-10, rounds: int | None = None, every: int = 5) -> DataFrame:
@@ -322,11 +322,11 @@ def reweight_poisson(nodes: DataFrame, edges: DataFrame, train: DataFrame, norma
     Normalized: L is the normalized Laplacian, and the mean is weighted by the roots of the degrees,
     so that the right-hand side is orthogonal to the kernel of L.
     """
-    if plan == "distributed" or plan == "auto" and not local.fits(nodes, edges):
+    if plan != "local":
         d = degrees(nodes, edges)
         f = cut(nodes.select("id").join(train.select("id", F.lit(1.0).alias("u")).distinct(), "id", "left").join(d, "id").select("id", F.sqrt("d").alias("r"), F.coalesce("u", F.lit(0.0)).alias("u")))
         mean = f.agg(F.sum(F.col("r") * F.col("u")) / F.sum("r") if normalized else F.avg("u")).first()[0]
-        w = cut(conjgrad(nodes, cut(laplacian(nodes, edges, "normalized" if normalized else "combinatorial")), f.select("id", (F.col("u") - float(mean)).alias("u")), ["u"], tol, max_iter=10_000, plan="distributed"))
+        w = cut(conjgrad(nodes, cut(laplacian(nodes, edges, "normalized" if normalized else "combinatorial")), f.select("id", (F.col("u") - float(mean)).alias("u")), ["u"], tol, max_iter=10_000, plan=plan))
         w = w.select("id", (F.col("u") - float(w.agg(F.min("u")).first()[0]) + 1e-5).alias("u"))
         out = edges
         for end in ("src", "dst"):

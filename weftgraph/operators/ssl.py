@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import linear, local, nonlinear, paths
+from weftgraph.operators import blocks, linear, local, nonlinear, paths
 from weftgraph.operators.calculus import degrees, laplacian, reweight_properly, reweight_wnll
 from weftgraph.operators.fixpoint import cut
 
@@ -125,6 +125,9 @@ class Model:
 
     similarity = True
 
+    #: Whether its equations are solved on packed blocks at every size, unless numpy is asked for by name.
+    in_blocks = False
+
     def __init__(self, graph: Graph, plan: str = "auto", priors: Sequence[float] | None = None):
         self.graph, self.plan, self.priors, self.weights = graph, plan, priors, None
 
@@ -148,6 +151,8 @@ class Model:
         return self.graph.local().index(p["id"].to_numpy()), p["label"].to_numpy(int)
 
     def _is_local(self) -> bool:
+        if self.in_blocks:
+            return self.plan == "local"
         return self.plan == "local" or self.plan == "auto" and self.graph.fits()
 
     def prepare(self) -> None:
@@ -244,30 +249,17 @@ class Laplace(Model):
             if self.tau:
                 a = a.unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(float(self.tau)).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
             bdy = train.where("label >= 0").select("id", *[F.when(F.col("label") == c, 1.0).otherwise(0.0).alias(cols[c]) for c in range(k)])
-            wide = linear.constrained_solve(nodes, cut(a), None, bdy, cols, self.tol, plan="local" if self._is_local() else "distributed")
+            wide = linear.constrained_solve(nodes, cut(a), None, bdy, cols, self.tol, plan=self.plan)
         else:
-            g = local.gather(nodes, edges)
-            at, y = self._train(train)
-            lap = g.laplacian(self.normalization)
-            once = lambda u: self.tau * u + lap(u)
-            free = np.ones(g.n, bool)
-            free[at] = False
-
-            def power(u: np.ndarray) -> np.ndarray:
-                for _ in range(self.order):
-                    u = once(u)
-                return u
-
-            def inner(v: np.ndarray) -> np.ndarray:
-                full = np.zeros((g.n, v.shape[1]))
-                full[free] = v
-                return power(full)[free]
-
-            known = np.zeros((g.n, k))
-            known[at, y] = 1.0
-            u = known.copy()
-            u[free] = local.conjgrad(inner, -power(known)[free], tol=self.tol)
-            wide = local.frame(nodes.sparkSession, g, u, "u")
+            # (tau + L)**order u = 0 off the labels: known values go to the right-hand side
+            once = laplacian(nodes, edges, self.normalization).unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(float(self.tau)).alias("w"))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+            once, bdy = cut(once), _hot(train, cols)
+            known = _filled(nodes, bdy, cols, cols)
+            image = known
+            for _ in range(self.order):
+                image = linear.spmv(nodes, once, image, cols)
+            u = blocks.conjgrad(nodes, once, image.select("id", *[(-F.col(c)).alias(c) for c in cols]), cols, self.tol, power=self.order, held=bdy)
+            wide = u.join(bdy.select("id"), "id", "left_anti").unionByName(bdy)
         if self.mean_shift:
             means = wide.agg(*[F.avg(c) for c in cols]).first()
             wide = wide.select("id", *[(F.col(c) - float(m)).alias(c) for c, m in zip(cols, means, strict=True)])
@@ -277,6 +269,8 @@ class Laplace(Model):
 class Poisson(Model):
     """L u = sum over labelled nodes of (onehot - mean): by conjugate gradients, gradient descent, or the spectrum."""
 
+    in_blocks = True
+
     def __init__(self, graph: Graph, solver: str = "conjgrad", p: float = 1.0, tol: float = 1e-3, min_iter: int = 50, max_iter: int = 1000, eigenpairs: int = 50, **more):
         super().__init__(graph, **more)
         self.solver, self.p, self.tol, self.min_iter, self.max_iter, self.eigenpairs = solver if p == 1 else "spectral", p, tol, min_iter, max_iter, eigenpairs
@@ -315,7 +309,7 @@ class Poisson(Model):
         source = _centred(train, cols)
         scaled = source.join(d, "id").select("id", *[(F.col(c) / F.sqrt("d")).alias(c) for c in cols])
         if self.solver == "conjgrad":
-            v = linear.conjgrad(nodes, cut(laplacian(nodes, edges, "normalized")), scaled, cols, self.tol, plan="distributed")
+            v = linear.conjgrad(nodes, cut(laplacian(nodes, edges, "normalized")), scaled, cols, self.tol, plan=self.plan)
         elif self.solver == "spectral":
             vals, x = self.graph.eigen_joins(self.eigenpairs)
             basis = [c for c, value in zip(x.columns[1:], vals, strict=True) if value > 1e-8]
@@ -777,7 +771,7 @@ class RandomWalk(Model):
         eye = nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1 - self.alpha).alias("w"))
         a = laplacian(nodes, self.graph.edges, "normalized").select("src", "dst", (self.alpha * F.col("w")).alias("w")).unionByName(eye).groupBy("src", "dst").agg(F.sum("w").alias("w"))
         b = train.where("label >= 0").select("id", *[F.when(F.col("label") == c, 1.0).otherwise(0.0).alias(cols[c]) for c in range(k)])
-        return wide_to_long(linear.conjgrad(nodes, cut(a), b, cols, self.tol, plan="local" if self._is_local() else "distributed"), cols)
+        return wide_to_long(linear.conjgrad(nodes, cut(a), b, cols, self.tol, plan=self.plan), cols)
 
 
 MODELS = {"laplace": Laplace, "poisson": Poisson, "poisson_mbo": PoissonMBO, "volume_mbo": VolumeMBO, "multiclass_mbo": MulticlassMBO, "modularity_mbo": ModularityMBO, "dynamic_label_propagation": DynamicLabelPropagation, "centered_kernel": CenteredKernel, "sparse_label_propagation": SparseLabelPropagation, "graph_nearest_neighbor": GraphNearestNeighbor, "amle": AMLE, "plaplace": PLaplace, "peikonal": PEikonal, "randomwalk": RandomWalk}

@@ -7,9 +7,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators import cluster, embed, geometry, linear, nonlinear, ssl
+from weftgraph.operators import blocks, cluster, embed, geometry, linear, nonlinear, ssl
+from weftgraph.operators.calculus import laplacian
+from weftgraph.operators.fixpoint import cut
 from weftgraph.plans import iteration  # noqa: F401  its SQL is used here
-from weftgraph.plans.base import SQL, graph, plane, points, query, r6, training
+from weftgraph.plans.base import P, SQL, graph, plane, points, query, r6, training
 
 
 def _model(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -47,15 +49,31 @@ def eigen_lowrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.eigen_decomp(*graph(spark, sf_dir), 5, method="lowrank")[1]
 
 
+def _left(found: tuple, nodes: DataFrame, a: DataFrame) -> DataFrame:
+    """id, component, residual: what each vector leaves at each node of A v - value v (0 to six digits)."""
+    vals, u = found
+    r = blocks.residuals(nodes, a, vals, u)
+    return r.select("id", F.posexplode(F.array(*r.columns[1:])).alias("component", "r")).select("id", F.col("component").cast("int").alias("component"), r6(F.abs("r")).alias("residual"))
+
+
+LEFT = "SELECT p.id, c.c::INTEGER AS component, 0.0::DOUBLE AS residual FROM p, range({k}) c(c)"
+
+
 @query()
 def diffusion_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.diffusion_map(*graph(spark, sf_dir), 3)
 
 
+@query(f"WITH {P} {LEFT.format(k=5)}")
+def eigen_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the five smallest eigenpairs of the normalized Laplacian hold at every node."""
+    nodes, edges = graph(spark, sf_dir)
+    a = cut(laplacian(nodes, edges, "normalized"))
+    return _left(linear.eigen_decomp(nodes, edges, 5, "normalized", tol=1e-8), nodes, a)
+
+
 @query()
 def dirichlet_eigenvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftgraph.operators.calculus import laplacian
-
     nodes, edges = graph(spark, sf_dir)
     return linear.dirichlet_eigenvectors(nodes, laplacian(nodes, edges), training(spark, sf_dir).select("id"), 3)[1]
 
