@@ -264,6 +264,17 @@ def test_prefixes_of_linked_sets_meet():
             assert set(sorted(a)[: token_groups.prefix_size(len(a))]) & set(sorted(b)[: token_groups.prefix_size(len(b))])
 
 
+def test_signatures_lose_no_link():
+    r = random.Random(6)
+    for _ in range(400):
+        a = np.unique(np.array([r.randrange(1 << 63) for _ in range(r.choice([1, 5, 60, 700, 50_000 if r.random() < 0.02 else 90]))], np.uint64))
+        b = np.unique(np.concatenate([a[[r.random() < 0.92 for _ in a]], np.array([r.randrange(1 << 63) for _ in range(len(a) // 12)], np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        apart = np.abs(token_groups.signature(a).astype(int) - token_groups.signature(b).astype(int)).sum()
+        if len(b) and token_groups.linked(len(a), len(b), both):
+            assert token_groups.may_link(len(a), len(b), apart)
+
+
 def test_a_family_is_not_joined_by_all_pairs(spark):
     """Near copies of one text meet in groups: rows made grow with the family, not with its square."""
     r = random.Random(3)
