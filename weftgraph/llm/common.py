@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import secrets
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -245,6 +245,26 @@ def packed(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(wanted, ["_ik", "_none", "_th"]).groupBy("_ik", "_none", "_th", "_node").agg(F.first("_packed").alias("_packed")).select("_node", "_packed")
 
 
+def signatures(column: pa.Array) -> np.ndarray:
+    """Rows of counts, one byte each, from a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.int16)
+
+
+def plausible(pairs: DataFrame, nodes: DataFrame, test: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Of pairs (a, b) those whose sizes and distance of signatures pass the test, before any text is sent; nodes: _node, _n, _signs."""
+    left = nodes.select(F.col("_node").alias("a"), F.col("_n").alias("na"), F.col("_signs").alias("sa"))
+    right = nodes.select(F.col("_node").alias("b"), F.col("_n").alias("nb"), F.col("_signs").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                n, m = (b.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+                some = pa.array(np.flatnonzero(test(n, m, np.abs(signatures(b.column(4)) - signatures(b.column(5))).sum(1, dtype=np.int64))))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(some), b.column(1).take(some)], ["a", "b"])
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def parts(sized: DataFrame, most: int, most_size: int) -> DataFrame:
     """Rows (_key, _node, _comp, _n) with the number of their part of the key (_part), in the order of components and nodes.
 

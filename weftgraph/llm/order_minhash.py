@@ -11,8 +11,8 @@ Classes are the connected components of the links.
 Exact copies (the same words in the same order, by a 128-bit BLAKE2 digest of all of them) are one text
 from the start, which has a number of its own.  Texts are aligned by their words, not by hashes.  Three
 steps then find the links, each on what the one before leaves in several components.  In each bucket
-of the first ``STAR`` hash functions every text is aligned with the bucket's least text, so copies are
-never expanded into all pairs.  In every bucket that holds several components, one text of each is
+of the first ``STAR`` hash functions every text is aligned with the bucket's first text (in one of
+``LEADS`` orders), so copies are never expanded into all pairs.  In every bucket that holds several components, one text of each is
 aligned with one of the least component, by a hash of text and bucket, so that a text meets many.  In
 the buckets that are still mixed (those of a passage that many unrelated texts share, or of a family
 of texts that are mostly less similar than the threshold) every pair of texts of different components
@@ -54,12 +54,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import _mix, by_group, chunks, keyed, pack_texts, packed, parts, shuffle_joins, utf8, words
-from weftgraph.operators.fixpoint import component_labels, cut, release
+from weftgraph.llm.common import _mix, by_group, chunks, keyed, pack_texts, packed, parts, plausible, shuffle_joins, utf8, words
+from weftgraph.operators.fixpoint import component_labels, cut, forget, release
 
 SHINGLE, SKETCHES, PICKED, PICKED_WORDS = 5, 64, 2, 5
-#: Hash functions whose buckets are aligned with their least text first.
-STAR = 16
+#: Hash functions whose buckets are aligned with one text of each first, and orders in which that is the first:
+#: a family's texts meet several of it, as one alone may be unlike most others.
+STAR, LEADS = 16, 3
 #: Similarity of at least 4 / 5, in integers: 5 m >= 2 (a + b).
 SIMILARITY = 0.8
 #: Words of a text that has keys of words, and of one that has keys of its words with some left out.
@@ -224,6 +225,11 @@ def _banded(a: list[int], b: list[int], band: int) -> int:
     return settled + width - row.bit_count()
 
 
+def may_align(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether texts of n and m words whose counts differ by so much can be similar."""
+    return (5 * np.minimum(n, m) >= 2 * (n + m)) & (5 * apart <= n + m)
+
+
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of pairs (a, b) of nodes those that are linked; texts: _node, _packed."""
     left = texts.select(F.col("_node").alias("a"), F.col("_packed").alias("pa"))
@@ -257,19 +263,23 @@ def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(rows.sparkSession)
     keys = whole.select("_node", F.posexplode("_keys").alias("_pos", "_key")).select("_key", "_node", (F.col("_pos") % SKETCHES < STAR).alias("_first"))
     # texts that share a key with another: rows of three numbers
-    shared = keys.groupBy("_key").agg(F.min("_node").alias("_lead"), F.max("_node").alias("_most")).where("_lead < _most").drop("_most")
+    lead = F.min_by("_node", F.xxhash64("_node", F.pmod("_key", F.lit(LEADS))))
+    shared = keys.groupBy("_key").agg(lead.alias("_lead"), F.count("*").alias("_texts")).where("_texts > 1").drop("_texts")
     buckets = cut(keys.join(shared, "_key"))
     texts = cut(whole.join(buckets.select("_node").distinct(), "_node", "left_semi").drop("_keys"))
-    del whole, keys, shared
+    for done in (found, nodes, whole):
+        forget(done)
+    del keys, shared
     release(rows.sparkSession)
-    star = buckets.where("_first and _node <> _lead").select(F.col("_lead").alias("a"), F.col("_node").alias("b")).distinct()
-    found = cut(similar(star, texts))
+    signs = texts.select("_node", "_n", F.col("_counts").alias("_signs"))
+    star = buckets.where("_first and _node <> _lead").select(F.least("_lead", "_node").alias("a"), F.greatest("_lead", "_node").alias("b")).distinct()
+    found = cut(similar(plausible(star, signs, may_align), texts))
     # one text for each component of a bucket, with that of the least component
     members = _mixed(buckets.select("_key", "_node"), found)
     ones = members.groupBy("_key", "_comp").agg(F.min_by("_node", F.xxhash64("_node", "_key")).alias("_one"))
     least = ones.groupBy("_key").agg(F.min(F.struct("_comp", "_one")).alias("_least"))
     star = ones.join(least, "_key").where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
-    found = cut(found.unionByName(similar(star, texts)).distinct())
+    found = cut(found.unionByName(similar(plausible(star, signs, may_align), texts)).distinct())
     more = _across(_mixed(members.select("_key", "_node"), found), texts)
     release(rows.sparkSession)
     return made, cut(found.unionByName(more).distinct())
@@ -280,7 +290,9 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
     placed = cut(members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp")))
     several = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
-    return cut(placed.join(several, "_key", "left_semi"))
+    mixed = cut(placed.join(several, "_key", "left_semi"))
+    forget(placed)
+    return mixed
 
 
 def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
