@@ -44,11 +44,34 @@ def test_query_is_its_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", ["knn_euclidean", "knn_angular", "knn_manhattan", "knn_hamming", "knn_dot"])
-def test_exact_neighbours_in_slices_and_blocks(spark, duck, monkeypatch, name):
+def test_exact_neighbours_in_cells_and_blocks(spark, duck, monkeypatch, name):
     from weftgraph.operators import knn
 
     monkeypatch.setattr(knn, "BLOCK", 90)
-    monkeypatch.setattr(knn, "SLICE_BYTES", 100_000)
     df = __spark_entry__.queries()[name](spark, DIR)
     cur = duck.execute(CORE.oracle_sql()[name])
     assert {tuple(r) for r in df.select(*[c[0] for c in cur.description]).collect()} == set(cur.fetchall())
+
+
+@pytest.mark.parametrize("similarity", ["euclidean", "angular", "manhattan", "hamming", "dot"])
+def test_clusters_are_searched_in_few_cells(spark, monkeypatch, similarity):
+    """Planted clusters with equal points and ties: the same neighbours as all pairs, most cells left out."""
+    import numpy as np
+
+    from weftgraph.operators import knn
+
+    rng = np.random.default_rng(0)
+    x = np.repeat(rng.normal(size=(12, 6)) * 20, 60, axis=0) + rng.normal(size=(720, 6))
+    x[100:260] = x[100]  # a cell of equal points
+    x = np.round(x) if similarity == "hamming" else x
+    points = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    monkeypatch.setattr(knn, "BLOCK", 60)
+    stats = {}
+    got = {(r.src, r.dst, r["rank"]): r.dist for r in knn.knn_exact(points, 7, similarity, stats=stats).collect()}
+    ids = np.arange(720) * 3
+    want = knn.nearest(ids, x, ids, x, 7, similarity)
+    rank = want.groupby("src").cumcount() + 1
+    keys = set(zip(want["src"], want["dst"], rank, strict=True))
+    assert set(got) == keys
+    if similarity in ("euclidean", "manhattan"):
+        assert stats["share"] < 0.3

@@ -206,3 +206,32 @@ def test_size_is_checked(spark, monkeypatch, small):
     monkeypatch.setattr(local, "MAX_NODES", 10)
     with pytest.raises(ValueError):
         local.gather(small[0], small[1])
+
+
+def test_fronts_join_few_edges(spark):
+    """A long grid: the distances of Dijkstra's algorithm, and joined rows of a small multiple of the edges."""
+    import heapq
+
+    from weftgraph.operators import paths
+
+    r, width, height = np.random.default_rng(2), 40, 6
+    at = lambda x, y: x * height + y
+    pairs = [(at(x, y), at(x + dx, y + dy)) for x in range(width) for y in range(height) for dx, dy in ((0, 1), (1, 0)) if x + dx < width and y + dy < height]
+    length = {p: float(v) for p, v in zip(pairs, r.uniform(0.5, 1.5, len(pairs)), strict=True)}
+    length |= {(b, a): v for (a, b), v in length.items()}
+    edges = spark.createDataFrame([(a, b, v) for (a, b), v in length.items()], "src long, dst long, w double")
+    near: dict = {}
+    for (a, b), v in length.items():
+        near.setdefault(a, []).append((b, v))
+    want, todo = {}, [(0.0, 0)]
+    while todo:
+        d, a = heapq.heappop(todo)
+        if a not in want:
+            want[a] = d
+            for b, v in near[a]:
+                heapq.heappush(todo, (d + v, b))
+    stats: dict = {}
+    got = paths.dijkstra(spark.range(width * height + 1), edges, spark.createDataFrame([(0, 0.0)], "id long, g double"), stats=stats)
+    got = {x.id: x.d for x in got.collect()}
+    assert got.pop(width * height) == np.inf and max(abs(got[i] - want[i]) for i in want) < 1e-12
+    assert stats["joined"] <= 2.5 * len(length)

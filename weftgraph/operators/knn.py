@@ -1,4 +1,4 @@
-"""Nearest neighbours of all points: exact in slices, or by a forest of random projections.
+"""Nearest neighbours of all points: exact by pivot cells, or by a forest of random projections.
 
 Points are (id, x array<double>).  Both plans return (src, dst, dist, rank) with ranks from 1 and
 without the point itself, ties broken by id.  The exact search is what is done unless the forest is
@@ -8,7 +8,7 @@ asked for by name, at every size.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,8 +20,8 @@ from weftgraph.operators.fixpoint import cut
 
 #: Points in a block of the exact search; a task holds one matrix of the distances between two blocks.
 BLOCK = 2048
-#: Bytes of the points that are sent to every task at once.
-SLICE_BYTES = 64 << 20
+#: Pivots of the exact search (a bounded sample; their cells leave out what is far).
+PIVOTS = 4096
 #: Trees, points in a leaf, and points that the trees' splits are drawn from (a bounded sample).
 TREES, LEAF, SAMPLE = 10, 512, 20_000
 SIMILARITIES = ("euclidean", "angular", "manhattan", "hamming", "dot")
@@ -74,51 +74,156 @@ def _arrays(ids: pa.ChunkedArray | pa.Array, x: pa.ChunkedArray | pa.Array) -> t
     return ids.to_numpy(), x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _best(found: list[pd.DataFrame], k: int) -> pd.DataFrame:
-    """The k nearest of each point among what several blocks gave."""
-    all_ = found[0] if len(found) == 1 else pd.concat(found).sort_values(["src", "dist", "dst"], kind="stable")
-    rank = all_.groupby("src", sort=False).cumcount() + 1
-    return all_.assign(rank=rank.astype("int32"))[rank <= k]
+def _geometry(x: np.ndarray, similarity: str, most: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points as they lie and as they ask, in a metric whose order is that of the similarity.
+
+    For dot, one coordinate more gives all points the norm ``most``, so that the greatest product is the
+    least distance from the asking point, whose further coordinate is 0.
+    """
+    if similarity == "angular":
+        y = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-20)
+        return y, y
+    if similarity == "dot":
+        rest = np.sqrt(np.maximum(most * most - (x * x).sum(1, keepdims=True), 0))
+        return np.concatenate([x, rest], 1), np.concatenate([x, 0 * rest], 1)
+    return x, x
+
+
+def _measure(a: np.ndarray, b: np.ndarray, similarity: str) -> np.ndarray:
+    return _distances(a, b, similarity if similarity in ("manhattan", "hamming") else "euclidean")
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x).tobytes()
 
 
-def knn_exact(points: DataFrame, k: int, similarity: str = "euclidean", n: int | None = None) -> DataFrame:
-    """Exact neighbours: slices of the points of at most ``SLICE_BYTES`` go to every task, one after the other, and meet all points there.
+@dataclass
+class _Cells:
+    """Pivots, and of each one's cell how many points it has and how near and far they lie."""
 
-    A point's vector is dealt out once; what is shuffled after that are the k best of each point in
-    each slice, as numbers.  The work is quadratic in the points.
+    pivots: np.ndarray
+    count: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    chunks: np.ndarray
+
+    def wanted(self, query: np.ndarray, bound: np.ndarray, similarity: str) -> np.ndarray:
+        """Cells that the triangle inequality can't exclude, for each query and its bound of the k-th distance."""
+        d = _measure(query, self.pivots, similarity)
+        least = np.maximum(d - self.high, self.low - d)
+        return (least <= (bound * (1 + 1e-9) + 1e-7)[:, None]) & (self.count > 0)
+
+
+def knn_exact(points: DataFrame, k: int, similarity: str = "euclidean", n: int | None = None, stats: dict | None = None) -> DataFrame:
+    """Exact neighbours by pivot cells: a point meets its own cell, and then only cells that may hold a nearer one.
+
+    A bounded sample of points (``PIVOTS`` at most) are pivots; each point lies in the cell of the
+    nearest, and large cells are cut into blocks of some ``BLOCK`` points.  Within its own block a point
+    gets a bound of its k-th distance; a cell whose nearest possible point is farther is left out.
+    Points that ask are sent to the blocks that they need, and the k best of all are kept.  No points
+    but the pivots come to the driver.  Where distances are all alike (random points of many dimensions)
+    nothing can be left out and the work is quadratic; ``stats`` gets the share of pairs compared.
     """
     spark = points.sparkSession
     points = points.select(F.col("id").cast("long").alias("id"), F.col("x").cast("array<double>").alias("x"))
     n = n if n is not None else points.count()
-    dims = points.agg(F.max(F.size("x"))).first()[0] or 1
-    slices, blocks = max(1, -(-n * dims * 8 // SLICE_BYTES)), -(-n // BLOCK)
-    points = cut(points) if slices > 1 else points
-    query = points.repartition(blocks, "id") if blocks > 1 else points
-
-    def meet(sent) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_b, b = sent.value
-            for batch in batches:
-                for i in range(0, batch.num_rows, BLOCK):
-                    ids_a, a = _arrays(batch.column(0).slice(i, BLOCK), batch.column(1).slice(i, BLOCK))
-                    found = [nearest(ids_a, a, ids_b[j : j + BLOCK], b[j : j + BLOCK], k, similarity) for j in range(0, len(ids_b), BLOCK)]
-                    if found:
-                        yield pa.RecordBatch.from_pandas(_best(found, k)[["src", "dst", "dist", "rank"]], preserve_index=False)
-
-        return query.mapInArrow(run, "src long, dst long, dist double, rank int")
-
-    parts = []
-    for s in range(slices):
-        own = (points if slices == 1 else points.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == s)).toArrow()
-        ids, x = _arrays(own.column("id"), own.column("x"))
+    norms = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    most = float(np.sqrt(points.agg(F.max(norms)).first()[0] or 0.0)) if similarity == "dot" else 0.0
+    want = min(PIVOTS, 4 * -(-n // BLOCK)) if n > BLOCK else 1
+    _, x = _arrays(*points.orderBy(F.xxhash64("id"), "id").limit(want).toArrow().select(["id", "x"]).columns)
+    pivots = _geometry(x, similarity, most)[0]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                d = _measure(_geometry(_arrays(part.column(0), part.column(1))[1], similarity, most)[0], pivots, similarity)
+                cell = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(cell)), cell])], ["id", "x", "cell", "r"])
+
+    placed = points.mapInArrow(assign, "id long, x array<double>, cell int, r double")
+    placed = cut(placed) if n > BLOCK else placed
+    about = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).collect()  # a row for each pivot
+    count, low, high = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+    for r in about:
+        count[r.cell], low[r.cell], high[r.cell] = r.n, r.low, r.high
+    cells = spark.sparkContext.broadcast(_Cells(pivots, count, low, high, np.maximum(1, -(-count // BLOCK))))
+    chunks = F.array(*[F.lit(int(c)) for c in (cells.value.chunks if len(pivots) else [1])])
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("id"), F.element_at(chunks, F.col("cell") + 1)).cast("int"))
+
+    def own(t: pa.Table) -> pa.Table:
+        """A block: its points, what it found of each point's neighbours, and which cells each must ask."""
+        ids, x = _arrays(t.column("id"), t.column("x"))
         order = np.argsort(ids, kind="stable")
-        sent = spark.sparkContext.broadcast((ids[order], x[order]))
-        parts.append(meet(sent) if slices == 1 else cut(meet(sent)))
-        if slices > 1:
-            sent.unpersist()
-    if slices == 1:
-        return parts[0].withColumn("dist", -F.col("dist")) if similarity == "dot" else parts[0]
-    return _ranked(reduce(DataFrame.unionByName, parts).drop("rank"), k, similarity)
+        ids, x, cell = ids[order], x[order], t.column("cell")[0].as_py()
+        found = nearest(ids, x, ids, x, k, similarity)
+        src = np.searchsorted(ids, found["src"].to_numpy())
+        kth = np.full(len(ids), np.inf)
+        held = np.bincount(src, minlength=len(ids)) >= k
+        last = np.zeros(len(ids))
+        last[src] = found["dist"].to_numpy()  # in the order of distance: the last one stays
+        kth[held] = last[held]
+        query = _geometry(x, similarity, most)[1]
+        bound = np.sqrt(np.maximum((query * query).sum(1) + most * most + 2 * np.where(held, kth, 0), 0)) if similarity == "dot" else kth.copy()
+        bound[~held] = np.inf
+        to, rows = [], []
+        for i in range(0, len(ids), 256):
+            a, c = np.nonzero(cells.value.wanted(query[i : i + 256], bound[i : i + 256], similarity))
+            to.append(c)
+            rows.append(a + i)
+        to, rows = np.concatenate(to), np.concatenate(rows)
+        by = np.argsort(to, kind="stable")
+        return pa.table({
+            "cell": pa.array([cell], pa.int32()), "chunk": pa.array([t.column("chunk")[0].as_py()], pa.int32()), "n": pa.array([len(ids)]), "ids": pa.array([_pack(ids)], pa.binary()), "xs": pa.array([_pack(x)], pa.binary()), "kth": pa.array([_pack(kth)], pa.binary()),
+            "src": pa.array([_pack(found["src"].to_numpy(np.int64))], pa.binary()), "dst": pa.array([_pack(found["dst"].to_numpy(np.int64))], pa.binary()), "dist": pa.array([_pack(found["dist"].to_numpy(np.float64))], pa.binary()), "to": pa.array([_pack(to[by].astype(np.int32))], pa.binary()), "rows": pa.array([_pack(rows[by].astype(np.int32))], pa.binary()),
+        })
+
+    blocks = placed.groupBy("cell", "chunk").applyInArrow(own, "cell int, chunk int, n long, ids binary, xs binary, kth binary, src binary, dst binary, dist binary, to binary, rows binary")
+    blocks = cut(blocks) if n > BLOCK else blocks
+    read = lambda b, name, i, kind: np.frombuffer(b.column(name)[i].as_buffer(), kind)
+    listed = lambda src, dst, dist: pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(dist)], ["src", "dst", "dist"])
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield listed(read(b, "src", i, np.int64), read(b, "dst", i, np.int64), read(b, "dist", i, np.float64))
+
+    found = blocks.mapInArrow(firsts, "src long, dst long, dist double")
+    if n > BLOCK:
+
+        def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ["tcell", "tchunk", "asked", "qids", "qxs", "qkth"]
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids, kth, to, rows = read(b, "ids", i, np.int64), read(b, "kth", i, np.float64), read(b, "to", i, np.int32), read(b, "rows", i, np.int32)
+                    x, mine = read(b, "xs", i, np.float64).reshape(len(ids), -1), (b.column("cell")[i].as_py(), b.column("chunk")[i].as_py())
+                    edges = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]])) if len(to) else []
+                    for s, e in zip(edges, edges[1:], strict=False):
+                        some, c = rows[s:e], int(to[s])
+                        for chunk in range(int(cells.value.chunks[c])):
+                            if (c, chunk) != mine:
+                                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([chunk], pa.int32()), pa.array([len(some)]), *[pa.array([_pack(v[some])], pa.binary()) for v in (ids, x, kth)]], names)
+
+        asks = blocks.mapInArrow(asking, "tcell int, tchunk int, asked long, qids binary, qxs binary, qkth binary")
+        if stats is not None:
+            sizes = blocks.select(F.col("cell").alias("tcell"), F.col("chunk").alias("tchunk"), F.col("n"))
+            met = asks.select("tcell", "tchunk", "asked").join(sizes, ["tcell", "tchunk"]).agg(F.sum(F.col("asked") * F.col("n"))).first()[0] or 0
+            stats["share"] = (met + blocks.agg(F.sum(F.col("n") * F.col("n"))).first()[0]) / n**2
+        met = asks.join(blocks.select(F.col("cell").alias("tcell"), F.col("chunk").alias("tchunk"), "ids", "xs"), ["tcell", "tchunk"]).select("qids", "qxs", "qkth", "ids", "xs")
+
+        def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    qids, ids = read(b, "qids", i, np.int64), read(b, "ids", i, np.int64)
+                    got = nearest(qids, read(b, "qxs", i, np.float64).reshape(len(qids), -1), ids, read(b, "xs", i, np.float64).reshape(len(ids), -1), k, similarity)
+                    order = np.argsort(qids)
+                    good = got["dist"].to_numpy() <= read(b, "qkth", i, np.float64)[order][np.searchsorted(qids[order], got["src"].to_numpy())]
+                    yield listed(got["src"].to_numpy()[good], got["dst"].to_numpy()[good], got["dist"].to_numpy(np.float64)[good])
+
+        found = found.unionByName(met.mapInArrow(answers, "src long, dst long, dist double"))
+    elif stats is not None:
+        stats["share"] = 1.0
+    return _ranked(found, k, similarity)
 
 
 def _forest(sample: np.ndarray, leaf: int, seed: int) -> list[list[tuple[np.ndarray, float]]]:

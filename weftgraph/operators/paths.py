@@ -1,50 +1,80 @@
-"""Shortest paths as label-correcting fixpoints: each round relaxes all edges at once.
+"""Shortest paths by fronts: only nodes whose value has fallen join their edges.
 
-Distances only fall from round to round, so a fixpoint is reached in as many rounds as a shortest
-path has edges, at most; the least of (distance, source) is pre-aggregated in each task.
+Distances only fall, so a node that hasn't changed since it last told its neighbours has nothing new
+to tell them, and leaves.  Without a number of rounds, nodes are told in buckets of distance (delta
+stepping): those of the least distances first, so that few are told twice.  The edges are dealt by
+source once; what moves in a round is the front.  The least of (distance, source) is pre-aggregated in
+each task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.fixpoint import cut
+from weftgraph.operators.fixpoint import cut, forget
+
+#: Mean edge lengths in a bucket, and tables of improvements that are kept before they are merged.
+BUCKET, LAYERS = 8.0, 4
+
+
+def _least(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables).groupBy(*keys).agg(F.min(F.struct("d", "cp")).alias("b")).select(*keys, "b.d", "b.cp")
 
 
-def _relax(edges: DataFrame, boundary: DataFrame, update: Column, rounds: int | None, keys: list[str], max_dist: float | None, every: int = 4) -> DataFrame:
-    """Fixpoint of d_j = min(d_j, update(d_i, w_ij, f_i)) from boundary values; keys name a node (and its run)."""
+def _relax(edges: DataFrame, boundary: DataFrame, update: Column, rounds: int | None, keys: list[str], max_dist: float | None, stats: dict | None = None) -> DataFrame:
+    """Fixpoint of d_j = min(d_j, update(d_i, w_ij, f_i)) from boundary values; keys name a node (and its run).
+
+    With a number of rounds each is that of all nodes at once.  ``stats`` gets the rounds and the rows
+    that fronts and edges gave when joined.
+    """
     more = [k for k in keys if k != "id"]
-    state = cut(boundary.select(*keys, F.col("g").cast("double").alias("d"), F.col("id").alias("cp")).groupBy(*keys).agg(F.min(F.struct("d", "cp")).alias("b")).select(*keys, "b.d", "b.cp"))
-    k = 0
+    start = cut(_least([boundary.select(*keys, F.col("g").cast("double").alias("d"), F.col("id").alias("cp"))], keys))
+    known, waiting, k, joined = [start], start, 0, 0
+    delta = BUCKET * float(edges.agg(F.avg(F.abs(F.col("w") * F.col("f")))).first()[0] or 0.0) if rounds is None else float("inf")
+    limit = float("-inf")
     while rounds is None or k < rounds:
-        k += 1
-        reached = state.withColumnRenamed("id", "src").join(edges, "src").select(F.col("dst").alias("id"), *more, update.alias("d"), "cp")
+        first = waiting.agg(F.min("d")).first()[0]
+        if first is None:
+            break
+        limit = max(limit, first + delta) if first > limit else limit
+        front = waiting.where(F.col("d") <= limit) if rounds is None else waiting
+        reached = front.withColumnRenamed("id", "src").join(edges, "src").select(F.col("dst").alias("id"), *more, update.alias("d"), "cp")
+        if stats is not None:
+            joined += reached.count()
         if max_dist is not None:
             reached = reached.where(F.col("d") <= max_dist)
-        new = state.unionByName(reached).groupBy(*keys).agg(F.min(F.struct("d", "cp")).alias("b")).select(*keys, "b.d", "b.cp")
-        if rounds is None or k % every == 0 or k == rounds:
-            new = cut(new)
-        if rounds is None:
-            same = new.join(state.select(*keys, F.col("d").alias("old"), F.col("cp").alias("oldcp")), keys, "left").where("old is null or d <> old or cp <> oldcp").isEmpty()
-            if same:
-                return new
-        state = new
-    return state
+        old = _least(known, keys).withColumnsRenamed({"d": "old", "cp": "oldcp"})
+        better = cut(_least([reached], keys).join(old, keys, "left").where("old is null or d < old or (d = old and cp < oldcp)").select(*keys, "d", "cp"))
+        known.append(better)
+        if len(known) > LAYERS:
+            merged = cut(_least(known, keys))
+            for table in known[:-1]:
+                if table is not waiting:
+                    forget(table)
+            known = [merged]
+        waiting = cut(_least([waiting.where(F.col("d") > limit), better], keys)) if rounds is None else better
+        k += 1
+    if stats is not None:
+        stats |= {"rounds": k, "joined": joined}
+    return _least(known, keys)
 
 
 def _with_slowness(edges: DataFrame, f: DataFrame | float, reciprocal: bool) -> DataFrame:
     e = edges.select("src", "dst", (1 / F.col("w") if reciprocal else F.col("w")).alias("w"))
-    return e.withColumn("f", F.lit(float(f))) if not isinstance(f, DataFrame) else e.join(f.select(F.col("id").alias("src"), F.col("f")), "src")
+    e = e.withColumn("f", F.lit(float(f))) if not isinstance(f, DataFrame) else e.join(f.select(F.col("id").alias("src"), F.col("f")), "src")
+    return e.repartition("src").sortWithinPartitions("src")  # dealt once: a front is brought to them
 
 
-def dijkstra(nodes: DataFrame, edges: DataFrame, boundary: DataFrame, f: DataFrame | float = 1.0, max_dist: float | None = None, reciprocal: bool = False, rounds: int | None = None) -> DataFrame:
+def dijkstra(nodes: DataFrame, edges: DataFrame, boundary: DataFrame, f: DataFrame | float = 1.0, max_dist: float | None = None, reciprocal: bool = False, rounds: int | None = None, stats: dict | None = None) -> DataFrame:
     """id, d, cp: distance d_j = min over i of d_i + w_ij f_i from boundary values (id, g), and the source that gives it.
 
     Unreached nodes and those beyond max_dist have an infinite distance and a null source.  f is a
     number or (id, f).
     """
-    found = _relax(cut(_with_slowness(edges, f, reciprocal)), boundary, F.col("d") + F.col("w") * F.col("f"), rounds, ["id"], max_dist)
+    found = _relax(cut(_with_slowness(edges, f, reciprocal)), boundary, F.col("d") + F.col("w") * F.col("f"), rounds, ["id"], max_dist, stats)
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("d", F.lit(float("inf"))).alias("d"), "cp")
 
 
