@@ -85,6 +85,21 @@ def test_solvers(spark, graph, entries):
     assert np.allclose(column(x, "u"), np.linalg.solve(turned, b[:, 0]), atol=1e-6) and off == sorted(off, reverse=True)
 
 
+@pytest.mark.parametrize("entries", [ONE, MANY])
+def test_exponential(spark, graph, entries):
+    nodes, edges, w = graph
+    rho = np.linspace(0.5, 2, 40)
+    q = cluster.generator(nodes, edges, 0.3, spark.createDataFrame([(i, float(x)) for i, x in enumerate(rho)], "id long, rho double"))
+    up = np.maximum(w * (1 / rho[:, None] - 1 / rho[None]), 0)
+    d = w.sum(1)
+    wa = w / d[:, None] / d[None]
+    dense = 0.3 * (up - np.diag(up.sum(1))) + 0.7 * (wa / wa.sum(1)[:, None] - np.eye(40))
+    m, state = blocks.exponential(nodes, q, 2.0, lambda ids: np.eye(40)[ids], 40, entries=entries)
+    names = [f"v{j}" for j in range(40)]
+    got = m.frame(state, np.eye(80)[:, :40], names).toPandas().sort_values("id")[names].to_numpy()
+    assert np.abs(got - cluster._expm(dense * 2.0)).max() < 1e-12 and np.allclose(got.sum(1), 1)
+
+
 def test_two_clouds_are_told_apart(spark):
     """Planted communities, in many blocks: labels by each kind of spectral clustering, and what models make of two labels."""
     r, n = np.random.default_rng(0), 240

@@ -1,5 +1,7 @@
 """Classifiers, clustering, active learning, trials, images and sources, on planted clusters."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -207,10 +209,14 @@ def test_saved_tables(spark, planted, tmp_path):
     p, g, _ = planted
     pts, path = p.select("id", "x"), str(tmp_path / "nn")
     first = {tuple(r) for r in datasets.saved_knn(pts, 4, path).collect()}
-    assert {tuple(r) for r in datasets.saved_knn(pts.limit(0), 3, path).collect()} == {r for r in first if r[3] <= 3}  # read, not made
+    files = sorted(x.name for x in Path(path).iterdir())
+    assert {tuple(r) for r in datasets.saved_knn(pts, 3, path).collect()} == {r for r in first if r[3] <= 3} and sorted(x.name for x in Path(path).iterdir()) == files  # read, not made
+    other = datasets.saved_knn(pts, 4, path, "manhattan").collect()  # of another similarity, and of other points
+    assert {tuple(r) for r in other} != first and datasets.saved_knn(pts.where("id < 9"), 4, path, "manhattan").count() == 36
     assert datasets.saved_knn(pts, 6, path).agg(F.max("rank")).first()[0] == 6
     sets = datasets.saved_training_sets(p, [2], str(tmp_path / "sets"), trials=2)
-    assert sorted(map(tuple, sets.collect())) == sorted(map(tuple, datasets.saved_training_sets(p.limit(0), [5], str(tmp_path / "sets")).collect()))
+    assert sorted(map(tuple, sets.collect())) == sorted(map(tuple, datasets.saved_training_sets(p, [2], str(tmp_path / "sets"), trials=2).collect()))
+    assert {r.trial for r in datasets.saved_training_sets(p, [2], str(tmp_path / "sets"), trials=3).collect()} == {0, 1, 2}
 
 
 def test_trials_are_resumed(spark, planted, tmp_path):
@@ -317,6 +323,12 @@ def test_sources(spark, tmp_path, planted):
     assert sorted(map(tuple, datasets.read_numeric_csv(spark, str(tmp_path / "t.csv"), 2).collect())) == [(10.0, 90.5), (20.0, 91.0)]
     np.savez(tmp_path / "a.npz", data=np.arange(6).reshape(3, 2))
     assert datasets.load_array(spark, str(tmp_path / "a.npz"), "data").count() == 3
+    spread = lambda f: {(r.id, tuple(r.x)) for r in f.collect()}
+    for made in (datasets.two_skies, datasets.two_moons, datasets.rand_ball):
+        one, two = spread(made(spark, 60, seed=3)), spread(made(spark, 60, seed=4))
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert len(one) == 60 and one != two and one == spread(made(spark, 60, seed=3).repartition(5))
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
     assert datasets.two_skies(spark, 20).count() == 20 and datasets.two_moons(spark, 20).count() == 20
     assert datasets.rand_annulus(spark, 30).where("x[0] * x[0] + x[1] * x[1] < 0.25").isEmpty()
     assert datasets.bean(spark, 30).where("abs(x[1]) > 0.2 + 0.8 * x[0] * x[0]").isEmpty()

@@ -347,6 +347,32 @@ def lowrank(nodes: DataFrame, a: DataFrame, top: float, k: int, sweeps: int, eve
         state, done, width = cut(m.steps(state, [begin, *[go] * (n - 1), image], c)), done + n, c
 
 
+def exponential(nodes: DataFrame, q: DataFrame, t: float, start: Callable[[np.ndarray], np.ndarray], width: int, entries: int = ENTRIES) -> tuple[Blocks, DataFrame]:
+    """exp(Q t) times the columns that ``start`` gives for ids: the blocks, and the own parts of the result.
+
+    Q may be of any kind.  The time is cut so that a step's norm (by the greatest row sum) is at most
+    1, and each step is a Taylor polynomial of degree 18 (an error below 1e-16), two columns of vectors
+    for each: the sum so far and the last term.
+    """
+    m = Blocks(nodes, q, entries)
+    norm = float(q.groupBy("src").agg(F.sum(F.abs("w")).alias("s")).agg(F.max("s")).first()[0] or 0.0) * abs(t)
+    cuts = max(1, int(np.ceil(norm)))
+    state = m.start(start)
+    begin: Step = lambda b, own, halo: np.concatenate([own[:, :width], own[:, :width]], 1)
+
+    def term(j: int) -> Step:
+        def go(b: Block, own: np.ndarray, halo: np.ndarray) -> np.ndarray:
+            new = b.times(own[:, width:], halo) * (t / cuts / j)
+            return np.concatenate([own[:, :width] + new, new], 1)
+
+        return go
+
+    for _ in range(cuts):
+        old, state = state, cut(m.steps(state, [begin, *[term(j) for j in range(1, 19)]], width))
+        forget(old)
+    return m, state
+
+
 def residuals(nodes: DataFrame, a: DataFrame, vals: np.ndarray, u: DataFrame) -> DataFrame:
     """id and for each vector what A v - value * v leaves at the node (r0, r1, ...): a join of the matrix and the vectors."""
     cols = u.columns[1:]

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.operators import linear, local
+from weftgraph.operators import blocks, linear, local
+from weftgraph.operators.calculus import degrees
 from weftgraph.operators.fixpoint import cut
 
 
@@ -53,16 +54,39 @@ def _expm(a: np.ndarray) -> np.ndarray:
     return out
 
 
-def fokker_planck(nodes: DataFrame, edges: DataFrame, k: int, t: float = 1.0, beta: float = 0.5, rho: np.ndarray | None = None, seed: int = 0) -> DataFrame:
-    """id, cluster: k-means on the rows of expm(Q t), Q mixing mean shift to higher density rho (beta; the same everywhere unless given) and the Coifman-Lafon diffusion (1 - beta)."""
-    g = local.gather(nodes, edges)
-    w, d = g.dense(), np.where(g.degree > 0, g.degree, 1)
-    rho = np.asarray(rho, float) if rho is not None else np.ones(g.n)
-    up = np.maximum(w * (1 / rho[:, None] - 1 / rho[None, :]), 0)  # towards higher density
-    shift = up - np.diag(up.sum(1))
-    wa = w / d[:, None] / d[None, :]
-    diffusion = wa / np.where(wa.sum(1) > 0, wa.sum(1), 1)[:, None] - np.eye(g.n)
-    return _labels(nodes.sparkSession, g, local.kmeans(_expm((beta * shift + (1 - beta) * diffusion) * t), k, seed))
+def fokker_planck(nodes: DataFrame, edges: DataFrame, k: int, t: float = 1.0, beta: float = 0.5, rho: DataFrame | None = None, seed: int = 0, width: int = 64, plan: str = "auto") -> DataFrame:
+    """id, cluster: k-means on the rows of expm(Q t), Q mixing mean shift to higher density rho (beta; the same everywhere unless given as id, rho) and the Coifman-Lafon diffusion (1 - beta).
+
+    The matrix of all pairs isn't made: its rows are multiplied by ``width`` columns of signs that are a
+    function of the id, which keeps their distances, by the exponential's action on packed blocks.  plan
+    "local": the dense exponential, in numpy, of a graph of checked size.
+    """
+    q = generator(nodes, edges, beta, rho)
+    if plan == "local":
+        g = local.gather(nodes, q)
+        return _labels(nodes.sparkSession, g, local.kmeans(_expm(g.dense() * t), k, seed))
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    signs = lambda ids: np.sign(blocks.started(ids, width, seed) + 1e-300) / np.sqrt(width)
+    m, state = blocks.exponential(nodes, q, t, signs, width)
+    names = [f"v{j}" for j in range(width)]
+    rows = cut(m.frame(state, np.eye(2 * width)[:, :width], names).select("id", array_to_vector(F.array(*names)).alias("features")))
+    found = min((KMeans(k=k, seed=seed + i, maxIter=100).fit(rows) for i in range(3)), key=lambda f: f.summary.trainingCost)
+    return found.transform(rows).select("id", F.col("prediction").cast("int").alias("cluster"))
+
+
+def generator(nodes: DataFrame, edges: DataFrame, beta: float = 0.5, rho: DataFrame | None = None) -> DataFrame:
+    """Entries (src, dst, w) of the Fokker-Planck generator; rows sum to 0."""
+    d = degrees(nodes, edges).select("id", F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d"))
+    dense = rho.select("id", F.col("rho").cast("double").alias("rho")) if rho is not None else nodes.select("id", F.lit(1.0).alias("rho"))
+    about = cut(d.join(dense, "id"))
+    e = edges.join(about.toDF("src", "ds", "rs"), "src").join(about.toDF("dst", "dd", "rd"), "dst")
+    e = cut(e.select("src", "dst", F.greatest(F.col("w") * (1 / F.col("rs") - 1 / F.col("rd")), F.lit(0.0)).alias("up"), (F.col("w") / F.col("ds") / F.col("dd")).alias("wa")))
+    sums = e.groupBy("src").agg(F.sum("up").alias("up_sum"), F.sum("wa").alias("wa_sum"))
+    off = e.join(sums, "src").select("src", "dst", (beta * F.col("up") + (1 - beta) * F.when(F.col("wa_sum") > 0, F.col("wa") / F.col("wa_sum")).otherwise(0.0)).alias("w"))
+    own = nodes.select(F.col("id").alias("src")).join(sums, "src", "left").select("src", F.col("src").alias("dst"), (-beta * F.coalesce("up_sum", F.lit(0.0)) - F.lit(1 - beta)).alias("w"))
+    return cut(off.unionByName(own).groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
 
 def incres(nodes: DataFrame, edges: DataFrame, k: int, speed: float = 5.0, rounds: int = 200, seed: int = 0) -> DataFrame:

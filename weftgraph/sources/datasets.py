@@ -42,13 +42,34 @@ def load_knn(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     return df if k is None else df.where(F.col("rank") <= k)
 
 
+def _content(df: DataFrame) -> list[int]:
+    """Rows of a table and the sum of their hashes: what a stored table was made of."""
+    row = df.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)"))).first()
+    return [row[0], int(row[1] or 0)]
+
+
+def _is_there(spark: SparkSession, path: str, about: dict) -> dict | None:
+    """What is said about a stored table, if it was made of the same things; it lies beside the table."""
+    if not (folder_exists(spark, path) and folder_exists(spark, f"{path}.about")):
+        return None
+    said = json.loads(spark.read.parquet(f"{path}.about").first()[0])
+    return said if all(said.get(k) == v for k, v in about.items()) else None
+
+
+def _say(spark: SparkSession, path: str, about: dict) -> None:
+    spark.createDataFrame([(json.dumps(about),)], "about string").write.mode("overwrite").parquet(f"{path}.about")
+
+
 def saved_knn(points: DataFrame, k: int, path: str, similarity: str = "euclidean", method: str = "exact", overwrite: bool = False) -> DataFrame:
-    """The neighbour table at a path: computed and written there unless one with that many ranks is there."""
+    """The neighbour table at a path: computed and written there unless one of the same points, similarity and method with that many ranks is there."""
     from weftgraph.operators.knn import knn
 
     spark = points.sparkSession
-    if overwrite or not folder_exists(spark, path) or (load_knn(spark, path).agg(F.max("rank")).first()[0] or 0) < k:
+    about = {"similarity": similarity, "method": method, "points": _content(points.select("id", "x"))}
+    said = None if overwrite else _is_there(spark, path, about)
+    if said is None or said["k"] < k:
         knn(points, k, similarity, method).write.mode("overwrite").parquet(path)
+        _say(spark, path, about | {"k": k})
     return load_knn(spark, path, k)
 
 
@@ -57,12 +78,15 @@ def load_training_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def saved_training_sets(labels: DataFrame, rates, path: str, trials: int = 1, mask: DataFrame | None = None, seed: int = 0, overwrite: bool = False) -> DataFrame:
-    """The training sets at a path: drawn and written there unless some are there."""
+    """The training sets at a path: drawn and written there unless those of the same labels, rates, trials, mask and seed are there."""
     from weftgraph.operators.trials import training_sets
 
-    if overwrite or not folder_exists(labels.sparkSession, path):
+    spark = labels.sparkSession
+    about = {"rates": [float(r) for r in rates] if isinstance(rates, (list, tuple)) else float(rates), "trials": trials, "seed": seed, "labels": _content(labels.select("id", "label")), "mask": _content(mask) if mask is not None else None}
+    if overwrite or _is_there(spark, path, about) is None:
         training_sets(labels, rates, trials, mask, seed).write.mode("overwrite").parquet(path)
-    return load_training_sets(labels.sparkSession, path)
+        _say(spark, path, about)
+    return load_training_sets(spark, path)
 
 
 def read_numeric_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
@@ -92,29 +116,44 @@ def load_image(spark: SparkSession, path: str) -> DataFrame:
     return at.select(F.floor(F.col("k") / (F.col("width") * F.col("nChannels"))).cast("int").alias("row"), (F.floor(F.col("k") / F.col("nChannels")) % F.col("width")).cast("int").alias("col"), ch.cast("int").alias("ch"), "v")
 
 
+def _uniform(seed: int):
+    """A number in (0, 1) that is a function of the id and the seed, whatever the partitioning."""
+    return (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def _normal(seed: int):
+    """A standard normal number by two uniform ones."""
+    return F.sqrt(-2 * F.log(_uniform(seed))) * F.cos(2 * F.pi() * _uniform(seed + 1_000_003))
+
+
 def two_skies(spark: SparkSession, n: int, sigma: float = 0.15, gap: float = 0.64, seed: int = 0) -> DataFrame:
     """id, x, label: two horizontal bands with Gaussian heights, n points in all."""
-    return spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("label"), F.rand(seed).alias("a"), F.randn(seed + 1).alias("b")).select("id", F.array("a", sigma * F.col("b") + F.col("label") * gap).alias("x"), "label")
+    label = (F.col("id") % 2).cast("int")
+    return spark.range(n).select("id", F.array(_uniform(seed), sigma * _normal(seed + 1) + label * gap).alias("x"), label.alias("label"))
 
 
 def two_moons(spark: SparkSession, n: int, noise: float = 0.1, seed: int = 0) -> DataFrame:
     """id, x, label: two interleaved half circles."""
-    t = F.rand(seed) * F.pi()
-    base = spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("label"), t.alias("t"), F.randn(seed + 1).alias("e"), F.randn(seed + 2).alias("f"))
+    base = spark.range(n).select("id", (F.col("id") % 2).cast("int").alias("label"), (_uniform(seed) * F.pi()).alias("t"), _normal(seed + 1).alias("e"), _normal(seed + 2).alias("f"))
     x = F.when(F.col("label") == 0, F.cos("t")).otherwise(1 - F.cos("t")) + noise * F.col("e")
     y = F.when(F.col("label") == 0, F.sin("t")).otherwise(0.5 - F.sin("t")) + noise * F.col("f")
     return base.select("id", F.array(x, y).alias("x"), "label")
 
 
 def _accepted(spark: SparkSession, n: int, dims: int, inside, share: float, seed: int) -> DataFrame:
-    """n points of a cube of side 2 that a test accepts: enough are drawn at once, by the share that is accepted; short draws are made anew."""
+    """n points of a cube of side 2 that a test accepts: enough are drawn at once, by the share that is accepted; short draws are made anew.
+
+    The first n accepted ones are numbered by range partitions, so that no task sees all.
+    """
+    from weftgraph.operators.calculus import number
+
     more = 1.3
     while True:
         m = int(n / share * more) + 100
-        drawn = spark.range(m).select("id", F.array(*[2 * F.rand(seed + j) - 1 for j in range(dims)]).alias("x")).where(inside(F.col("x")))
-        out = drawn.orderBy("id").limit(n)
-        if out.count() == n:
-            return out
+        drawn = spark.range(m).select("id", F.array(*[2 * _uniform(seed + 7 * j) - 1 for j in range(dims)]).alias("x")).where(inside(F.col("x")))
+        first = number(drawn).where(F.col("n") < n)
+        if first.count() == n:
+            return drawn.join(first.select("id"), "id")
         more *= 1.5
 
 
