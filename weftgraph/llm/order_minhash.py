@@ -275,20 +275,21 @@ def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = buckets.where("_first and _node <> _lead").select(F.least("_lead", "_node").alias("a"), F.greatest("_lead", "_node").alias("b")).distinct()
     found = cut(similar(plausible(star, signs, may_align), texts))
     # one text for each component of a bucket, with that of the least component
-    members = _mixed(buckets.select("_key", "_node"), found)
+    members = _mixed(buckets.select("_key", "_node"), found, signs)
     ones = members.groupBy("_key", "_comp").agg(F.min_by("_node", F.xxhash64("_node", "_key")).alias("_one"))
     least = ones.groupBy("_key").agg(F.min(F.struct("_comp", "_one")).alias("_least"))
     star = ones.join(least, "_key").where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
     found = cut(found.unionByName(similar(plausible(star, signs, may_align), texts)).distinct())
-    more = _across(_mixed(members.select("_key", "_node"), found), texts)
+    more = _across(_mixed(members.select("_key", "_node"), found, signs), texts)
     release(rows.sparkSession)
     return made, cut(found.unionByName(more).distinct())
 
 
-def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Of (_key, _node) the rows of buckets in several components by the links so far, with the component (_comp) of each text."""
+def _mixed(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of (_key, _node) the rows of buckets in several components by the links so far, with the component (_comp) and words (_n) of each text."""
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
-    placed = cut(members.join(labels, "_node", "left").select("_key", "_node", F.coalesce("_comp", "_node").alias("_comp")))
+    about = nodes.select("_node", "_n").join(labels, "_node", "left").select("_node", "_n", F.coalesce("_comp", "_node").alias("_comp"))
+    placed = cut(members.join(about, "_node", "left").select("_key", "_node", "_comp", "_n"))
     several = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
     mixed = cut(placed.join(several, "_key", "left_semi"))
     forget(placed)
@@ -296,13 +297,13 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of buckets (_key, _node, _comp) linked pairs (a, b) of different components, enough to connect all that are similar.
+    """Of buckets (_key, _node, _comp, _n) linked pairs (a, b) of different components, enough to connect all that are similar.
 
     Two parts of a bucket meet in one group, which a task goes through as its rows arrive, unless
     both hold texts of one component only.  Texts meet by their counts first; the words of those that
     a text of the group may be similar to are sent after them.
     """
-    own = cut(parts(buckets.join(texts.select("_node", "_n"), "_node"), PART, PART_WORDS))
+    own = cut(parts(buckets, PART, PART_WORDS))
     about = own.groupBy("_key", "_part").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi"))
     i, j = about.toDF("_key", "_i", "_ilo", "_ihi"), about.toDF("_key", "_j", "_jlo", "_jhi")
     meet = i.join(j, "_key").where("_i <= _j and (_ilo < _ihi or _jlo < _jhi or _ilo <> _jlo)").where("_i < _j or _ilo < _ihi").select("_key", "_i", "_j", F.explode(F.array_distinct(F.array("_i", "_j"))).alias("_part"))
