@@ -59,9 +59,20 @@ def test_models_without_joins_say_so(planted, monkeypatch):
 
     p, g, train = planted
     monkeypatch.setattr(local, "MAX_NODES", 10)
-    for name in ("dynamic_label_propagation", "volume_mbo"):
-        with pytest.raises(ValueError, match="checked size"):
-            ssl.MODELS[name](ssl.Graph(g.nodes, g.edges), priors=[1, 1, 1]).fit(train)
+    with pytest.raises(ValueError, match="checked size"):
+        ssl.MODELS["volume_mbo"](ssl.Graph(g.nodes, g.edges), priors=[1, 1, 1]).fit(train)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2, 4])
+def test_dynamic_propagation_is_the_dense_kernel(planted, rounds):
+    """Thin factors and the dense kernel give the same scores, on a graph that isn't symmetric and has a node without edges."""
+    _, g, train = planted
+    lopsided = ssl.Graph(g.nodes.unionByName(g.nodes.sparkSession.createDataFrame([(90,)], "id long")), g.edges.where("src <> 3 or dst <> 4").select("src", "dst", (F.col("w") * (1 + F.col("src") % 3)).alias("w")))
+    here = ssl.DynamicLabelPropagation(lopsided, rounds=rounds, plan="local").fit(train)
+    there = ssl.DynamicLabelPropagation(lopsided, rounds=rounds).fit(train)
+    both = here.join(there.withColumnRenamed("u", "v"), ["id", "cls"])
+    count, gap = both.agg(F.count("*"), F.max(F.abs(F.col("u") - F.col("v")))).first()
+    assert count == 273 and gap < 1e-12
 
 
 def _dense(g):
@@ -259,6 +270,27 @@ def test_kernel_updates(spark):
     assert np.allclose(t.c, want)
 
 
+def test_lazy_kernel_is_repeated_downdates(spark):
+    """Values after several labelled nodes, one of them twice; a node outside the kernel is refused."""
+    rng = np.random.default_rng(3)
+    half = rng.normal(size=(14, 9)) * (rng.random((14, 9)) < 0.3)
+    c = half @ half.T + np.diag(rng.uniform(0.1, 1, 14))
+    df = spark.createDataFrame([(i * 5, j * 5, float(c[i, j])) for i in range(14) for j in range(14) if c[i, j]], "i long, j long, c double").cache()
+    scores = spark.createDataFrame([(i * 5, k, float(rng.random())) for i in range(14) for k in range(3)], "id long, cls int, u double").cache()
+    lazy = active.LazyKernel(df)
+    for k in (2, 7, 2, 11):
+        lazy.update(k * 5)
+        c = c - np.outer(c[:, k], c[:, k]) / (0.01 + c[k, k])
+    full = spark.createDataFrame([(i * 5, j * 5, float(c[i, j])) for i in range(14) for j in range(14)], "i long, j long, c double")
+    values = lambda d: [r.a for r in d.orderBy("id").collect()]
+    assert np.allclose(values(lazy.variance()), values(active.variance(full)), atol=1e-10)
+    assert np.allclose(values(lazy.sigma()), values(active.sigma(full)), atol=1e-10)
+    assert np.allclose(values(lazy.model_change(scores)), values(active.model_change(full, scores)), atol=1e-9)
+    assert np.allclose(values(lazy.model_change_variance(scores, "entropy")), values(active.model_change_variance(full, scores, "entropy")), atol=1e-10)
+    with pytest.raises(ValueError, match="isn't in the kernel"):
+        lazy.update(3)
+
+
 def test_training_sets_are_stratified(spark, planted):
     p, _, _ = planted
     sets = trials.training_sets(p, [2, 0.5, [1, 2, 3]], trials=2)

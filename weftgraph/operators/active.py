@@ -91,6 +91,49 @@ def downdate(c: DataFrame, k: int, gamma2: float = 0.01) -> DataFrame:
     return c.join(column, "i").join(column.select(F.col("i").alias("j"), F.col("ci").alias("cj")), "j").crossJoin(F.broadcast(d)).select("i", "j", (F.col("c") - F.col("ci") * F.col("cj") / (gamma2 + F.col("dk"))).alias("c"))
 
 
+class LazyKernel:
+    """A sparse kernel (i, j, c) with nodes labelled one by one, without the table of pairs that ``downdate`` fills.
+
+    After m nodes the kernel is C - B B^T; kept are the m thin columns B (an array for each node) and the
+    three values of each node that acquisition functions need, which an update corrects: one read of
+    the labelled node's column, one aggregate of m + 2 sums and one product with C.
+    """
+
+    def __init__(self, c: DataFrame, gamma2: float = 0.01):
+        self.c, self.gamma2, self.labelled = c, gamma2, []
+        self.state = cut(_kernel(c).withColumn("b", F.array().cast("array<double>")))
+
+    def update(self, k: int) -> None:
+        """Label node k, in the kernel as it stands."""
+        own = self.state.where(F.col("id") == k).select("b", "d").first()
+        if own is None:
+            raise ValueError(f"node {k} isn't in the kernel")
+        dot = lambda values: sum((F.col("b")[r] * float(x) for r, x in enumerate(values)), F.lit(0.0))
+        column = self.c.where(F.col("j") == k).groupBy(F.col("i").alias("id")).agg(F.sum("c").alias("c"))
+        x = (F.coalesce("c", F.lit(0.0)) - dot(own.b)) / float(np.sqrt(self.gamma2 + own.d))
+        state = cut(self.state.join(column, "id", "left").select("id", "sq", "s", "d", "b", x.alias("x")))
+        total, square, *onto = state.agg(F.sum("x"), F.sum(F.col("x") * F.col("x")), *[F.sum(F.col("x") * F.col("b")[r]) for r in range(len(self.labelled))]).first()
+        image = self.c.join(state.where("x <> 0").select(F.col("id").alias("i"), "x"), "i").groupBy(F.col("j").alias("id")).agg(F.sum(F.col("c") * F.col("x")).alias("y"))
+        y = F.coalesce("y", F.lit(0.0)) - dot(onto)
+        self.state = cut(state.join(image, "id", "left").select(
+            "id", (F.col("sq") - 2 * F.col("x") * y + F.col("x") * F.col("x") * square).alias("sq"), (F.col("s") - F.col("x") * total).alias("s"),
+            (F.col("d") - F.col("x") * F.col("x")).alias("d"), F.concat("b", F.array("x")).alias("b"),
+        ))
+        self.labelled.append(k)
+
+    def variance(self) -> DataFrame:
+        return _variance(self.state, self.gamma2)
+
+    def sigma(self) -> DataFrame:
+        return _sigma(self.state, self.gamma2)
+
+    def model_change(self, scores: DataFrame, measure: str = "smallest_margin") -> DataFrame:
+        return _change(self.state, scores, measure, self.gamma2)
+
+    def model_change_variance(self, scores: DataFrame, measure: str = "smallest_margin") -> DataFrame:
+        return _change_variance(self.state, scores, measure, self.gamma2)
+
+
 class TruncatedKernel:
     """A kernel V C V^T by a small matrix and a basis (id, v array); acquisition values without the full kernel."""
 

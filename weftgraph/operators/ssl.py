@@ -533,7 +533,13 @@ class ModularityMBO(Model):
 
 
 class DynamicLabelPropagation(Model):
-    """A dense walk kernel that evolves with the labels; for graphs that a dense matrix is made for."""
+    """A walk kernel that evolves with the labels: K <- P K P^T + alpha V V^T + lam I, V being P u.
+
+    The kernel isn't made: K u takes r products with P^T and r + 1 with P in round r, and of each round
+    the thin factor V (a column for each class) is kept.  plan "local": the dense kernel, in numpy.
+    """
+
+    in_blocks = True
 
     def __init__(self, graph: Graph, alpha: float = 0.05, lam: float = 0.1, rounds: int = 2, **more):
         super().__init__(graph, **more)
@@ -550,6 +556,31 @@ class DynamicLabelPropagation(Model):
             pt = p @ pt @ p.T + self.alpha * v @ v.T + self.lam * np.eye(g.n)
         return u
 
+    def _joins(self, train: DataFrame, cols: list[str]) -> DataFrame:
+        nodes = self.graph.nodes
+        d = self.graph.degrees().select(F.col("id").alias("src"), F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d"))
+        walk = cut(self.graph.edges.join(d, "src").select("src", "dst", (F.col("w") / F.col("d")).alias("w")))
+        back = walk.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
+        held, thin = [f"h_{c}" for c in cols], [f"v_{c}" for c in cols]
+        fixed = cut(nodes.select("id").join(_hot(train, cols).toDF("id", *held), "id", "left"))
+        u = cut(fixed.select("id", *[F.coalesce(h, F.lit(0.0)).alias(c) for h, c in zip(held, cols, strict=True)]))
+        factors: list[DataFrame] = []
+        for r in range(self.rounds):
+            images = [u]
+            for _ in range(r):
+                images.append(cut(linear.spmv(nodes, back, images[-1], cols)))
+            out = cut(linear.spmv(nodes, walk, images[-1], cols))
+            v = out if r == 0 else linear.spmv(nodes, walk, u, cols) if r + 1 < self.rounds else None
+            for factor, image in zip(factors, images[-2::-1], strict=True):
+                both = factor.join(image, "id")
+                m = _onto_basis(both, thin, cols)
+                own = both.select("id", *[(sum((self.alpha * float(m[i, j]) * F.col(t) for i, t in enumerate(thin)), self.lam * F.col(c))).alias(f"o_{c}") for j, c in enumerate(cols)])
+                out = cut(linear.spmv(nodes, walk, out, cols).join(own, "id").select("id", *[(F.col(c) + F.col(f"o_{c}")).alias(c) for c in cols]))
+            if v is not None:
+                factors.append(cut(v.toDF("id", *thin)))
+            u = cut(fixed.join(out, "id").select("id", *[F.coalesce(h, c).alias(c) for h, c in zip(held, cols, strict=True)]))
+        return u
+
 
 class CenteredKernel(Model):
     """Fixed point of u = H u / a off the labels, H being W (without loops) centred in rows and columns and a its top eigenvalue times alpha."""

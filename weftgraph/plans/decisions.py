@@ -193,6 +193,19 @@ def kernel_downdate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return active.downdate(kernel(spark, sf_dir), points(spark, sf_dir).agg(F.min("id")).first()[0]).select("i", "j", r6("c").alias("c"))
 
 
+#: The kernel over all pairs as nodes 1 to 3 are labelled one after another.
+LABELLED = ", ".join(["c0 AS (SELECT a.id AS i, b.id AS j, coalesce(c, 0) AS c FROM p a CROSS JOIN p b LEFT JOIN kc ON kc.i = a.id AND kc.j = b.id), first3 AS (SELECT id, row_number() OVER (ORDER BY id) AS r FROM p QUALIFY r <= 3)", *[f"k{r} AS (SELECT i, c, max(CASE WHEN i = j THEN c END) OVER () AS d FROM c{r - 1} WHERE j = (SELECT id FROM first3 WHERE r = {r})), c{r} AS (SELECT x.i, x.j, x.c - a.c * b.c / (0.01 + a.d) AS c FROM c{r - 1} x JOIN k{r} a ON a.i = x.i JOIN k{r} b ON b.i = x.j)" for r in (1, 2, 3)]])
+
+
+@query(f"WITH {KERNEL}, {LABELLED}, n3 AS (SELECT j AS id, sum(c * c) AS sq, sum(c) AS s, max(CASE WHEN i = j THEN c END) AS d FROM c3 GROUP BY j) SELECT id, round(sq / (0.01 + d), 6) + 0.0 AS var_opt, round(s * s / (0.01 + d), 6) + 0.0 AS sigma_opt FROM n3")
+def lazy_downdates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both optimality values after the first three nodes are labelled one by one, without a table of pairs."""
+    lazy = active.LazyKernel(kernel(spark, sf_dir))
+    for r in points(spark, sf_dir).select("id").orderBy("id").limit(3).collect():
+        lazy.update(r.id)
+    return lazy.variance().select("id", r6("a").alias("var_opt")).join(lazy.sigma().select("id", r6("a").alias("sigma_opt")), "id")
+
+
 @query("WITH c AS (SELECT c_acctbal AS x, count(*) AS n FROM customer GROUP BY 1), t AS (SELECT sum(n) AS bn, sum(x * n) AS s, sum(x * x * n) AS q FROM c), r AS (SELECT x, sum(n) OVER o AS n1, sum(x * n) OVER o AS s1 FROM c WINDOW o AS (ORDER BY x ROWS UNBOUNDED PRECEDING)), g AS (SELECT x, s1 * s1 / n1 + (s - s1) * (s - s1) / (bn - n1) AS gain, s, q, bn FROM r, t WHERE n1 < bn) SELECT round((q - gain) / (q - s * s / bn), 6) + 0.0 AS w, x AS threshold FROM g ORDER BY gain DESC, x LIMIT 1")
 def withinss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best split of account balances in two."""

@@ -11,7 +11,7 @@ from weftgraph.operators import blocks, cluster, embed, geometry, linear, nonlin
 from weftgraph.operators.calculus import laplacian
 from weftgraph.operators.fixpoint import cut
 from weftgraph.plans import iteration  # noqa: F401  its SQL is used here
-from weftgraph.plans.base import P, SQL, graph, plane, points, query, r6, training
+from weftgraph.plans.base import P, SQL, D, T, graph, plane, points, query, r6, training
 
 
 def _model(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -23,8 +23,25 @@ def _model(name: str, spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return ssl.MODELS[name](g, **options).fit_predict(training(spark, sf_dir))
 
 
+#: Two rounds of dynamic label propagation: u1 = P u0, u2 = P (P (P^T u1)) + 0.05 V (V^T u1) + 0.1 u1, V being P u0; labels held.
+DYNAMIC = (
+    f"WITH {D}, {T}, wk AS (SELECT src, dst, w / d AS w FROM e JOIN d ON d.id = src), u0 AS (SELECT p.id, c, CASE WHEN t.label = c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS u, t.id IS NOT NULL AS held FROM p CROSS JOIN (SELECT unnest(range(max(label) + 1)) AS c FROM t) k LEFT JOIN t ON t.id = p.id), "
+    "v AS (SELECT src AS id, c, sum(w * u) AS u FROM wk JOIN u0 ON u0.id = dst GROUP BY src, c), u1 AS (SELECT u0.id, u0.c, CASE WHEN held THEN u0.u ELSE coalesce(v.u, 0) END AS u FROM u0 LEFT JOIN v ON v.id = u0.id AND v.c = u0.c), "
+    "b1 AS (SELECT dst AS id, c, sum(w * u) AS u FROM wk JOIN u1 ON u1.id = src GROUP BY dst, c), b2 AS (SELECT src AS id, c, sum(w * u) AS u FROM wk JOIN b1 ON b1.id = dst GROUP BY src, c), b3 AS (SELECT src AS id, c, sum(w * u) AS u FROM wk JOIN b2 ON b2.id = dst GROUP BY src, c), "
+    "m AS (SELECT v.c AS i, u1.c AS c, sum(v.u * u1.u) AS m FROM v JOIN u1 ON u1.id = v.id GROUP BY v.c, u1.c), low AS (SELECT v.id, m.c, sum(v.u * m.m) AS u FROM v JOIN m ON m.i = v.c GROUP BY v.id, m.c), "
+    "u2 AS (SELECT u0.id, u0.c, CASE WHEN held THEN u0.u ELSE coalesce(b3.u, 0) + 0.05 * coalesce(low.u, 0) + 0.1 * u1.u END AS u FROM u0 JOIN u1 ON u1.id = u0.id AND u1.c = u0.c LEFT JOIN b3 ON b3.id = u0.id AND b3.c = u0.c LEFT JOIN low ON low.id = u0.id AND low.c = u0.c) "
+)
+
+
+@query(DYNAMIC + "SELECT id, c::INTEGER AS cls, round(u, 8) + 0.0 AS u FROM u2")
+def dynamic_propagation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of dynamic label propagation through thin factors."""
+    return ssl.DynamicLabelPropagation(ssl.Graph(*graph(spark, sf_dir))).fit(training(spark, sf_dir)).select("id", "cls", r6("u", 8).alias("u"))
+
+
+MODEL_SQL = {"graph_nearest_neighbor": SQL["graph_nn_predict"], "dynamic_label_propagation": DYNAMIC + "SELECT id, arg_max(c, struct_pack(u := u, c := -c))::INTEGER AS label FROM u2 GROUP BY id"}
 for _name in ssl.MODELS:
-    query(SQL["graph_nn_predict"] if _name == "graph_nearest_neighbor" else None, f"ssl_{_name}")(partial(_model, _name))
+    query(MODEL_SQL.get(_name), f"ssl_{_name}")(partial(_model, _name))
 for _how in ("poisson", "wnll", "properly"):
     query(name=f"ssl_laplace_{_how}")(partial(_model, "laplace", reweighting=_how))
 query(name="ssl_poisson_spectral")(partial(_model, "poisson", solver="spectral"))
