@@ -291,6 +291,64 @@ def test_lazy_kernel_is_repeated_downdates(spark):
         lazy.update(3)
 
 
+def _incres(w, k, rounds, more, seed=0):
+    """Plant, grow and harvest on a dense matrix, with the operator's draws."""
+    from weftgraph.operators import blocks
+
+    n, ids = len(w), np.arange(len(w))
+    d = w.sum(1)
+    p = w / np.where(d > 0, d, 1)[None]
+    key = lambda r: blocks.started(ids, 1, seed + r)[:, 0] + 0.5
+    y = np.floor(key(0) * k).astype(int)
+    for r in range(rounds):
+        f, seen = np.zeros((n, k)), []
+        for c in range(k):
+            own = np.flatnonzero(y == c)
+            f[own[np.argsort(key(r + 1)[own])[: 1 + r * more]], c] = 1
+        while not (f > 0).all() and not (len(seen) > 1 and (seen[-2] == (f > 0)).all()):
+            seen.append(f > 0)
+            f = p @ f
+        y = np.where(f.max(1) > 0, f.argmax(1), y)
+    return y
+
+
+@pytest.mark.parametrize("kind", ["clusters", "components", "path"])
+def test_incres_in_blocks_is_the_plain_one(spark, kind):
+    """One block, several blocks and a dense matrix give the same classes, also where growth can't reach all or alternates."""
+    rng = np.random.default_rng(1)
+    n = 24
+    w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.35), 1)
+    if kind == "components":
+        w[:10, 10:] = 0
+        w[:, n - 1] = 0  # a node without edges
+    if kind == "path":
+        w = np.diag(rng.uniform(0.5, 1, n - 1), 1)
+    w = w + w.T
+    nodes = spark.range(n).select("id")
+    edges = spark.createDataFrame([(i, j, float(w[i, j])) for i in range(n) for j in range(n) if w[i, j]], "src long, dst long, w double").cache()
+    want = _incres(w, 3, 2, 2)
+    for entries in (1 << 19, (len(w) + int((w > 0).sum())) // 3 + 1):
+        got = cluster.incres(nodes, edges, 3, speed=2e4 * 3 / n, rounds=2, entries=entries)
+        assert [r.cluster for r in got.orderBy("id").collect()] == want.tolist()
+
+
+def test_least_keys_are_exact(spark):
+    """The m-th least key of each class from counts of bits: equal keys, classes with few keys or none, keys that differ in the last bits."""
+    rng = np.random.default_rng(2)
+    key = np.floor(rng.random(3000) * (1 << 53)) / (1 << 53)
+    key[:40] = key[0]
+    key[40:80] = key[0] + np.arange(40) / (1 << 53)
+    y = rng.integers(0, 3, 3000).astype(float)
+    y[80:83] = 3
+    rows = [(i, i, np.stack([y[i::7], key[i::7]], 1).tobytes()) for i in range(7)]
+    state = spark.createDataFrame(rows, "p long, q long, data binary")
+    for m in (1, 3, 30, 700, 5000):
+        top, count = cluster._least_keys(state, 5, m)
+        want = [np.sort(key[y == c])[:m] for c in range(5)]
+        taken = [((y == c) & (key <= t)).sum() for c, t in enumerate(top)]
+        assert taken == [(key[y == c] <= w[-1]).sum() if len(w) else 0 for c, w in enumerate(want)] and count == sum(taken)
+
+
 def test_training_sets_are_stratified(spark, planted):
     p, _, _ = planted
     sets = trials.training_sets(p, [2, 0.5, [1, 2, 3]], trials=2)

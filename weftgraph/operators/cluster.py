@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators import blocks, linear, local
 from weftgraph.operators.calculus import degrees
-from weftgraph.operators.fixpoint import cut
+from weftgraph.operators.fixpoint import cut, forget, release
 
 
 def _labels(spark, g: local.Local, y: np.ndarray) -> DataFrame:
@@ -89,32 +92,126 @@ def generator(nodes: DataFrame, edges: DataFrame, beta: float = 0.5, rho: DataFr
     return cut(off.unionByName(own).groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
 
-def incres(nodes: DataFrame, edges: DataFrame, k: int, speed: float = 5.0, rounds: int = 200, seed: int = 0) -> DataFrame:
+#: Bits of a draw's key that each pass over the keys settles, of 53.
+KEY_BITS = (12, 24, 36, 48, 53)
+
+
+def incres(nodes: DataFrame, edges: DataFrame, k: int, speed: float = 5.0, rounds: int = 200, seed: int = 0, entries: int = blocks.ENTRIES) -> DataFrame:
     """id, cluster: plant seeds in each class, grow them by the walk until each class reaches every node, harvest by argmax, plant more; so many rounds.
 
-    Growth also ends where it reaches no further node (a graph in several components).
+    The start and the draws are functions of the id: a class plants its nodes of least key (all, if it
+    has fewer).  Growth also ends where the reached nodes are those of two steps before: from there on
+    they only alternate (a graph in components, or with an even walk).  On packed blocks; a graph of
+    one block is clustered where it lies.
     """
-    g = local.gather(nodes, edges)
-    rng, n = np.random.default_rng(seed), g.n
+    d = degrees(nodes, edges).select(F.col("id").alias("dst"), F.when(F.col("d") > 0, F.col("d")).otherwise(1.0).alias("d"))
+    m, n = blocks.Blocks(nodes, cut(edges.join(d, "dst").select("src", "dst", (F.col("w") / F.col("d")).alias("w"))), entries), nodes.count()
     more = max(int(speed * 1e-4 * n / k), 1)
-    walk = g.with_weights(g.w / np.where(g.degree > 0, g.degree, 1)[g.col])
-    y, m = rng.integers(0, k, n), 1
-    for _ in range(rounds):
-        f = np.zeros((n, k))
-        for c in range(k):
-            own = np.flatnonzero(y == c)
-            if len(own):  # an empty class plants nothing
-                f[own[rng.integers(0, len(own), m)], c] = 1.0
-        reached = 0
+    uniform = lambda ids, r: blocks.started(ids, 1, seed + r)[:, 0] + 0.5
+    first = lambda ids: np.minimum(np.floor(uniform(ids, 0) * k), k - 1)[:, None]
+    planted = lambda y, key, top: ((y[:, None] == np.arange(k)) & (key[:, None] <= np.asarray(top))).astype(float)
+    harvest = lambda y, f: np.where(f.max(1) > 0, f.argmax(1), y)
+
+    if m.count <= 1:
+
+        def solve(block: blocks.Block, own: np.ndarray, halo: np.ndarray) -> np.ndarray:
+            y, none = own[:, 0], np.zeros((0, k))
+            for r in range(rounds):
+                key, seeds = uniform(block.ids, r + 1), 1 + r * more
+                of = [np.sort(key[y == c])[:seeds] for c in range(k)]
+                f, old, older = planted(y, key, [x[-1] if len(x) else -1.0 for x in of]), None, None
+                for _ in range(2 * n):
+                    on = f > 0
+                    if on.all() or older is not None and (on == older).all():
+                        break
+                    old, older = on, old
+                    f = block.times(f, none)
+                y = harvest(y, f)
+            return y[:, None].astype(float)
+
+        done = m.steps(m.start(first), [solve], 0)
+        return cut(m.frame(done, np.eye(1), ["y"])).select("id", F.col("y").cast("int").alias("cluster"))
+    # columns of a state: class, reached two steps before, reached a step before, what has grown
+    shift: blocks.Step = lambda block, own, halo: np.concatenate([own[:, :1], own[:, 1 + k : 1 + 2 * k], own[:, -k:] > 0, own[:, -k:]], 1)
+    grow: blocks.Step = lambda block, own, halo: np.concatenate([own[:, :-k], block.times(own[:, -k:], halo)], 1)
+    state = cut(m.start(lambda ids: np.concatenate([first(ids), np.zeros((len(ids), 3 * k))], 1)))
+    for r in range(rounds):
+        keyed = cut(m.steps(state, [lambda block, own, halo, r=r: np.stack([harvest(own[:, 0], own[:, -k:]), uniform(block.ids, r + 1)], 1)], 0))
+        forget(state)
+        top, seeds = _least_keys(keyed, k, 1 + r * more)
+        plant: blocks.Step = lambda block, own, halo, top=top: np.concatenate([own[:, :1], np.full((len(own), k), -1.0), 0 * (f := planted(own[:, 0], own[:, 1], top)), f], 1)
+        state = cut(m.steps(keyed, [plant], 0))
+        forget(keyed)
+        full = seeds == n * k
         for step in range(2 * n):
-            some = int((f > 0).sum())
-            if some == n * k or step > n and some <= reached:
+            if full:
                 break
-            reached = max(reached, some)
-            f = walk.times(f)
-        y = np.where(f.max(1) > 0, f.argmax(1), y)
-        m += more
-    return _labels(nodes.sparkSession, g, y)
+            # the first growth has nothing two steps before it, and the seeds a step before
+            unknown = step == 0
+            go: blocks.Step = lambda block, own, halo, unknown=unknown: np.concatenate([(x := shift(block, own, halo))[:, :1], np.full((len(x), k), -1.0) if unknown else x[:, 1 : 1 + k], x[:, 1 + k :]], 1)
+            old, state = state, cut(m.steps(state, [go, grow], k))
+            forget(old)
+            reached, changed = _reached(state, k)
+            full = reached == n * k or changed == 0
+        release(nodes.sparkSession)
+    done = m.steps(state, [lambda block, own, halo: harvest(own[:, 0], own[:, -k:])[:, None].astype(float)], 0)
+    return cut(m.frame(done, np.eye(1), ["y"])).select("id", F.col("y").cast("int").alias("cluster"))
+
+
+def _reached(state: DataFrame, k: int) -> tuple[int, int]:
+    """How many nodes and classes have grown together, and in how many of them that differs from two steps before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = differs = 0
+        for b in batches:
+            for data in b.column(2):
+                x = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, 1 + 3 * k)
+                on += int((x[:, -k:] > 0).sum())
+                differs += int(((x[:, -k:] > 0) != x[:, 1 : 1 + k]).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([on]), pa.array([differs])], ["reached", "differs"])
+
+    return tuple(state.where("p = q").mapInArrow(run, "reached long, differs long").agg(F.sum("reached"), F.sum("differs")).first())
+
+
+def _least_keys(state: DataFrame, k: int, m: int) -> tuple[list[float], int]:
+    """Of a state (class, key) each class's m-th least key (2 if it has no more, -1 if it has none), and how many keys are no greater.
+
+    Bit by bit: a pass counts the keys of a class by their next bits where they can still be the m-th,
+    so that the driver sees at most 4,096 counts a class, whatever the number of nodes.
+    """
+    want, prefix, known, total, before = [m] * k, [0] * k, {}, 0, 0
+    for bits in KEY_BITS:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for data in b.column(2):
+                    x = np.frombuffer(data.as_buffer(), np.float64).reshape(-1, 2)
+                    c, key = x[:, 0].astype(np.int64), (x[:, 1] * (1 << 53)).astype(np.int64)
+                    open_ = ~np.isin(c, list(known)) & ((key >> (53 - before)) == np.array(prefix)[c])
+                    at, count = np.unique((c[open_] << 53) | (key[open_] >> (53 - bits)), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(at >> 53), pa.array(at & ((1 << 53) - 1)), pa.array(count.astype(np.int64))], ["c", "at", "n"])
+
+        counts = state.where("p = q").mapInArrow(run, "c long, at long, n long").groupBy("c", "at").agg(F.sum("n").alias("n")).orderBy("c", "at").collect()
+        for c in range(k):
+            if c in known:
+                continue
+            own = [(row["at"], row["n"]) for row in counts if row["c"] == c]
+            if bits == KEY_BITS[0] and sum(x for _, x in own) <= m:
+                known[c] = 2.0 if own else -1.0
+                total += sum(x for _, x in own)
+                continue
+            for at, count in own:
+                if count >= want[c]:
+                    if count == want[c] or bits == 53:
+                        known[c] = (((at + 1) << (53 - bits)) - 1) / (1 << 53)
+                        total += m - want[c] + count
+                    prefix[c] = at
+                    break
+                want[c] -= count
+        if len(known) == k:
+            break
+        before = bits
+    return [known[c] for c in range(k)], total
 
 
 def _splits(values: DataFrame, by: list[str], total: DataFrame) -> DataFrame:
