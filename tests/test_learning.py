@@ -270,6 +270,15 @@ def test_kernel_updates(spark):
     assert np.allclose(t.c, want)
 
 
+def test_multiclass_mbo_starts_alike_in_every_plan(planted):
+    """A start without labels' pull (no rounds) is one function of the id in numpy and in joins."""
+    _, g, train = planted
+    here, there = (ssl.MulticlassMBO(g, rounds=0, eigenpairs=3, seed=7, plan=plan).fit(train) for plan in ("local", "distributed"))
+    both = here.join(there.withColumnRenamed("u", "v"), ["id", "cls"])
+    assert both.count() == 270 and both.where("u <> v").isEmpty()
+    assert here.where("u = 1").groupBy("cls").count().count() == 3
+
+
 def test_lazy_kernel_is_repeated_downdates(spark):
     """Values after several labelled nodes, one of them twice; a node outside the kernel is refused."""
     rng = np.random.default_rng(3)
@@ -391,6 +400,45 @@ def test_boundary_statistic_is_small_at_the_boundary(spark):
     assert t.where("r > 0.95").agg(F.avg("t")).first()[0] < t.where("r < 0.6").agg(F.avg("t")).first()[0]
 
 
+@pytest.mark.parametrize("second_order, cutoff", [(True, True), (False, False), (False, True)])
+def test_boundary_statistic_within_a_radius(spark, second_order, cutoff):
+    """All points within a radius as neighbours, against the definition on a dense matrix; one point has none."""
+    x = np.random.default_rng(4).uniform(size=(50, 2))
+    x[49] = 5.0
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    off = x[:, None] - x[None]
+    w = (np.sqrt((off**2).sum(2)) <= 0.3) & ~np.eye(50, dtype=bool)
+    v = w / np.maximum(w.sum(0), 1)[None] if second_order else w.astype(float)
+    nu = v @ x - v.sum(1)[:, None] * x
+    nu /= np.maximum(np.linalg.norm(nu, axis=1), 1e-300)[:, None]
+    want = np.zeros(50)
+    for i in range(50):
+        for j in np.flatnonzero(w[i]):
+            way = nu[i] if cutoff and nu[i] @ nu[j] <= 0 else (nu[i] + nu[j]) / 2
+            want[i] = max(want[i], off[i, j] @ way)
+    got = {r.id: r.t for r in geometry.boundary_statistic(p, radius=0.3, second_order=second_order, cutoff=cutoff).collect()}
+    assert len(got) == 50 and got[49] == 0 and np.allclose([got[i] for i in range(50)], want)
+
+
+@pytest.mark.parametrize("channels", [1, 3])
+def test_images_are_read_pixel_by_pixel(spark, tmp_path, channels):
+    """A grey and a coloured PNG file: row, column and channel (red first) of each value."""
+    import struct
+    import zlib
+
+    v = np.random.default_rng(5).integers(0, 256, (4, 3, channels), dtype=np.uint8)
+
+    def part(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = b"".join(b"\0" + r.tobytes() for r in v)
+    png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 3, 4, 8, {1: 0, 3: 2}[channels], 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+    (tmp_path / "a.png").write_bytes(png)
+    got = {(r.row, r.col, r.ch): r.v for r in datasets.load_image(spark, str(tmp_path)).collect()}
+    assert got.keys() == set(np.ndindex(4, 3, channels))
+    assert all(abs(got[at] - v[at] / 255) < 1e-12 for at in got)
+
+
 def test_embeddings_keep_clusters(spark, planted):
     p, g, _ = planted
     y = embed.ars(p.select("id", "x"), perplexity=10, rounds=100).toPandas().sort_values("id")[["x", "y"]].to_numpy()

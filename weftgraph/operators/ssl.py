@@ -451,13 +451,19 @@ class MulticlassMBO(Model):
         super().__init__(graph, **more)
         self.steps, self.rounds, self.dt, self.mu, self.eigenpairs, self.seed = steps, rounds, dt, mu, eigenpairs, seed
 
+    def _start(self, k: int) -> Column:
+        """The class a node starts in: a function of its id, the same in every plan."""
+        return F.pmod(F.xxhash64(F.col("id").cast("long"), F.lit(self.seed)), F.lit(k))
+
     def _local(self, g: local.Local, at: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
         vals, x = self.graph.eigen(min(self.eigenpairs, g.n))
         h = self.dt / self.steps
         smooth = x / (1 + h * vals)
         known, mask = np.zeros((g.n, k)), np.zeros((g.n, 1))
         known[at, y], mask[at] = 1.0, 1.0
-        u = np.eye(k)[np.random.default_rng(self.seed).integers(0, k, g.n)]
+        start = self.graph.nodes.select(F.col("id").cast("long").alias("id"), self._start(k).cast("int").alias("c")).toPandas()
+        u = np.zeros((g.n, k))
+        u[g.index(start["id"].to_numpy()), start["c"].to_numpy()] = 1.0
         u[at] = known[at]
         for _ in range(self.rounds):
             for _ in range(self.steps):
@@ -469,7 +475,7 @@ class MulticlassMBO(Model):
         vals, x = self.graph.eigen_joins(self.eigenpairs)
         h, basis = self.dt / self.steps, x.columns[1:]
         known = [f"k_{c}" for c in cols]
-        pick = F.pmod(F.xxhash64("id", F.lit(self.seed)), F.lit(len(cols)))
+        pick = self._start(len(cols))
         state = x.join(_hot(train, cols).toDF("id", *known), "id", "left")
         state = cut(state.select("id", *basis, *known, *[F.coalesce(k, F.when(pick == c, 1.0).otherwise(0.0)).alias(name) for c, (k, name) in enumerate(zip(known, cols, strict=True))]))
         for _ in range(self.rounds):
