@@ -113,3 +113,16 @@ def test_random_weights_don_t_depend_on_partitions(spark):
     _, edges = graph(spark, [(0, 1), (1, 2)], 3)
     a, b = (sorted(map(tuple, calculus.random_weights(e, "normal", 1).collect())) for e in (edges, edges.repartition(3)))
     assert a == b
+
+
+@pytest.mark.parametrize("cell", [4096, 16, 1])
+def test_dense_cells_of_the_radius_graph_are_split(spark, monkeypatch, cell):
+    """The pairs of a plain search, each once, where a cell holds a third of the points and equal ones, whole and in parts."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.uniform(0.01, 0.19, (60, 2)), rng.uniform(-1, 1, (110, 2)), np.full((10, 2), 0.05)])
+    p = spark.createDataFrame([(i * 3, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    monkeypatch.setattr(weights, "CELL", cell)
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.2
+    np.fill_diagonal(near, False)
+    got = [(r.src, r.dst) for r in weights.epsilon_ball(p, 0.2, "uniform").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i * 3, j * 3) for i, j in np.argwhere(near).tolist()}

@@ -67,21 +67,32 @@ def ball_weight(kernel: str | Callable[[Column], Column], dist: Column, eps: flo
     raise ValueError(f"unknown kernel {kernel!r}")
 
 
+#: Points of a cell of the radius graph beyond which it is split.
+CELL = 4096
+
+
 def epsilon_ball(points: DataFrame, eps: float, kernel: str | Callable[[Column], Column] = "gaussian", features: DataFrame | None = None, eps_f: float = 1.0, dims: int = 2) -> DataFrame:
     """All pairs within a radius: a range join by cells of that size.
 
     Points are put in cells of their first ``dims`` coordinates (a pair within the radius is in
     neighbouring cells in any of them); one side is copied to its 3**dims neighbouring cells, and
-    the join is on equal cells.  ``features`` (id, x) multiply in the same kernel of their distance.
+    the join is on equal cells.  A cell of more than ``CELL`` points is split by their ids, and the
+    other side copied to its parts, so that no cell is one key; there are at most n / ``CELL`` such
+    cells.  ``features`` (id, x) multiply in the same kernel of their distance.
     """
     cells = [F.floor(F.element_at("x", j + 1) / eps).cast("long") for j in range(dims)]
+    names = [f"c{j}" for j in range(dims)]
     base = points.select("id", "x", *[c.alias(f"c{j}") for j, c in enumerate(cells)])
     near = base
     for j in range(dims):
         near = near.withColumn(f"c{j}", F.explode(F.array(*[F.col(f"c{j}") + s for s in (-1, 0, 1)])))
+    dense = base.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > CELL).select(*names, F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    near = near.join(dense, names, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    base = base.join(dense, names, "left").withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).drop("parts")
     a = near.withColumnsRenamed({"id": "src", "x": "xa"})
     b = base.withColumnsRenamed({"id": "dst", "x": "xb"})
-    pairs = a.join(b, [f"c{j}" for j in range(dims)]).where("src <> dst").withColumn("dist", vectors.euclidean(F.col("xa"), F.col("xb"))).where(F.col("dist") <= eps).select("src", "dst", "dist")
+    pairs = a.join(b, [*names, "part"]).where("src <> dst").withColumn("dist", vectors.euclidean(F.col("xa"), F.col("xb"))).where(F.col("dist") <= eps).select("src", "dst", "dist")
     w = ball_weight(kernel, F.col("dist"), eps)
     if features is not None:
         fa, fb = (features.select(F.col("id").alias(i), F.col("x").alias(x)) for i, x in (("src", "fa"), ("dst", "fb")))
