@@ -53,6 +53,35 @@ def test_exact_neighbours_in_cells_and_blocks(spark, duck, monkeypatch, name):
     assert {tuple(r) for r in df.select(*[c[0] for c in cur.description]).collect()} == set(cur.fetchall())
 
 
+def test_searching_points_are_sent_to_few_blocks(spark, monkeypatch):
+    """Random points, where no cell can be left out: four times the points are sent to no more blocks each, and the neighbours are those of all pairs."""
+    import numpy as np
+
+    from weftgraph.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK", 8)
+    made = {}
+    for n in (300, 1200):
+        x = np.random.default_rng(n).normal(size=(n, 24))
+        points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+        got = knn.knn_exact(points, 5)
+        want = knn.nearest(np.arange(n), x, np.arange(n), x, 5, "euclidean")
+        assert {(r.src, r.dst) for r in got.collect()} == set(zip(want["src"], want["dst"], strict=True))
+        made[n] = {}
+        knn.knn_exact(points, 5, stats=made[n])
+    assert made[1200]["blocks"] <= made[300]["blocks"] * 1.5
+
+
+@pytest.mark.parametrize("name", ["model_change", "model_change_var_opt"])
+def test_the_graph_is_made_once(spark, monkeypatch, name):
+    from weftgraph.plans import decisions
+
+    made, real = [], decisions.graph
+    monkeypatch.setattr(decisions, "graph", lambda *a: made.append(1) or real(*a))
+    __spark_entry__.queries()[name](spark, DIR)
+    assert len(made) == 1
+
+
 @pytest.mark.parametrize("similarity", ["euclidean", "angular", "manhattan", "hamming", "dot"])
 def test_clusters_are_searched_in_few_cells(spark, monkeypatch, similarity):
     """Planted clusters with equal points and ties: the same neighbours as all pairs, most cells left out."""
