@@ -27,8 +27,8 @@ def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = f"{D}, c AS (SELECT DISTINCT label AS cls FROM p), sc AS (SELECT p.id, c.cls::INTEGER AS cls, coalesce(sum(CASE WHEN q.label = c.cls THEN w END), 0) / any_value(d.d) AS u FROM p JOIN c ON true JOIN d ON d.id = p.id JOIN e ON e.src = p.id JOIN p q ON q.id = e.dst GROUP BY p.id, c.cls)"
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = graph(spark, sf_dir)
+def scores(spark: SparkSession, sf_dir: str, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    nodes, edges = made or graph(spark, sf_dir)
     hot = ssl.onehot(points(spark, sf_dir)).select(F.col("id").alias("dst"), "cls", "u")
     sums = edges.join(hot, "dst").groupBy(F.col("src").alias("id"), "cls").agg(F.sum(F.col("w") * F.col("u")).alias("s"))
     return cut(sums.join(calculus.degrees(nodes, edges), "id").select("id", "cls", (F.col("s") / F.col("d")).alias("u")))
@@ -155,8 +155,8 @@ for _name, _sql in MEASURE_SQL.items():
 KERNEL = f"{SCORES}, kc AS (SELECT src AS i, dst AS j, w AS c FROM e UNION ALL SELECT id, id, 1.0 FROM p), kk AS (SELECT j AS id, sum(c * c) AS sq, sum(c) AS s, sum(CASE WHEN i = j THEN c ELSE 0 END) AS d FROM kc GROUP BY j), mg AS (SELECT id, 1 - (v[1] - v[2]) AS a FROM (SELECT id, list_reverse_sort(list(u)) AS v FROM sc GROUP BY id))"
 
 
-def kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = graph(spark, sf_dir)
+def kernel(spark: SparkSession, sf_dir: str, made: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    nodes, edges = made or graph(spark, sf_dir)
     return edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("c")).unionByName(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("c")))
 
 
@@ -172,12 +172,14 @@ def sigma_opt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {KERNEL} SELECT id, round(a * sqrt(sq) / (0.01 + d), 6) + 0.0 AS a FROM kk JOIN mg USING (id)")
 def model_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active.model_change(kernel(spark, sf_dir), scores(spark, sf_dir)).select("id", r6("a").alias("a"))
+    made = graph(spark, sf_dir)  # once for both
+    return active.model_change(kernel(spark, sf_dir, made), scores(spark, sf_dir, made)).select("id", r6("a").alias("a"))
 
 
 @query(f"WITH {KERNEL} SELECT id, round(a * sq / (0.01 + d), 6) + 0.0 AS a FROM kk JOIN mg USING (id)")
 def model_change_var_opt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active.model_change_variance(kernel(spark, sf_dir), scores(spark, sf_dir)).select("id", r6("a").alias("a"))
+    made = graph(spark, sf_dir)  # once for both
+    return active.model_change_variance(kernel(spark, sf_dir, made), scores(spark, sf_dir, made)).select("id", r6("a").alias("a"))
 
 
 @query(f"WITH {KERNEL} SELECT id, round(a, 6) + 0.0 AS a FROM mg WHERE id NOT IN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY label ORDER BY id) AS r FROM p) WHERE r <= 3) ORDER BY round(a, 9) DESC, id LIMIT 20")
