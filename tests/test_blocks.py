@@ -113,3 +113,55 @@ def test_two_clouds_are_told_apart(spark):
     for model in (ssl.Laplace(ssl.Graph(nodes, edges), order=2, tau=0.01), ssl.Poisson(ssl.Graph(nodes, edges)), ssl.RandomWalk(ssl.Graph(nodes, edges))):
         got = {x.id: x.label for x in model.fit_predict(train).collect()}
         assert np.mean([got[i] == side[i] for i in range(n)]) >= 0.95
+
+
+@pytest.mark.parametrize("entries", [ONE, MANY])
+def test_modularity_eigenpairs(spark, graph, entries):
+    nodes, edges, w = graph
+    d = w.sum(1)
+    vals, u = linear.eigen_decomp(nodes, edges, 4, "combinatorial", gamma=0.5, tol=1e-8, entries=entries)
+    dense = np.diag(d) - w + 0.5 / d.sum() * np.outer(d, d)
+    assert np.allclose(vals, np.linalg.eigvalsh(dense)[:4], atol=1e-7)
+    v = np.stack([column(u, f"v{j}") for j in range(4)], 1)
+    assert np.abs(dense @ v - v * vals).max() < 1e-5
+
+
+@pytest.mark.parametrize("entries", [ONE, MANY])
+def test_poisson_mbo_in_blocks(spark, graph, entries):
+    """In one block and in several the classes of the numpy plan; no job for each heat step or move of a weight."""
+    nodes, edges, w = graph
+    train = spark.createDataFrame([(0, 0), (7, 1), (21, 2)], "id long, label int")
+    g = ssl.Graph(nodes, edges)
+    options = {"rounds": 2, "steps": 3, "priors": [0.3, 0.4, 0.3], "tol": 1e-10}
+    here = ssl.PoissonMBO(g, plan="local", **options)._scores(train, 3)
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    there = ssl.PoissonMBO(g, entries=entries, **options)._scores(train, 3).collect()
+    assert sorted(map(tuple, there)) == sorted(map(tuple, here.collect()))
+    assert entries == MANY or spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - before < 200
+
+
+def test_weights_move_as_with_full_counts(spark, monkeypatch):
+    """The moves of full counts to the last bit, by few passes; also where weights fall below zero and nothing settles."""
+    rng = np.random.default_rng(0)
+    one_hot = np.eye(4)[rng.integers(0, 4, 400)]
+    for u, most, moves in ((rng.random((50, 4)), 10, 500), (rng.random((4000, 4)), 300, 500), (np.where(rng.random((900, 4)) < 0.6, 0.0, rng.random((900, 4))), 100, 500), (one_hot, 100, 3000)):
+        priors, calls = np.array([0.1, 0.2, 0.3, 0.4]), []
+        u = (u - u.min()) / (u.max() - u.min())
+        w = np.ones(4)
+        for _ in range(moves):
+            gap = np.bincount((u * w).argmax(1), minlength=4) / len(u) - priors
+            if np.abs(gap).max() <= 1e-3:
+                break
+            w = w - 0.1 * gap
+            w = w / w[0]
+        got = ssl._moved_weights(lambda w, r, u=u, calls=calls: calls.append(w) or ssl._sizes_of(u, w, r), len(u), priors, max_iter=moves, most=most)
+        assert (got == w).all() and len(calls) < moves / 2
+
+
+def test_multiclass_mbo_in_one_pass_a_round(spark, graph):
+    nodes, edges, w = graph
+    train = spark.createDataFrame([(0, 0), (7, 1), (21, 2)], "id long, label int")
+    g = ssl.Graph(nodes, edges)
+    here = ssl.MulticlassMBO(g, plan="local", eigenpairs=8, rounds=3).fit(train)
+    there = ssl.MulticlassMBO(g, eigenpairs=8, rounds=3).fit(train)
+    assert sorted(map(tuple, there.collect())) == sorted(map(tuple, here.collect()))
