@@ -72,6 +72,13 @@ def test_searching_points_are_sent_to_few_blocks(spark, monkeypatch):
     assert made[1200]["blocks"] <= made[300]["blocks"] * 1.5
 
 
+def test_features_travel_with_points(spark):
+    """The features of a radius graph are joined to points; a join to pairs would send them once for each."""
+    plan = __spark_entry__.queries()["eps_ball_features"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [line for line in plan.splitlines() if "Join" in line and ("src#" in line or "dst#" in line)]
+    assert not any("src#" in line and "dst#" not in line for line in pairs) and not any("dst#" in line and "src#" not in line for line in pairs)
+
+
 @pytest.mark.parametrize("name", ["model_change", "model_change_var_opt"])
 def test_the_graph_is_made_once(spark, monkeypatch, name):
     from weftgraph.plans import decisions
