@@ -799,3 +799,17 @@ def test_word_hashes_are_of_the_words():
     assert w.counts.tolist() == [3, 0, 0, 2, 1] and w.hash[0] == w.hash[2] == w.hash[5] and w.hash[1] == w.hash[4] and len(set(w.hash.tolist())) == 3
     place, h, owner = common.windows(w, 2)
     assert place.tolist() == [0, 1, 3] and owner.tolist() == [0, 0, 3] and len(set(h.tolist())) == 3
+
+
+def test_buckets_are_told_by_one_row_for_each_component(spark):
+    """op4: a bucket of many texts of few components is few rows, until its texts meet; one that links have joined doesn't come back."""
+    buckets = spark.createDataFrame([(k, n) for k in (1, 2, 3) for n in range(40 * k)], "_key long, _node long")
+    signs = spark.createDataFrame([(n, 7) for n in range(120)], "_node long, _n int")
+    star = lambda lo, hi: [(lo, n) for n in range(lo + 1, hi)]
+    found = spark.createDataFrame(star(0, 40) + star(40, 80) + star(80, 120), "a long, b long")
+    ones = order_minhash._ones(buckets, order_minhash._labelled(found, signs))
+    assert sorted((r._key, r._comp) for r in ones.collect()) == [(2, 0), (2, 40), (3, 0), (3, 40), (3, 80)]
+    assert all(r._comp <= r._one < r._comp + 40 for r in ones.collect())
+    found = found.unionByName(spark.createDataFrame([(3, 50)], "a long, b long"))
+    got = order_minhash._mixed(buckets, ones, order_minhash._labelled(found, signs)).collect()
+    assert sorted((r._key, r._node, r._comp, r._n) for r in got) == [(3, n, 0 if n < 80 else 80, 7) for n in range(120)]

@@ -275,25 +275,40 @@ def _links(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     star = buckets.where("_first and _node <> _lead").select(F.least("_lead", "_node").alias("a"), F.greatest("_lead", "_node").alias("b")).distinct()
     found = cut(similar(plausible(star, signs, may_align), texts))
     # one text for each component of a bucket, with that of the least component
-    members = _mixed(buckets.select("_key", "_node"), found, signs)
-    ones = members.groupBy("_key", "_comp").agg(F.min_by("_node", F.xxhash64("_node", "_key")).alias("_one"))
+    ones = _ones(buckets, _labelled(found, signs))
     least = ones.groupBy("_key").agg(F.min(F.struct("_comp", "_one")).alias("_least"))
     star = ones.join(least, "_key").where("_comp <> _least._comp").select(F.least("_least._one", "_one").alias("a"), F.greatest("_least._one", "_one").alias("b")).distinct()
     found = cut(found.unionByName(similar(plausible(star, signs, may_align), texts)).distinct())
-    more = _across(_mixed(members.select("_key", "_node"), found, signs), texts)
+    about = cut(_labelled(found, signs))
+    more = _across(_mixed(buckets, ones, about), texts)
     release(rows.sparkSession)
     return made, cut(found.unionByName(more).distinct())
 
 
-def _mixed(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of (_key, _node) the rows of buckets in several components by the links so far, with the component (_comp) and words (_n) of each text."""
+def _labelled(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of each text its words (_n) and its component by the links so far (_comp)."""
     labels = component_labels(found, "a", "b").withColumnsRenamed({"id": "_node", "component": "_comp"})
-    about = nodes.select("_node", "_n").join(labels, "_node", "left").select("_node", "_n", F.coalesce("_comp", "_node").alias("_comp"))
-    placed = cut(members.join(about, "_node", "left").select("_key", "_node", "_comp", "_n"))
-    several = placed.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
-    mixed = cut(placed.join(several, "_key", "left_semi"))
-    forget(placed)
-    return mixed
+    return nodes.select("_node", "_n").join(labels, "_node", "left").select("_node", "_n", F.coalesce("_comp", "_node").alias("_comp"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Keys of rows (_key, _comp) of more than one component."""
+    return rows.groupBy("_key").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo < _hi").select("_key")
+
+
+def _ones(buckets: DataFrame, about: DataFrame) -> DataFrame:
+    """Of buckets (_key, _node) in several components a row for each component (_key, _comp), however many texts it has, with one of its texts (_one)."""
+    placed = buckets.select("_key", "_node").join(about.select("_node", "_comp"), "_node")
+    every = cut(placed.groupBy("_key", "_comp").agg(F.min_by("_node", F.xxhash64("_node", "_key")).alias("_one")))
+    ones = cut(every.join(_several(every), "_key", "left_semi"))
+    forget(every)
+    return ones
+
+
+def _mixed(buckets: DataFrame, ones: DataFrame, about: DataFrame) -> DataFrame:
+    """Of buckets (_key, _node) the rows of those whose components before (ones) are still several, with the component (_comp) and words (_n) of each text."""
+    still = _several(ones.select("_key", F.col("_one").alias("_node")).join(about, "_node"))
+    return cut(buckets.select("_key", "_node").join(still, "_key", "left_semi").join(about, "_node").select("_key", "_node", "_comp", "_n"))
 
 
 def _across(buckets: DataFrame, texts: DataFrame) -> DataFrame:
