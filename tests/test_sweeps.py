@@ -76,3 +76,12 @@ def test_filter_moves_its_columns_only():
     got = np.prod([(x - r) / (0.0 - r) for r in roots], 0)
     want = np.cos(24 * np.arccos(np.clip((x - 1.1) / 0.9, -1, 1))) / np.cosh(24 * np.arccosh(1.1 / 0.9))
     assert np.abs(got - want).max() < 1e-12
+
+
+@pytest.mark.parametrize("entries", [ONE, MANY])
+def test_centered_kernel(spark, graph, entries):
+    nodes, edges, _, g = graph
+    train = spark.createDataFrame([(0, 0), (7, 1), (20, 1)], "id long, label int")
+    model = ssl.CenteredKernel(ssl.Graph(nodes, edges), tol=1e-3, powers=200, alpha=2.0, entries=entries)
+    got = columns(model._joins(train, ["u0", "u1"]))
+    assert np.allclose(got, model._local(g, AT, np.array([0, 1, 1]), 2), atol=5e-3)
