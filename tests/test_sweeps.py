@@ -85,3 +85,14 @@ def test_centered_kernel(spark, graph, entries):
     model = ssl.CenteredKernel(ssl.Graph(nodes, edges), tol=1e-3, powers=200, alpha=2.0, entries=entries)
     got = columns(model._joins(train, ["u0", "u1"]))
     assert np.allclose(got, model._local(g, AT, np.array([0, 1, 1]), 2), atol=5e-3)
+
+
+@pytest.mark.parametrize("entries", [ONE, MANY])
+def test_sparse_propagation(spark, graph, monkeypatch, entries):
+    nodes, edges, _, g = graph
+    train = spark.createDataFrame([(0, 0), (7, 1), (20, 1)], "id long, label int")
+    monkeypatch.setattr(ssl, "sparse_propagation", lambda *a, **more: pytest.fail("joins"))
+    monkeypatch.setattr(local, "MAX_NODES", 10)
+    got = ssl.SparseLabelPropagation(ssl.Graph(nodes, edges), rounds=6, entries=entries).fit(train).toPandas().sort_values(["id", "cls"])
+    want = ssl.SparseLabelPropagation(None, rounds=6)._local(g, AT, np.array([0, 1, 1]), 2)
+    assert np.allclose(got["u"].to_numpy().reshape(-1, 2), want, atol=1e-12)
