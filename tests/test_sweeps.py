@@ -96,3 +96,16 @@ def test_sparse_propagation(spark, graph, monkeypatch, entries):
     got = ssl.SparseLabelPropagation(ssl.Graph(nodes, edges), rounds=6, entries=entries).fit(train).toPandas().sort_values(["id", "cls"])
     want = ssl.SparseLabelPropagation(None, rounds=6)._local(g, AT, np.array([0, 1, 1]), 2)
     assert np.allclose(got["u"].to_numpy().reshape(-1, 2), want, atol=1e-12)
+
+
+def test_columns_are_swept_in_tasks_of_their_own(spark, graph):
+    """Two columns of a block: no sweep sees both."""
+    nodes, edges, wide, _ = graph
+
+    def value(w, x, starts, u, more):
+        assert x.shape[1] == 1
+        return (np.minimum.reduceat(x, starts) + np.maximum.reduceat(x, starts)) / 2
+
+    start = nonlinear._with_start(nodes, wide, ["u0", "u1"], [0.0, 0.0])
+    got = columns(blocks.settle(nodes, edges, start, ["u0", "u1"], value, 1e-6, 10_000))
+    assert np.allclose(got, columns(nonlinear.amle_blocks(nodes, edges, wide, ["u0", "u1"], tol=1e-6)), atol=1e-12)
