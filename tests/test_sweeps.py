@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from weftgraph.operators import blocks, local, nonlinear, ssl
+from weftgraph.operators import auction, blocks, local, nonlinear, ssl
 from weftgraph.session import prepare
 
 ONE, MANY = 1 << 22, 250
@@ -109,3 +109,24 @@ def test_columns_are_swept_in_tasks_of_their_own(spark, graph):
     start = nonlinear._with_start(nodes, wide, ["u0", "u1"], [0.0, 0.0])
     got = columns(blocks.settle(nodes, edges, start, ["u0", "u1"], value, 1e-6, 10_000))
     assert np.allclose(got, columns(nonlinear.amle_blocks(nodes, edges, wide, ["u0", "u1"], tol=1e-6)), atol=1e-12)
+
+
+def test_volume_mbo_beyond_one_driver(spark, graph, monkeypatch):
+    nodes, edges, _, g = graph
+    train, options = spark.createDataFrame([(0, 0), (7, 1), (20, 1)], "id long, label int"), {"priors": [1, 1], "rounds": 5}
+    want = ssl.VolumeMBO(None, **options)._local(g, AT, np.array([0, 1, 1]), 2)
+    monkeypatch.setattr(local, "MAX_NODES", 10)
+    got = ssl.VolumeMBO(ssl.Graph(nodes, edges), plan="blocks", **options).fit(train).toPandas().sort_values(["id", "cls"])
+    assert (got["u"].to_numpy().reshape(-1, 2) == want).all()
+
+
+def test_prices_are_no_worse_than_bids():
+    r = np.random.default_rng(0)
+    for n, k in ((60, 3), (500, 10)):
+        score, lower, upper = r.normal(size=(n, k)) + np.arange(k), np.full(k, n // k // 2), np.full(k, n // k + 3)
+        y, z = auction.priced(score, lower, upper), auction.assign(score, lower, upper)
+        size = np.bincount(y, minlength=k)
+        assert (size >= lower).all() and (size <= upper).all()
+        assert score[np.arange(n), y].sum() >= score[np.arange(n), z].sum() - 1e-9
+    alike = auction.priced(np.zeros((30, 3)), np.zeros(3, int), np.full(3, 12))
+    assert (np.bincount(alike, minlength=3) <= 12).all()
